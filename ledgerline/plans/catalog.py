@@ -79,3 +79,261 @@ def prev_features(spark: SparkSession, d: str) -> DataFrame:
     )
     cust = _t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     return grouped.attach(cust, feats, "c_custkey", "o_custkey")
+
+
+# ------------------------------------------------------- sources, rows (S, X)
+@register("scan_limit", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000")
+def scan_limit(spark, d):
+    from ledgerline.sources import first_rows
+
+    return first_rows(_t(spark, d, "orders"), 1000, [F.col("o_orderkey")])
+
+
+@register(
+    "union_missing_cols",
+    "SELECT l.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id "
+    "UNION ALL SELECT d.doc_id, d.lang, d.n_chars, CAST(NULL AS INTEGER), CAST(NULL AS INTEGER) FROM documents d "
+    "WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+)
+def union_missing_cols(spark, d):
+    from ledgerline.sources import stack_rows
+
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    labels = _t(spark, d, "labels")
+    labelled = labels.join(docs, "doc_id")
+    unlabelled = docs.join(labels, "doc_id", "left_anti")
+    return stack_rows(labelled, unlabelled)
+
+
+def _payment_sql(x: str = "l") -> str:
+    return f"{x}.l_extendedprice * (1 - {x}.l_discount)"
+
+
+@register(
+    "ratio_features",
+    "SELECT l_orderkey, l_linenumber, l_partkey, "
+    "CASE WHEN l_tax = 0 THEN NULL ELSE l_discount / l_tax END AS discount_per_tax, "
+    "CASE WHEN l_quantity = 0 THEN NULL ELSE l_extendedprice / l_quantity END AS unit_price, "
+    "CASE WHEN l_extendedprice = 0 THEN NULL ELSE (l_extendedprice * (1 - l_discount)) / l_extendedprice END AS paid_share, "
+    "l_extendedprice - l_extendedprice * (1 - l_discount) AS discount_amount FROM lineitem",
+)
+def ratio_features(spark, d):
+    li = _t(spark, d, "lineitem")
+    pay = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        R.ratio("l_discount", "l_tax").alias("discount_per_tax"),
+        R.ratio("l_extendedprice", "l_quantity").alias("unit_price"),
+        R.ratio(pay, "l_extendedprice").alias("paid_share"),
+        R.diff("l_extendedprice", pay).alias("discount_amount"),
+    )
+
+
+def _instalments(spark, d) -> DataFrame:
+    """lineitem ⋈ orders as instalments: due day = order day, paid day =
+    ship day, instalment = extended price, payment = discounted price."""
+    li = _t(spark, d, "lineitem")
+    o = _orders(spark, d).select("o_orderkey", "o_custkey", "o_orderday")
+    return li.join(o, li.l_orderkey == o.o_orderkey).withColumns(
+        {
+            "l_shipday": R.day_number("l_shipdate"),
+            "l_payment": F.col("l_extendedprice") * (1 - F.col("l_discount")),
+        }
+    )
+
+
+_INST_SQL = (
+    "SELECT l.*, o.o_custkey, o.o_orderday, " + S.day_number("l.l_shipdate") + " AS l_shipday, "
+    + _payment_sql() + " AS l_payment FROM lineitem l JOIN (SELECT o_orderkey, o_custkey, "
+    + S.day_number("o_orderdate") + " AS o_orderday FROM orders) o ON l.l_orderkey = o.o_orderkey"
+)
+
+
+@register(
+    "clamp_dpd",
+    "SELECT l_orderkey, l_linenumber, l_partkey, "
+    "CASE WHEN l_shipday - o_orderday > 0 THEN l_shipday - o_orderday ELSE 0 END AS DPD, "
+    "CASE WHEN o_orderday - l_shipday > 0 THEN o_orderday - l_shipday ELSE 0 END AS DBD "
+    "FROM (" + _INST_SQL + ")",
+)
+def clamp_dpd(spark, d):
+    return _instalments(spark, d).select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        R.clamp_zero(R.diff("l_shipday", "o_orderday")).alias("DPD"),
+        R.clamp_zero(R.diff("o_orderday", "l_shipday")).alias("DBD"),
+    )
+
+
+# the "end date" role: whole days from 1998-01-01 (negative = in the past)
+END_ORIGIN = "1998-01-01"
+
+
+@register(
+    "flag_closed",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS active_flag, "
+    "CASE WHEN d_end < 0 THEN 0 ELSE 1 END AS enddate_flag, "
+    "CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS open_flag, "
+    "COALESCE(o_totalprice - 250000 > 0, false) AS above_mid "
+    "FROM (SELECT *, CAST(date_diff('day', DATE '" + END_ORIGIN + "', CAST(o_orderdate AS DATE)) AS INTEGER) AS d_end FROM orders)",
+)
+def flag_closed(spark, d):
+    o = _t(spark, d, "orders").withColumn("d_end", R.day_number("o_orderdate", END_ORIGIN))
+    return o.select(
+        "o_orderkey",
+        R.flag_unless_equal("o_orderstatus", "F").alias("active_flag"),
+        R.flag_unless_negative("d_end").alias("enddate_flag"),
+        R.equal_flag("o_orderstatus", "O").alias("open_flag"),
+        R.positive(F.col("o_totalprice") - 250000).alias("above_mid"),
+    )
+
+
+def _order_lines(spark, d) -> DataFrame:
+    """orders ⟕ per-order line aggregates: 2 % of orders have no line, so
+    their line columns are missing (the null path of the cleaning steps)."""
+    li = _t(spark, d, "lineitem")
+    per_order = li.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.max("l_returnflag").alias("top_flag"),
+        F.max("l_quantity").alias("max_qty"),
+        F.min("l_discount").alias("min_discount"),
+        F.max("l_tax").alias("max_tax"),
+        F.count_if(F.col("l_linestatus") == "O").alias("n_open"),
+        F.count_if(F.col("l_returnflag") == "R").alias("n_returned"),
+    )
+    return _t(spark, d, "orders").join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+
+
+_ORDER_LINES_SQL = (
+    "SELECT o.*, p.* EXCLUDE (l_orderkey) FROM orders o LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n_lines, "
+    "MAX(l_returnflag) AS top_flag, MAX(l_quantity) AS max_qty, MIN(l_discount) AS min_discount, MAX(l_tax) AS max_tax, "
+    "COUNT(*) FILTER (WHERE l_linestatus = 'O') AS n_open, COUNT(*) FILTER (WHERE l_returnflag = 'R') AS n_returned "
+    "FROM lineitem GROUP BY l_orderkey) p ON o.o_orderkey = p.l_orderkey"
+)
+
+
+@register(
+    "sentinel_null",
+    "SELECT o_orderkey, NULLIF(n_lines, 7) AS n_lines, NULLIF(max_qty, 50.0) AS max_qty FROM (" + _ORDER_LINES_SQL + ")",
+)
+def sentinel_null(spark, d):
+    return _order_lines(spark, d).select(
+        "o_orderkey", R.sentinel_to_null("n_lines", 7).alias("n_lines"), R.sentinel_to_null("max_qty", 50.0).alias("max_qty")
+    )
+
+
+@register(
+    "null_indicators",
+    "SELECT o_orderkey, CAST(n_lines IS NULL AS INTEGER) AS missing_lines, CAST(top_flag IS NULL AS INTEGER) AS missing_flag, "
+    "CAST(max_qty IS NULL AS INTEGER) AS missing_qty FROM (" + _ORDER_LINES_SQL + ")",
+)
+def null_indicators(spark, d):
+    return _order_lines(spark, d).select(
+        "o_orderkey",
+        R.missing_indicator("n_lines").alias("missing_lines"),
+        R.missing_indicator("top_flag").alias("missing_flag"),
+        R.missing_indicator("max_qty").alias("missing_qty"),
+    )
+
+
+@register(
+    "row_sum_flags",
+    "SELECT o_orderkey, COALESCE(n_open, 0) + COALESCE(n_returned, 0) AS open_or_returned, "
+    "ABS(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END - 1) AS not_final, "
+    "COALESCE(n_open, 0) + COALESCE(n_returned, 0) + ABS(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END - 1) AS all_flags, "
+    "COALESCE(max_tax, min_discount) AS tax_or_discount, ABS(o_totalprice - 250000) AS dist_mid "
+    "FROM (" + _ORDER_LINES_SQL + ")",
+)
+def row_sum_flags(spark, d):
+    df = _order_lines(spark, d).withColumn("final", R.equal_flag("o_orderstatus", "F"))
+    # the city / region sums are taken before the flag is inverted, the total after
+    partial = R.row_sum(["n_open", "n_returned"])
+    inverted = R.invert_flag("final")
+    return df.select(
+        "o_orderkey",
+        partial.alias("open_or_returned"),
+        inverted.alias("not_final"),
+        R.row_sum(["n_open", "n_returned", inverted]).alias("all_flags"),
+        R.fill_from("max_tax", "min_discount").alias("tax_or_discount"),
+        R.absolute(F.col("o_totalprice") - 250000).alias("dist_mid"),
+    )
+
+
+@register(
+    "filter_keep_null",
+    "SELECT o_orderkey, top_flag FROM (" + _ORDER_LINES_SQL + ") WHERE top_flag IS DISTINCT FROM 'R'",
+)
+def filter_keep_null(spark, d):
+    return _order_lines(spark, d).where(R.not_value_keep_missing("top_flag", "R")).select("o_orderkey", "top_flag")
+
+
+@register(
+    "filter_missing_split",
+    "SELECT o_orderkey, CASE WHEN n_lines IS NULL THEN 'missing' ELSE 'present' END AS part FROM (" + _ORDER_LINES_SQL + ")",
+)
+def filter_missing_split(spark, d):
+    df = _order_lines(spark, d)
+    missing = df.where(R.is_missing("n_lines")).select("o_orderkey", F.lit("missing").alias("part"))
+    present = df.where(~R.is_missing("n_lines")).select("o_orderkey", F.lit("present").alias("part"))
+    return missing.unionByName(present)
+
+
+# ------------------------------------------------------------ aggregates (A)
+RECIPE_MEASURES = ["o_totalprice", "o_orderday"]
+
+
+@register(
+    "agg_recipe",
+    "WITH o AS (SELECT *, " + S.day_number("o_orderdate") + " AS o_orderday FROM orders), f AS (SELECT o_custkey, "
+    + ", ".join(S.recipe({m: FE.RECIPE_AGGREGATES for m in RECIPE_MEASURES}, lambda c, a: f"o_custkey_{a}_{c}", PREV_SCALES))
+    + " FROM o GROUP BY o_custkey) SELECT c.c_custkey, f.* EXCLUDE (o_custkey) FROM customer c LEFT JOIN f ON c.c_custkey = f.o_custkey",
+)
+def agg_recipe(spark, d):
+    feats = FE.recipe_features(_orders(spark, d), "o_custkey", RECIPE_MEASURES, scales=PREV_SCALES)
+    return grouped.attach(_t(spark, d, "customer").select("c_custkey"), feats, "c_custkey", "o_custkey")
+
+
+@register(
+    "agg_nunique",
+    "SELECT o_custkey, COUNT(DISTINCT o_orderpriority) AS n_priorities, COUNT(DISTINCT o_orderstatus) AS n_statuses, "
+    "COUNT(o_orderkey) AS n_orders, COUNT(*) AS n_rows FROM orders GROUP BY o_custkey",
+)
+def agg_nunique(spark, d):
+    return grouped.group_features(
+        _t(spark, d, "orders"), "o_custkey", [],
+        [
+            F.count_distinct("o_orderpriority").alias("n_priorities"),
+            F.count_distinct("o_orderstatus").alias("n_statuses"),
+            F.count("o_orderkey").alias("n_orders"),
+            F.count(F.lit(1)).alias("n_rows"),
+        ],
+    )
+
+
+@register(
+    "agg_proportion",
+    "SELECT o_custkey, CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) AS DOUBLE) / COUNT(*) AS per_active FROM orders GROUP BY o_custkey",
+)
+def agg_proportion(spark, d):
+    return grouped.proportion(_t(spark, d, "orders"), "o_custkey", R.flag_unless_equal("o_orderstatus", "F"), "per_active")
+
+
+TWO_LEVEL_FIRST = {"l_quantity": ["min", "max", "size"]}
+TWO_LEVEL_SECOND = {"l_quantity_MIN": ["min"], "l_quantity_MAX": ["max", "mean"], "l_quantity_SIZE": ["mean", "sum"]}
+
+
+@register(
+    "agg_two_level",
+    "WITH per_order AS (SELECT l_orderkey, MIN(l_quantity) AS l_quantity_MIN, MAX(l_quantity) AS l_quantity_MAX, "
+    "COUNT(*) AS l_quantity_SIZE FROM lineitem GROUP BY l_orderkey), o AS (SELECT o.o_custkey, p.* EXCLUDE (l_orderkey) "
+    "FROM orders o LEFT JOIN per_order p ON o.o_orderkey = p.l_orderkey) SELECT o_custkey, "
+    + ", ".join(S.recipe(TWO_LEVEL_SECOND, S.upper(""), {"l_quantity_MIN": 2, "l_quantity_MAX": 2, "l_quantity_SIZE": 0}))
+    + " FROM o GROUP BY o_custkey",
+)
+def agg_two_level(spark, d):
+    from ledgerline.functions.aggs import Recipe
+
+    return grouped.two_level(
+        _t(spark, d, "lineitem"), "l_orderkey", [Recipe(TWO_LEVEL_FIRST)],
+        _t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey",
+        [Recipe(TWO_LEVEL_SECOND, scales={"l_quantity_MIN": 2, "l_quantity_MAX": 2, "l_quantity_SIZE": 0})],
+    )
