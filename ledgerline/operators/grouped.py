@@ -47,16 +47,16 @@ def attach(base: DataFrame, features: DataFrame, base_key: str, feature_key: str
     return base.join(features, on=base_key, how="left")
 
 
-def attach_group_stat(df: DataFrame, key: str, value: Column, name: str, agg: str = "mean") -> DataFrame:
-    """Put a per-key statistic back on every detail row of the key.
+def attach_group_stat(df: DataFrame, key: str, stats: dict[str, Column]) -> DataFrame:
+    """Put per-key statistics (aggregate columns by output name) back on
+    every detail row of the key.
 
     Written as aggregate + join rather than ``avg().over(partitionBy(key))``:
     a window sends a whole key to one task, while the aggregate combines a
     hot key map-side and AQE's skew-join handling splits a hot key on the
     detail side of the join.
     """
-    fn = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}[agg]
-    stat = df.where(F.col(key).isNotNull()).groupBy(key).agg(fn(value).alias(name))
+    stat = df.where(F.col(key).isNotNull()).groupBy(key).agg(*[c.alias(n) for n, c in stats.items()])
     return df.join(stat, on=key, how="left")
 
 

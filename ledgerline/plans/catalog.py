@@ -337,3 +337,208 @@ def agg_two_level(spark, d):
         _t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey",
         [Recipe(TWO_LEVEL_SECOND, scales={"l_quantity_MIN": 2, "l_quantity_MAX": 2, "l_quantity_SIZE": 0})],
     )
+
+
+FAMILY_SPEC = {"l_extendedprice": ["min", "max", "mean", "sum", "var"], "l_quantity": ["sum", "size"]}
+FAMILY_SCALES = {"l_extendedprice": 2, "l_quantity": 2}
+LINE_FAMILIES = {"OPEN_": "O", "DONE_": "F"}
+
+
+def _family_sql() -> str:
+    items = S.recipe(FAMILY_SPEC, S.upper("LINE_"), FAMILY_SCALES)
+    for p, v in LINE_FAMILIES.items():
+        items += S.recipe(FAMILY_SPEC, S.upper(p), FAMILY_SCALES, where=f"l_linestatus = {S.lit(v)}")
+    return "SELECT o_custkey, " + ", ".join(items) + " FROM (" + _INST_SQL + ") GROUP BY o_custkey"
+
+
+@register("agg_family", _family_sql())
+def agg_family(spark, d):
+    from ledgerline.functions.aggs import Recipe
+
+    fam = {p: F.col("l_linestatus") == v for p, v in LINE_FAMILIES.items()}
+    recipe = Recipe(FAMILY_SPEC, prefix="LINE_", scales=FAMILY_SCALES, families=fam)
+    return grouped.group_features(_instalments(spark, d), "o_custkey", [recipe])
+
+
+@register(
+    "attach_group_mean",
+    "SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, s.cust_mean_price, s.cust_orders FROM orders o LEFT JOIN "
+    "(SELECT o_custkey, " + S.agg("o_totalprice", "mean", 2) + " AS cust_mean_price, COUNT(*) AS cust_orders "
+    "FROM orders GROUP BY o_custkey) s ON o.o_custkey = s.o_custkey",
+)
+def attach_group_mean(spark, d):
+    from ledgerline.functions.aggs import exact_mean
+
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return grouped.attach_group_stat(
+        o, "o_custkey",
+        {"cust_mean_price": exact_mean(F.col("o_totalprice"), 2), "cust_orders": F.count(F.lit(1))},
+    )
+
+
+LAST_N = (1, 3, 5)
+LAST_MEASURES = {"o_totalprice": "price_of_last_{n}_orders_mean", "o_orderday": "day_of_last_{n}_orders_mean"}
+
+_RANKED_ORDERS_SQL = (
+    "SELECT *, " + S.day_number("o_orderdate") + " AS o_orderday, row_number() OVER (PARTITION BY o_custkey "
+    "ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC) AS rn FROM orders"
+)
+
+
+def _last_n_sql() -> str:
+    items = []
+    for n in LAST_N:
+        for col, tmpl in LAST_MEASURES.items():
+            items.append(f"{S.agg(f'(CASE WHEN rn <= {n} THEN {col} END)', 'mean', PREV_SCALES[col])} AS {tmpl.format(n=n)}")
+    return "SELECT o_custkey, " + ", ".join(items) + " FROM (" + _RANKED_ORDERS_SQL + ") WHERE rn <= 5 GROUP BY o_custkey"
+
+
+@register("last_n_mean", _last_n_sql())
+def last_n_mean(spark, d):
+    from ledgerline.operators import history
+
+    return history.last_n_means(_orders(spark, d), "o_custkey", "o_orderdate", "o_orderkey", LAST_MEASURES, LAST_N, PREV_SCALES)
+
+
+@register(
+    "last_value",
+    "SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS last_was_final, "
+    "CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS last_was_open, o_orderpriority AS last_priority "
+    "FROM (" + _RANKED_ORDERS_SQL + ") WHERE rn = 1",
+)
+def last_value(spark, d):
+    from ledgerline.operators import history
+
+    return history.last_value(
+        _t(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey",
+        {
+            "last_was_final": R.equal_flag("o_orderstatus", "F"),
+            "last_was_open": R.equal_flag("o_orderstatus", "O"),
+            "last_priority": F.col("o_orderpriority"),
+        },
+    )
+
+
+@register(
+    "top_k",
+    "SELECT o_custkey, " + S.agg("o_totalprice", "sum", 2) + " AS total_spend FROM orders GROUP BY o_custkey "
+    "ORDER BY total_spend DESC, o_custkey LIMIT 20",
+)
+def top_k(spark, d):
+    from ledgerline.functions.aggs import one_aggregate
+    from ledgerline.operators import history
+
+    spend = _t(spark, d, "orders").groupBy("o_custkey").agg(one_aggregate(F.col("o_totalprice"), "sum", 2).alias("total_spend"))
+    return history.top_k(spend, [F.col("total_spend").desc(), F.col("o_custkey").asc()], 20)
+
+
+# --------------------------------------------------------------- encodings (E)
+@register(
+    "onehot",
+    "SELECT c_custkey, c_acctbal, " + ", ".join(
+        f"CASE WHEN c_mktsegment = {S.lit(v)} THEN 1 ELSE 0 END AS {S.q('c_mktsegment_' + v)}" for v in SEGMENT_VALUES
+    ) + " FROM customer",
+)
+def onehot(spark, d):
+    from ledgerline.operators import encode
+
+    cust = _t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    out, _ = encode.one_hot(cust, encode.vocabularies(cust, ["c_mktsegment"]), with_missing=False)
+    return out
+
+
+@register(
+    "onehot_nan",
+    "SELECT o_orderkey, " + ", ".join(
+        f"CASE WHEN top_flag = {S.lit(v)} THEN 1 ELSE 0 END AS {S.q('top_flag_' + v)}" for v in RETURNFLAG_VALUES
+    ) + ", CAST(top_flag IS NULL AS INTEGER) AS top_flag_nan FROM (" + _ORDER_LINES_SQL + ")",
+)
+def onehot_nan(spark, d):
+    from ledgerline.operators import encode
+
+    ol = _order_lines(spark, d).select("o_orderkey", "top_flag")
+    out, _ = encode.one_hot(ol, encode.vocabularies(ol, ["top_flag"]), with_missing=True)
+    return out
+
+
+@register(
+    "factorize",
+    "WITH ol AS (" + _ORDER_LINES_SQL + "), firsts AS (SELECT top_flag, MIN(o_orderkey) AS f FROM ol WHERE top_flag IS NOT NULL "
+    "GROUP BY top_flag), codes AS (SELECT top_flag, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS code FROM firsts) "
+    "SELECT ol.o_orderkey, COALESCE(codes.code, -1) AS top_flag FROM ol LEFT JOIN codes ON ol.top_flag = codes.top_flag",
+)
+def factorize(spark, d):
+    from ledgerline.operators import encode
+
+    ol = _order_lines(spark, d).select("o_orderkey", "top_flag")
+    return encode.factorize(ol, ["top_flag"], [F.col("o_orderkey")])
+
+
+@register(
+    "label_encode",
+    "SELECT l_orderkey, l_linenumber, l_partkey, CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS l_returnflag, "
+    "CAST(dense_rank() OVER (ORDER BY l_linestatus) - 1 AS INTEGER) AS l_linestatus FROM lineitem",
+)
+def label_encode(spark, d):
+    from ledgerline.operators import encode
+
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    return encode.label_encode(li, ["l_returnflag", "l_linestatus"])
+
+
+# ------------------------------------------------------- history jobs
+@register(
+    "loan_history",
+    "WITH f AS (SELECT o_custkey, COUNT(o_orderdate) AS num_loan, COUNT(DISTINCT o_orderpriority) AS num_loantype "
+    "FROM orders GROUP BY o_custkey) SELECT c.c_custkey, c.c_mktsegment, f.num_loan, f.num_loantype, "
+    "CASE WHEN f.num_loantype = 0 THEN NULL ELSE CAST(f.num_loan AS DOUBLE) / f.num_loantype END AS ave_loantype "
+    "FROM customer c LEFT JOIN f ON c.c_custkey = f.o_custkey",
+)
+def loan_history(spark, d):
+    base, _ = _loan_history(spark, d)
+    return base
+
+
+def _loan_history(spark, d):
+    loans = _t(spark, d, "orders").withColumn("d_end", R.day_number("o_orderdate", END_ORIGIN))
+    cust = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return FE.loan_history(cust, "c_custkey", loans, "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "F", "d_end")
+
+
+@register(
+    "loan_rows_enriched",
+    "WITH o AS (SELECT *, CAST(date_diff('day', DATE '" + END_ORIGIN + "', CAST(o_orderdate AS DATE)) AS INTEGER) AS d_end FROM orders), "
+    "s AS (SELECT o_custkey, CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) AS DOUBLE) / COUNT(*) AS per_active, "
+    "CAST(SUM(CASE WHEN d_end < 0 THEN 0 ELSE 1 END) AS DOUBLE) / COUNT(*) AS CREDIT_ENDDATE_PERCENTAGE FROM o GROUP BY o_custkey) "
+    "SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, s.per_active, s.CREDIT_ENDDATE_PERCENTAGE FROM o LEFT JOIN s ON o.o_custkey = s.o_custkey",
+)
+def loan_rows_enriched(spark, d):
+    _, loans = _loan_history(spark, d)
+    return loans.select("o_orderkey", "o_custkey", "o_orderstatus", "per_active", "CREDIT_ENDDATE_PERCENTAGE")
+
+
+def _behaviour_sql() -> str:
+    tails = []
+    for n in LAST_N:
+        for col, tmpl in BEHAVIOUR_MEASURES.items():
+            tails.append(f"{S.agg(f'(CASE WHEN rn <= {n} THEN {col} END)', 'mean', PREV_SCALES[col])} AS {tmpl.format(n=n)}")
+    return (
+        "WITH r AS (" + _RANKED_ORDERS_SQL + ") SELECT o_custkey, COUNT(DISTINCT o_orderkey) AS previous_application_number_of_prev_application, "
+        "MAX(CASE WHEN rn = 1 THEN (CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) END) AS previous_application_prev_was_approved, "
+        "MAX(CASE WHEN rn = 1 THEN (CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) END) AS previous_application_prev_was_refused, "
+        + ", ".join(tails) + " FROM r GROUP BY o_custkey"
+    )
+
+
+BEHAVIOUR_MEASURES = {
+    "o_totalprice": "previous_application_term_of_last_{n}_credits_mean",
+    "o_orderday": "previous_application_days_decision_about_last_{n}_credits_mean",
+}
+
+
+@register("prev_behaviour", _behaviour_sql())
+def prev_behaviour(spark, d):
+    return FE.behaviour_features(
+        _orders(spark, d), "o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "F", "O",
+        BEHAVIOUR_MEASURES, LAST_N, PREV_SCALES,
+    )
