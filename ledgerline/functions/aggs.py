@@ -64,6 +64,38 @@ def exact_var(x: Column, scale: int) -> Column:
     return F.when(n > 1, num / den)
 
 
+def _units(x: Column, scale: int) -> Column:
+    return (x.cast(f"decimal(18,{scale})") * F.lit(10 ** scale)).cast("decimal(38,0)")
+
+
+def exact_comoments(x: Column, y: Column, sx: int, sy: int) -> tuple[Column, Column, Column, Column]:
+    """Exact co-moment numerators over pairwise-complete rows, in integer
+    units: (n, n·Σxy − ΣxΣy, n·Σx² − (Σx)², n·Σy² − (Σy)²). Exact until
+    cast; requires n·Σ|xy| < 10^38 (ANSI mode raises instead of wrapping)."""
+    both = x.isNotNull() & y.isNotNull()
+    u = F.when(both, _units(x, sx))
+    v = F.when(both, _units(y, sy))
+    n = F.count(u).cast("decimal(38,0)")
+    cxy = n * F.sum(u * v) - F.sum(u) * F.sum(v)
+    cxx = n * F.sum(u * u) - F.sum(u) * F.sum(u)
+    cyy = n * F.sum(v * v) - F.sum(v) * F.sum(v)
+    return F.count(u), cxy, cxx, cyy
+
+
+def exact_covar(x: Column, y: Column, sx: int, sy: int) -> Column:
+    """Sample covariance of two fixed-point columns, rounded once."""
+    n, cxy, _, _ = exact_comoments(x, y, sx, sy)
+    den = (n * (n - 1) * F.lit(10 ** (sx + sy))).cast("double")
+    return F.when(n > 1, cxy.cast("double") / den)
+
+
+def exact_corr(x: Column, y: Column, sx: int, sy: int) -> Column:
+    """Pearson correlation of two fixed-point columns from exact co-moments;
+    NULL for a constant column."""
+    _, cxy, cxx, cyy = exact_comoments(x, y, sx, sy)
+    return F.try_divide(cxy.cast("double"), F.sqrt(cxx.cast("double") * cyy.cast("double")))
+
+
 def one_aggregate(x: Column, agg: str, scale: int | None = None) -> Column:
     """One aggregate over the rows of a group (no family filter)."""
     if agg == "mean":

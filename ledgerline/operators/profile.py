@@ -8,12 +8,14 @@ the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.aggs import exact_corr, exact_covar
+
 
 def report(x: Column, digits: int) -> Column:
     """Round half up to ``digits`` decimals with plain double arithmetic
@@ -23,12 +25,12 @@ def report(x: Column, digits: int) -> Column:
 
 
 def value_sets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The distinct values of every column, long form (column, value).
+    """The distinct values of every column, long form (column_name, value).
     Distributed ``distinct``; no per-column set is built in one buffer."""
     pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+        F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
     )
-    return df.select(pairs.alias("p")).select("p.column", "p.value").distinct()
+    return df.select(pairs.alias("p")).select("p.column_name", "p.value").distinct()
 
 
 def token_counts(df: DataFrame, token: str, cols: Sequence[str] | None = None) -> DataFrame:
@@ -36,8 +38,8 @@ def token_counts(df: DataFrame, token: str, cols: Sequence[str] | None = None) -
     cols = cols if cols is not None else [c for c, t in df.dtypes if t == "string"]
     wide = df.agg(*[F.count_if(F.col(c) == F.lit(token)).alias(c) for c in cols])
     return wide.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in cols])).alias("p")
-    ).select("p.column", "p.n")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in cols])).alias("p")
+    ).select("p.column_name", "p.n")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -57,12 +59,33 @@ def corr_expr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def target_correlation(df: DataFrame, target: str, features: Sequence[str], absolute: bool = False, digits: int | None = None) -> DataFrame:
+def _corr(a: str, b: str, scales: Mapping[str, int] | None) -> Column:
+    if scales and a in scales and b in scales:
+        return exact_corr(F.col(a), F.col(b), scales[a], scales[b])
+    return corr_expr(F.col(a).cast("double"), F.col(b).cast("double"))
+
+
+def _covar(a: str, b: str, scales: Mapping[str, int] | None) -> Column:
+    if scales and a in scales and b in scales:
+        return exact_covar(F.col(a), F.col(b), scales[a], scales[b])
+    x, y = _pairwise(F.col(a).cast("double"), F.col(b).cast("double"))
+    return F.covar_samp(x, y)
+
+
+def target_correlation(
+    df: DataFrame,
+    target: str,
+    features: Sequence[str],
+    absolute: bool = False,
+    digits: int | None = None,
+    scales: Mapping[str, int] | None = None,
+) -> DataFrame:
     """Correlation of every feature with the target, long form
-    (feature, corr); one aggregate pass."""
+    (feature, corr); one aggregate pass. Fixed-point columns (``scales``)
+    use exact co-moments; others the streaming double form."""
     exprs = []
     for f in features:
-        c = corr_expr(F.col(f).cast("double"), F.col(target).cast("double"))
+        c = _corr(f, target, scales)
         if absolute:
             c = F.abs(c)
         if digits is not None:
@@ -74,17 +97,18 @@ def target_correlation(df: DataFrame, target: str, features: Sequence[str], abso
     ).select("p.feature", "p.corr")
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int | None = None, kind: str = "corr") -> DataFrame:
+def correlation_matrix(
+    df: DataFrame,
+    cols: Sequence[str],
+    digits: int | None = None,
+    kind: str = "corr",
+    scales: Mapping[str, int] | None = None,
+) -> DataFrame:
     """All pairs (pairwise-complete), long form (a, b, value),
     both orders and the diagonal, in one aggregate pass."""
     items = []
     for a, b in list(combinations(cols, 2)) + [(c, c) for c in cols]:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        if kind == "corr":
-            v = corr_expr(x, y)
-        else:
-            xx, yy = _pairwise(x, y)
-            v = F.covar_samp(xx, yy)
+        v = _corr(a, b, scales) if kind == "corr" else _covar(a, b, scales)
         if digits is not None:
             v = report(v, digits)
         items.append((a, b, v))

@@ -542,3 +542,470 @@ def prev_behaviour(spark, d):
         _orders(spark, d), "o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "F", "O",
         BEHAVIOUR_MEASURES, LAST_N, PREV_SCALES,
     )
+
+
+# ------------------------------------------------------ table jobs
+BURO_LOAN_SPEC = {"o_totalprice": ["max", "mean", "sum"], "o_orderday": ["min", "max", "mean", "var"]}
+BURO_SCALES = {
+    "o_totalprice": 2, "o_orderday": 0,
+    "l_shipday_MIN": 0, "l_shipday_MAX": 0, "l_shipday_SIZE": 0,
+}
+MONTH_CATS = {"l_returnflag": RETURNFLAG_VALUES, "l_linestatus": LINESTATUS_VALUES}
+SHARE_DIGITS = 12
+
+
+def _bureau_sql() -> str:
+    month_items = ["MIN(l_shipday) AS l_shipday_MIN", "MAX(l_shipday) AS l_shipday_MAX", "COUNT(*) AS l_shipday_SIZE"]
+    share_names = []
+    for c, vals in MONTH_CATS.items():
+        month_items += S.shares(c, vals)
+        share_names += [f"{c}_{v}_MEAN" for v in vals] + [f"{c}_nan_MEAN"]
+    spec = dict(BURO_LOAN_SPEC)
+    spec.update({"l_shipday_MIN": ["min"], "l_shipday_MAX": ["max"], "l_shipday_SIZE": ["mean", "sum"]})
+    items = S.recipe(spec, S.upper("BURO_"), BURO_SCALES)
+    for p, v in {"ACTIVE_": "O", "CLOSED_": "F"}.items():
+        items += S.recipe(spec, S.upper(p), BURO_SCALES, where=f"o_orderstatus = {S.lit(v)}")
+    items += S.shares("o_orderpriority", PRIORITY_VALUES, "BURO_")
+    items += [f"floor(AVG({S.q(n)}) * 1e{SHARE_DIGITS} + 0.5) / 1e{SHARE_DIGITS} AS {S.q('BURO_' + n + '_MEAN')}" for n in share_names]
+    return (
+        "WITH m AS (SELECT *, " + S.day_number("l_shipdate") + " AS l_shipday FROM lineitem), "
+        "per_loan AS (SELECT l_orderkey, " + ", ".join(month_items) + " FROM m GROUP BY l_orderkey), "
+        "loans AS (SELECT o.*, " + S.day_number("o.o_orderdate") + " AS o_orderday, p.* EXCLUDE (l_orderkey) FROM orders o "
+        "LEFT JOIN per_loan p ON o.o_orderkey = p.l_orderkey) "
+        "SELECT o_custkey, " + ", ".join(items) + " FROM loans GROUP BY o_custkey"
+    )
+
+
+@register("bureau_features", _bureau_sql())
+def bureau_features(spark, d):
+    from ledgerline.operators.profile import report
+
+    months = _t(spark, d, "lineitem").withColumn("l_shipday", R.day_number("l_shipdate"))
+    out = FE.bureau_features(
+        _orders(spark, d), "o_orderkey", "o_custkey", months, "l_orderkey", "l_shipday", list(MONTH_CATS),
+        BURO_LOAN_SPEC, ["o_orderpriority"], "o_orderstatus", "O", "F", BURO_SCALES,
+    )
+    # the mean of per-loan shares is a floating sum: reported to 12 decimals
+    mom = [c for c in out.columns if c.endswith("_MEAN_MEAN") and c.startswith("BURO_l_")]
+    return out.withColumns({c: report(F.col(c), SHARE_DIGITS) for c in mom})
+
+
+POS_SPEC = {"ev_day": ["max", "mean", "size"], "value": ["max", "mean"], "event_id": ["count"]}
+POS_SCALES = {"ev_day": 0, "value": 2}
+
+
+@register(
+    "pos_features",
+    "WITH e AS (SELECT *, " + S.day_number("ts") + " AS ev_day FROM events) SELECT user_id, "
+    + ", ".join(S.recipe(POS_SPEC, S.upper("POS_"), POS_SCALES) + S.shares("event_type", EVENT_VALUES, "POS_"))
+    + ", COUNT(*) AS POS_COUNT FROM e GROUP BY user_id",
+)
+def pos_features(spark, d):
+    ev = _t(spark, d, "events").withColumn("ev_day", R.day_number("ts"))
+    return FE.counted_features(ev, "user_id", POS_SPEC, ["event_type"], "POS_", "POS_COUNT", POS_SCALES)
+
+
+INST_SPEC = {
+    "l_linenumber": ["nunique"],
+    "DPD": ["max", "mean", "sum"],
+    "DBD": ["max", "mean", "sum"],
+    "PAYMENT_PERC": ["max", "mean", "sum", "var"],
+    "PAYMENT_DIFF": ["max", "mean", "sum", "var"],
+    "l_extendedprice": ["max", "mean", "sum"],
+    "l_payment": ["min", "max", "mean", "sum"],
+    "l_shipday": ["max", "mean", "sum"],
+}
+# discounted prices carry 4 decimals; days are whole
+INST_SCALES = {"DPD": 0, "DBD": 0, "PAYMENT_DIFF": 4, "l_extendedprice": 2, "l_payment": 4, "l_shipday": 0}
+RATIO_DIGITS = 9
+
+
+def _instalment_sql() -> str:
+    rows = (
+        "SELECT *, CASE WHEN l_extendedprice = 0 THEN NULL ELSE l_payment / l_extendedprice END AS PAYMENT_PERC, "
+        "l_extendedprice - l_payment AS PAYMENT_DIFF, "
+        "CASE WHEN l_shipday - o_orderday > 0 THEN l_shipday - o_orderday ELSE 0 END AS DPD, "
+        "CASE WHEN o_orderday - l_shipday > 0 THEN o_orderday - l_shipday ELSE 0 END AS DBD FROM (" + _INST_SQL + ")"
+    )
+    items = []
+    for col, aggs in INST_SPEC.items():
+        for a in aggs:
+            e = S.agg(S.q(col), a, INST_SCALES.get(col))
+            if col == "PAYMENT_PERC" and a != "max":
+                e = f"floor(({e}) * 1e{RATIO_DIGITS} + 0.5) / 1e{RATIO_DIGITS}"
+            items.append(f"{e} AS {S.q('INSTAL_' + col + '_' + a.upper())}")
+    items += S.shares("l_returnflag", RETURNFLAG_VALUES, "INSTAL_")
+    return "SELECT o_custkey, " + ", ".join(items) + ", COUNT(*) AS INSTAL_COUNT FROM (" + rows + ") GROUP BY o_custkey"
+
+
+@register("instalment_features", _instalment_sql())
+def instalment_features(spark, d):
+    from ledgerline.operators.profile import report
+
+    rows = FE.instalment_rows(_instalments(spark, d), "l_extendedprice", "l_payment", "o_orderday", "l_shipday")
+    out = FE.counted_features(rows, "o_custkey", INST_SPEC, ["l_returnflag"], "INSTAL_", "INSTAL_COUNT", INST_SCALES)
+    # the paid share is a true ratio (no fixed scale): floating sums are reported to 9 decimals
+    perc = [f"INSTAL_PAYMENT_PERC_{a}" for a in ("MEAN", "SUM", "VAR")]
+    return out.withColumns({c: report(F.col(c), RATIO_DIGITS) for c in perc})
+
+
+CARD_DROP = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "o_orderkey", "o_orderday", "l_shipday", "l_payment"]
+CARD_SCALES = {"l_quantity": 2, "l_extendedprice": 2, "l_discount": 2, "l_tax": 2, "l_linenumber": 0}
+CARD_CATS = {"l_returnflag": RETURNFLAG_VALUES, "l_linestatus": LINESTATUS_VALUES}
+
+
+def _card_cols() -> list[str]:
+    cols = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    for c, vals in CARD_CATS.items():
+        cols += [f"{c}_{v}" for v in vals] + [f"{c}_nan"]
+    return cols
+
+
+def _card_sql() -> str:
+    onehots = []
+    for c, vals in CARD_CATS.items():
+        onehots += [f"CASE WHEN {c} = {S.lit(v)} THEN 1 ELSE 0 END AS {S.q(c + '_' + v)}" for v in vals]
+        onehots.append(f"CAST({c} IS NULL AS INTEGER) AS {S.q(c + '_nan')}")
+    scales = dict(CARD_SCALES)
+    scales.update({c: 0 for c in _card_cols() if c not in scales})
+    items = S.recipe({c: ["min", "max", "mean", "sum", "var"] for c in _card_cols()}, S.upper("CC_"), scales)
+    return (
+        "WITH b AS (SELECT o_custkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, " + ", ".join(onehots)
+        + " FROM (" + _INST_SQL + ")) SELECT o_custkey, " + ", ".join(items) + ", COUNT(*) AS CC_COUNT FROM b GROUP BY o_custkey"
+    )
+
+
+@register("card_features", _card_sql())
+def card_features(spark, d):
+    scales = dict(CARD_SCALES)
+    scales.update({c: 0 for c in _card_cols() if c not in scales})
+    return FE.all_column_features(
+        _instalments(spark, d), "o_custkey", CARD_DROP, "CC_", "CC_COUNT", scales=scales, cats=list(CARD_CATS),
+    )
+
+
+@register(
+    "application_features",
+    "WITH stacked AS (SELECT c.c_custkey AS sk_id, c.c_nationkey, c.c_acctbal, c.c_mktsegment, "
+    "CASE WHEN c.c_acctbal < 0 THEN 1 ELSE 0 END AS TARGET, r.r_name FROM customer c "
+    "LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey "
+    "UNION ALL BY NAME SELECT s.s_suppkey AS sk_id, s.s_nationkey AS c_nationkey, s.s_acctbal AS c_acctbal, r.r_name FROM supplier s "
+    "LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey), "
+    "f AS (SELECT * FROM stacked WHERE c_mktsegment IS DISTINCT FROM 'HOUSEHOLD'), "
+    "firsts AS (SELECT c_mktsegment, MIN(sk_id) AS m FROM f WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment), "
+    "codes AS (SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS code FROM firsts) "
+    "SELECT f.sk_id, f.c_nationkey, f.c_acctbal, COALESCE(codes.code, -1) AS c_mktsegment, f.TARGET, "
+    + ", ".join(f"CASE WHEN f.r_name = {S.lit(v)} THEN 1 ELSE 0 END AS {S.q('r_name_' + v)}" for v in ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
+    + ", CASE WHEN f.c_nationkey = 0 THEN NULL ELSE f.c_acctbal / f.c_nationkey END AS ACCTBAL_PER_NATION "
+    "FROM f LEFT JOIN codes ON f.c_mktsegment = codes.c_mktsegment",
+)
+def application_features(spark, d):
+    region = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    train = (
+        _t(spark, d, "customer")
+        .select(F.col("c_custkey").alias("sk_id"), "c_nationkey", "c_acctbal", "c_mktsegment",
+                R.equal_flag(F.col("c_acctbal") < 0, True).alias("TARGET"))
+        .join(region, F.col("c_nationkey") == F.col("n_nationkey"), "left").drop("n_nationkey")
+    )
+    test = (
+        _t(spark, d, "supplier")
+        .select(F.col("s_suppkey").alias("sk_id"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
+        .join(region, F.col("c_nationkey") == F.col("n_nationkey"), "left").drop("n_nationkey")
+    )
+    return FE.application_features(
+        train, test, "c_mktsegment", ["c_mktsegment"], [F.col("sk_id")], ["r_name"],
+        {"ACCTBAL_PER_NATION": ("c_acctbal", "c_nationkey")}, excluded="HOUSEHOLD",
+    )
+
+
+# ---------------------------------------------------------------- profile
+CAMPAIGN_SCALES = {"l_quantity": 2, "l_extendedprice": 2, "l_discount": 2, "l_tax": 2, "l_linenumber": 0, "label": 0}
+CAMPAIGN_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _campaign(spark, d) -> DataFrame:
+    """lineitem as the campaign table: label = returned (R)."""
+    return _t(spark, d, "lineitem").withColumn("label", R.equal_flag("l_returnflag", "R"))
+
+
+_CAMPAIGN_SQL = "SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem"
+
+
+@register(
+    "value_sets",
+    "SELECT DISTINCT 'o_orderstatus' AS column_name, o_orderstatus AS value FROM orders "
+    "UNION SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders",
+)
+def value_sets(spark, d):
+    from ledgerline.operators import profile
+
+    return profile.value_sets(_t(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@register(
+    "token_counts",
+    "SELECT 'o_orderstatus' AS column_name, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS n FROM orders "
+    "UNION ALL SELECT 'o_orderpriority', COUNT(*) FILTER (WHERE o_orderpriority = 'O') FROM orders",
+)
+def token_counts(spark, d):
+    from ledgerline.operators import profile
+
+    return profile.token_counts(_t(spark, d, "orders"), "O", ["o_orderstatus", "o_orderpriority"])
+
+
+@register("class_counts", "SELECT l_returnflag, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag")
+def class_counts(spark, d):
+    from ledgerline.operators import profile
+
+    return profile.class_counts(_t(spark, d, "lineitem"), "l_returnflag")
+
+
+@register(
+    "target_corr",
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, {S.corr(f, 'label', CAMPAIGN_SCALES[f], 0)} AS corr FROM ({_CAMPAIGN_SQL})" for f in CAMPAIGN_FEATURES
+    ),
+)
+def target_corr(spark, d):
+    from ledgerline.operators import profile
+
+    return profile.target_correlation(_campaign(spark, d), "label", CAMPAIGN_FEATURES, scales=CAMPAIGN_SCALES)
+
+
+def _pairs_sql(kind: str, cols: list[str]) -> str:
+    fn = S.corr if kind == "corr" else S.covar
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            e = fn(a, b, CAMPAIGN_SCALES[a], CAMPAIGN_SCALES[b])
+            parts.append(f"SELECT '{a}' AS a, '{b}' AS b, {e} AS value FROM ({_CAMPAIGN_SQL})")
+            if a != b:
+                parts.append(f"SELECT '{b}' AS a, '{a}' AS b, {e} AS value FROM ({_CAMPAIGN_SQL})")
+    return " UNION ALL ".join(parts)
+
+
+MATRIX_COLS = CAMPAIGN_FEATURES + ["label"]
+
+
+@register("corr_matrix", _pairs_sql("corr", MATRIX_COLS))
+def corr_matrix(spark, d):
+    from ledgerline.operators import profile
+
+    return profile.correlation_matrix(_campaign(spark, d), MATRIX_COLS, scales=CAMPAIGN_SCALES)
+
+
+@register("covariance", _pairs_sql("covar", MATRIX_COLS))
+def covariance(spark, d):
+    from ledgerline.operators import profile
+
+    return profile.correlation_matrix(_campaign(spark, d), MATRIX_COLS, kind="covar", scales=CAMPAIGN_SCALES)
+
+
+@register(
+    "corr_select",
+    "SELECT a, b, abs(value) AS value FROM (" + _pairs_sql("corr", MATRIX_COLS) + ") WHERE abs(value) > 0.05",
+)
+def corr_select(spark, d):
+    from ledgerline.operators import profile
+
+    m = profile.correlation_matrix(_campaign(spark, d), MATRIX_COLS, scales=CAMPAIGN_SCALES)
+    return profile.select_strong(m.withColumn("value", F.abs("value")), "value", 0.05)
+
+
+# ------------------------------------------------------------- imputation (I)
+_OL = "(" + _ORDER_LINES_SQL + ")"
+
+
+@register(
+    "impute_median",
+    "SELECT o_orderkey, COALESCE(max_qty, (SELECT median(max_qty) FROM " + _OL + ")) AS max_qty, "
+    "COALESCE(max_tax, (SELECT median(max_tax) FROM " + _OL + ")) AS max_tax, "
+    "COALESCE(CAST(n_lines AS DOUBLE), (SELECT median(n_lines) FROM " + _OL + ")) AS n_lines FROM " + _OL,
+)
+def impute_median(spark, d):
+    from ledgerline.operators import impute
+
+    ol = _order_lines(spark, d).select("o_orderkey", "max_qty", "max_tax", "n_lines")
+    return impute.impute(ol, ["max_qty", "max_tax", "n_lines"], "median")
+
+
+@register(
+    "impute_mode",
+    "SELECT o_orderkey, COALESCE(top_flag, (SELECT top_flag FROM " + _OL + " WHERE top_flag IS NOT NULL GROUP BY top_flag "
+    "ORDER BY COUNT(*) DESC, top_flag LIMIT 1)) AS accomp, COALESCE(n_open, (SELECT n_open FROM " + _OL
+    + " WHERE n_open IS NOT NULL GROUP BY n_open ORDER BY COUNT(*) DESC, n_open LIMIT 1)) AS n_open FROM " + _OL,
+)
+def impute_mode(spark, d):
+    from ledgerline.operators import impute
+
+    ol = _order_lines(spark, d).select("o_orderkey", "top_flag", "n_open")
+    return impute.impute(ol, ["top_flag", "n_open"], "most_frequent", rename={"top_flag": "accomp"})
+
+
+@register(
+    "impute_mean",
+    "SELECT o_orderkey, COALESCE(max_tax, (SELECT " + S.agg("max_tax", "mean", 2) + " FROM " + _OL + ")) AS max_tax, "
+    "COALESCE(CAST(n_lines AS DOUBLE), (SELECT " + S.agg("n_lines", "mean", 0) + " FROM " + _OL + ")) AS n_lines, "
+    "COALESCE(n_returned, 0) AS n_returned FROM " + _OL,
+)
+def impute_mean(spark, d):
+    from ledgerline.operators import impute
+
+    ol = _order_lines(spark, d).select("o_orderkey", "max_tax", "n_lines", "n_returned")
+    out = impute.impute(ol, ["max_tax", "n_lines"], "mean", scales={"max_tax": 2, "n_lines": 0})
+    return impute.impute(out, ["n_returned"], "constant", fill_value=0)
+
+
+REG_DIGITS = 6
+
+
+@register(
+    "impute_regression_one",
+    "SELECT o_orderkey, COALESCE(max_qty, " + S.report(
+        "(SELECT regr_intercept(max_qty, o_totalprice) FROM " + _OL + ") + (SELECT regr_slope(max_qty, o_totalprice) FROM "
+        + _OL + ") * o_totalprice", REG_DIGITS) + ") AS max_qty FROM " + _OL,
+)
+def impute_regression_one(spark, d):
+    from ledgerline.operators import impute
+    from ledgerline.operators.profile import report
+
+    ol = _order_lines(spark, d).select("o_orderkey", "max_qty", "o_totalprice")
+    out = impute.regression_fill_one(ol, "max_qty", "o_totalprice", out_col="_filled")
+    # fitted values are floating least-squares results: reported to 6 decimals
+    return out.select(
+        "o_orderkey",
+        F.when(F.col("max_qty").isNull(), report(F.col("_filled"), REG_DIGITS)).otherwise(F.col("max_qty")).alias("max_qty"),
+    )
+
+
+@register("impute_regression", None)
+def impute_regression(spark, d):
+    """I5 chain (rows-only): each filled column feeds the next fit."""
+    from ledgerline.operators import impute
+
+    ol = _orders(spark, d).join(
+        _order_lines(spark, d).select("o_orderkey", "max_qty", "max_tax", "min_discount"), "o_orderkey"
+    )
+    out = impute.regression_fill(ol, "max_qty", ["o_totalprice", "o_orderday"], "e2")
+    out = impute.regression_fill(out, "max_tax", ["o_totalprice", "e2"], "e1")
+    out = impute.regression_fill(out, "min_discount", ["o_orderday", "e1"], "e3")
+    return out.select("o_orderkey", "e2", "e1", "e3")
+
+
+# ------------------------------------------------------------- sampling (M)
+@register(
+    "hash_split",
+    "SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 20 "
+    "THEN 'test' ELSE 'train' END AS split FROM orders",
+)
+def hash_split(spark, d):
+    from ledgerline.operators import sampling
+
+    return sampling.hash_split(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 20)
+
+
+@register(
+    "oversample",
+    "WITH b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders), "
+    "c AS (SELECT SUM(label) AS n1, SUM(1 - label) AS n0 FROM b), "
+    "m AS (SELECT o_orderkey, row_number() OVER (ORDER BY CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 13) AS BIGINT), o_orderkey) AS rk "
+    "FROM b WHERE label = 1) "
+    "SELECT o_orderkey, 0 AS label, 0 AS copy FROM b WHERE label = 0 UNION ALL "
+    "SELECT m.o_orderkey, 1 AS label, CAST(unnest(range(0, CAST(c.n0 // c.n1 + CASE WHEN m.rk <= c.n0 % c.n1 THEN 1 ELSE 0 END AS BIGINT))) AS INTEGER) AS copy "
+    "FROM m, c",
+)
+def oversample(spark, d):
+    from ledgerline.operators import sampling
+
+    b = _t(spark, d, "orders").select("o_orderkey", R.equal_flag("o_orderstatus", "F").alias("label"))
+    return sampling.oversample(b, "label", "o_orderkey", minority=1, majority=0)
+
+
+# ------------------------------------------------------------ evaluation (V)
+def _scored(spark, d) -> DataFrame:
+    """A deterministic score from the data: 10 × discount, label = returned."""
+    li = _campaign(spark, d)
+    return li.select(
+        "label", (F.col("l_discount") * F.lit(10.0)).alias("score"),
+    ).withColumn("prediction", R.above_threshold("score", 0.5))
+
+
+_SCORED_SQL = (
+    "(SELECT label, score, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS prediction FROM "
+    "(SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_discount * 10.0::DOUBLE AS score FROM lineitem))"
+)
+
+
+@register("confusion", "SELECT label, prediction, COUNT(*) AS n FROM " + _SCORED_SQL + " GROUP BY label, prediction")
+def confusion(spark, d):
+    from ledgerline.operators import evaluate
+
+    return evaluate.confusion(_scored(spark, d))
+
+
+@register(
+    "accuracy",
+    "SELECT CAST(SUM(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS BIGINT) AS correct, COUNT(*) AS total, "
+    "CAST(SUM(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS accuracy FROM " + _SCORED_SQL,
+)
+def accuracy(spark, d):
+    from ledgerline.operators import evaluate
+
+    return evaluate.accuracy(_scored(spark, d))
+
+
+def _report_sql() -> str:
+    def safe(n, den):
+        return f"COALESCE(CASE WHEN ({den}) = 0 THEN NULL ELSE CAST({n} AS DOUBLE) / CAST({den} AS DOUBLE) END, 0.0)"
+
+    per = []
+    for c in (0, 1):
+        tp = f"COUNT(*) FILTER (WHERE label = {c} AND prediction = {c})"
+        fp = f"COUNT(*) FILTER (WHERE label <> {c} AND prediction = {c})"
+        fn = f"COUNT(*) FILTER (WHERE label = {c} AND prediction <> {c})"
+        s = f"COUNT(*) FILTER (WHERE label = {c})"
+        per.append(
+            f"SELECT '{c}' AS class, {safe(tp, f'{tp} + {fp}')} AS precision, {safe(tp, f'{tp} + {fn}')} AS recall, "
+            f"{safe(f'2 * {tp}', f'2 * {tp} + {fp} + {fn}')} AS f1, {s} AS support FROM {_SCORED_SQL}"
+        )
+    rows = " UNION ALL ".join(per)
+    return (
+        f"WITH r AS ({rows}) SELECT * FROM r UNION ALL "
+        "SELECT 'macro avg', SUM(precision) / 2.0::DOUBLE, SUM(recall) / 2.0::DOUBLE, SUM(f1) / 2.0::DOUBLE, CAST(SUM(support) AS BIGINT) FROM r UNION ALL "
+        "SELECT 'weighted avg', SUM(precision * support) / CAST(SUM(support) AS DOUBLE), SUM(recall * support) / CAST(SUM(support) AS DOUBLE), "
+        "SUM(f1 * support) / CAST(SUM(support) AS DOUBLE), CAST(SUM(support) AS BIGINT) FROM r"
+    )
+
+
+@register("class_report", _report_sql())
+def class_report(spark, d):
+    from ledgerline.operators import evaluate
+
+    return evaluate.class_report(_scored(spark, d))
+
+
+@register(
+    "roc_auc",
+    "WITH g AS (SELECT score AS s, COUNT(*) FILTER (WHERE label = 1) AS pos, COUNT(*) FILTER (WHERE label <> 1) AS neg FROM "
+    + _SCORED_SQL + " GROUP BY score), w AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) "
+    "SELECT CAST(SUM(pos * (2 * below + neg)) AS DOUBLE) / CAST(2 * SUM(pos) * SUM(neg) AS DOUBLE) AS auc FROM w",
+)
+def roc_auc(spark, d):
+    from ledgerline.operators import evaluate
+
+    return evaluate.roc_auc(_scored(spark, d))
+
+
+@register(
+    "threshold_sweep",
+    "WITH t AS (SELECT CAST(i AS DOUBLE) / 100.0::DOUBLE AS x FROM range(100) r(i)), "
+    "c AS (SELECT t.x, COUNT(*) FILTER (WHERE s.label = 1 AND s.score > t.x) AS tp, COUNT(*) FILTER (WHERE s.label <> 1 AND s.score > t.x) AS fp, "
+    "COUNT(*) FILTER (WHERE s.label = 1) AS npos FROM t, " + _SCORED_SQL + " s GROUP BY t.x) "
+    "SELECT x, COALESCE(CASE WHEN tp + fp = 0 THEN NULL ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END, 0.0) AS precision, "
+    "COALESCE(CASE WHEN npos = 0 THEN NULL ELSE CAST(tp AS DOUBLE) / CAST(npos AS DOUBLE) END, 0.0) AS recall, "
+    "COALESCE(CASE WHEN 2 * tp + fp + (npos - tp) = 0 THEN NULL ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + (npos - tp) AS DOUBLE) END, 0.0) AS f1 FROM c",
+)
+def threshold_sweep(spark, d):
+    from ledgerline.operators import evaluate
+
+    return evaluate.threshold_sweep(_scored(spark, d))

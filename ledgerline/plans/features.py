@@ -132,6 +132,7 @@ def bureau_features(
     loan_key: str,
     key: str,
     months: DataFrame,
+    month_loan_key: str,
     month_col: str,
     month_cats: Sequence[str],
     loan_num_spec: Mapping[str, Sequence[str]],
@@ -174,7 +175,7 @@ def bureau_features(
     second_extra = category_shares(loans, loan_cats, "BURO_", with_missing, vocab)
     second_extra += [F.avg(F.col(n)).alias(f"BURO_{n}_MEAN") for n in share_names]
     return grouped.two_level(
-        months, loan_key, [month_recipe], loans, loan_key, key, [loan_recipe],
+        months, month_loan_key, [month_recipe], loans, loan_key, key, [loan_recipe],
         first_extra=month_shares, second_extra=second_extra,
     )
 
@@ -190,6 +191,7 @@ def application_features(
     sentinel_cols: Sequence[str] = (),
     with_missing: bool = False,
     vocab: Mapping[str, Sequence] | None = None,
+    excluded: str = "XNA",
 ) -> DataFrame:
     """stack labelled and unlabelled rows, drop the ``XNA`` gender rows
     (keeping missing ones), factorise the binary columns, one-hot the
@@ -197,7 +199,7 @@ def application_features(
     transformations only — no shuffle besides the small vocabulary jobs."""
     from ledgerline.sources import stack_rows
 
-    df = stack_rows(train, test).where(R.not_value_keep_missing(gender_col, "XNA"))
+    df = stack_rows(train, test).where(R.not_value_keep_missing(gender_col, excluded))
     df = encode.factorize(df, binary_cols, order)
     vocab = vocab if vocab is not None else encode.vocabularies(df, cats)
     df, _ = encode.one_hot(df, {c: vocab[c] for c in cats}, with_missing)

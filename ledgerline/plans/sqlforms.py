@@ -97,3 +97,35 @@ def shares(col: str, values: Sequence, prefix: str = "", with_missing: bool = Tr
 
 def day_number(ts: str) -> str:
     return f"CAST(date_diff('day', DATE '1970-01-01', CAST({ts} AS DATE)) AS INTEGER)"
+
+
+def _dbl(x: str) -> str:
+    # DuckDB's HUGEINT → DOUBLE cast is not correctly rounded above 2^63;
+    # the decimal text parse is.
+    return f"CAST(CAST({x} AS VARCHAR) AS DOUBLE)"
+
+
+def comoments(x: str, y: str, sx: int, sy: int) -> tuple[str, str, str, str]:
+    both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+    u = f"(CASE WHEN {both} THEN CAST(CAST({x} AS DECIMAL(18,{sx})) * {10 ** sx} AS HUGEINT) END)"
+    v = f"(CASE WHEN {both} THEN CAST(CAST({y} AS DECIMAL(18,{sy})) * {10 ** sy} AS HUGEINT) END)"
+    n = f"COUNT({u})"
+    cxy = f"({n} * SUM({u} * {v}) - SUM({u}) * SUM({v}))"
+    cxx = f"({n} * SUM({u} * {u}) - SUM({u}) * SUM({u}))"
+    cyy = f"({n} * SUM({v} * {v}) - SUM({v}) * SUM({v}))"
+    return n, cxy, cxx, cyy
+
+
+def covar(x: str, y: str, sx: int, sy: int) -> str:
+    n, cxy, _, _ = comoments(x, y, sx, sy)
+    return f"CASE WHEN {n} > 1 THEN {_dbl(cxy)} / CAST({n} * ({n} - 1) * {10 ** (sx + sy)} AS DOUBLE) END"
+
+
+def corr(x: str, y: str, sx: int, sy: int) -> str:
+    _, cxy, cxx, cyy = comoments(x, y, sx, sy)
+    den = f"sqrt({_dbl(cxx)} * {_dbl(cyy)})"
+    return f"CASE WHEN {den} = 0 THEN NULL ELSE {_dbl(cxy)} / {den} END"
+
+
+def report(x: str, digits: int) -> str:
+    return f"floor(({x}) * 1e{digits} + 0.5) / 1e{digits}"
