@@ -1009,3 +1009,104 @@ def threshold_sweep(spark, d):
     from ledgerline.operators import evaluate
 
     return evaluate.threshold_sweep(_scored(spark, d))
+
+
+# --------------------------------------------------- models, rows-only (T, F12)
+MODEL_FEATURES = ["o_totalprice", "o_orderday", "n_lines", "max_qty", "min_discount", "max_tax", "n_returned"]
+
+
+def _modelling_split(spark, d):
+    """Order-level features (line aggregates median-imputed), label = status F."""
+    from ledgerline.operators import impute
+    from ledgerline.plans import scoring
+
+    ol = _order_lines(spark, d).withColumns(
+        {"o_orderday": R.day_number("o_orderdate"), "label": R.equal_flag("o_orderstatus", "F")}
+    )
+    ol = impute.impute(ol, ["n_lines", "max_qty", "min_discount", "max_tax"], "median")
+    ol = impute.impute(ol, ["n_returned"], "constant", fill_value=0)
+    return scoring.prepare(ol, MODEL_FEATURES, "label", "o_orderkey", test_percent=20)
+
+
+def _fit_query(make, scale: bool = False):
+    def run(spark, d):
+        from ledgerline.plans import scoring
+
+        split = _modelling_split(spark, d)
+        _, scored = scoring.fit_score(split, make(split), scale=scale)
+        return scored
+
+    return run
+
+
+def _n_train(split) -> int:
+    return split.train.count()
+
+
+def _learners() -> dict:
+    """Query name → (estimator factory given the split, standardise inputs).
+    Tree counts are kept small for the registered runs; the scripts'
+    1000 / 800 trees stay the library defaults."""
+    from ledgerline.operators import models as M
+
+    return {
+        "fit_gbt": (lambda s: M.gradient_boosting(20, subsample=0.8), False),
+        "fit_xgb_like": (lambda s: M.extreme_boosting(20), False),
+        "fit_lgbm_like": (lambda s: M.leaf_limited_boosting(), False),
+        "fit_bagging": (lambda s: M.bagged_trees(50, 120, _n_train(s), max_depth=10), False),
+        "fit_forest": (lambda s: M.random_forest(20), False),
+        "fit_logistic": (lambda s: M.logistic(_n_train(s)), True),
+        "fit_svm": (lambda s: M.linear_svm(50), True),
+    }
+
+
+for _name, (_make, _scale) in _learners().items():
+    register(_name, None)(_fit_query(_make, _scale))
+
+
+@register("standard_scale", None)
+def standard_scale(spark, d):
+    """Z-scores with the training statistics applied to the test rows."""
+    from ledgerline.operators import models
+
+    split = _modelling_split(spark, d)
+    _, test = models.standardise(split.train, [split.test], MODEL_FEATURES)
+    return test
+
+
+@register("feature_importance", None)
+def feature_importance(spark, d):
+    """Forest importances as a (feature, importance) frame."""
+    from ledgerline.operators import models
+    from ledgerline.plans import scoring
+
+    split = _modelling_split(spark, d)
+    model, _ = scoring.fit_score(split, models.random_forest(20))
+    return models.importance_frame(spark, model, MODEL_FEATURES)
+
+
+@register("topk_refit", None)
+def topk_refit(spark, d):
+    """Keep the 4 most important forest features, refit a logistic model."""
+    from ledgerline.operators import models
+    from ledgerline.plans import scoring
+
+    split = _modelling_split(spark, d)
+    model, _ = scoring.fit_score(split, models.random_forest(20))
+    top = scoring.top_features(model, MODEL_FEATURES, 4)
+    narrowed = scoring.Split(split.train, split.test, top, split.label, split.id_col)
+    _, scored = scoring.fit_score(narrowed, models.logistic(_n_train(split)), scale=True)
+    return scored
+
+
+@register("logistic_compare", None)
+def logistic_compare(spark, d):
+    """V6: raw versus standardised logistic regression on the same split."""
+    from ledgerline.operators import models
+    from ledgerline.plans import scoring
+
+    split = _modelling_split(spark, d)
+    n = _n_train(split)
+    _, raw = scoring.fit_score(split, models.logistic(n), scale=False)
+    _, std = scoring.fit_score(split, models.logistic(n), scale=True)
+    return scoring.evaluation(raw, "logistic_raw").unionByName(scoring.evaluation(std, "logistic_scaled"))
