@@ -1110,3 +1110,73 @@ def logistic_compare(spark, d):
     _, raw = scoring.fit_score(split, models.logistic(n), scale=False)
     _, std = scoring.fit_score(split, models.logistic(n), scale=True)
     return scoring.evaluation(raw, "logistic_raw").unionByName(scoring.evaluation(std, "logistic_scaled"))
+
+
+# ------------------------------------------------------------ cleaning
+def _cleaning_input(spark, d) -> DataFrame:
+    """Order rows with line aggregates and 0/1 flags named by group."""
+    return _order_lines(spark, d).withColumns(
+        {
+            "LINE_OPEN_NOT_DONE": R.positive("n_open").cast("int"),
+            "LINE_RETURN_NOT_KEPT": R.positive("n_returned").cast("int"),
+            "STATUS_NOT_FINAL": R.flag_unless_equal("o_orderstatus", "F"),
+            "FLAG_URGENT": R.equal_flag("o_orderpriority", "1-URGENT"),
+            "FLAG_HIGH": R.equal_flag("o_orderpriority", "2-HIGH"),
+            "FLAG_LOW": R.equal_flag("o_orderpriority", "5-LOW"),
+        }
+    )
+
+
+def _cleaning_plan():
+    from ledgerline.plans.cleaning import CleaningPlan, FlagGroup, ImputeStep
+
+    return CleaningPlan(
+        drop=["o_orderdate", "o_custkey"],
+        drop_patterns=["^min_"],
+        groups=[
+            FlagGroup("NOT", {"notmatch_lines": "LINE", "notmatch_status": "STATUS"}, ["STATUS_NOT_FINAL"], "notmatch_all"),
+            FlagGroup("^FLAG_", {}, ["FLAG_LOW"], "doc_number"),
+        ],
+        excess=("o_totalprice", "max_qty"),
+        indicators={"missing_tax": "max_tax", "missing_flag": "top_flag"},
+        imputations=[
+            ImputeStep(["max_tax", "n_lines"], "median", {"max_tax": "tax", "n_lines": "lines"}),
+            ImputeStep(["top_flag"], "most_frequent", {"top_flag": "accomp"}),
+            ImputeStep(["n_open", "n_returned"], "most_frequent"),
+            ImputeStep(["excess_amt"], "median"),
+        ],
+        label_encode=["o_orderstatus", "o_orderpriority", "accomp"],
+    )
+
+
+def _clean_sql() -> str:
+    src = (
+        "SELECT *, CAST(COALESCE(n_open > 0, false) AS INTEGER) AS l_open, CAST(COALESCE(n_returned > 0, false) AS INTEGER) AS l_ret, "
+        "CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS s_nf, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS f_u, "
+        "CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END AS f_h, CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS f_l, "
+        "o_totalprice - max_qty AS excess_amt0 FROM " + _OL
+    )
+    mode = lambda c: f"(SELECT {c} FROM s WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
+    step1 = (
+        "SELECT o_orderkey, o_orderstatus, o_orderpriority, "
+        f"COALESCE(n_open, {mode('n_open')}) AS n_open, COALESCE(n_returned, {mode('n_returned')}) AS n_returned, "
+        "l_open + l_ret AS notmatch_lines, s_nf AS notmatch_status, l_open + l_ret + ABS(s_nf - 1) AS notmatch_all, "
+        "f_u + f_h + ABS(f_l - 1) AS doc_number, COALESCE(excess_amt0 > 0, false) AS excess, "
+        "CAST(max_tax IS NULL AS INTEGER) AS missing_tax, CAST(top_flag IS NULL AS INTEGER) AS missing_flag, "
+        "COALESCE(max_tax, (SELECT median(max_tax) FROM s)) AS tax, COALESCE(CAST(n_lines AS DOUBLE), (SELECT median(n_lines) FROM s)) AS lines, "
+        f"COALESCE(top_flag, {mode('top_flag')}) AS accomp, COALESCE(excess_amt0, (SELECT median(excess_amt0) FROM s)) AS excess_amt FROM s"
+    )
+    return (
+        f"WITH s AS ({src}), c AS ({step1}) SELECT o_orderkey, "
+        "CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus, "
+        "CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority, "
+        "n_open, n_returned, notmatch_lines, notmatch_status, notmatch_all, doc_number, excess, missing_tax, missing_flag, "
+        "tax, lines, CAST(dense_rank() OVER (ORDER BY accomp) - 1 AS INTEGER) AS accomp, excess_amt FROM c"
+    )
+
+
+@register("clean_features", _clean_sql())
+def clean_features(spark, d):
+    from ledgerline.plans.cleaning import clean
+
+    return clean(_cleaning_input(spark, d), _cleaning_plan())
