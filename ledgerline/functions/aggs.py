@@ -41,45 +41,60 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def units(x: Column, scale: int) -> Column:
+    """A fixed-point value as whole units of 10^-scale (``bigint``): the
+    double nearest a decimal with ``scale`` places times 10^scale is within
+    far less than ½ of that integer, so ``rint`` recovers it exactly. Cheap
+    (no decimal objects) and order-independent to sum."""
+    return F.rint(x * F.lit(float(10 ** scale))).cast("bigint")
+
+
+def _from_units(total: Column, scale: int) -> Column:
+    return total.cast("double") / F.lit(float(10 ** scale))
+
+
 def exact_sum(x: Column, scale: int) -> Column:
-    """Exact sum of a fixed-point column, returned as double."""
-    return F.sum(x.cast(f"decimal(18,{scale})")).cast("double")
+    """Exact sum of a fixed-point column, returned as double (overflow of
+    the 64-bit unit sum raises under ANSI mode; it never wraps)."""
+    return _from_units(F.sum(units(x, scale)), scale)
 
 
 def exact_mean(x: Column, scale: int) -> Column:
     return F.try_divide(exact_sum(x, scale), F.count(x))
 
 
+def _wide(u: Column) -> Column:
+    return u.cast("decimal(38,0)")
+
+
 def exact_var(x: Column, scale: int) -> Column:
     """Sample variance from integer units: (n·Σu² − (Σu)²) / (n(n−1)) / 10^(2s).
 
-    The numerator is an exact decimal, so only the final division rounds.
+    Σu² and the numerator are exact 38-digit decimals, so only the final
+    division rounds.
     """
-    units = (x.cast(f"decimal(18,{scale})") * F.lit(10 ** scale)).cast("decimal(38,0)")
+    u = units(x, scale)
     n = F.count(x)
-    s1 = F.sum(units)
-    s2 = F.sum(units * units)
-    num = (n.cast("decimal(38,0)") * s2 - s1 * s1).cast("double")
+    s1 = _wide(F.sum(u))
+    s2 = F.sum(_wide(u) * _wide(u))
+    num = (_wide(n) * s2 - s1 * s1).cast("double")
     den = (n * (n - 1) * F.lit(10 ** (2 * scale))).cast("double")
     return F.when(n > 1, num / den)
 
 
-def _units(x: Column, scale: int) -> Column:
-    return (x.cast(f"decimal(18,{scale})") * F.lit(10 ** scale)).cast("decimal(38,0)")
-
-
 def exact_comoments(x: Column, y: Column, sx: int, sy: int) -> tuple[Column, Column, Column, Column]:
     """Exact co-moment numerators over pairwise-complete rows, in integer
     units: (n, n·Σxy − ΣxΣy, n·Σx² − (Σx)², n·Σy² − (Σy)²). Exact until
     cast; requires n·Σ|xy| < 10^38 (ANSI mode raises instead of wrapping)."""
     both = x.isNotNull() & y.isNotNull()
-    u = F.when(both, _units(x, sx))
-    v = F.when(both, _units(y, sy))
-    n = F.count(u).cast("decimal(38,0)")
-    cxy = n * F.sum(u * v) - F.sum(u) * F.sum(v)
-    cxx = n * F.sum(u * u) - F.sum(u) * F.sum(u)
-    cyy = n * F.sum(v * v) - F.sum(v) * F.sum(v)
-    return F.count(u), cxy, cxx, cyy
+    u = F.when(both, units(x, sx))
+    v = F.when(both, units(y, sy))
+    n = F.count(u)
+    su, sv = _wide(F.sum(u)), _wide(F.sum(v))
+    cxy = _wide(n) * F.sum(_wide(u) * _wide(v)) - su * sv
+    cxx = _wide(n) * F.sum(_wide(u) * _wide(u)) - su * su
+    cyy = _wide(n) * F.sum(_wide(v) * _wide(v)) - sv * sv
+    return n, cxy, cxx, cyy
 
 
 def exact_covar(x: Column, y: Column, sx: int, sy: int) -> Column:
@@ -105,9 +120,12 @@ def one_aggregate(x: Column, agg: str, scale: int | None = None) -> Column:
     if agg == "max":
         return F.max(x)
     if agg == "sum":
-        s = exact_sum(x, scale) if scale is not None else F.sum(x)
         if scale == 0:
-            s = s.cast("bigint")
+            s = F.sum(units(x, 0))
+        elif scale is not None:
+            s = exact_sum(x, scale)
+        else:
+            s = F.sum(x)
         return F.coalesce(s, F.lit(0))
     if agg == "var":
         return exact_var(x, scale) if scale is not None else F.var_samp(x)

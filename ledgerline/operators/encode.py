@@ -2,9 +2,10 @@
 
 The output schema of a one-hot encoding depends on the data, so the
 vocabulary is fixed first: one distributed ``distinct`` whose size is
-checked before anything reaches the driver. Small vocabularies become
-literal expressions (a map lookup inside whole-stage codegen, no join);
-larger ones stay distributed and are joined.
+checked before anything reaches the driver. Vocabularies become literal
+expressions (a map lookup inside whole-stage codegen, no join); a column
+with more than ``MAX_VOCABULARY`` values is refused — for such columns use
+``pyspark.ml.feature.StringIndexer`` / hashing instead of a one-hot.
 """
 
 from __future__ import annotations
@@ -81,8 +82,12 @@ def _code_map(values: Sequence, codes: Sequence[int]) -> Column:
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], max_values: int = MAX_VOCABULARY) -> DataFrame:
-    """Integer codes by sorted value (0..k-1); missing stays missing."""
-    vocab = {c: vocabulary(df, c, max_values) for c in cols}
+    """Integer codes by sorted value (0..k-1); missing stays missing.
+    String columns share one vocabulary job; others sort in their own type."""
+    types = dict(df.dtypes)
+    strings = [c for c in cols if types[c] == "string"]
+    vocab = vocabularies(df, strings, max_values)
+    vocab.update({c: vocabulary(df, c, max_values) for c in cols if c not in strings})
     return df.withColumns(
         {c: _code_map(v, range(len(v)))[F.col(c)].cast("int") for c, v in vocab.items()}
     )

@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.aggs import exact_mean
+
 HISTOGRAM_BUCKETS = 4096
-SMALL_BUCKET = 50_000
+SMALL_BUCKET = 50_000  # rows ranked inside one bucket (one task each)
 
 
 def _kth(values: DataFrame, k: int, lo: float, hi: float, below: int = 0) -> float:
@@ -51,33 +53,124 @@ def _kth(values: DataFrame, k: int, lo: float, hi: float, below: int = 0) -> flo
         lo, hi = r["lo"], r["hi"]
 
 
+def _stack(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Columns as long (column id ``c``, value ``x``), missing dropped."""
+    return df.select(
+        F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])).alias("p")
+    ).select("p.c", "p.x").where(F.col("x").isNotNull())
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """Medians of several columns (linear interpolation between the two
+    middle values, as pandas / SQL ``median``), computed together.
+
+    Each middle rank of each column is a *task* with its own value range.
+    A round is one scan + one aggregate over (task, bucket) with at most
+    tasks × HISTOGRAM_BUCKETS result rows; a task ends when its bucket holds
+    one distinct value, or few enough rows to rank inside that bucket. No
+    global sort, and no column gathered in one task."""
+    if not cols:
+        return {}
+    stacked = _stack(df, cols)
+    x, c = F.col("x"), F.col("c")
+    stats = {r["c"]: r for r in stacked.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    # task: column id, rank, lo, hi, rows below lo, answer
+    tasks: list[list] = []
+    for i in range(len(cols)):
+        st = stats.get(i)
+        if st is not None:
+            for rank in sorted({(st["n"] - 1) // 2, st["n"] // 2}):
+                tasks.append([i, rank, st["lo"], st["hi"], 0, st["lo"] if st["lo"] == st["hi"] else None])
+    while True:
+        open_ids = [tid for tid, t in enumerate(tasks) if t[5] is None]
+        if not open_ids:
+            break
+        # a value can lie in the ranges of both middle ranks of its column:
+        # explode the (task, bucket) pairs it belongs to
+        pairs = []
+        for tid in open_ids:
+            col_id, _, lo, hi, _, _ = tasks[tid]
+            width = (hi - lo) / HISTOGRAM_BUCKETS
+            bucket = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(HISTOGRAM_BUCKETS - 1))
+            inside = (c == col_id) & (x >= F.lit(lo)) & (x <= F.lit(hi))
+            pairs.append(F.when(inside, F.struct(F.lit(tid).alias("t"), bucket.alias("b"))))
+        hist = (
+            stacked.select(x, F.explode(F.filter(F.array(*pairs), lambda m: m.isNotNull())).alias("m"))
+            .groupBy("m.t", "m.b").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+            .collect()
+        )
+        per_task: dict[int, list] = {}
+        for r in hist:
+            per_task.setdefault(r["t"], []).append(r)
+        small = []
+        for tid in open_ids:
+            t = tasks[tid]
+            for r in sorted(per_task[tid], key=lambda r: r["b"]):
+                if t[4] + r["n"] > t[1]:
+                    break
+                t[4] += r["n"]
+            if r["lo"] == r["hi"]:
+                t[5] = r["lo"]
+            elif r["n"] <= SMALL_BUCKET:
+                small.append((tid, r["lo"], r["hi"], t[1] - t[4]))
+            else:
+                t[2], t[3] = r["lo"], r["hi"]
+        if small:
+            # rank inside the small buckets only (≤ SMALL_BUCKET rows per task)
+            picks = [
+                F.when((c == tasks[tid][0]) & (x >= F.lit(lo)) & (x <= F.lit(hi)), F.lit(tid))
+                for tid, lo, hi, _ in small
+            ]
+            ranked = (
+                stacked.select(x, F.explode(F.filter(F.array(*picks), lambda m: m.isNotNull())).alias("t"))
+                .withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy("x")))
+            )
+            want = F.lit(False)
+            for tid, _, _, local in small:
+                want = want | ((F.col("t") == tid) & (F.col("r") == local + 1))
+            for r in ranked.where(want).collect():
+                tasks[r["t"]][5] = r["x"]
+    out: dict[str, float | None] = {}
+    for i, name in enumerate(cols):
+        vals = [t[5] for t in tasks if t[0] == i]
+        out[name] = None if not vals else vals[0] + (vals[-1] - vals[0]) * 0.5
+    return out
+
+
 def exact_median(df: DataFrame, col: str) -> float | None:
-    """Median with linear interpolation between the two middle values
-    (the pandas / SQL ``median``), computed without a global sort."""
-    values = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    stats = values.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    n = stats["n"]
-    if not n:
-        return None
-    a = _kth(values, (n - 1) // 2, stats["lo"], stats["hi"])
-    b = a if n % 2 else _kth(values, n // 2, stats["lo"], stats["hi"])
-    return a + (b - a) * 0.5
+    return exact_medians(df, [col])[col]
+
+
+def mode_values(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Most frequent non-missing value of several columns in one job
+    (grouping sets give the value counts of every column), ties to the
+    smallest value; the second aggregate keeps one winner per column."""
+    if not cols:
+        return {}
+    n = len(cols)
+    counts = df.groupingSets([[c] for c in cols], *cols).agg(
+        F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_gid")
+    )
+    picks = []
+    for i, c in enumerate(cols):
+        mine = (F.col("_gid") == (2 ** n - 1) - 2 ** (n - 1 - i)) & F.col(c).isNotNull()
+        order = F.struct((-F.col("_n")).alias("m"), F.col(c).alias("v"))
+        picks.append(F.min_by(F.when(mine, F.col(c)), F.when(mine, order)).alias(c))
+    row = counts.agg(*picks).first()
+    return {c: row[c] for c in cols}
 
 
 def mode_value(df: DataFrame, col: str):
     """Most frequent non-missing value; ties go to the smallest value."""
-    row = (
-        df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), F.col(col).asc()).limit(1).first()
-    )
-    return None if row is None else row[col]
+    return mode_values(df, [col])[col]
 
 
 def mean_value(df: DataFrame, col: str, scale: int | None = None) -> float | None:
     x = F.col(col)
     if scale is None:
         return df.agg(F.avg(x)).first()[0]
-    return df.agg(F.try_divide(F.sum(x.cast(f"decimal(18,{scale})")).cast("double"), F.count(x))).first()[0]
+    return df.agg(exact_mean(x, scale)).first()[0]
 
 
 def fill(df: DataFrame, values: Mapping[str, object], rename: Mapping[str, str] | None = None) -> DataFrame:
@@ -103,9 +196,9 @@ def impute(
     which is the mean; pass ``constant`` for the value it names.)"""
     scales = scales or {}
     if strategy == "median":
-        vals = {c: exact_median(df, c) for c in cols}
+        vals = exact_medians(df, cols)
     elif strategy == "most_frequent":
-        vals = {c: mode_value(df, c) for c in cols}
+        vals = mode_values(df, cols)
     elif strategy == "mean":
         vals = {c: mean_value(df, c, scales.get(c)) for c in cols}
     elif strategy == "constant":

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from ledgerline.functions import rows as R
 from ledgerline.functions.columns import matching
 from ledgerline.operators import encode, impute
+from ledgerline.session import cut_lineage
 
 
 @dataclass
@@ -53,7 +54,11 @@ class CleaningPlan:
     regressions: Sequence[tuple[str, Sequence[str], str]] = ()  # (target, predictors, output)
 
 
-def clean(df: DataFrame, plan: CleaningPlan) -> DataFrame:
+def clean(df: DataFrame, plan: CleaningPlan, materialize: bool = True) -> DataFrame:
+    """Apply the plan. With ``materialize`` the narrow part is written once
+    to the shared checkpoint folder before the statistics passes (medians,
+    modes, vocabularies), so they re-read it instead of recomputing the
+    input's upstream joins and aggregates each time."""
     out = df.drop(*plan.drop)
     for p in plan.drop_patterns:
         out = out.drop(*matching(out, p))
@@ -71,6 +76,8 @@ def clean(df: DataFrame, plan: CleaningPlan) -> DataFrame:
         out = out.withColumns({name: R.missing_indicator(c) for name, c in plan.indicators.items()})
     if plan.indicator_drop_pattern:
         out = out.drop(*matching(out, plan.indicator_drop_pattern))
+    if materialize and (plan.imputations or plan.label_encode or plan.regressions):
+        out = cut_lineage(out)
     for step in plan.imputations:
         out = impute.impute(out, step.cols, step.strategy, step.rename, step.scales, step.fill_value)
     if plan.label_encode:

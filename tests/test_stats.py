@@ -74,3 +74,23 @@ def test_class_report(spark):
     assert rows["1"]["precision"] == 0.5 and rows["1"]["recall"] == 0.5 and rows["1"]["support"] == 2
     assert abs(rows["0"]["f1"] - 2 / 3) < 1e-15
     assert rows["weighted avg"]["support"] == 5
+
+
+def test_median_narrowing_rounds(spark, monkeypatch):
+    """Force several histogram rounds (tiny buckets) and compare with sorting."""
+    monkeypatch.setattr(impute, "HISTOGRAM_BUCKETS", 4)
+    monkeypatch.setattr(impute, "SMALL_BUCKET", 10)
+    rnd = random.Random(3)
+    data = [(rnd.gauss(0, 1) ** 3, float(rnd.randint(0, 5)), None if i % 5 == 0 else rnd.random()) for i in range(2000)]
+    df = spark.createDataFrame(data, "a double, b double, c double")
+    got = impute.exact_medians(df, ["a", "b", "c"])
+    for j, name in enumerate("abc"):
+        vals = sorted(r[j] for r in data if r[j] is not None)
+        n = len(vals)
+        lo, hi = vals[(n - 1) // 2], vals[n // 2]
+        assert got[name] == lo + (hi - lo) * 0.5
+
+
+def test_modes_together(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (10, "x"), (10, None), (None, None)], "a int, s string")
+    assert impute.mode_values(df, ["a", "s"]) == {"a": 2, "s": "x"}
