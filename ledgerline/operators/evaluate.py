@@ -87,7 +87,10 @@ def class_report(
     return rows.unionByName(avg).unionByName(weighted)
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+SCORES_PER_RANGE = 2_000_000  # distinct scores one window task ranks
+
+
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """V4: exact ROC AUC (ties count one half), one row ``auc``.
 
     Rows collapse to one row per distinct score; distinct scores are cut
@@ -100,7 +103,13 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets:
     per_score = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
-    cuts = per_score.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
+    if buckets is None:
+        # ranges grow with the number of distinct scores: each range's
+        # window sees at most about SCORES_PER_RANGE rows
+        n_scores = per_score.count()
+        buckets = max(64, -(-n_scores // SCORES_PER_RANGE))
+    accuracy = max(1000, 4 * buckets)
+    cuts = per_score.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], accuracy)).first()[0] or []
     splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="s", outputCol="rng").transform(per_score)
     totals = ranged.groupBy("rng").agg(F.sum("neg").alias("rng_neg"))

@@ -27,6 +27,9 @@ def train_test(df: DataFrame, key: str, test_percent: int = 20) -> tuple[DataFra
     return df.where(b >= F.lit(test_percent)), df.where(b < F.lit(test_percent))
 
 
+COPIES_PER_TASK = 1_000_000  # copies of one row generated by one task
+
+
 def key_hash(key: str | Column) -> Column:
     """52-bit stable hash of the key text (first 13 hex digits of its md5)."""
     k = F.col(key) if isinstance(key, str) else key
@@ -60,5 +63,22 @@ def oversample(df: DataFrame, label: str, key: str, minority=1, majority=0, copy
         tied = [row[0] for row in minor.where(h == F.lit(cutoff)).select(key).orderBy(key).limit(r - below).collect()]
         extra = (h < F.lit(cutoff)) | ((h == F.lit(cutoff)) & F.col(key).isin(tied))
     copies = F.when(extra, F.lit(q + 1)).otherwise(F.lit(q))
-    grown = minor.withColumn(copy_col, F.explode(F.sequence(F.lit(0), copies - 1)))
+    if q + 1 <= COPIES_PER_TASK:
+        grown = minor.withColumn(copy_col, F.explode(F.sequence(F.lit(0), copies - 1)))
+    else:
+        # a tiny minority against a huge majority: spread each row's copies
+        # over chunks that are shuffled apart before they are generated
+        chunks = -(-(q + 1) // COPIES_PER_TASK)
+        spread = (
+            minor.withColumn("_copies", copies)
+            .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+            .repartition(max(chunks, df.sparkSession.sparkContext.defaultParallelism), key, "_chunk")
+        )
+        start = (F.col("_chunk") * F.lit(COPIES_PER_TASK)).cast("int")
+        stop = (F.least(start + F.lit(COPIES_PER_TASK), F.col("_copies")) - 1).cast("int")
+        grown = (
+            spread.where(start < F.col("_copies"))
+            .withColumn(copy_col, F.explode(F.sequence(start, stop)))
+            .drop("_copies", "_chunk")
+        )
     return df.where(F.col(label) == F.lit(majority)).withColumn(copy_col, F.lit(0)).unionByName(grown)

@@ -94,3 +94,12 @@ def test_median_narrowing_rounds(spark, monkeypatch):
 def test_modes_together(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (10, "x"), (10, None), (None, None)], "a int, s string")
     assert impute.mode_values(df, ["a", "s"]) == {"a": 2, "s": "x"}
+
+
+def test_oversample_chunked_copies(spark, monkeypatch):
+    """Copies spread over chunks give the same rows as the in-place explode."""
+    df = spark.range(300).select(F.col("id").alias("key"), (F.col("id") % 50 == 0).cast("int").alias("label"))
+    plain = sorted(map(tuple, sampling.oversample(df, "label", "key").collect()))
+    monkeypatch.setattr(sampling, "COPIES_PER_TASK", 7)
+    chunked = sorted(map(tuple, sampling.oversample(df, "label", "key").collect()))
+    assert plain == chunked and len(chunked) == 2 * 294
