@@ -1180,3 +1180,63 @@ def clean_features(spark, d):
     from ledgerline.plans.cleaning import clean
 
     return clean(_cleaning_input(spark, d), _cleaning_plan())
+
+
+# ------------------------------------------------------- F1 correlation, misc
+CORR_DIGITS = 10
+
+
+def _recipe_corr_sql() -> str:
+    cols = [f"o_custkey_{a}_{m}" for m in RECIPE_MEASURES for a in FE.RECIPE_AGGREGATES]
+    base = (
+        "WITH o AS (SELECT *, " + S.day_number("o_orderdate") + " AS o_orderday FROM orders), f AS (SELECT o_custkey, "
+        + ", ".join(S.recipe({m: FE.RECIPE_AGGREGATES for m in RECIPE_MEASURES}, lambda c, a: f"o_custkey_{a}_{c}", PREV_SCALES))
+        + " FROM o GROUP BY o_custkey), t AS (SELECT f.*, CASE WHEN c.c_acctbal < 0 THEN 1 ELSE 0 END AS TARGET "
+        "FROM customer c LEFT JOIN f ON c.c_custkey = f.o_custkey) "
+    )
+    return base + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {S.report(f'abs(corr({S.q(c)}, TARGET))', CORR_DIGITS)} AS corr FROM t" for c in cols
+    )
+
+
+@register("recipe_target_corr", _recipe_corr_sql())
+def recipe_target_corr(spark, d):
+    """|correlation| of the 45-style recipe columns with the target."""
+    from ledgerline.operators import profile
+
+    feats = FE.recipe_features(_orders(spark, d), "o_custkey", RECIPE_MEASURES, scales=PREV_SCALES)
+    cust = _t(spark, d, "customer").select("c_custkey", R.equal_flag(F.col("c_acctbal") < 0, True).alias("TARGET"))
+    table = grouped.attach(cust, feats, "c_custkey", "o_custkey")
+    cols = [c for c in feats.columns if c != "o_custkey"]
+    # recipe means / variances are not fixed-point: reported to 10 decimals
+    return profile.target_correlation(table, "TARGET", cols, absolute=True, digits=CORR_DIGITS)
+
+
+@register("shape", "SELECT COUNT(*) AS rows, 11 AS columns FROM lineitem")
+def shape(spark, d):
+    li = _t(spark, d, "lineitem")
+    return li.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(li.columns)).alias("columns"))
+
+
+@register("distinct_keys", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL")
+def distinct_keys(spark, d):
+    return grouped.distinct_keys(_t(spark, d, "orders"), "o_custkey")
+
+
+@register("prediction_counts", "SELECT prediction, COUNT(*) AS n FROM " + _SCORED_SQL + " GROUP BY prediction")
+def prediction_counts(spark, d):
+    from ledgerline.operators import profile
+
+    return profile.class_counts(_scored(spark, d), "prediction")
+
+
+@register(
+    "preview",
+    "SELECT * FROM orders ORDER BY o_orderkey LIMIT 3",
+)
+def preview(spark, d):
+    """The first rows of the campaign-style profile."""
+    from ledgerline.plans.profiling import campaign_profile
+
+    orders = _t(spark, d, "orders")
+    return campaign_profile(orders.withColumn("label", R.equal_flag("o_orderstatus", "F")), "label", "o_orderkey")["preview"].drop("label")
