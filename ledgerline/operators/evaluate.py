@@ -32,6 +32,12 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
     )
 
 
+def accuracy_percent(acc: Column) -> Column:
+    """The printed form ``round(acc, 2) * 100``: half-even on the exact
+    binary value (``bround``), as the scripts' rounding does."""
+    return F.bround(acc, 2) * F.lit(100.0)
+
+
 def _safe(num: Column, den: Column) -> Column:
     # sklearn reports 0 where a ratio is undefined
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))

@@ -42,6 +42,17 @@ def leaf_limited_boosting(rounds: int = 20, rate: float = 0.05, feature_fraction
                          featureSubsetStrategy=str(feature_fraction), seed=seed, **kw)
 
 
+def with_class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
+    """Balanced class weights n / (k · n_class) (the "unbalanced" option of
+    the leaf-limited booster): one grouped count, joined as literals."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    total, k = sum(counts.values()), len(counts)
+    w = F.lit(None).cast("double")
+    for value, n in counts.items():
+        w = F.when(F.col(label) == F.lit(value), F.lit(total / (k * n))).otherwise(w)
+    return df.withColumn(weight_col, w)
+
+
 def bagged_trees(n_estimators: int = 1000, rows_per_tree: int = 120, n_rows: int | None = None,
                  seed: int = 123, max_depth: int = 30, **kw) -> RandomForestClassifier:
     """T4: bagging = a forest that sees every feature at each split; each
@@ -108,10 +119,12 @@ def importance_frame(spark, model: PipelineModel, features: Sequence[str]) -> Da
     return spark.createDataFrame(importances(model, features), "feature string, importance double")
 
 
-def standardise(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str]) -> list[DataFrame]:
-    """C1 on plain columns: z-scores with the training mean and sample
-    standard deviation, applied to every frame given (no test leakage)."""
-    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]).first()
+def standardise(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str], ddof: int = 0) -> list[DataFrame]:
+    """C1 on plain columns: z-scores with the training mean and standard
+    deviation (``ddof`` 0 as the scripts' scaler; Spark ML's scaler uses 1),
+    applied to every frame given — the test rows never set the statistics."""
+    sd = F.stddev_pop if ddof == 0 else F.stddev_samp
+    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[sd(c).alias(f"s_{c}") for c in cols]).first()
     def apply(df: DataFrame) -> DataFrame:
         return df.withColumns(
             {c: F.try_divide(F.col(c) - F.lit(stats[f"m_{c}"]), F.lit(stats[f"s_{c}"])) for c in cols}

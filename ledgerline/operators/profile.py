@@ -97,29 +97,42 @@ def target_correlation(
     ).select("p.feature", "p.corr")
 
 
+PAIRS_PER_PASS = 256  # column pairs aggregated in one scan
+
+
 def correlation_matrix(
     df: DataFrame,
     cols: Sequence[str],
     digits: int | None = None,
     kind: str = "corr",
     scales: Mapping[str, int] | None = None,
+    pairs_per_pass: int = PAIRS_PER_PASS,
 ) -> DataFrame:
-    """All pairs (pairwise-complete), long form (a, b, value),
-    both orders and the diagonal, in one aggregate pass."""
-    items = []
-    for a, b in list(combinations(cols, 2)) + [(c, c) for c in cols]:
-        v = _corr(a, b, scales) if kind == "corr" else _covar(a, b, scales)
-        if digits is not None:
-            v = report(v, digits)
-        items.append((a, b, v))
-    wide = df.agg(*[v.alias(f"{a}\u0001{b}") for a, b, v in items])
-    structs = []
-    for a, b, _ in items:
-        name = f"{a}\u0001{b}"
-        structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{name}`").alias("value")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"`{name}`").alias("value")))
-    return wide.select(F.explode(F.array(*structs)).alias("p")).select("p.a", "p.b", "p.value")
+    """All pairs (pairwise-complete), long form (a, b, value), both
+    orders and the diagonal. Pairs are aggregated in batches (one scan and
+    one single-row aggregate per batch), so a wide table does not become one
+    aggregate with tens of thousands of buffers."""
+    pairs = list(combinations(cols, 2)) + [(c, c) for c in cols]
+    parts = []
+    for start in range(0, len(pairs), pairs_per_pass):
+        items = []
+        for a, b in pairs[start:start + pairs_per_pass]:
+            v = _corr(a, b, scales) if kind == "corr" else _covar(a, b, scales)
+            if digits is not None:
+                v = report(v, digits)
+            items.append((a, b, v))
+        wide = df.agg(*[v.alias(f"{a}\u0001{b}") for a, b, v in items])
+        structs = []
+        for a, b, _ in items:
+            name = f"`{a}\u0001{b}`"
+            structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(name).alias("value")))
+            if a != b:
+                structs.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(name).alias("value")))
+        parts.append(wide.select(F.explode(F.array(*structs)).alias("p")).select("p.a", "p.b", "p.value"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def select_strong(corrs: DataFrame, value: str = "corr", threshold: float = 0.05) -> DataFrame:

@@ -1015,7 +1015,7 @@ def threshold_sweep(spark, d):
 MODEL_FEATURES = ["o_totalprice", "o_orderday", "n_lines", "max_qty", "min_discount", "max_tax", "n_returned"]
 
 
-def _modelling_split(spark, d):
+def _modelling_split(spark, d, rebalance: bool = True):
     """Order-level features (line aggregates median-imputed), label = status F."""
     from ledgerline.operators import impute
     from ledgerline.plans import scoring
@@ -1025,14 +1025,17 @@ def _modelling_split(spark, d):
     )
     ol = impute.impute(ol, ["n_lines", "max_qty", "min_discount", "max_tax"], "median")
     ol = impute.impute(ol, ["n_returned"], "constant", fill_value=0)
-    return scoring.prepare(ol, MODEL_FEATURES, "label", "o_orderkey", test_percent=20)
+    return scoring.prepare(ol, MODEL_FEATURES, "label", "o_orderkey", test_percent=20, rebalance=rebalance)
 
 
-def _fit_query(make, scale: bool = False):
+def _fit_query(make, scale: bool = False, weighted: bool = False):
     def run(spark, d):
+        from ledgerline.operators import models
         from ledgerline.plans import scoring
 
-        split = _modelling_split(spark, d)
+        split = _modelling_split(spark, d, rebalance=not weighted)
+        if weighted:
+            split.train = models.with_class_weights(split.train, split.label)
         _, scored = scoring.fit_score(split, make(split), scale=scale)
         return scored
 
@@ -1052,7 +1055,7 @@ def _learners() -> dict:
     return {
         "fit_gbt": (lambda s: M.gradient_boosting(20, subsample=0.8), False),
         "fit_xgb_like": (lambda s: M.extreme_boosting(20), False),
-        "fit_lgbm_like": (lambda s: M.leaf_limited_boosting(), False),
+        "fit_lgbm_like": (lambda s: M.leaf_limited_boosting(weightCol="weight"), False),
         "fit_bagging": (lambda s: M.bagged_trees(50, 120, _n_train(s), max_depth=10), False),
         "fit_forest": (lambda s: M.random_forest(20), False),
         "fit_logistic": (lambda s: M.logistic(_n_train(s)), True),
@@ -1061,7 +1064,8 @@ def _learners() -> dict:
 
 
 for _name, (_make, _scale) in _learners().items():
-    register(_name, None)(_fit_query(_make, _scale))
+    # the leaf-limited booster weighs classes instead of rebalancing rows
+    register(_name, None)(_fit_query(_make, _scale, weighted=_name == "fit_lgbm_like"))
 
 
 @register("standard_scale", None)

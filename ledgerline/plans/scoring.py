@@ -3,9 +3,9 @@ top-k feature refit.
 
 Every step is distributed: the split and the rebalancing are key-hash
 functions (repeatable after a task retry), fitting is Spark ML, evaluation
-is aggregate queries. The training frame is written to the shared
-checkpoint folder once, so the learners' many passes and any executor loss
-re-read it instead of recomputing the split and the rebalancing.
+is aggregate queries. The modelling frame is written to the shared
+checkpoint folder once, so the split, the learners' many passes, scoring
+and any executor loss re-read it instead of recomputing the features.
 """
 
 from __future__ import annotations
@@ -41,11 +41,14 @@ def prepare(
     """M1 + M2: key-hash split, then grow the minority class of the
     training part to the majority's size."""
     cols = [id_col, label, *features]
-    train, test = sampling.train_test(df.select(*cols), id_col, test_percent)
+    frame = df.select(*cols)
+    if checkpoint:
+        # split, rebalancing, the learners' passes and test scoring all
+        # re-read this instead of recomputing the features upstream
+        frame = cut_lineage(frame)
+    train, test = sampling.train_test(frame, id_col, test_percent)
     if rebalance:
         train = sampling.oversample(train, label, id_col).drop("copy")
-    if checkpoint:
-        train = cut_lineage(train)
     return Split(train, test, list(features), label, id_col)
 
 
@@ -56,13 +59,14 @@ def fit_score(split: Split, estimator, scale: bool = False):
 
 
 def evaluation(scored: DataFrame, model_name: str) -> DataFrame:
-    """V1-V4 and V6 in one frame: the class report rows plus accuracy and
-    AUC, tagged with the model name (``unionByName`` across models)."""
+    """V1-V4 and V6 in one frame: the class report rows plus accuracy (its
+    printed percentage in the ``recall`` slot) and AUC, tagged with the
+    model name (``unionByName`` across models)."""
     report = evaluate.class_report(scored)
-    acc = evaluate.accuracy(scored).select(F.col("accuracy"))
+    acc = evaluate.accuracy(scored).select(F.col("accuracy"), evaluate.accuracy_percent(F.col("accuracy")).alias("pct"))
     auc = evaluate.roc_auc(scored)
     acc_row = acc.select(F.lit("accuracy").alias("class"), F.col("accuracy").alias("precision"),
-                         F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("f1"),
+                         F.col("pct").alias("recall"), F.lit(None).cast("double").alias("f1"),
                          F.lit(None).cast("bigint").alias("support"))
     auc_row = auc.select(F.lit("roc_auc").alias("class"), F.col("auc").alias("precision"),
                          F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("f1"),

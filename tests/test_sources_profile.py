@@ -57,3 +57,13 @@ def test_campaign_profile(spark):
     assert abs(diag["l_quantity"] - 1.0) < 1e-12
     strong = out["strong"].collect()
     assert all(r.value > 0.05 for r in strong) and any(r.a == "label" for r in strong)
+
+
+def test_correlation_batches_agree(spark):
+    from ledgerline.operators import profile
+
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    one = sorted(map(tuple, profile.correlation_matrix(li, cols, scales={c: 2 for c in cols}).collect()))
+    many = sorted(map(tuple, profile.correlation_matrix(li, cols, scales={c: 2 for c in cols}, pairs_per_pass=3).collect()))
+    assert one == many and len(one) == 16
