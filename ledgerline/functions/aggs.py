@@ -67,6 +67,12 @@ def _wide(u: Column) -> Column:
     return u.cast("decimal(38,0)")
 
 
+def _product(u: Column, v: Column) -> Column:
+    """Exact u·v as a 38-digit decimal: the 64-bit product when it fits
+    (``try_multiply``), the decimal product only on overflow."""
+    return F.coalesce(F.try_multiply(u, v).cast("decimal(38,0)"), _wide(u) * _wide(v))
+
+
 def exact_var(x: Column, scale: int) -> Column:
     """Sample variance from integer units: (n·Σu² − (Σu)²) / (n(n−1)) / 10^(2s).
 
@@ -76,7 +82,7 @@ def exact_var(x: Column, scale: int) -> Column:
     u = units(x, scale)
     n = F.count(x)
     s1 = _wide(F.sum(u))
-    s2 = F.sum(_wide(u) * _wide(u))
+    s2 = F.sum(_product(u, u))
     num = (_wide(n) * s2 - s1 * s1).cast("double")
     den = (n * (n - 1) * F.lit(10 ** (2 * scale))).cast("double")
     return F.when(n > 1, num / den)
@@ -91,9 +97,9 @@ def exact_comoments(x: Column, y: Column, sx: int, sy: int) -> tuple[Column, Col
     v = F.when(both, units(y, sy))
     n = F.count(u)
     su, sv = _wide(F.sum(u)), _wide(F.sum(v))
-    cxy = _wide(n) * F.sum(_wide(u) * _wide(v)) - su * sv
-    cxx = _wide(n) * F.sum(_wide(u) * _wide(u)) - su * su
-    cyy = _wide(n) * F.sum(_wide(v) * _wide(v)) - sv * sv
+    cxy = _wide(n) * F.sum(_product(u, v)) - su * sv
+    cxx = _wide(n) * F.sum(_product(u, u)) - su * su
+    cyy = _wide(n) * F.sum(_product(v, v)) - sv * sv
     return n, cxy, cxx, cyy
 
 

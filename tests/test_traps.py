@@ -132,3 +132,20 @@ def test_shares_sum_to_one(spark):
     out = grouped.group_features(df, "k", [], share_columns("c", ["x", "y"], "P_", True)).collect()
     for r in out:
         assert math.isclose(r["P_c_x_MEAN"] + r["P_c_y_MEAN"] + r["P_c_nan_MEAN"], 1.0)
+
+
+def test_exact_variance_large_values_against_fractions(spark):
+    """Units whose squares overflow 64 bits take the decimal path; the
+    result equals the exactly computed variance rounded once."""
+    from fractions import Fraction
+
+    from ledgerline.functions.aggs import exact_var
+
+    vals = ["98765432.10", "12345678.91", "55555555.55", "-77777777.77"]
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = df.agg(exact_var(F.col("x"), 2)).first()[0]
+    xs = [Fraction(v) for v in vals]
+    n = len(xs)
+    mean = sum(xs) / n
+    want = sum((x - mean) ** 2 for x in xs) / (n - 1)
+    assert got == float(want)
