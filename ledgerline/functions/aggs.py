@@ -76,8 +76,9 @@ def _product(u: Column, v: Column) -> Column:
 def exact_var(x: Column, scale: int) -> Column:
     """Sample variance from integer units: (n·Σu² − (Σu)²) / (n(n−1)) / 10^(2s).
 
-    Σu² and the numerator are exact 38-digit decimals, so only the final
-    division rounds.
+    Σu² and the numerator are exact 38-digit decimals; the numerator is
+    rounded once to double and divided once (within 2 ulp of the exact
+    value, and the same double in any engine that follows these steps).
     """
     u = units(x, scale)
     n = F.count(x)
@@ -104,7 +105,8 @@ def exact_comoments(x: Column, y: Column, sx: int, sy: int) -> tuple[Column, Col
 
 
 def exact_covar(x: Column, y: Column, sx: int, sy: int) -> Column:
-    """Sample covariance of two fixed-point columns, rounded once."""
+    """Sample covariance of two fixed-point columns: exact numerator, one
+    conversion and one division."""
     n, cxy, _, _ = exact_comoments(x, y, sx, sy)
     den = (n * (n - 1) * F.lit(10 ** (sx + sy))).cast("double")
     return F.when(n > 1, cxy.cast("double") / den)
