@@ -17,7 +17,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
-    "prev_features", "agg_recipe", "prev_behaviour", "last_n_mean", "last_value", "agg_family",
+    "customer_features", "prev_features", "agg_recipe", "prev_behaviour", "last_n_mean", "last_value", "agg_family",
     "agg_two_level", "bureau_features", "pos_features", "instalment_features", "card_features",
     "application_features", "loan_history", "attach_group_mean", "clean_features", "onehot_nan",
     "factorize", "label_encode", "target_corr", "corr_matrix", "covariance", "impute_median",

@@ -12,6 +12,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings the library's plans are designed for on a cluster (the job's
+# configuration owns them; nothing here sets them on a shared session).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",                      # runtime re-planning
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",             # split hot keys on the detail side of joins
+    "spark.sql.files.maxPartitionBytes": "256m",               # scan splits
+    "spark.sql.shuffle.partitions": "4000",                    # upper bound; AQE coalesces
+    "spark.sql.codegen.maxFields": "1000",                     # wide feature aggregates keep codegen
+    "spark.sql.ansi.enabled": "true",                          # overflow raises, never wraps
+    "spark.checkpoint.dir": "<shared folder, e.g. an object-store path>",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerline") -> SparkSession:
     """A local session for tests and benchmarks (UI off, AQE on, UTC)."""
     spark = (
@@ -48,6 +63,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a shared folder: a machine-local scratch "
+            "folder does not survive the loss of the executor that wrote it"
+        )
     path = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
