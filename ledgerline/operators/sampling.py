@@ -28,6 +28,7 @@ def train_test(df: DataFrame, key: str, test_percent: int = 20) -> tuple[DataFra
 
 
 COPIES_PER_TASK = 1_000_000  # copies of one row generated by one task
+SMALL_REMAINDER = 100_000  # remainders picked by one bounded top-r query
 
 
 def key_hash(key: str | Column) -> Column:
@@ -42,9 +43,10 @@ def oversample(df: DataFrame, label: str, key: str, minority=1, majority=0, copy
     Balanced replication instead of a with-replacement draw: every minority
     row appears ``q = n_major // n_minor`` times (an ``explode`` of a
     sequence, narrow), and the ``r = n_major - q·n_minor`` minority rows
-    that come first by (key hash, key) appear once more. The r-th hash is
-    found by narrowing bounded histograms (no global sort, no single-task
-    window); only rows tied on that exact hash are ordered by key.
+    that come first by (key hash, key) appear once more. A small r is one
+    bounded top-r query; a large r narrows bounded histograms to the r-th
+    hash (no global sort, no single-task window) and orders only the rows
+    tied on that exact hash by key.
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     n_min, n_maj = counts.get(minority, 0), counts.get(majority, 0)
@@ -54,7 +56,12 @@ def oversample(df: DataFrame, label: str, key: str, minority=1, majority=0, copy
     minor = df.where(F.col(label) == F.lit(minority))
     h = key_hash(key)
     extra = F.lit(False)
-    if r:
+    if r and r <= SMALL_REMAINDER:
+        # one bounded top-r (per-task heaps of r rows): the r-th (hash, key)
+        order = F.struct(h.alias("h"), F.col(key).alias("k"))
+        cutoff = minor.select(order.alias("o")).orderBy("o").limit(r).agg(F.max("o")).first()[0]
+        extra = order <= F.struct(F.lit(cutoff["h"]).alias("h"), F.lit(cutoff["k"]).alias("k"))
+    elif r:
         from ledgerline.operators.impute import _kth
 
         hashes = minor.select(h.cast("double").alias("x"))

@@ -1016,16 +1016,20 @@ MODEL_FEATURES = ["o_totalprice", "o_orderday", "n_lines", "max_qty", "min_disco
 
 
 def _modelling_split(spark, d, rebalance: bool = True):
-    """Order-level features (line aggregates median-imputed), label = status F."""
+    """Order-level features (line aggregates median-imputed), label = status F.
+    The frame is checkpointed once before the imputation statistics, so
+    their passes, the split, the learners and scoring all read it."""
     from ledgerline.operators import impute
     from ledgerline.plans import scoring
+    from ledgerline.session import cut_lineage
 
     ol = _order_lines(spark, d).withColumns(
         {"o_orderday": R.day_number("o_orderdate"), "label": R.equal_flag("o_orderstatus", "F")}
     )
+    ol = cut_lineage(ol.select("o_orderkey", "label", *MODEL_FEATURES))
     ol = impute.impute(ol, ["n_lines", "max_qty", "min_discount", "max_tax"], "median")
     ol = impute.impute(ol, ["n_returned"], "constant", fill_value=0)
-    return scoring.prepare(ol, MODEL_FEATURES, "label", "o_orderkey", test_percent=20, rebalance=rebalance)
+    return scoring.prepare(ol, MODEL_FEATURES, "label", "o_orderkey", test_percent=20, rebalance=rebalance, checkpoint=False)
 
 
 def _fit_query(make, scale: bool = False, weighted: bool = False):

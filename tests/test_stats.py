@@ -103,3 +103,11 @@ def test_oversample_chunked_copies(spark, monkeypatch):
     monkeypatch.setattr(sampling, "COPIES_PER_TASK", 7)
     chunked = sorted(map(tuple, sampling.oversample(df, "label", "key").collect()))
     assert plain == chunked and len(chunked) == 2 * 294
+
+
+def test_oversample_remainder_paths_agree(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("key"), (F.col("id") % 7 == 0).cast("int").alias("label"))
+    small = sorted(map(tuple, sampling.oversample(df, "label", "key").collect()))
+    monkeypatch.setattr(sampling, "SMALL_REMAINDER", 0)
+    large = sorted(map(tuple, sampling.oversample(df, "label", "key").collect()))
+    assert small == large
