@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.session import cut_lineage
+
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """V1: long-form confusion matrix (label, prediction, n)."""
@@ -110,6 +112,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets:
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
     if buckets is None:
+        # the per-score table is read three times (count, cut points, ranks):
+        # write it once instead of re-scoring the input for each pass
+        per_score = cut_lineage(per_score)
         # ranges grow with the number of distinct scores: each range's
         # window sees at most about SCORES_PER_RANGE rows
         n_scores = per_score.count()

@@ -222,18 +222,20 @@ def behaviour_features(
 ) -> DataFrame:
     """number of previous ids, was the latest one approved / refused,
     means of the measures over the last 1/3/5 rows per customer."""
-    counts = grouped.group_features(
-        prev, key, [], [F.count_distinct(id_col).alias("previous_application_number_of_prev_application")]
+    # id count and the latest row's flags: one aggregate over all rows
+    order = F.struct(
+        F.col(time_col).isNull().alias("t_missing"), F.col(time_col).alias("t"), F.col(id_col).alias("id")
     )
-    last = history.last_value(
-        prev, key, time_col, id_col,
-        {
-            "previous_application_prev_was_approved": R.equal_flag(status_col, approved),
-            "previous_application_prev_was_refused": R.equal_flag(status_col, refused),
-        },
+    counts = grouped.group_features(
+        prev, key, [],
+        [
+            F.count_distinct(id_col).alias("previous_application_number_of_prev_application"),
+            F.max_by(R.equal_flag(status_col, approved), order).alias("previous_application_prev_was_approved"),
+            F.max_by(R.equal_flag(status_col, refused), order).alias("previous_application_prev_was_refused"),
+        ],
     )
     tails = history.last_n_means(prev, key, time_col, id_col, last_n_measures, ns, scales, salt_buckets)
-    return counts.join(last, key, "left").join(tails, key, "left")
+    return counts.join(tails, key, "left")
 
 
 def loan_history(
