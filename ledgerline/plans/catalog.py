@@ -1060,7 +1060,6 @@ def _learners() -> dict:
         "fit_gbt": (lambda s: M.gradient_boosting(20, subsample=0.8), False),
         "fit_xgb_like": (lambda s: M.extreme_boosting(20), False),
         "fit_lgbm_like": (lambda s: M.leaf_limited_boosting(weightCol="weight"), False),
-        "fit_bagging": (lambda s: M.bagged_trees(50, 120, _n_train(s), max_depth=10), False),
         "fit_forest": (lambda s: M.random_forest(20), False),
         "fit_logistic": (lambda s: M.logistic(_n_train(s)), True),
         "fit_svm": (lambda s: M.linear_svm(50), True),
@@ -1072,6 +1071,17 @@ for _name, (_make, _scale) in _learners().items():
     register(_name, None)(_fit_query(_make, _scale, weighted=_name == "fit_lgbm_like"))
 
 
+@register("fit_bagging", None)
+def fit_bagging(spark, d):
+    """T4: bagged trees (50 here; 1000 by default) of 120 rows each, fitted
+    on a key-hash pre-sample of the training rows."""
+    from ledgerline.plans import scoring
+
+    split = _modelling_split(spark, d)
+    _, scored = scoring.fit_score_bagged(split, n_estimators=50, rows_per_tree=120, max_depth=10)
+    return scored
+
+
 @register("standard_scale", None)
 def standard_scale(spark, d):
     """Z-scores with the training statistics applied to the test rows."""
