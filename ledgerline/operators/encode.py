@@ -111,3 +111,20 @@ def factorize(df: DataFrame, cols: Sequence[str], order: Sequence[Column], max_v
         values = [r[0] for r in firsts]
         out = out.withColumn(c, F.coalesce(_code_map(values, range(len(values)))[F.col(c)], F.lit(-1)).cast("int"))
     return out
+
+
+def one_hot_vector_stages(cols: Sequence[str], with_missing: bool = True) -> list:
+    """E1 in vector form for Spark ML pipelines: ``StringIndexer`` (value
+    order: alphabetical) + ``OneHotEncoder(dropLast=False)`` per column,
+    output ``{col}_vec``. Missing values get their own slot when
+    ``with_missing`` (``handleInvalid='keep'``)."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    idx = [
+        StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
+                      handleInvalid="keep" if with_missing else "skip")
+        for c in cols
+    ]
+    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_vec" for c in cols],
+                        dropLast=False, handleInvalid="error")
+    return [*idx, ohe]

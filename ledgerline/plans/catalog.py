@@ -530,6 +530,8 @@ def _behaviour_sql() -> str:
     )
 
 
+# The last-n mean name templates of the behaviour features
+# (amount role → term template, order day → decision-day template).
 BEHAVIOUR_MEASURES = {
     "o_totalprice": "previous_application_term_of_last_{n}_credits_mean",
     "o_orderday": "previous_application_days_decision_about_last_{n}_credits_mean",

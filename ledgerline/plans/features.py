@@ -21,6 +21,21 @@ from ledgerline.operators import encode, grouped, history
 # its naming template "{keys}_{agg}_{column}".
 RECIPE_AGGREGATES = ["mean", "min", "max", "sum", "var"]
 
+# Output column names of the history and instalment features
+# (F2, F3, F9), as the feature tables spell them.
+PREV_COUNT = "previous_application_number_of_prev_application"
+PREV_APPROVED = "previous_application_prev_was_approved"
+PREV_REFUSED = "previous_application_prev_was_refused"
+NUM_LOAN = "num_loan"
+NUM_LOANTYPE = "num_loantype"
+AVE_LOANTYPE = "ave_loantype"
+PER_ACTIVE = "per_active"
+ENDDATE_SHARE = "CREDIT_ENDDATE_PERCENTAGE"
+PAYMENT_PERC = "PAYMENT_PERC"
+PAYMENT_DIFF = "PAYMENT_DIFF"
+DAYS_PAST_DUE = "DPD"
+DAYS_BEFORE_DUE = "DBD"
+
 
 def recipe_features(
     detail: DataFrame,
@@ -98,10 +113,10 @@ def instalment_rows(
     """F9 row features: paid share and gap, days past / before due clamped at 0."""
     return df.withColumns(
         {
-            "PAYMENT_PERC": R.ratio(payment, instalment),
-            "PAYMENT_DIFF": R.diff(instalment, payment),
-            "DPD": R.clamp_zero(R.diff(paid_day, due_day)),
-            "DBD": R.clamp_zero(R.diff(due_day, paid_day)),
+            PAYMENT_PERC: R.ratio(payment, instalment),
+            PAYMENT_DIFF: R.diff(instalment, payment),
+            DAYS_PAST_DUE: R.clamp_zero(R.diff(paid_day, due_day)),
+            DAYS_BEFORE_DUE: R.clamp_zero(R.diff(due_day, paid_day)),
         }
     )
 
@@ -229,9 +244,9 @@ def behaviour_features(
     counts = grouped.group_features(
         prev, key, [],
         [
-            F.count_distinct(id_col).alias("previous_application_number_of_prev_application"),
-            F.max_by(R.equal_flag(status_col, approved), order).alias("previous_application_prev_was_approved"),
-            F.max_by(R.equal_flag(status_col, refused), order).alias("previous_application_prev_was_refused"),
+            F.count_distinct(id_col).alias(PREV_COUNT),
+            F.max_by(R.equal_flag(status_col, approved), order).alias(PREV_APPROVED),
+            F.max_by(R.equal_flag(status_col, refused), order).alias(PREV_REFUSED),
         ],
     )
     tails = history.last_n_means(prev, key, time_col, id_col, last_n_measures, ns, scales, salt_buckets)
@@ -256,17 +271,17 @@ def loan_history(
     per_customer = grouped.group_features(
         loans, key, [],
         [
-            F.count(count_col).alias("num_loan"),
-            F.count_distinct(type_col).alias("num_loantype"),
-            F.try_divide(F.sum(R.flag_unless_equal(active_col, closed_value)).cast("double"), F.count(F.lit(1))).alias("per_active"),
-            F.try_divide(F.sum(R.flag_unless_negative(end_day_col)).cast("double"), F.count(F.lit(1))).alias("CREDIT_ENDDATE_PERCENTAGE"),
+            F.count(count_col).alias(NUM_LOAN),
+            F.count_distinct(type_col).alias(NUM_LOANTYPE),
+            F.try_divide(F.sum(R.flag_unless_equal(active_col, closed_value)).cast("double"), F.count(F.lit(1))).alias(PER_ACTIVE),
+            F.try_divide(F.sum(R.flag_unless_negative(end_day_col)).cast("double"), F.count(F.lit(1))).alias(ENDDATE_SHARE),
         ],
     )
     counts = per_customer.select(
-        key, "num_loan", "num_loantype", R.ratio("num_loan", "num_loantype").alias("ave_loantype")
+        key, NUM_LOAN, NUM_LOANTYPE, R.ratio(NUM_LOAN, NUM_LOANTYPE).alias(AVE_LOANTYPE)
     )
     enriched_base = grouped.attach(base, counts, base_key, key)
-    enriched_loans = loans.join(per_customer.select(key, "per_active", "CREDIT_ENDDATE_PERCENTAGE"), key, "left")
+    enriched_loans = loans.join(per_customer.select(key, PER_ACTIVE, ENDDATE_SHARE), key, "left")
     return enriched_base, enriched_loans
 
 

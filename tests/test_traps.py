@@ -149,3 +149,18 @@ def test_exact_variance_large_values_against_fractions(spark):
     mean = sum(xs) / n
     want = sum((x - mean) ** 2 for x in xs) / (n - 1)
     assert abs(Fraction(got) - want) <= 2 * abs(want) * Fraction(1, 2 ** 52)
+
+
+def test_one_hot_vector_form(spark):
+    from pyspark.ml import Pipeline
+
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
+    model = Pipeline(stages=encode.one_hot_vector_stages(["c"])).fit(df)
+    out = [tuple(r.c_vec.toArray()) for r in model.transform(df).collect()]
+    assert out == [(0.0, 1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.0, 1.0, 0.0)]
+
+
+def test_approx_nunique_option(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id"))
+    out = {r.k: r.id_NUNIQUE_APPROX for r in grouped.group_features(df, "k", [Recipe({"id": ["nunique_approx"]})]).collect()}
+    assert all(abs(v - 333) < 40 for v in out.values())
