@@ -1,11 +1,14 @@
 """Time-ordered history per key.
 
-"Last n rows per key" would naturally be ``row_number()`` over
-``partitionBy(key)``, but that sends a whole key to one task, and one key
-may hold a third of all rows. ``latest_rows`` ranks in two stages instead:
-first within ``(key, salt)`` buckets (a hot key is spread over
-``salt_buckets`` tasks and each bucket keeps only its own top n), then within
-the key over at most ``salt_buckets × n`` survivors. The result is exact.
+"Last n rows per key" is ``row_number()`` over ``partitionBy(key)`` kept to
+``<= n``. For n up to ``spark.sql.optimizer.windowGroupLimitThreshold``
+(1000 by default) Catalyst inserts a *partial* ``WindowGroupLimit`` before
+the shuffle: each map task sends at most n rows per key, so a key holding a
+third of all rows arrives as at most n × (map tasks) rows. Above that
+threshold (or on request) ``latest_rows`` ranks in two stages instead: first
+within ``(key, salt)`` buckets (a hot key spread over ``salt_buckets``
+tasks, each keeping its own top n), then within the key over at most
+``salt_buckets × n`` survivors. Both forms are exact.
 
 "Last value" needs no window at all: ``max_by`` over a total order key is
 an aggregate with a one-row buffer, partially aggregated map-side.
@@ -34,11 +37,20 @@ def latest_rows(
     time_col: str,
     tiebreak: str,
     n: int,
-    salt_buckets: int = 32,
+    salt_buckets: int | None = None,
     rank_name: str = "recency",
 ) -> DataFrame:
-    """The last ``n`` rows per key, ``recency`` 1 = latest."""
+    """The last ``n`` rows per key, ``recency`` 1 = latest.
+    ``salt_buckets=None`` picks the form (see the module note)."""
     order = _latest_first(time_col, tiebreak)
+    if salt_buckets is None:
+        limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+        if n <= limit:
+            ranked = df.where(F.col(key).isNotNull()).withColumn(
+                rank_name, F.row_number().over(Window.partitionBy(key).orderBy(*order))
+            )
+            return ranked.where(F.col(rank_name) <= n)
+        salt_buckets = 32
     salted = df.where(F.col(key).isNotNull()).withColumn(
         "_salt", F.pmod(F.xxhash64(F.col(tiebreak)), F.lit(salt_buckets))
     )
@@ -59,7 +71,7 @@ def last_n_means(
     measures: Mapping[str, str],
     ns: Sequence[int] = (1, 3, 5),
     scales: Mapping[str, int] | None = None,
-    salt_buckets: int = 32,
+    salt_buckets: int | None = None,
 ) -> DataFrame:
     """Mean of each measure over the last n rows, for every n at once.
 

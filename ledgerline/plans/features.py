@@ -233,7 +233,7 @@ def behaviour_features(
     last_n_measures: Mapping[str, str],
     ns: Sequence[int] = (1, 3, 5),
     scales: Mapping[str, int] | None = None,
-    salt_buckets: int = 32,
+    salt_buckets: int | None = None,
 ) -> DataFrame:
     """number of previous ids, was the latest one approved / refused,
     means of the measures over the last 1/3/5 rows per customer."""
