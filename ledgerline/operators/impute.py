@@ -182,6 +182,35 @@ def fill(df: DataFrame, values: Mapping[str, object], rename: Mapping[str, str]
     return out.drop(*drop)
 
 
+def statistics(
+    df: DataFrame,
+    cols: Sequence[str],
+    strategy: str,
+    scales: Mapping[str, int] | None = None,
+    fill_value=0,
+) -> dict:
+    """The fill value of each column under one strategy (no data changed)."""
+    scales = scales or {}
+    if strategy == "median":
+        return exact_medians(df, cols)
+    if strategy == "most_frequent":
+        return mode_values(df, cols)
+    if strategy == "mean":
+        return {c: mean_value(df, c, scales.get(c)) for c in cols}
+    if strategy == "constant":
+        return {c: fill_value for c in cols}
+    raise ValueError(strategy)
+
+
+def apply_fill(df: DataFrame, values: Mapping[str, object], strategy: str, rename: Mapping[str, str] | None = None) -> DataFrame:
+    out = df
+    if strategy in ("median", "mean"):
+        # the statistic is fractional in general: the filled column is double
+        out = out.withColumns({c: F.col(c).cast("double") for c in values})
+        values = {c: None if v is None else float(v) for c, v in values.items()}
+    return fill(out, values, rename)
+
+
 def impute(
     df: DataFrame,
     cols: Sequence[str],
@@ -189,28 +218,23 @@ def impute(
     rename: Mapping[str, str] | None = None,
     scales: Mapping[str, int] | None = None,
     fill_value=0,
+    materialize: bool = False,
 ) -> DataFrame:
     """``median`` | ``most_frequent`` | ``mean`` | ``constant``.
 
     (The cleaning job's "fill 0" step is written with the default strategy,
-    which is the mean; pass ``constant`` for the value it names.)"""
-    scales = scales or {}
-    if strategy == "median":
-        vals = exact_medians(df, cols)
-    elif strategy == "most_frequent":
-        vals = mode_values(df, cols)
-    elif strategy == "mean":
-        vals = {c: mean_value(df, c, scales.get(c)) for c in cols}
-    elif strategy == "constant":
-        vals = {c: fill_value for c in cols}
-    else:
-        raise ValueError(strategy)
-    out = df
-    if strategy in ("median", "mean"):
-        # the statistic is fractional in general: the filled column is double
-        out = out.withColumns({c: F.col(c).cast("double") for c in cols})
-        vals = {c: None if v is None else float(v) for c, v in vals.items()}
-    return fill(out, vals, rename)
+    which is the mean; pass ``constant`` for the value it names.)
+
+    ``materialize`` computes the statistics on a checkpoint of just these
+    columns: worth it when ``df`` is a derived table (joins, aggregates)
+    that the statistics' passes would otherwise recompute."""
+    source = df
+    if materialize and strategy in ("median", "most_frequent", "mean"):
+        from ledgerline.session import cut_lineage
+
+        source = cut_lineage(df.select(*cols))
+    values = statistics(source, cols, strategy, scales, fill_value)
+    return apply_fill(df, values, strategy, rename)
 
 
 def regression_fill(

@@ -78,8 +78,25 @@ def clean(df: DataFrame, plan: CleaningPlan, materialize: bool = True) -> DataFr
         out = out.drop(*matching(out, plan.indicator_drop_pattern))
     if materialize and (plan.imputations or plan.label_encode or plan.regressions):
         out = cut_lineage(out)
-    for step in plan.imputations:
-        out = impute.impute(out, step.cols, step.strategy, step.rename, step.scales, step.fill_value)
+    steps = list(plan.imputations)
+    touched = [c for st in steps for c in st.cols]
+    if len(touched) == len(set(touched)):
+        # disjoint steps: one statistics job per strategy, then the fills
+        by_strategy: dict[str, list[str]] = {}
+        scales: dict[str, int] = {}
+        for st in steps:
+            by_strategy.setdefault(st.strategy, []).extend(st.cols)
+            scales.update(st.scales)
+        stats: dict[str, object] = {}
+        for strategy, cols in by_strategy.items():
+            if strategy != "constant":
+                stats.update(impute.statistics(out, cols, strategy, scales))
+        for st in steps:
+            values = {c: st.fill_value if st.strategy == "constant" else stats[c] for c in st.cols}
+            out = impute.apply_fill(out, values, st.strategy, st.rename)
+    else:
+        for st in steps:
+            out = impute.impute(out, st.cols, st.strategy, st.rename, st.scales, st.fill_value)
     if plan.label_encode:
         out = encode.label_encode(out, plan.label_encode)
     for target, predictors, name in plan.regressions:
