@@ -67,15 +67,20 @@ def random_forest(n_trees: int = 100, seed: int = 0, **kw) -> RandomForestClassi
     return RandomForestClassifier(numTrees=n_trees, seed=seed, **kw)
 
 
-def logistic(n_rows: int, c: float = 1.0, **kw) -> LogisticRegression:
+def logistic(n_rows: int, c: float = 1.0, tol: float = 1e-4, max_iter: int = 100, **kw) -> LogisticRegression:
     """L2-penalised logistic regression with inverse strength ``c``
-    (penalty ½‖w‖²/c on the summed loss = regParam 1/(c·n) on the mean)."""
-    return LogisticRegression(regParam=1.0 / (c * max(n_rows, 1)), elasticNetParam=0.0, standardization=False, **kw)
-
-
-def linear_svm(max_iter: int = 100, **kw) -> LinearSVC:
-    """Linear-kernel SVM (hinge loss). Scores are margins, not probabilities."""
-    return LinearSVC(maxIter=max_iter, **kw)
+    (penalty ½‖w‖²/c on the summed loss = regParam 1/(c·n) on the mean);
+    stopping tolerance and iteration cap as the scripts' solver defaults."""
+    return LogisticRegression(regParam=1.0 / (c * max(n_rows, 1)), elasticNetParam=0.0, standardization=False,
+                              tol=tol, maxIter=max_iter, **kw)
+
+
+def linear_svm(n_rows: int | None = None, c: float = 1.0, tol: float = 1e-3, max_iter: int = 100, **kw) -> LinearSVC:
+    """Linear-kernel SVM: hinge loss with ½‖w‖² + c·Σ hinge, i.e.
+    regParam 1/(c·n) on Spark's mean hinge loss. Scores are margins, not
+    probabilities."""
+    reg = 0.0 if not n_rows else 1.0 / (c * n_rows)
+    return LinearSVC(regParam=reg, tol=tol, maxIter=max_iter, **kw)
 
 
 def fit(train: DataFrame, features: Sequence[str], label: str, estimator, scale: bool = False) -> PipelineModel:

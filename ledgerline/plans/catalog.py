@@ -1066,7 +1066,7 @@ def _learners() -> dict:
         "fit_lgbm_like": (lambda s: M.leaf_limited_boosting(weightCol="weight"), False),
         "fit_forest": (lambda s: M.random_forest(20), False),
         "fit_logistic": (lambda s: M.logistic(_n_train(s)), True),
-        "fit_svm": (lambda s: M.linear_svm(50), True),
+        "fit_svm": (lambda s: M.linear_svm(_n_train(s)), True),
     }
 
 
