@@ -27,6 +27,7 @@ def main(argv: list[str]) -> None:
     from ledgerline.session import local_session
 
     spark = local_session(8, shuffle_partitions=16)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     print("# PLANS\n")
