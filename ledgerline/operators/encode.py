@@ -42,6 +42,11 @@ def vocabularies(df: DataFrame, cols: Sequence[str], max_values: int = MAX_VOCAB
     pairs = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p")
     ).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
+    # the distinct pairs are read twice (sizes, then values): write them once
+    # instead of scanning the source twice
+    from ledgerline.session import cut_lineage
+
+    pairs = cut_lineage(pairs)
     # sizes first (one row per column), values only once every size is checked
     sizes = {r["c"]: r["n"] for r in pairs.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     too_big = [c for c, n in sizes.items() if n > max_values]
