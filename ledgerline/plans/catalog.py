@@ -1025,12 +1025,12 @@ def _modelling_split(spark, d, rebalance: bool = True):
     their passes, the split, the learners and scoring all read it."""
     from ledgerline.operators import impute
     from ledgerline.plans import scoring
-    from ledgerline.session import cut_lineage
+    from ledgerline.session import cores, cut_lineage
 
     ol = _order_lines(spark, d).withColumns(
         {"o_orderday": R.day_number("o_orderdate"), "label": R.equal_flag("o_orderstatus", "F")}
     )
-    ol = cut_lineage(ol.select("o_orderkey", "label", *MODEL_FEATURES))
+    ol = cut_lineage(ol.select("o_orderkey", "label", *MODEL_FEATURES), min_partitions=cores(spark))
     ol = impute.impute(ol, ["n_lines", "max_qty", "min_discount", "max_tax"], "median")
     ol = impute.impute(ol, ["n_returned"], "constant", fill_value=0)
     return scoring.prepare(ol, MODEL_FEATURES, "label", "o_orderkey", test_percent=20, rebalance=rebalance, checkpoint=False)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators import evaluate, models, sampling
-from ledgerline.session import cut_lineage
+from ledgerline.session import cores, cut_lineage
 
 
 @dataclass
@@ -45,7 +45,7 @@ def prepare(
     if checkpoint:
         # split, rebalancing, the learners' passes and test scoring all
         # re-read this instead of recomputing the features upstream
-        frame = cut_lineage(frame)
+        frame = cut_lineage(frame, min_partitions=cores(df.sparkSession))
     train, test = sampling.train_test(frame, id_col, test_percent)
     if rebalance:
         train = sampling.oversample(train, label, id_col).drop("copy")

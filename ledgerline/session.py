@@ -74,7 +74,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+def cut_lineage(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+
+    ``min_partitions``: iterative consumers (learners, multi-pass statistics)
+    want at least one partition per core. A frame that came out with fewer
+    partitions (only a small one does, after AQE coalescing) is spread
+    round-robin and written once more; large frames are left as they are."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if min_partitions and out.rdd.getNumPartitions() < min_partitions:
+        out = out.repartition(min_partitions).checkpoint(eager=True)
+    return out
+
+
+def cores(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
