@@ -3,7 +3,9 @@ local[$BENCH_CPUS] and print one JSON line.
 
 Each query is executed end to end with a ``noop`` write (the whole plan runs
 on the executors, nothing is collected); the time includes the small
-planning jobs some queries run first (vocabularies, medians).
+planning jobs some queries run first (vocabularies, medians). The headline
+set runs $BENCH_REPEAT times (default 2) and each query reports its fastest
+run, which damps the timing noise of a shared machine; the JSON says so.
 """
 
 from __future__ import annotations
@@ -39,15 +41,18 @@ def main() -> None:
     # untimed feature job, so the first timed query is not a cold start
     REGISTRY["pos_features"][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
     times: dict[str, float] = {}
-    for name in HEADLINE:
-        if only and name not in only:
-            continue
-        fn, _ = REGISTRY[name]
-        t0 = time.perf_counter()
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
-        print(f"# {name}: {times[name]:.2f}s", file=sys.stderr)
+    for run in range(repeat):
+        for name in HEADLINE:
+            if only and name not in only:
+                continue
+            fn, _ = REGISTRY[name]
+            t0 = time.perf_counter()
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            took = round(time.perf_counter() - t0, 3)
+            times[name] = min(times.get(name, took), took)
+            print(f"# run {run + 1} {name}: {took:.2f}s", file=sys.stderr)
 
     sf = Path(sf_dir).name.removeprefix("sf")
     print(json.dumps({
@@ -57,6 +62,8 @@ def main() -> None:
         "queries": times,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
+        "repeat": repeat,
+        "statistic": "min",
     }))
     spark.stop()
 
