@@ -1313,7 +1313,9 @@ def customer_features(spark, d):
     per_loan = lines.groupBy("l_orderkey").agg(
         *Recipe({"l_shipday": ["min", "max", "size"]}).columns(), *month_shares
     )
-    loans = orders.join(per_loan, orders.o_orderkey == per_loan.l_orderkey, "left").drop("l_orderkey")
+    # fact ⋈ fact: sort-merge on the order key (neither side has a size
+    # bound; only dimension tables are left to size-based broadcasting)
+    loans = orders.join(per_loan.hint("merge"), orders.o_orderkey == per_loan.l_orderkey, "left").drop("l_orderkey")
 
     # customer grain over the loans: previous-order + bureau + history
     prev_fam = {p: F.col("o_orderstatus") == v for p, v in PREV_FAMILIES.items()}
@@ -1339,7 +1341,7 @@ def customer_features(spark, d):
 
     # customer grain over the lines: instalment + card
     inst = FE.instalment_rows(
-        lines.join(orders.select("o_orderkey", "o_custkey", "o_orderday"), F.col("l_orderkey") == F.col("o_orderkey")),
+        lines.join(orders.select("o_orderkey", "o_custkey", "o_orderday").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")),
         "l_extendedprice", "l_payment", "o_orderday", "l_shipday",
     )
     card_onehot = {}
