@@ -21,7 +21,7 @@ partitioned, which plain floating sums do.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -73,7 +73,7 @@ def _product(u: Column, v: Column) -> Column:
     return F.coalesce(F.try_multiply(u, v).cast("decimal(38,0)"), _wide(u) * _wide(v))
 
 
-def exact_var(x: Column, scale: int) -> Column:
+def exact_var(x: Column, scale: int, flag: bool = False) -> Column:
     """Sample variance from integer units: (n·Σu² − (Σu)²) / (n(n−1)) / 10^(2s).
 
     Σu² and the numerator are exact 38-digit decimals; the numerator is
@@ -83,7 +83,8 @@ def exact_var(x: Column, scale: int) -> Column:
     u = units(x, scale)
     n = F.count(x)
     s1 = _wide(F.sum(u))
-    s2 = F.sum(_product(u, u))
+    # a 0/1 flag has u² = u: its square sum is the plain 64-bit sum
+    s2 = s1 if flag else F.sum(_product(u, u))
     num = (_wide(n) * s2 - s1 * s1).cast("double")
     den = (n * (n - 1) * F.lit(10 ** (2 * scale))).cast("double")
     return F.when(n > 1, num / den)
@@ -119,8 +120,9 @@ def exact_corr(x: Column, y: Column, sx: int, sy: int) -> Column:
     return F.try_divide(cxy.cast("double"), F.sqrt(cxx.cast("double") * cyy.cast("double")))
 
 
-def one_aggregate(x: Column, agg: str, scale: int | None = None) -> Column:
-    """One aggregate over the rows of a group (no family filter)."""
+def one_aggregate(x: Column, agg: str, scale: int | None = None, flag: bool = False) -> Column:
+    """One aggregate over the rows of a group (no family filter). ``flag``
+    marks a 0/1 indicator column (exact variance without a square sum)."""
     if agg == "mean":
         return exact_mean(x, scale) if scale is not None else F.avg(x)
     if agg == "min":
@@ -136,6 +138,8 @@ def one_aggregate(x: Column, agg: str, scale: int | None = None) -> Column:
             s = F.sum(x)
         return F.coalesce(s, F.lit(0))
     if agg == "var":
+        if flag:
+            return exact_var(x, 0, flag=True)
         return exact_var(x, scale) if scale is not None else F.var_samp(x)
     if agg == "size":
         return F.count(F.lit(1))
@@ -163,11 +167,12 @@ class Recipe:
     scales: Mapping[str, int] = field(default_factory=dict)
     families: Mapping[str, Column] = field(default_factory=dict)
     name: NameFn | None = None
+    flags: Collection[str] = ()  # 0/1 indicator columns (e.g. one-hot)
 
     def columns(self) -> list[Column]:
-        out = aggregate_columns(self.spec, self.name or upper_name(self.prefix), self.scales)
+        out = aggregate_columns(self.spec, self.name or upper_name(self.prefix), self.scales, flags=self.flags)
         for fam_prefix, pred in self.families.items():
-            out += aggregate_columns(self.spec, upper_name(fam_prefix), self.scales, where=pred)
+            out += aggregate_columns(self.spec, upper_name(fam_prefix), self.scales, where=pred, flags=self.flags)
         return out
 
 
@@ -176,6 +181,7 @@ def aggregate_columns(
     name: NameFn,
     scales: Mapping[str, int] | None = None,
     where: Column | None = None,
+    flags: Collection[str] = (),
 ) -> list[Column]:
     """Expand a recipe; with ``where`` every aggregate sees only the rows of
     that family, and keys without such rows get NULL (left-join semantics)."""
@@ -184,16 +190,17 @@ def aggregate_columns(
     for col, aggs in spec.items():
         x = _col(col)
         scale = scales.get(col)
+        flag = col in flags
         for agg in aggs:
             if where is None:
-                expr = one_aggregate(x, agg, scale)
+                expr = one_aggregate(x, agg, scale, flag)
             else:
                 fx = F.when(where, x)
                 present = F.count_if(F.coalesce(where, F.lit(False))) > 0
                 if agg == "size":
                     inner = F.count_if(F.coalesce(where, F.lit(False)))
                 else:
-                    inner = one_aggregate(fx, agg, scale)
+                    inner = one_aggregate(fx, agg, scale, flag)
                 expr = F.when(present, inner)
             out.append(expr.alias(name(col, agg)))
     return out

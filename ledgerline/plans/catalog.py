@@ -1353,7 +1353,8 @@ def customer_features(spark, d):
     per_customer_lines = grouped.group_features(
         inst, "o_custkey",
         [Recipe(INST_SPEC, prefix="INSTAL_", scales=INST_SCALES),
-         Recipe({c: ["min", "max", "mean", "sum", "var"] for c in _card_cols()}, prefix="CC_", scales=card_scales)],
+         Recipe({c: ["min", "max", "mean", "sum", "var"] for c in _card_cols()}, prefix="CC_", scales=card_scales,
+                flags=list(card_onehot))],
         share_columns("l_returnflag", vocab["l_returnflag"], "INSTAL_", True)
         + [F.count(F.lit(1)).alias("INSTAL_COUNT"), F.count(F.lit(1)).alias("CC_COUNT")],
     )

@@ -136,9 +136,9 @@ def all_column_features(
     """F10 (A6): every remaining column (one-hot columns included) × the
     five aggregates, plus the row count."""
     onehot_vocab = vocab if vocab is not None else encode.vocabularies(df, cats)
-    body, _ = encode.one_hot(df.drop(*drop), {c: onehot_vocab[c] for c in cats}, with_missing)
+    body, onehot_cols = encode.one_hot(df.drop(*drop), {c: onehot_vocab[c] for c in cats}, with_missing)
     cols = [c for c in body.columns if c != key]
-    recipe = Recipe({c: list(aggregates) for c in cols}, prefix=prefix, scales=scales or {})
+    recipe = Recipe({c: list(aggregates) for c in cols}, prefix=prefix, scales=scales or {}, flags=onehot_cols)
     return grouped.group_features(body, key, [recipe], [F.count(F.lit(1)).alias(count_name)])
 
 
