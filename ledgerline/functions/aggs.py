@@ -169,10 +169,13 @@ class Recipe:
     name: NameFn | None = None
     flags: Collection[str] = ()  # 0/1 indicator columns (e.g. one-hot)
 
-    def columns(self) -> list[Column]:
-        out = aggregate_columns(self.spec, self.name or upper_name(self.prefix), self.scales, flags=self.flags)
+    def columns(self, select: str = "all") -> list[Column]:
+        """Aggregate columns; ``select`` = ``"plain"`` / ``"distinct"`` keeps
+        only the non-distinct / distinct-count ones (``"all"``: both, in order)."""
+        out = aggregate_columns(self.spec, self.name or upper_name(self.prefix), self.scales, flags=self.flags, select=select)
         for fam_prefix, pred in self.families.items():
-            out += aggregate_columns(self.spec, upper_name(fam_prefix), self.scales, where=pred, flags=self.flags)
+            out += aggregate_columns(self.spec, upper_name(fam_prefix), self.scales, where=pred, flags=self.flags,
+                                     select=select)
         return out
 
 
@@ -182,6 +185,7 @@ def aggregate_columns(
     scales: Mapping[str, int] | None = None,
     where: Column | None = None,
     flags: Collection[str] = (),
+    select: str = "all",
 ) -> list[Column]:
     """Expand a recipe; with ``where`` every aggregate sees only the rows of
     that family, and keys without such rows get NULL (left-join semantics)."""
@@ -192,6 +196,8 @@ def aggregate_columns(
         scale = scales.get(col)
         flag = col in flags
         for agg in aggs:
+            if (select == "plain" and agg == "nunique") or (select == "distinct" and agg != "nunique"):
+                continue
             if where is None:
                 expr = one_aggregate(x, agg, scale, flag)
             else:

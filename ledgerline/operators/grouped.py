@@ -19,42 +19,37 @@ from pyspark.sql import functions as F
 from ledgerline.functions.aggs import Recipe
 
 
-def _is_distinct(c: Column) -> bool:
-    return "DISTINCT" in c._jc.toString()
-
-
 def group_features(
     df: DataFrame,
     key: str | Sequence[str],
     recipes: Sequence[Recipe] = (),
     extra: Sequence[Column] = (),
+    distinct: Sequence[Column] = (),
 ) -> DataFrame:
     """One ``groupBy(key).agg(...)`` holding every recipe.
 
     Rows with a missing key are dropped first: the pandas group-by the
     recipes come from never forms a group for them (trap 6).
 
-    Distinct counts next to other aggregates go to their own aggregate,
-    joined back on the key: a distinct aggregate makes Spark push *every*
-    other partial buffer through an extra shuffle keyed by (key, value);
-    split, the wide buffers shuffle once by key and only narrow (key, value)
-    pairs take the distinct path. Both sides come out hash-partitioned on
-    the key, so the join adds no exchange."""
+    Distinct counts (the recipes' ``nunique`` and the ``distinct`` columns)
+    next to other aggregates go to their own aggregate, joined back on the
+    key. A distinct aggregate makes Spark push *every* other partial buffer
+    through an extra shuffle keyed by (key, value); split, the wide buffers
+    shuffle once by key and only narrow (key, value) pairs take the
+    distinct path. Both sides come out hash-partitioned on the key, so the
+    join adds no exchange."""
     keys = [key] if isinstance(key, str) else list(key)
-    cols: list[Column] = []
-    for r in recipes:
-        cols += r.columns()
-    cols += list(extra)
     present = F.lit(True)
     for k in keys:
         present = present & F.col(k).isNotNull()
     rows = df.where(present)
-    distinct = [c for c in cols if _is_distinct(c)]
-    plain = [c for c in cols if not _is_distinct(c)]
-    if not distinct or not plain:
-        return rows.groupBy(*keys).agg(*cols)
-    names = rows.groupBy(*keys).agg(*cols).columns  # analysis only
-    joined = rows.groupBy(*keys).agg(*plain).join(rows.groupBy(*keys).agg(*distinct), on=keys, how="inner")
+    plain = [c for r in recipes for c in r.columns("plain")] + list(extra)
+    dist = [c for r in recipes for c in r.columns("distinct")] + list(distinct)
+    if not dist or not plain:
+        every = [c for r in recipes for c in r.columns()] + list(extra) + list(distinct)
+        return rows.groupBy(*keys).agg(*every)
+    names = rows.groupBy(*keys).agg(*[c for r in recipes for c in r.columns()], *extra, *distinct).columns  # analysis only
+    joined = rows.groupBy(*keys).agg(*plain).join(rows.groupBy(*keys).agg(*dist), on=keys, how="inner")
     return joined.select(*names)
 
 

@@ -300,11 +300,10 @@ def agg_recipe(spark, d):
 def agg_nunique(spark, d):
     return grouped.group_features(
         _t(spark, d, "orders"), "o_custkey", [],
-        [
+        [F.count("o_orderkey").alias("n_orders"), F.count(F.lit(1)).alias("n_rows")],
+        distinct=[
             F.count_distinct("o_orderpriority").alias("n_priorities"),
             F.count_distinct("o_orderstatus").alias("n_statuses"),
-            F.count("o_orderkey").alias("n_orders"),
-            F.count(F.lit(1)).alias("n_rows"),
         ],
     )
 
@@ -1328,15 +1327,13 @@ def customer_features(spark, d):
     from ledgerline.operators.profile import report
 
     loan_cols += [report(F.avg(F.col(nm)), SHARE_DIGITS).alias(f"BURO_{nm}_MEAN") for nm in share_names]
-    loan_cols += [
-        F.count("o_orderdate").alias("num_loan"),
-        F.count_distinct("o_orderpriority").alias("num_loantype"),
-    ]
+    loan_cols += [F.count("o_orderdate").alias("num_loan")]
     per_customer_loans = grouped.group_features(
         loans, "o_custkey",
         [Recipe(PREV_SPEC, prefix="PREV_", scales=PREV_SCALES, families=prev_fam),
          Recipe(buro_spec, prefix="BURO_", scales=BURO_SCALES, families=buro_fam)],
         loan_cols,
+        distinct=[F.count_distinct("o_orderpriority").alias("num_loantype")],
     ).withColumn("ave_loantype", R.ratio("num_loan", "num_loantype"))
 
     # customer grain over the lines: instalment + card

@@ -244,10 +244,10 @@ def behaviour_features(
     counts = grouped.group_features(
         prev, key, [],
         [
-            F.count_distinct(id_col).alias(PREV_COUNT),
             F.max_by(R.equal_flag(status_col, approved), order).alias(PREV_APPROVED),
             F.max_by(R.equal_flag(status_col, refused), order).alias(PREV_REFUSED),
         ],
+        distinct=[F.count_distinct(id_col).alias(PREV_COUNT)],
     )
     tails = history.last_n_means(prev, key, time_col, id_col, last_n_measures, ns, scales, salt_buckets)
     return counts.join(tails, key, "left")
@@ -270,9 +270,9 @@ def loan_history(
     whose end day is not in the past (``CREDIT_ENDDATE_PERCENTAGE``)."""
     per_customer = grouped.group_features(
         loans, key, [],
-        [
+        distinct=[F.count_distinct(type_col).alias(NUM_LOANTYPE)],
+        extra=[
             F.count(count_col).alias(NUM_LOAN),
-            F.count_distinct(type_col).alias(NUM_LOANTYPE),
             F.try_divide(F.sum(R.flag_unless_equal(active_col, closed_value)).cast("double"), F.count(F.lit(1))).alias(PER_ACTIVE),
             F.try_divide(F.sum(R.flag_unless_negative(end_day_col)).cast("double"), F.count(F.lit(1))).alias(ENDDATE_SHARE),
         ],
