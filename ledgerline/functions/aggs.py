@@ -120,6 +120,20 @@ def exact_corr(x: Column, y: Column, sx: int, sy: int) -> Column:
     return F.try_divide(cxy.cast("double"), F.sqrt(cxx.cast("double") * cyy.cast("double")))
 
 
+def presence_count(x: Column, values: Sequence) -> Column:
+    """Distinct count of a column with a known, bounded vocabulary, as plain
+    aggregates: the number of vocabulary values present in the group
+    (Σ_v max(x = v)). Stays in the one wide aggregate, unlike
+    ``count(DISTINCT x)``, which sends every other buffer through an extra
+    shuffle keyed by (key, x). Missing values are not counted."""
+    xs = x.cast("string")
+    terms = [F.max(F.when(xs == F.lit(str(v)), 1).otherwise(0)) for v in values]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return total.cast("bigint") if terms else F.lit(0).cast("bigint")
+
+
 def one_aggregate(x: Column, agg: str, scale: int | None = None, flag: bool = False) -> Column:
     """One aggregate over the rows of a group (no family filter). ``flag``
     marks a 0/1 indicator column (exact variance without a square sum)."""
@@ -168,14 +182,16 @@ class Recipe:
     families: Mapping[str, Column] = field(default_factory=dict)
     name: NameFn | None = None
     flags: Collection[str] = ()  # 0/1 indicator columns (e.g. one-hot)
+    vocab: Mapping[str, Sequence] = field(default_factory=dict)  # bounded vocabularies: nunique as presence counts
 
     def columns(self, select: str = "all") -> list[Column]:
         """Aggregate columns; ``select`` = ``"plain"`` / ``"distinct"`` keeps
         only the non-distinct / distinct-count ones (``"all"``: both, in order)."""
-        out = aggregate_columns(self.spec, self.name or upper_name(self.prefix), self.scales, flags=self.flags, select=select)
+        out = aggregate_columns(self.spec, self.name or upper_name(self.prefix), self.scales, flags=self.flags,
+                                select=select, vocab=self.vocab)
         for fam_prefix, pred in self.families.items():
             out += aggregate_columns(self.spec, upper_name(fam_prefix), self.scales, where=pred, flags=self.flags,
-                                     select=select)
+                                     select=select, vocab=self.vocab)
         return out
 
 
@@ -186,6 +202,7 @@ def aggregate_columns(
     where: Column | None = None,
     flags: Collection[str] = (),
     select: str = "all",
+    vocab: Mapping[str, Sequence] | None = None,
 ) -> list[Column]:
     """Expand a recipe; with ``where`` every aggregate sees only the rows of
     that family, and keys without such rows get NULL (left-join semantics)."""
@@ -195,10 +212,17 @@ def aggregate_columns(
         x = _col(col)
         scale = scales.get(col)
         flag = col in flags
+        known = vocab is not None and col in vocab
         for agg in aggs:
-            if (select == "plain" and agg == "nunique") or (select == "distinct" and agg != "nunique"):
+            is_distinct = agg == "nunique" and not known
+            if (select == "plain" and is_distinct) or (select == "distinct" and not is_distinct):
                 continue
-            if where is None:
+            if agg == "nunique" and known:
+                fx = x if where is None else F.when(where, x)
+                expr = presence_count(fx, vocab[col])
+                if where is not None:
+                    expr = F.when(F.count_if(F.coalesce(where, F.lit(False))) > 0, expr)
+            elif where is None:
                 expr = one_aggregate(x, agg, scale, flag)
             else:
                 fx = F.when(where, x)

@@ -643,8 +643,14 @@ def _instalment_sql() -> str:
 def instalment_features(spark, d):
     from ledgerline.operators.profile import report
 
+    from ledgerline.operators import encode
+
     rows = FE.instalment_rows(_instalments(spark, d), "l_extendedprice", "l_payment", "o_orderday", "l_shipday")
-    out = FE.counted_features(rows, "o_custkey", INST_SPEC, ["l_returnflag"], "INSTAL_", "INSTAL_COUNT", INST_SCALES)
+    # the instalment version has a small checked vocabulary: its distinct
+    # count stays inside the one aggregate
+    versions = encode.vocabularies(_t(spark, d, "lineitem"), ["l_linenumber"])
+    out = FE.counted_features(rows, "o_custkey", INST_SPEC, ["l_returnflag"], "INSTAL_", "INSTAL_COUNT", INST_SCALES,
+                              nunique_vocab=versions)
     # the paid share is a true ratio (no fixed scale): floating sums are reported to 9 decimals
     perc = [f"INSTAL_PAYMENT_PERC_{a}" for a in ("MEAN", "SUM", "VAR")]
     return out.withColumns({c: report(F.col(c), RATIO_DIGITS) for c in perc})
@@ -1301,7 +1307,7 @@ def customer_features(spark, d):
         {"l_shipday": R.day_number("l_shipdate"), "l_payment": F.col("l_extendedprice") * (1 - F.col("l_discount"))}
     )
     vocab = encode.vocabularies(orders, ["o_orderpriority", "o_orderstatus"])
-    vocab.update(encode.vocabularies(lines, list(MONTH_CATS)))
+    vocab.update(encode.vocabularies(lines, [*MONTH_CATS, "l_linenumber"]))
 
     # loan grain: month features of each order
     month_shares = []
@@ -1327,13 +1333,17 @@ def customer_features(spark, d):
     from ledgerline.operators.profile import report
 
     loan_cols += [report(F.avg(F.col(nm)), SHARE_DIGITS).alias(f"BURO_{nm}_MEAN") for nm in share_names]
-    loan_cols += [F.count("o_orderdate").alias("num_loan")]
+    from ledgerline.functions.aggs import presence_count
+
+    loan_cols += [
+        F.count("o_orderdate").alias("num_loan"),
+        presence_count(F.col("o_orderpriority"), vocab["o_orderpriority"]).alias("num_loantype"),
+    ]
     per_customer_loans = grouped.group_features(
         loans, "o_custkey",
         [Recipe(PREV_SPEC, prefix="PREV_", scales=PREV_SCALES, families=prev_fam),
          Recipe(buro_spec, prefix="BURO_", scales=BURO_SCALES, families=buro_fam)],
         loan_cols,
-        distinct=[F.count_distinct("o_orderpriority").alias("num_loantype")],
     ).withColumn("ave_loantype", R.ratio("num_loan", "num_loantype"))
 
     # customer grain over the lines: instalment + card
@@ -1349,7 +1359,7 @@ def customer_features(spark, d):
     card_scales.update({c: 0 for c in _card_cols() if c not in card_scales})
     per_customer_lines = grouped.group_features(
         inst, "o_custkey",
-        [Recipe(INST_SPEC, prefix="INSTAL_", scales=INST_SCALES),
+        [Recipe(INST_SPEC, prefix="INSTAL_", scales=INST_SCALES, vocab={"l_linenumber": vocab["l_linenumber"]}),
          Recipe({c: ["min", "max", "mean", "sum", "var"] for c in _card_cols()}, prefix="CC_", scales=card_scales,
                 flags=list(card_onehot))],
         share_columns("l_returnflag", vocab["l_returnflag"], "INSTAL_", True)

@@ -96,9 +96,12 @@ def counted_features(
     scales: Mapping[str, int] | None = None,
     with_missing: bool = True,
     vocab: Mapping[str, Sequence] | None = None,
+    nunique_vocab: Mapping[str, Sequence] | None = None,
 ) -> DataFrame:
-    """F8/F9 shape: recipe + category shares + row count ``{PREFIX}COUNT``."""
-    recipe = Recipe(num_spec, prefix=prefix, scales=scales or {})
+    """F8/F9 shape: recipe + category shares + row count ``{PREFIX}COUNT``.
+    ``nunique_vocab`` gives bounded vocabularies for distinct counts, which
+    then stay in the single aggregate (presence counts)."""
+    recipe = Recipe(num_spec, prefix=prefix, scales=scales or {}, vocab=nunique_vocab or {})
     extra = category_shares(df, cats, prefix, with_missing, vocab) + [F.count(F.lit(1)).alias(count_name)]
     return grouped.group_features(df, key, [recipe], extra)
 

@@ -164,3 +164,15 @@ def test_approx_nunique_option(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id"))
     out = {r.k: r.id_NUNIQUE_APPROX for r in grouped.group_features(df, "k", [Recipe({"id": ["nunique_approx"]})]).collect()}
     assert all(abs(v - 333) < 40 for v in out.values())
+
+
+def test_presence_count_equals_count_distinct(spark):
+    from ledgerline.functions.aggs import presence_count
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", None), ("b", None), ("c", 3)], "k string, v int")
+    got = {r.k: r.n for r in df.groupBy("k").agg(presence_count(F.col("v"), ["1", "2", "3"]).alias("n")).collect()}
+    want = {r.k: r.n for r in df.groupBy("k").agg(F.count_distinct("v").alias("n")).collect()}
+    assert got == want == {"a": 2, "b": 0, "c": 1}
+    r = Recipe({"v": ["nunique"]}, families={"F_": F.col("v") > 1}, vocab={"v": ["1", "2", "3"]})
+    out = {x.k: x for x in grouped.group_features(df, "k", [r]).collect()}
+    assert out["a"]["v_NUNIQUE"] == 2 and out["a"]["F_v_NUNIQUE"] == 1 and out["b"]["F_v_NUNIQUE"] is None
