@@ -499,9 +499,13 @@ def loan_history(spark, d):
 
 
 def _loan_history(spark, d):
+    from ledgerline.operators import encode
+
     loans = _t(spark, d, "orders").withColumn("d_end", R.day_number("o_orderdate", END_ORIGIN))
     cust = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    return FE.loan_history(cust, "c_custkey", loans, "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "F", "d_end")
+    types = encode.vocabularies(loans, ["o_orderpriority"])["o_orderpriority"]
+    return FE.loan_history(cust, "c_custkey", loans, "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "F",
+                           "d_end", type_vocab=types)
 
 
 @register(

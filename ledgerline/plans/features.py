@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import rows as R
-from ledgerline.functions.aggs import Recipe, share_columns, upper_name
+from ledgerline.functions.aggs import Recipe, presence_count, share_columns, upper_name
 from ledgerline.operators import encode, grouped, history
 
 # The aggregates of the previous-application recipe (F1) and
@@ -266,20 +266,24 @@ def loan_history(
     active_col: str,
     closed_value: str,
     end_day_col: str,
+    type_vocab: Sequence | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """per customer ``num_loan``, ``num_loantype``, ``ave_loantype``
     attached to the base rows; and the loan rows enriched with the
     customer's share of not-closed loans (``per_active``) and of loans
     whose end day is not in the past (``CREDIT_ENDDATE_PERCENTAGE``)."""
-    per_customer = grouped.group_features(
-        loans, key, [],
-        distinct=[F.count_distinct(type_col).alias(NUM_LOANTYPE)],
-        extra=[
-            F.count(count_col).alias(NUM_LOAN),
-            F.try_divide(F.sum(R.flag_unless_equal(active_col, closed_value)).cast("double"), F.count(F.lit(1))).alias(PER_ACTIVE),
-            F.try_divide(F.sum(R.flag_unless_negative(end_day_col)).cast("double"), F.count(F.lit(1))).alias(ENDDATE_SHARE),
-        ],
-    )
+    shares = [
+        F.count(count_col).alias(NUM_LOAN),
+        F.try_divide(F.sum(R.flag_unless_equal(active_col, closed_value)).cast("double"), F.count(F.lit(1))).alias(PER_ACTIVE),
+        F.try_divide(F.sum(R.flag_unless_negative(end_day_col)).cast("double"), F.count(F.lit(1))).alias(ENDDATE_SHARE),
+    ]
+    if type_vocab is None:
+        distinct_types = F.count_distinct(type_col).alias(NUM_LOANTYPE)
+        per_customer = grouped.group_features(loans, key, [], shares, distinct=[distinct_types])
+    else:
+        # a bounded type vocabulary: a presence count inside the one aggregate
+        present_types = presence_count(F.col(type_col), type_vocab).alias(NUM_LOANTYPE)
+        per_customer = grouped.group_features(loans, key, [], [present_types, *shares])
     counts = per_customer.select(
         key, NUM_LOAN, NUM_LOANTYPE, R.ratio(NUM_LOAN, NUM_LOANTYPE).alias(AVE_LOANTYPE)
     )

@@ -53,8 +53,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session leaves it unset (local tests) is a fresh scratch
-    folder created and registered.
+    Only when the session leaves it unset and runs locally (tests) is a
+    fresh scratch folder created and registered; a cluster session without
+    a shared folder raises (a machine-local folder would not survive the
+    loss of the executor that wrote it).
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -81,7 +83,15 @@ def cut_lineage(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     want at least one partition per core. A frame that came out with fewer
     partitions (only a small one does, after AQE coalescing) is spread
     round-robin and written once more; large frames are left as they are."""
-    checkpoint_dir(df.sparkSession)
+    try:
+        checkpoint_dir(df.sparkSession)
+    except RuntimeError as err:
+        # every lineage cut in the library is an optimisation: without a
+        # shared folder keep the lineage (recompute) rather than fail
+        import warnings
+
+        warnings.warn(f"{err}; continuing without a checkpoint", stacklevel=2)
+        return df
     out = df.checkpoint(eager=True)
     if min_partitions and out.rdd.getNumPartitions() < min_partitions:
         out = out.repartition(min_partitions).checkpoint(eager=True)
