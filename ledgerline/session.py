@@ -70,8 +70,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
             "set spark.checkpoint.dir to a shared folder: a machine-local scratch "
             "folder does not survive the loss of the executor that wrote it"
         )
+    # spark.checkpoint.dir cannot change at runtime: register the scratch
+    # folder with the context (found again above on the next call)
     path = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
