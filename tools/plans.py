@@ -17,7 +17,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 KEY = [
     "customer_features", "prev_features", "bureau_features", "instalment_features", "card_features",
     "prev_behaviour", "last_n_mean", "attach_group_mean", "agg_family", "agg_two_level",
-    "application_features", "corr_matrix", "roc_auc", "threshold_sweep",
+    "application_features", "loan_history", "clean_features", "impute_median", "oversample",
+    "corr_matrix", "roc_auc", "threshold_sweep",
 ]
 
 
@@ -34,7 +35,9 @@ def main(argv: list[str]) -> None:
     print(f"Executed (AQE final) plans at `{sf_dir}`, broadcast joins disabled, generated by `tools/plans.py`.")
     print("With broadcasts off, the tiny dimension joins of `application_features` (nation: 25 rows,")
     print("region: 5) show as sort-merge joins; with size statistics they are broadcast. `roc_auc`")
-    print("reads its checkpointed per-score table, so it shows no parquet scan.\n")
+    print("reads its checkpointed per-score table and `clean_features` its checkpointed input (its")
+    print("statistics ran as small jobs before), so they show no parquet scan; `oversample` is")
+    print("narrow (no shuffle at all).\n")
     print("| query | exchanges | reused | scans | sort-merge joins | windows | aggregates |")
     print("|---|---|---|---|---|---|---|")
     details = []
