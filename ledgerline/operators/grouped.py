@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions.aggs import Recipe
 
 
+SPLIT_DISTINCT_ABOVE = 8  # plain aggregates beside a distinct count that justify a second aggregate
+
+
 def group_features(
     df: DataFrame,
     key: str | Sequence[str],
@@ -32,11 +35,12 @@ def group_features(
     recipes come from never forms a group for them (trap 6).
 
     Distinct counts (the recipes' ``nunique`` and the ``distinct`` columns)
-    next to other aggregates go to their own aggregate, joined back on the
-    key. A distinct aggregate makes Spark push *every* other partial buffer
-    through an extra shuffle keyed by (key, value); split, the wide buffers
-    shuffle once by key and only narrow (key, value) pairs take the
-    distinct path. Both sides come out hash-partitioned on the key, so the
+    next to more than ``SPLIT_DISTINCT_ABOVE`` other aggregates go to their
+    own aggregate, joined back on the key. A distinct aggregate makes Spark
+    push *every* other partial buffer through an extra shuffle keyed by
+    (key, value); split, the wide buffers shuffle once by key and only
+    narrow (key, value) pairs take the distinct path. (Bounded columns are
+    better written as presence counts, which need no distinct path.) Both sides come out hash-partitioned on the key, so the
     join adds no exchange."""
     keys = [key] if isinstance(key, str) else list(key)
     present = F.lit(True)
@@ -45,7 +49,8 @@ def group_features(
     rows = df.where(present)
     plain = [c for r in recipes for c in r.columns("plain")] + list(extra)
     dist = [c for r in recipes for c in r.columns("distinct")] + list(distinct)
-    if not dist or not plain:
+    if not dist or len(plain) <= SPLIT_DISTINCT_ABOVE:
+        # few plain buffers ride along the distinct path cheaply: one aggregate
         every = [c for r in recipes for c in r.columns()] + list(extra) + list(distinct)
         return rows.groupBy(*keys).agg(*every)
     names = rows.groupBy(*keys).agg(*[c for r in recipes for c in r.columns()], *extra, *distinct).columns  # analysis only
