@@ -80,7 +80,7 @@ def previous_features(
     """numeric recipe + category shares for all rows, and the numeric
     recipe again per status family (``{"APPROVED_": "Approved", ...}``) —
     one grouped aggregate, one shuffle."""
-    fam = {p: F.col(status_col) == F.lit(v) for p, v in families.items()}
+    fam = {p: R.is_value(status_col, v) for p, v in families.items()}
     recipe = Recipe(num_spec, prefix=prefix, scales=scales or {}, families=fam)
     shares = category_shares(prev, cats, prefix, with_missing, vocab)
     return grouped.group_features(prev, key, [recipe], shares)
@@ -186,8 +186,8 @@ def bureau_features(
         {f"{month_col}_MIN": ["min"], f"{month_col}_MAX": ["max"], f"{month_col}_SIZE": ["mean", "sum"]}
     )
     fam = {
-        "ACTIVE_": F.col(active_col) == F.lit(active_value),
-        "CLOSED_": F.col(active_col) == F.lit(closed_value),
+        "ACTIVE_": R.is_value(active_col, active_value),
+        "CLOSED_": R.is_value(active_col, closed_value),
     }
     loan_recipe = Recipe(per_loan_spec, prefix="BURO_", scales=scales or {}, families=fam)
     second_extra = category_shares(loans, loan_cats, "BURO_", with_missing, vocab)
