@@ -8,7 +8,10 @@ machine-local copy.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +65,18 @@ class Workspace:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's sources to the executors' Python workers (once per context), so that
+    its functions can be imported there wherever the driver found the package."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerline_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="ledgerline-src-")) / "ledgerline_sources.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, str(source.relative_to(root.parent)))
+    sc.addPyFile(str(target))
+    sc._ledgerline_shipped = True

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import packing, warc
-from ledgerline.llm.common import table
+from ledgerline.llm import packing, toxicity, warc
+from ledgerline.llm.common import ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def _shipped(query: QueryFn) -> QueryFn:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,10 +43,15 @@ FROM d LEFT JOIN f USING (payload_digest)
 """
 
 
-QUERIES: dict[str, QueryFn] = {
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op1_warc_packages": op1_warc_packages,
+    "op2_toxicity": op2_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
-}
+}.items()}
 
 ORACLES: dict[str, str] = {
     "op1_warc_packages": OP1_SQL,

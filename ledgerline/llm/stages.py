@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import packing
+from ledgerline.llm import packing, toxicity
+from ledgerline.llm.common import ship, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; all others stay as they are."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [
+def _shipped(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _shipped(stage)) for name, stage in (
+    ("toxicity", toxicity_stage),
     ("best_fit_packing", pack_stage),
-]
+)]
