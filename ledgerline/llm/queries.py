@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import minhash, packing, toxicity, warc
+from ledgerline.llm import language, minhash, packing, toxicity, warc
 from ledgerline.llm.common import ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -51,11 +51,16 @@ def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op1_warc_packages": op1_warc_packages,
     "op2_toxicity": op2_toxicity,
     "op3_superminhash": op3_superminhash,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_language": op5_language,
 }.items()}
 
 ORACLES: dict[str, str] = {
