@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -52,7 +53,10 @@ def test_encoder_equals_tokenizer():
     texts = ["", " ", "a b", "a  b", "a \nb", "a\n b", "a\n\n  b c ", "it's 12  3 ' s", "x<|endoftext|>y z", "é ü ß  x", "\ta b\r\n c", "'s 's", "tail ", "a b  c", "日本 語 1,5 km."]
     rnd = random.Random(1)
     texts += ["".join(rnd.choice("ab é\n\t '1s.,  ") for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
-    got = P.Encoder(P.tokenizer_path()).encode(texts)
+    texts += [r["text"] for r in duckdb.sql(f"select text from '{SF}/documents.parquet'").df().to_dict("records")]
+    enc = P.Encoder(P.tokenizer_path())
+    assert enc.fast
+    got = enc.encode(texts)
     for t, g in zip(texts, got, strict=True):
         assert np.frombuffer(g, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
@@ -86,3 +90,12 @@ def test_edges(spark):
     seq = P.sequences(rows).collect()
     assert sum(r["length"] for r in seq) == got.length.sum() and all(len(r["input_ids"]) == 4 * r["length"] for r in seq)
     assert P.pack(docs.limit(0)).count() == 0
+
+
+def test_other_tokenizers():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = P.Encoder(path)
+    assert enc.fast is None
+    assert np.frombuffer(enc.encode(["Some words"])[0], "<u4").tolist() == Tokenizer.from_file(path).encode("Some words", add_special_tokens=False).ids
