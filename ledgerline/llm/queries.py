@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import language, minhash, packing, toxicity, warc
+from ledgerline.llm import decontaminate, language, minhash, packing, toxicity, warc
 from ledgerline.llm.common import ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -55,14 +55,20 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op1_warc_packages": op1_warc_packages,
     "op2_toxicity": op2_toxicity,
     "op3_superminhash": op3_superminhash,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language": op5_language,
+    "op8_decontamination": op8_decontamination,
 }.items()}
 
 ORACLES: dict[str, str] = {
     "op1_warc_packages": OP1_SQL,
+    "op8_decontamination": decontaminate.sql(),
 }
