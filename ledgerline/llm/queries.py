@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, language, minhash, packing, toxicity, warc
+from ledgerline.llm import decontaminate, katz, language, minhash, packing, toxicity, warc
 from ledgerline.llm.common import ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op1_warc_packages": op1_warc_packages,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +70,7 @@ QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language": op5_language,
     "op8_decontamination": op8_decontamination,
+    "op9_katz_scores": op9_katz_scores,
 }.items()}
 
 ORACLES: dict[str, str] = {
