@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, katz, language, minhash, packing, toxicity, warc
+from ledgerline.llm import decontaminate, katz, language, lines, minhash, packing, toxicity, warc
 from ledgerline.llm.common import ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op1_warc_packages": op1_warc_packages,
     "op2_toxicity": op2_toxicity,
@@ -71,9 +75,11 @@ QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op5_language": op5_language,
     "op8_decontamination": op8_decontamination,
     "op9_katz_scores": op9_katz_scores,
+    "op10_line_dedup": op10_line_dedup,
 }.items()}
 
 ORACLES: dict[str, str] = {
     "op1_warc_packages": OP1_SQL,
     "op8_decontamination": decontaminate.sql(),
+    "op10_line_dedup": lines.SQL,
 }
