@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, katz, language, lines, minhash, packing, toxicity, warc
+from ledgerline.llm import decontaminate, katz, language, lines, minhash, packing, suffixes, toxicity, warc
 from ledgerline.llm.common import ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"), keep_first=False)
+
+
 QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op1_warc_packages": op1_warc_packages,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +80,7 @@ QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op8_decontamination": op8_decontamination,
     "op9_katz_scores": op9_katz_scores,
     "op10_line_dedup": op10_line_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
 }.items()}
 
 ORACLES: dict[str, str] = {
