@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, katz, language, lines, minhash, packing, suffixes, toxicity, warc
+from ledgerline.llm import decontaminate, katz, language, lines, minhash, packing, suffixes, toxicity, vectors, warc
 from ledgerline.llm.common import ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents"), keep_first=False)
 
 
+def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op1_warc_packages": op1_warc_packages,
     "op2_toxicity": op2_toxicity,
@@ -81,6 +85,7 @@ QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op9_katz_scores": op9_katz_scores,
     "op10_line_dedup": op10_line_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_collision_counting": op7_collision_counting,
 }.items()}
 
 ORACLES: dict[str, str] = {
