@@ -8,9 +8,9 @@ positions hold a value below the next round, usually after one or two rounds.
 Documents with equal shingle sets form a class first, so a group of copies is
 one node. Classes that share a band go to a bucket; every member of a bucket is
 verified on the full sets against the bucket's first class (a star, not all
-pairs). After joining what is linked, the members of a bucket that are still
-apart are verified against the rest of it, so no link of a bucket that could
-join two groups goes unchecked.
+pairs). Members that are then in another group than their star's centre are
+compared with the star's other members, in blocks and through what sets each
+apart from the centre, so no link that could join two groups goes unchecked.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import graph
@@ -32,6 +32,8 @@ BANDS, ROWS = 24, 4
 SIGNATURE = BANDS * ROWS
 #: pairs of one document that are verified together at most before its set is copied to another task
 STAR_BLOCK = 64
+#: members of a star that are compared in one task: by number and by bytes of what sets them apart
+BLOCK_MEMBERS, BLOCK_BYTES = 2048, 16 << 20
 
 _WORD_FACTORS = (np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.int64).astype(np.uint64) << U(1)) | U(1)
 _ROUND_SEEDS = np.random.default_rng(78).integers(1, 2**62, SIGNATURE, dtype=np.int64).astype(np.uint64)
@@ -147,26 +149,35 @@ def _sets(k: int):
     return run_
 
 
-def _confirm(threshold: int):
+STAR_SCHEMA = "a long, b long, size_a long, size_b long, linked boolean, delta binary"
+
+
+def _compare(threshold: int):
+    """Per pair: whether it is linked on the full sets, and the elements that only one of both has."""
+
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            sizes, linked, delta = [], [], []
             for x, y in zip(batch.column("ka"), batch.column("kb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= threshold * (len(x) + len(y) - common))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+                one = np.setxor1d(x, y, assume_unique=True)
+                common, union = (len(x) + len(y) - len(one)) // 2, (len(x) + len(y) + len(one)) // 2
+                sizes.append((len(x), len(y)))
+                linked.append(100 * common >= threshold * union)
+                delta.append(one.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array([s[0] for s in sizes], pa.int64()), pa.array([s[1] for s in sizes], pa.int64()), pa.array(linked, pa.bool_()), pa.array(delta, pa.binary())],
+                ["a", "b", "size_a", "size_b", "linked", "delta"],
+            )
 
     return run_
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    pairs = work.save(pairs, f"{name}_pairs")
+def _compared(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, work: Workspace) -> DataFrame:
+    """STAR_SCHEMA rows of the pairs (a, b): their full shingle sets compared."""
+    pairs = work.save(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = work.save(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, keys binary"), f"{name}_sets")
+    sets = work.save(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, keys binary"), "sets")
     # the set of a star's centre goes to as many tasks as its pairs need
     spread = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / STAR_BLOCK) + 1).cast("int").alias("copies"))
     left = pairs.join(spread, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).select("a", "b", "copy")
@@ -174,7 +185,62 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, work: W
         sets.join(spread, F.col("doc_id") == F.col("a")).select(F.col("doc_id").alias("a"), F.col("keys").alias("ka"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     )
     member = sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("kb"))
-    return left.join(member, "b").join(centre, ["a", "copy"]).select("a", "b", "ka", "kb").mapInArrow(_confirm(threshold), "a long, b long").distinct()
+    return left.join(member, "b").join(centre, ["a", "copy"]).select("a", "b", "ka", "kb").mapInArrow(_compare(threshold), STAR_SCHEMA)
+
+
+def _straggler_links(threshold: int):
+    """Links of members that are apart from their star's centre, inside one block or between two.
+
+    With D the elements that only one of a member and the centre has, the sets of two
+    members differ in |Dx| + |Dy| - 2 |Dx and Dy| elements, so the test is exact without
+    the full sets. A pivot that joins the centre's group needs no further test."""
+
+    def run_(table: pa.Table) -> pa.Table:
+        node, group, main = (table.column(c).to_numpy() for c in ("node", "group", "main"))
+        size, side = table.column("size").to_numpy(), table.column("side").to_numpy()
+        first, last = table.column("first").to_numpy()[0], table.column("second").to_numpy()[0]
+        offsets, data = T.buffers(table.column("delta").combine_chunks())
+        length = np.diff(offsets) // 8
+        flat = data[offsets[0] : offsets[-1]].view(np.uint64) if offsets[-1] > offsets[0] else np.zeros(0, np.uint64)
+        _, ids = np.unique(flat, return_inverse=True)
+        at = np.r_[0, np.cumsum(length)]
+        marked = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+        parent = {int(g): int(g) for g in group}
+        parent[int(main[0])] = int(main[0])
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found: tuple[list[int], list[int]] = ([], [])
+        current = group.copy()
+        for x in np.flatnonzero(group != main):
+            if root(int(group[x])) == root(int(main[0])):
+                continue
+            other = np.flatnonzero(current != current[x]) if first == last else np.flatnonzero((side != side[x]) & (current != current[x]))
+            own = ids[at[x] : at[x + 1]]
+            if not len(other) or not len(own):
+                continue
+            marked[own] = True
+            entries = T.concat_ranges(at[other], length[other])
+            hit = np.r_[0, np.cumsum(marked[ids[entries]])]
+            ends = np.r_[0, np.cumsum(length[other])]
+            common = hit[ends[1:]] - hit[ends[:-1]]
+            marked[own] = False
+            differ = length[x] + length[other] - 2 * common
+            total = size[x] + size[other]
+            for y in other[100 * (total - differ) >= threshold * (total + differ)]:
+                a, b = root(int(group[x])), root(int(group[y]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found[0].append(int(node[x]))
+                    found[1].append(int(node[y]))
+                    current[(current == a) | (current == b)] = min(a, b)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return run_
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -191,27 +257,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
         .agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")),
         "classes",
     )
-    near = lambda x, y: 100 * F.least(x, y) >= threshold * F.greatest(x, y)
-    member = classes.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").alias("n"))
-    bucket = member.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("first.node").alias("centre"), F.col("first.n").alias("centre_n"))
-    shared = work.save(member.join(bucket, "key"), "shared")
-    star = shared.filter(F.col("node") != F.col("centre")).filter(near(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = work.save(_verified(star, docs, k, threshold, work, "star"), "links")
-    joined = graph.components(links, work, "first")
-    # members of a bucket that are not yet with its centre: all their other pairs
-    placed = shared.join(joined.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    main = joined.select(F.col("node").alias("centre"), F.col("component").alias("main"))
-    placed = placed.join(main, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
-    placed = work.save(placed.select("key", "node", "n", "group", "main", "centre"), "placed")
-    apart = placed.filter(F.col("group") != F.col("main"))
-    x = apart.select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("group").alias("xg"))
-    open_keys = apart.select("key").distinct()
-    y = placed.join(open_keys, "key", "left_semi").filter(F.col("node") != F.col("centre")).select("key", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("group").alias("yg"))
-    rest = x.join(y, "key").filter((F.col("xg") != F.col("yg")) & near(F.col("xn"), F.col("yn"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = work.save(_verified(rest, docs, k, threshold, work, "rest"), "more")
+    member = classes.select(F.explode("bands").alias("key"), "node")
+    bucket = member.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "centre")
+    star = member.join(bucket, "key").filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    stars = work.save(_compared(star, docs, k, threshold, work), "stars")
+    links = stars.filter("linked").select("a", "b")
+    joined = work.save(graph.components(links, work, "first"), "joined")
+    # stars with members that are in another group than the centre: those members against all others
+    main = joined.select(F.col("node").alias("a"), F.col("component").alias("main"))
+    group = joined.select(F.col("node").alias("b"), F.col("component").alias("group"))
+    placed = stars.join(main, "a", "left").join(group, "b", "left").select(
+        "a", F.col("b").alias("node"), F.coalesce("group", "b").alias("group"), F.coalesce("main", "a").alias("main"), F.col("size_b").alias("size"), "delta"
+    )
+    open_ = placed.groupBy("a").agg(
+        F.max((F.col("group") != F.col("main")).cast("int")).alias("apart"), F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("delta")).alias("bytes")
+    ).filter("apart = 1 and members > 1")
+    open_ = open_.select("a", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = placed.join(open_, "a").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("first", F.least("side", "other")).withColumn("second", F.greatest("side", "other"))
+    more = work.save(rows.drop("blocks", "other").groupBy("a", "first", "second").applyInArrow(_straggler_links(threshold), "a long, b long"), "more")
     final = graph.components(links.union(more), work, "final")
     component = classes.select("set_a", "set_b", "n_shingles", "node").join(final, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
     return signed.join(component, ["set_a", "set_b", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the document with the
+    smallest id stays, once, with its columns as they are. Documents without words all stay."""
+    found = near_duplicates(docs, k, threshold).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_d")).agg(
+        F.max((~F.col("kept")).cast("int")).alias("_gone"), F.max("n_shingles").alias("_n")
+    )
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = docs.withColumn("_t", text).join(found.hint("merge"), F.col("doc_id").cast("long") == F.col("_d"), "left").filter(F.coalesce("_gone", F.lit(0)) == 0)
+    copy = F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))
+    return joined.withColumn("_copy", copy).filter((F.col("_copy") == 1) | F.coalesce(F.col("_n") == 0, F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns])
