@@ -27,6 +27,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerline.functions.columns import named
+
 AGGREGATES = ("mean", "min", "max", "sum", "var", "size", "count", "nunique", "nunique_approx")
 
 NameFn = Callable[[str, str], str]
@@ -38,7 +40,7 @@ def upper_name(prefix: str) -> NameFn:
 
 
 def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return named(c) if isinstance(c, str) else c
 
 
 def units(x: Column, scale: int) -> Column:
@@ -67,6 +69,10 @@ def _wide(u: Column) -> Column:
     return u.cast("decimal(38,0)")
 
 
+def _power(digits: int) -> Column:
+    return F.lit(10 ** digits).cast("decimal(20,0)")
+
+
 def _product(u: Column, v: Column) -> Column:
     """Exact u·v as a 38-digit decimal: the 64-bit product when it fits
     (``try_multiply``), the decimal product only on overflow."""
@@ -86,7 +92,8 @@ def exact_var(x: Column, scale: int, flag: bool = False) -> Column:
     # a 0/1 flag has u² = u: its square sum is the plain 64-bit sum
     s2 = s1 if flag else F.sum(_product(u, u))
     num = (_wide(n) * s2 - s1 * s1).cast("double")
-    den = (n * (n - 1) * F.lit(10 ** (2 * scale))).cast("double")
+    # 38 digits: n(n-1) with the scale leaves 64 bits at a few hundred thousand rows
+    den = (_wide(n) * _wide(n - 1) * _power(2 * scale)).cast("double")
     return F.when(n > 1, num / den)
 
 
@@ -109,7 +116,7 @@ def exact_covar(x: Column, y: Column, sx: int, sy: int) -> Column:
     """Sample covariance of two fixed-point columns: exact numerator, one
     conversion and one division."""
     n, cxy, _, _ = exact_comoments(x, y, sx, sy)
-    den = (n * (n - 1) * F.lit(10 ** (sx + sy))).cast("double")
+    den = (_wide(n) * _wide(n - 1) * _power(sx + sy)).cast("double")
     return F.when(n > 1, cxy.cast("double") / den)
 
 
@@ -250,7 +257,7 @@ def share_columns(
     Computed as count / rows so the ratio is an exact double division.
     """
     base = name_col or col
-    x = F.col(col)
+    x = named(col)
     rows = F.count(F.lit(1))
     out = [
         (F.sum(F.when(x == F.lit(v), 1).otherwise(0)).cast("double") / rows).alias(f"{prefix}{base}_{v}{suffix}")

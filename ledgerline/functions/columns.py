@@ -6,11 +6,18 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has (generated names carry
+    category values, and these may hold dots)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def matching(df: DataFrame, pattern: str) -> list[str]:
     """P5: columns whose name contains a regex match (pandas ``filter(regex=)``)."""
     rx = re.compile(pattern)

@@ -1,11 +1,13 @@
 """Category encodings.
 
-The output schema of a one-hot encoding depends on the data, so the
-vocabulary is fixed first: one distributed ``distinct`` whose size is
-checked before anything reaches the driver. Vocabularies become literal
-expressions (a map lookup inside whole-stage codegen, no join); a column
-with more than ``MAX_VOCABULARY`` values is refused — for such columns use
-``pyspark.ml.feature.StringIndexer`` / hashing instead of a one-hot.
+Codes (E3, E4) are a table: distinct values are ranked on the executors and
+left-joined to the rows, so a column may have any number of values; Spark
+broadcasts the table when it is below the session's threshold.
+
+One-hot columns (E1, E2) and wide shares have one output column per value, so
+their vocabulary is part of the plan: the caller passes it, or it is taken from
+the data by one distributed ``distinct``. For columns with many values,
+:func:`long_shares` gives (key, column, value, share) rows instead.
 """
 
 from __future__ import annotations
@@ -15,32 +17,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_VOCABULARY = 10_000  # values a one-hot / literal map may carry
+from ledgerline.functions.columns import named
+from ledgerline.operators.ranking import global_rank
 
 
 class VocabularyTooLarge(ValueError):
     pass
 
 
-def vocabulary(df: DataFrame, col: str, max_values: int = MAX_VOCABULARY) -> list:
-    """Sorted distinct non-missing values of ``col``; raises if more than
-    ``max_values`` (never pulls an unbounded set to the driver)."""
-    rows = (
-        df.select(col).where(F.col(col).isNotNull()).distinct()
-        .orderBy(col).limit(max_values + 1).collect()
-    )
-    if len(rows) > max_values:
-        raise VocabularyTooLarge(f"{col} has more than {max_values} distinct values")
-    return [r[0] for r in rows]
-
-
-def vocabularies(df: DataFrame, cols: Sequence[str], max_values: int = MAX_VOCABULARY) -> dict[str, list]:
-    """Vocabularies of several columns in one job: a long-form
-    (column, value) distinct, capped per column before collection."""
+def vocabularies(df: DataFrame, cols: Sequence[str], max_values: int | None = None) -> dict[str, list]:
+    """Vocabularies of several columns in one job: a long-form (column, value) distinct.
+    A caller that plans for at most ``max_values`` columns gets an error beyond."""
     if not cols:
         return {}
     pairs = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), named(c).cast("string").alias("v")) for c in cols])).alias("p")
     ).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
     # the distinct pairs are read twice (sizes, then values): write them once
     # instead of scanning the source twice
@@ -49,7 +40,7 @@ def vocabularies(df: DataFrame, cols: Sequence[str], max_values: int = MAX_VOCAB
     pairs = cut_lineage(pairs)
     # sizes first (one row per column), values only once every size is checked
     sizes = {r["c"]: r["n"] for r in pairs.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_big = [c for c, n in sizes.items() if n > max_values]
+    too_big = [c for c, n in sizes.items() if max_values is not None and n > max_values]
     if too_big:
         raise VocabularyTooLarge(f"{too_big} have more than {max_values} distinct values")
     got: dict[str, list] = {c: [] for c in cols}
@@ -61,7 +52,7 @@ def vocabularies(df: DataFrame, cols: Sequence[str], max_values: int = MAX_VOCAB
 
 
 def one_hot_columns(col: str, values: Sequence, with_missing: bool) -> dict[str, Column]:
-    x = F.col(col)
+    x = named(col)
     out = {f"{col}_{v}": F.when(x == F.lit(v), 1).otherwise(0) for v in values}
     if with_missing:
         out[f"{col}_nan"] = x.isNull().cast("int")
@@ -82,40 +73,43 @@ def one_hot(
     return df.withColumns(new).drop(*vocab.keys()), list(new)
 
 
-def _code_map(values: Sequence, codes: Sequence[int]) -> Column:
-    return F.create_map(*[e for v, c in zip(values, codes) for e in (F.lit(v), F.lit(c))])
+def _coded(df: DataFrame, col: str, codes: DataFrame) -> DataFrame:
+    """``df`` with ``col`` replaced by its code (table ``_value``, ``_code``), missing where it has none."""
+    joined = df.join(codes, named(col) == F.col("_value"), "left")
+    return joined.select(*[F.col("_code").cast("int").alias(c) if c == col else named(c) for c in df.columns])
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], max_values: int = MAX_VOCABULARY) -> DataFrame:
-    """Integer codes by sorted value (0..k-1); missing stays missing.
-    String columns share one vocabulary job; others sort in their own type."""
-    types = dict(df.dtypes)
-    strings = [c for c in cols if types[c] == "string"]
-    vocab = vocabularies(df, strings, max_values)
-    vocab.update({c: vocabulary(df, c, max_values) for c in cols if c not in strings})
-    return df.withColumns(
-        {c: _code_map(v, range(len(v)))[F.col(c)].cast("int") for c, v in vocab.items()}
-    )
+def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Integer codes by sorted value (0..k-1); missing stays missing."""
+    out = df
+    for c in cols:
+        values = df.select(named(c).alias("_value")).where(F.col("_value").isNotNull()).distinct()
+        out = _coded(out, c, global_rank(values, ["_value"], "_code"))
+    return out
 
 
-def factorize(df: DataFrame, cols: Sequence[str], order: Sequence[Column], max_values: int = MAX_VOCABULARY) -> DataFrame:
+def factorize(df: DataFrame, cols: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Integer codes in order of first appearance under ``order``
-    (a total row order must be given: Spark rows have none); missing → -1.
-
-    First appearance per value is a distributed ``min_by``-style aggregate;
-    only the (checked, small) value → code table reaches the driver."""
+    (a total row order must be given: Spark rows have none); missing → -1."""
+    first = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)])
     out = df
-    order_struct = F.struct(*order)
     for c in cols:
-        firsts = (
-            df.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(order_struct).alias("first"))
-            .orderBy("first").limit(max_values + 1).collect()
-        )
-        if len(firsts) > max_values:
-            raise VocabularyTooLarge(f"{c} has more than {max_values} distinct values")
-        values = [r[0] for r in firsts]
-        out = out.withColumn(c, F.coalesce(_code_map(values, range(len(values)))[F.col(c)], F.lit(-1)).cast("int"))
-    return out
+        firsts = df.where(named(c).isNotNull()).groupBy(named(c).alias("_value")).agg(F.min(first).alias("_first"))
+        codes = global_rank(firsts, [F.col(f"_first.k{i}") for i in range(len(order))], "_code").drop("_first")
+        out = _coded(out, c, codes)
+    return out.withColumns({c: F.coalesce(named(c), F.lit(-1)) for c in cols})
+
+
+def long_shares(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """A8 in long form: (key, column_name, value, share), the share of the key's rows that have
+    the value in the column; a missing value is a value of its own."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), named(c).cast("string").alias("value")) for c in cols]))
+    counts = df.select(named(key).alias(key), pairs.alias("p")).groupBy(key, "p.column_name", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    # every row has one value per column: a column's counts add up to the key's rows
+    rows = counts.where(F.col("column_name") == F.lit(cols[0])).groupBy(named(key).alias("_key")).agg(F.sum("n").alias("rows"))
+    return counts.join(rows, named(key).eqNullSafe(F.col("_key"))).select(
+        key, "column_name", "value", (F.col("n").cast("double") / F.col("rows")).alias("share")
+    )
 
 
 def one_hot_vector_stages(cols: Sequence[str], with_missing: bool = True) -> list:

@@ -47,52 +47,43 @@ def _safe(num: Column, den: Column) -> Column:
 
 def class_report(
     df: DataFrame,
-    classes: Sequence[int] = (0, 1),
+    classes: Sequence[int] | None = None,
     label: str = "label",
     prediction: str = "prediction",
 ) -> DataFrame:
-    """V3: per-class precision / recall / f1 / support plus macro and
-    weighted averages (rows keyed by ``class``). One aggregate pass."""
-    y, p = F.col(label), F.col(prediction)
-    counts = []
-    for c in classes:
-        counts += [
-            F.count_if((y == c) & (p == c)).alias(f"tp{c}"),
-            F.count_if((y != c) & (p == c)).alias(f"fp{c}"),
-            F.count_if((y == c) & (p != c)).alias(f"fn{c}"),
-            F.count_if(y == c).alias(f"s{c}"),
-        ]
-    wide = df.agg(*counts)
-    per = []
-    for c in classes:
-        tp, fp, fn, s = (F.col(f"{k}{c}") for k in ("tp", "fp", "fn", "s"))
-        per.append(
-            F.struct(
-                F.lit(str(c)).alias("class"),
-                _safe(tp, tp + fp).alias("precision"),
-                _safe(tp, tp + fn).alias("recall"),
-                _safe(2 * tp, 2 * tp + fp + fn).alias("f1"),
-                s.alias("support"),
-            )
-        )
-    rows = wide.select(F.explode(F.array(*per)).alias("r")).select("r.*")
-    k = float(len(classes))
-    total = F.sum("support")
-    avg = rows.agg(
-        F.lit("macro avg").alias("class"),
-        (F.sum("precision") / F.lit(k)).alias("precision"),
-        (F.sum("recall") / F.lit(k)).alias("recall"),
-        (F.sum("f1") / F.lit(k)).alias("f1"),
-        total.alias("support"),
-    )
-    weighted = rows.agg(
-        F.lit("weighted avg").alias("class"),
-        _safe(F.sum(F.col("precision") * F.col("support")), total).alias("precision"),
-        _safe(F.sum(F.col("recall") * F.col("support")), total).alias("recall"),
-        _safe(F.sum(F.col("f1") * F.col("support")), total).alias("f1"),
-        total.alias("support"),
+    """V3: per-class precision / recall / f1 / support plus macro and weighted averages
+    (rows keyed by ``class``). The classes are those of the labels and predictions, or the
+    ones given (with zeros where they do not occur). One pass: everything follows from the
+    counts of (label, prediction)."""
+    spark = df.sparkSession
+    pairs = df.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("bigint")
+    sides = pairs.select(F.explode(F.array(
+        F.struct(F.col("y").cast("bigint").alias("c"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("s"), zero.alias("m")),
+        F.struct(F.col("p").cast("bigint").alias("c"), zero.alias("tp"), zero.alias("s"), F.col("n").alias("m")),
+    )).alias("r")).select("r.*").where(F.col("c").isNotNull())
+    if classes is not None:
+        wanted = spark.createDataFrame([(int(c), 0, 0, 0) for c in classes], "c bigint, tp bigint, s bigint, m bigint")
+        sides = sides.where(F.col("c").isin([int(c) for c in classes])).unionByName(wanted)
+    counts = sides.groupBy("c").agg(F.sum("tp").alias("tp"), F.sum("s").alias("s"), F.sum("m").alias("m"))
+    tp, s, m = F.col("tp"), F.col("s"), F.col("m")
+    rows = counts.select(
+        F.col("c").cast("string").alias("class"), _safe(tp, m).alias("precision"), _safe(tp, s).alias("recall"),
+        _safe(2 * tp, s + m).alias("f1"), s.alias("support"),
     )
-    return rows.unionByName(avg).unionByName(weighted)
+    metrics = ("precision", "recall", "f1")
+    # in class order, so the sums of a few doubles do not depend on partitions
+    ordered = F.array_sort(F.collect_list(F.struct("class", *metrics, "support")))
+    total = F.aggregate("r", zero, lambda t, x: t + x["support"])
+
+    def summed(k: str, weighted: bool) -> Column:
+        return F.aggregate("r", F.lit(0.0), lambda t, x: t + (x[k] * x["support"] if weighted else x[k]))
+
+    plain = [_safe(summed(k, False), F.size("r")).alias(k) for k in metrics]
+    weighted = [_safe(summed(k, True), total).alias(k) for k in metrics]
+    together = rows.agg(ordered.alias("r"))
+    macro = together.select(F.lit("macro avg").alias("class"), *plain, total.alias("support"))
+    return rows.unionByName(macro).unionByName(together.select(F.lit("weighted avg").alias("class"), *weighted, total.alias("support")))
 
 
 SCORES_PER_RANGE = 2_000_000  # distinct scores one window task ranks
@@ -104,7 +95,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets:
     Rows collapse to one row per distinct score; distinct scores are cut
     into ranges at approximate quantiles (a bounded array), negatives below
     each score are a window *within* a range plus the total of the earlier
-    ranges (a bounded table, broadcast). No single-partition window.
+    ranges (one row per range). No single-partition window.
     """
     from pyspark.ml.feature import Bucketizer
 
@@ -129,14 +120,19 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets:
         F.coalesce(F.sum("rng_neg").over(Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
     )
     within = Window.partitionBy("rng").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    scored = ranged.join(F.broadcast(offsets), "rng").withColumn(
+    scored = ranged.join(offsets, "rng").withColumn(
         "below", F.col("offset") + F.coalesce(F.sum("neg").over(within), F.lit(0))
     )
-    # 2·Σ pos·(below + neg/2) is an integer: exact until the final division
-    twice = F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg")))
-    return scored.agg(
-        F.try_divide(twice.cast("double"), (2 * F.sum("pos") * F.sum("neg")).cast("double")).alias("auc")
-    )
+    return auc_from_counts(scored)
+
+
+def auc_from_counts(scored: DataFrame) -> DataFrame:
+    """AUC from rows (pos, neg, below: negatives under the score). 2·Σ pos·(below + neg/2)
+    is an integer: exact (38 digits) until the final division."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    twice = F.sum(wide(wide(F.col("pos")) * wide(2 * F.col("below") + F.col("neg"))))
+    pairs = wide(F.sum("pos")) * wide(F.sum("neg")) * F.lit(2).cast("decimal(1,0)")
+    return scored.agg(F.try_divide(twice.cast("double"), pairs.cast("double")).alias("auc"))
 
 
 def sweep_index(score: Column, steps: int = 100) -> Column:
@@ -166,12 +162,13 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score", s
         .select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "pos", "neg")
         .groupBy("i").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
     )
-    npos = groups.agg(F.coalesce(F.sum("pos"), F.lit(0))).first()[0]
-    out = thresholds.join(above, "i", "left").select(
+    # the positives ride along: one row, in the same plan
+    npos = groups.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("npos"))
+    out = thresholds.join(above, "i", "left").join(F.broadcast(npos), F.lit(True)).select(
         (F.col("i").cast("double") / F.lit(float(steps))).alias("x"),
         F.coalesce("tp", F.lit(0)).alias("tp"),
         F.coalesce("fp", F.lit(0)).alias("fp"),
-        F.lit(npos).cast("bigint").alias("npos"),
+        F.col("npos").cast("bigint").alias("npos"),
     )
     tp, fp, npos_c = F.col("tp"), F.col("fp"), F.col("npos")
     return out.select(

@@ -11,53 +11,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.aggs import exact_mean
+from ledgerline.functions.columns import named
 
 HISTOGRAM_BUCKETS = 4096
 SMALL_BUCKET = 50_000  # rows ranked inside one bucket (one task each)
 
 
-def _kth(values: DataFrame, k: int, lo: float, hi: float, below: int = 0) -> float:
-    """The k-th smallest (0-based) of column ``x`` among values in [lo, hi],
-    given ``below`` values lie under ``lo``. Each round is one aggregate
-    with at most HISTOGRAM_BUCKETS result rows."""
-    x = F.col("x")
-    while True:
-        if lo == hi:
-            return lo
-        width = (hi - lo) / HISTOGRAM_BUCKETS
-        bucket = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(HISTOGRAM_BUCKETS - 1))
-        rows = (
-            values.where((x >= F.lit(lo)) & (x <= F.lit(hi)))
-            .groupBy(bucket.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-            .orderBy("b")
-            .collect()
-        )
-        for r in rows:
-            if below + r["n"] > k:
-                break
-            below += r["n"]
-        if r["lo"] == r["hi"]:
-            return r["lo"]
-        if r["n"] <= SMALL_BUCKET or (r["lo"] == lo and r["hi"] == hi):
-            local = k - below
-            got = (
-                values.where((x >= F.lit(r["lo"])) & (x <= F.lit(r["hi"])))
-                .orderBy("x").limit(local + 1).collect()
-            )
-            return got[local]["x"]
-        lo, hi = r["lo"], r["hi"]
-
-
 def _stack(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Columns as long (column id ``c``, value ``x``), missing dropped."""
+    """Columns as long (column id ``c``, value ``x``), missing and NaN dropped."""
     return df.select(
-        F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])).alias("p")
-    ).select("p.c", "p.x").where(F.col("x").isNotNull())
+        F.explode(F.array(*[F.struct(F.lit(i).alias("c"), named(c).cast("double").alias("x")) for i, c in enumerate(cols)])).alias("p")
+    ).select("p.c", "p.x").where(F.col("x").isNotNull() & ~F.isnan("x"))
+
+
+def _bucket(x: Column, lo: float, hi: float) -> Column:
+    """Bucket of a value in [lo, hi]; both factors stay finite for any finite range."""
+    width = hi / HISTOGRAM_BUCKETS - lo / HISTOGRAM_BUCKETS
+    if width == 0.0:
+        # a range of a few smallest doubles: its ends are buckets of their own
+        return F.when(x <= F.lit(lo), F.lit(0)).when(x >= F.lit(hi), F.lit(2)).otherwise(F.lit(1))
+    at = F.floor(x / F.lit(width) - F.lit(lo / width))
+    return F.greatest(F.lit(0), F.least(at, F.lit(HISTOGRAM_BUCKETS - 1)))
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
@@ -73,15 +51,19 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
         return {}
     stacked = _stack(df, cols)
     x, c = F.col("x"), F.col("c")
+    finite = F.abs(x) < F.lit(float("inf"))
     stats = {r["c"]: r for r in stacked.groupBy("c").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+        F.count(F.lit(1)).alias("n"), F.count_if(x == F.lit(float("-inf"))).alias("low"), F.count_if(x == F.lit(float("inf"))).alias("high"),
+        F.min(F.when(finite, x)).alias("lo"), F.max(F.when(finite, x)).alias("hi")).collect()}
     # task: column id, rank, lo, hi, rows below lo, answer
     tasks: list[list] = []
     for i in range(len(cols)):
         st = stats.get(i)
         if st is not None:
             for rank in sorted({(st["n"] - 1) // 2, st["n"] // 2}):
-                tasks.append([i, rank, st["lo"], st["hi"], 0, st["lo"] if st["lo"] == st["hi"] else None])
+                # infinities are end buckets of their own: only finite values are narrowed
+                known = float("-inf") if rank < st["low"] else float("inf") if rank >= st["n"] - st["high"] else st["lo"] if st["lo"] == st["hi"] else None
+                tasks.append([i, rank, st["lo"], st["hi"], st["low"], known])
     while True:
         open_ids = [tid for tid, t in enumerate(tasks) if t[5] is None]
         if not open_ids:
@@ -91,8 +73,7 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
         pairs = []
         for tid in open_ids:
             col_id, _, lo, hi, _, _ = tasks[tid]
-            width = (hi - lo) / HISTOGRAM_BUCKETS
-            bucket = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(HISTOGRAM_BUCKETS - 1))
+            bucket = _bucket(x, lo, hi)
             inside = (c == col_id) & (x >= F.lit(lo)) & (x <= F.lit(hi))
             pairs.append(F.when(inside, F.struct(F.lit(tid).alias("t"), bucket.alias("b"))))
         hist = (
@@ -112,7 +93,8 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
                 t[4] += r["n"]
             if r["lo"] == r["hi"]:
                 t[5] = r["lo"]
-            elif r["n"] <= SMALL_BUCKET:
+            elif r["n"] <= SMALL_BUCKET or (r["lo"], r["hi"]) == (t[2], t[3]):
+                # few rows, or a round without progress (neighbouring doubles)
                 small.append((tid, r["lo"], r["hi"], t[1] - t[4]))
             else:
                 t[2], t[3] = r["lo"], r["hi"]
@@ -134,7 +116,7 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
     out: dict[str, float | None] = {}
     for i, name in enumerate(cols):
         vals = [t[5] for t in tasks if t[0] == i]
-        out[name] = None if not vals else vals[0] + (vals[-1] - vals[0]) * 0.5
+        out[name] = None if not vals else vals[0] if vals[0] == vals[-1] else vals[0] + (vals[-1] - vals[0]) * 0.5
     return out
 
 

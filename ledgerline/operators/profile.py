@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.aggs import exact_corr, exact_covar
+from ledgerline.functions.columns import named
 
 
 def report(x: Column, digits: int) -> Column:
@@ -28,7 +29,7 @@ def value_sets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """The distinct values of every column, long form (column_name, value).
     Distributed ``distinct``; no per-column set is built in one buffer."""
     pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
+        F.array(*[F.struct(F.lit(c).alias("column_name"), named(c).cast("string").alias("value")) for c in cols])
     )
     return df.select(pairs.alias("p")).select("p.column_name", "p.value").distinct()
 
@@ -36,9 +37,9 @@ def value_sets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def token_counts(df: DataFrame, token: str, cols: Sequence[str] | None = None) -> DataFrame:
     """How often ``token`` appears in each string column (one pass), long form."""
     cols = cols if cols is not None else [c for c, t in df.dtypes if t == "string"]
-    wide = df.agg(*[F.count_if(F.col(c) == F.lit(token)).alias(c) for c in cols])
+    wide = df.agg(*[F.count_if(named(c) == F.lit(token)).alias(c) for c in cols])
     return wide.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in cols])).alias("p")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), named(c).alias("n")) for c in cols])).alias("p")
     ).select("p.column_name", "p.n")
 
 
@@ -61,14 +62,14 @@ def corr_expr(a: Column, b: Column) -> Column:
 
 def _corr(a: str, b: str, scales: Mapping[str, int] | None) -> Column:
     if scales and a in scales and b in scales:
-        return exact_corr(F.col(a), F.col(b), scales[a], scales[b])
-    return corr_expr(F.col(a).cast("double"), F.col(b).cast("double"))
+        return exact_corr(named(a), named(b), scales[a], scales[b])
+    return corr_expr(named(a).cast("double"), named(b).cast("double"))
 
 
 def _covar(a: str, b: str, scales: Mapping[str, int] | None) -> Column:
     if scales and a in scales and b in scales:
-        return exact_covar(F.col(a), F.col(b), scales[a], scales[b])
-    x, y = _pairwise(F.col(a).cast("double"), F.col(b).cast("double"))
+        return exact_covar(named(a), named(b), scales[a], scales[b])
+    x, y = _pairwise(named(a).cast("double"), named(b).cast("double"))
     return F.covar_samp(x, y)
 
 
@@ -93,7 +94,7 @@ def target_correlation(
         exprs.append(c.alias(f))
     wide = df.agg(*exprs)
     return wide.select(
-        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("corr")) for f in features])).alias("p")
+        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), named(f).alias("corr")) for f in features])).alias("p")
     ).select("p.feature", "p.corr")
 
 
@@ -124,10 +125,10 @@ def correlation_matrix(
         wide = df.agg(*[v.alias(f"{a}\u0001{b}") for a, b, v in items])
         structs = []
         for a, b, _ in items:
-            name = f"`{a}\u0001{b}`"
-            structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(name).alias("value")))
+            value = named(f"{a}\u0001{b}").alias("value")
+            structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value))
             if a != b:
-                structs.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(name).alias("value")))
+                structs.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), value))
         parts.append(wide.select(F.explode(F.array(*structs)).alias("p")).select("p.a", "p.b", "p.value"))
     out = parts[0]
     for part in parts[1:]:

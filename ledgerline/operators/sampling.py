@@ -27,12 +27,12 @@ def train_test(df: DataFrame, key: str, test_percent: int = 20) -> tuple[DataFra
     return df.where(b >= F.lit(test_percent)), df.where(b < F.lit(test_percent))
 
 
-COPIES_PER_TASK = 1_000_000  # copies of one row generated by one task
-SMALL_REMAINDER = 100_000  # remainders picked by one bounded top-r query
+COPIES_PER_STEP = 1_000_000  # copies of one row that one expression holds at a time
 
 
 def key_hash(key: str | Column) -> Column:
-    """52-bit stable hash of the key text (first 13 hex digits of its md5)."""
+    """52-bit stable hash of the key text (first 13 hex digits of its md5); independent
+    draws salt the text."""
     k = F.col(key) if isinstance(key, str) else key
     return F.conv(F.substring(F.md5(k.cast("string")), 1, 13), 16, 10).cast("bigint")
 
@@ -41,51 +41,27 @@ def oversample(df: DataFrame, label: str, key: str, minority=1, majority=0, copy
     """M2: grow the minority class to exactly the majority's size.
 
     Balanced replication instead of a with-replacement draw: every minority
-    row appears ``q = n_major // n_minor`` times (an ``explode`` of a
-    sequence, narrow), and the ``r = n_major - q·n_minor`` minority rows
-    that come first by (key hash, key) appear once more. A small r is one
-    bounded top-r query; a large r narrows bounded histograms to the r-th
-    hash (no global sort, no single-task window) and orders only the rows
-    tied on that exact hash by key.
+    row appears ``q = n_major // n_minor`` times, and the ``r = n_major -
+    q·n_minor`` minority rows that come first in a total row order (key hash,
+    key, then the hash of the whole row) appear once more; keys may repeat.
+    The order is a distributed rank, at every size; copies are generated in
+    two nested steps, so no expression holds more than ``COPIES_PER_STEP``.
     """
+    from ledgerline.operators.ranking import global_rank
+
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     n_min, n_maj = counts.get(minority, 0), counts.get(majority, 0)
     if n_min == 0 or n_maj <= n_min:
         return df.withColumn(copy_col, F.lit(0))
     q, r = divmod(n_maj, n_min)
     minor = df.where(F.col(label) == F.lit(minority))
-    h = key_hash(key)
-    extra = F.lit(False)
-    if r and r <= SMALL_REMAINDER:
-        # one bounded top-r (per-task heaps of r rows): the r-th (hash, key)
-        order = F.struct(h.alias("h"), F.col(key).alias("k"))
-        cutoff = minor.select(order.alias("o")).orderBy("o").limit(r).agg(F.max("o")).first()[0]
-        extra = order <= F.struct(F.lit(cutoff["h"]).alias("h"), F.lit(cutoff["k"]).alias("k"))
-    elif r:
-        from ledgerline.operators.impute import _kth
-
-        hashes = minor.select(h.cast("double").alias("x"))
-        cutoff = int(_kth(hashes, r - 1, 0.0, float(2 ** 52)))
-        below = minor.where(h < F.lit(cutoff)).count()
-        tied = [row[0] for row in minor.where(h == F.lit(cutoff)).select(key).orderBy(key).limit(r - below).collect()]
-        extra = (h < F.lit(cutoff)) | ((h == F.lit(cutoff)) & F.col(key).isin(tied))
-    copies = F.when(extra, F.lit(q + 1)).otherwise(F.lit(q))
-    if q + 1 <= COPIES_PER_TASK:
-        grown = minor.withColumn(copy_col, F.explode(F.sequence(F.lit(0), copies - 1)))
-    else:
-        # a tiny minority against a huge majority: spread each row's copies
-        # over chunks that are shuffled apart before they are generated
-        chunks = -(-(q + 1) // COPIES_PER_TASK)
-        spread = (
-            minor.withColumn("_copies", copies)
-            .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-            .repartition(max(chunks, df.sparkSession.sparkContext.defaultParallelism), key, "_chunk")
-        )
-        start = (F.col("_chunk") * F.lit(COPIES_PER_TASK)).cast("int")
-        stop = (F.least(start + F.lit(COPIES_PER_TASK), F.col("_copies")) - 1).cast("int")
-        grown = (
-            spread.where(start < F.col("_copies"))
-            .withColumn(copy_col, F.explode(F.sequence(start, stop)))
-            .drop("_copies", "_chunk")
-        )
+    rank = F.lit(0)
+    if r:
+        minor = global_rank(minor, [key_hash(key), F.col(key), F.xxhash64(*df.columns)], "_rank")
+        rank = F.col("_rank")
+    copies = F.when(rank < F.lit(r), F.lit(q + 1)).otherwise(F.lit(q)).cast("bigint")
+    step = F.lit(COPIES_PER_STEP).cast("bigint")
+    stepped = minor.withColumn("_copies", copies).withColumn("_step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {COPIES_PER_STEP}"))))
+    stop = F.least((F.col("_step") + 1) * step, F.col("_copies")) - 1
+    grown = stepped.withColumn(copy_col, F.explode(F.sequence(F.col("_step") * step, stop))).withColumn(copy_col, F.col(copy_col).cast("int")).select(*df.columns, copy_col)
     return df.where(F.col(label) == F.lit(majority)).withColumn(copy_col, F.lit(0)).unionByName(grown)

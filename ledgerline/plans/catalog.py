@@ -486,6 +486,46 @@ def label_encode(spark, d):
 
 
 # ------------------------------------------------------- history jobs
+@register(
+    "label_encode_many",
+    "SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (ORDER BY l_partkey) - 1 AS INTEGER) AS l_partkey, "
+    "CAST(dense_rank() OVER (ORDER BY CAST(l_suppkey AS VARCHAR)) - 1 AS INTEGER) AS l_suppkey FROM lineitem",
+)
+def label_encode_many(spark, d):
+    """E4 on columns of many values (numbers by value, strings by their text)."""
+    from ledgerline.operators import encode
+
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").cast("string").alias("l_suppkey"))
+    return encode.label_encode(li, ["l_partkey", "l_suppkey"])
+
+
+@register(
+    "factorize_many",
+    "WITH f AS (SELECT o_custkey, MIN(o_orderkey) AS f FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1), "
+    "c AS (SELECT o_custkey, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS code FROM f) "
+    "SELECT o.o_orderkey, COALESCE(c.code, -1) AS o_custkey FROM orders o LEFT JOIN c USING (o_custkey)",
+)
+def factorize_many(spark, d):
+    """E3 on a column of many values."""
+    from ledgerline.operators import encode
+
+    return encode.factorize(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], [F.col("o_orderkey")])
+
+
+@register(
+    "category_shares_long",
+    "WITH r AS (SELECT l_suppkey, COUNT(*) AS rows FROM lineitem GROUP BY 1), "
+    "p AS (SELECT l_suppkey, 'l_partkey' AS column_name, CAST(l_partkey AS VARCHAR) AS value, COUNT(*) AS n FROM lineitem GROUP BY ALL "
+    "UNION ALL SELECT l_suppkey, 'l_returnflag', l_returnflag, COUNT(*) FROM lineitem GROUP BY ALL) "
+    "SELECT p.l_suppkey, column_name, value, CAST(n AS DOUBLE) / rows AS share FROM p JOIN r ON p.l_suppkey IS NOT DISTINCT FROM r.l_suppkey",
+)
+def category_shares_long(spark, d):
+    """A8 in long form: any number of values per column."""
+    from ledgerline.operators import encode
+
+    return encode.long_shares(_t(spark, d, "lineitem"), "l_suppkey", ["l_partkey", "l_returnflag"])
+
+
 @register(
     "loan_history",
     "WITH f AS (SELECT o_custkey, COUNT(o_orderdate) AS num_loan, COUNT(DISTINCT o_orderpriority) AS num_loantype "
@@ -647,14 +687,8 @@ def _instalment_sql() -> str:
 def instalment_features(spark, d):
     from ledgerline.operators.profile import report
 
-    from ledgerline.operators import encode
-
     rows = FE.instalment_rows(_instalments(spark, d), "l_extendedprice", "l_payment", "o_orderday", "l_shipday")
-    # the instalment version has a small checked vocabulary: its distinct
-    # count stays inside the one aggregate
-    versions = encode.vocabularies(_t(spark, d, "lineitem"), ["l_linenumber"])
-    out = FE.counted_features(rows, "o_custkey", INST_SPEC, ["l_returnflag"], "INSTAL_", "INSTAL_COUNT", INST_SCALES,
-                              nunique_vocab=versions)
+    out = FE.counted_features(rows, "o_custkey", INST_SPEC, ["l_returnflag"], "INSTAL_", "INSTAL_COUNT", INST_SCALES)
     # the paid share is a true ratio (no fixed scale): floating sums are reported to 9 decimals
     perc = [f"INSTAL_PAYMENT_PERC_{a}" for a in ("MEAN", "SUM", "VAR")]
     return out.withColumns({c: report(F.col(c), RATIO_DIGITS) for c in perc})
@@ -1045,7 +1079,7 @@ def _modelling_split(spark, d, rebalance: bool = True):
     return scoring.prepare(ol, MODEL_FEATURES, "label", "o_orderkey", test_percent=20, rebalance=rebalance, checkpoint=False)
 
 
-def _fit_query(make, scale: bool = False, weighted: bool = False):
+def _fit_query(make, scale: bool = False, weighted: bool = False, margin: bool = False):
     def run(spark, d):
         from ledgerline.operators import models
         from ledgerline.plans import scoring
@@ -1054,11 +1088,27 @@ def _fit_query(make, scale: bool = False, weighted: bool = False):
         if weighted:
             split.train = models.with_class_weights(split.train, split.label)
         _, scored = scoring.fit_score(split, make(split), scale=scale)
-        return scored
+        return _checked(scored, margin=margin)
 
     return run
 
 
+def _checked(scored, margin: bool = False):
+    """Scored test rows with what every learner must satisfy: the score is a probability (or a
+    finite margin) and the prediction follows from it. Scores themselves depend on the learner."""
+    s = F.col("score")
+    ok = (F.abs(s) < F.lit(float("inf"))) if margin else s.between(0.0, 1.0)
+    return scored.select(
+        "id", "label", (ok & ~F.isnan("score")).alias("score_ok"), (F.col("prediction") == (s > F.lit(0.0 if margin else 0.5)).cast("int")).alias("prediction_ok")
+    )
+
+
+_TEST_ROWS_SQL = (
+    "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, TRUE AS score_ok, TRUE AS prediction_ok "
+    "FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 20"
+)
+
+
 def _n_train(split) -> int:
     return split.train.count()
 
@@ -1081,10 +1131,10 @@ def _learners() -> dict:
 
 for _name, (_make, _scale) in _learners().items():
     # the leaf-limited booster weighs classes instead of rebalancing rows
-    register(_name, None)(_fit_query(_make, _scale, weighted=_name == "fit_lgbm_like"))
+    register(_name, _TEST_ROWS_SQL)(_fit_query(_make, _scale, weighted=_name == "fit_lgbm_like", margin=_name == "fit_svm"))
 
 
-@register("fit_bagging", None)
+@register("fit_bagging", _TEST_ROWS_SQL)
 def fit_bagging(spark, d):
     """T4: bagged trees (50 here; 1000 by default) of 120 rows each, fitted
     on a key-hash pre-sample of the training rows."""
@@ -1092,7 +1142,7 @@ def fit_bagging(spark, d):
 
     split = _modelling_split(spark, d)
     _, scored = scoring.fit_score_bagged(split, n_estimators=50, rows_per_tree=120, max_depth=10)
-    return scored
+    return _checked(scored)
 
 
 @register("standard_scale", None)
@@ -1116,7 +1166,7 @@ def feature_importance(spark, d):
     return models.importance_frame(spark, model, MODEL_FEATURES)
 
 
-@register("topk_refit", None)
+@register("topk_refit", _TEST_ROWS_SQL)
 def topk_refit(spark, d):
     """Keep the 4 most important forest features, refit a logistic model."""
     from ledgerline.operators import models
@@ -1127,7 +1177,7 @@ def topk_refit(spark, d):
     top = scoring.top_features(model, MODEL_FEATURES, 4)
     narrowed = scoring.Split(split.train, split.test, top, split.label, split.id_col)
     _, scored = scoring.fit_score(narrowed, models.logistic(_n_train(split)), scale=True)
-    return scored
+    return _checked(scored)
 
 
 @register("logistic_compare", None)

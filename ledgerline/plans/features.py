@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import rows as R
+from ledgerline.functions.columns import named
 from ledgerline.functions.aggs import Recipe, presence_count, share_columns, upper_name
 from ledgerline.operators import encode, grouped, history
 
@@ -191,7 +192,7 @@ def bureau_features(
     }
     loan_recipe = Recipe(per_loan_spec, prefix="BURO_", scales=scales or {}, families=fam)
     second_extra = category_shares(loans, loan_cats, "BURO_", with_missing, vocab)
-    second_extra += [F.avg(F.col(n)).alias(f"BURO_{n}_MEAN") for n in share_names]
+    second_extra += [F.avg(named(n)).alias(f"BURO_{n}_MEAN") for n in share_names]
     return grouped.two_level(
         months, month_loan_key, [month_recipe], loans, loan_key, key, [loan_recipe],
         first_extra=month_shares, second_extra=second_extra,

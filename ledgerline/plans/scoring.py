@@ -48,7 +48,8 @@ def prepare(
         frame = cut_lineage(frame, min_partitions=cores(df.sparkSession))
     train, test = sampling.train_test(frame, id_col, test_percent)
     if rebalance:
-        train = sampling.oversample(train, label, id_col).drop("copy")
+        # the copy number stays: draws from the grown rows take copies one by one
+        train = sampling.oversample(train, label, id_col)
     return Split(train, test, list(features), label, id_col)
 
 
@@ -59,19 +60,18 @@ def fit_score(split: Split, estimator, scale: bool = False):
 
 
 def evaluation(scored: DataFrame, model_name: str) -> DataFrame:
-    """V1-V4 and V6 in one frame: the class report rows plus accuracy (its
-    printed percentage in the ``recall`` slot) and AUC, tagged with the
-    model name (``unionByName`` across models)."""
+    """V1-V4 and V6 in one long frame (model, metric, value): the class report as
+    ``<class> <measure>``, accuracy, its printed percentage and the AUC."""
     report = evaluate.class_report(scored)
-    acc = evaluate.accuracy(scored).select(F.col("accuracy"), evaluate.accuracy_percent(F.col("accuracy")).alias("pct"))
-    auc = evaluate.roc_auc(scored)
-    acc_row = acc.select(F.lit("accuracy").alias("class"), F.col("accuracy").alias("precision"),
-                         F.col("pct").alias("recall"), F.lit(None).cast("double").alias("f1"),
-                         F.lit(None).cast("bigint").alias("support"))
-    auc_row = auc.select(F.lit("roc_auc").alias("class"), F.col("auc").alias("precision"),
-                         F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("f1"),
-                         F.lit(None).cast("bigint").alias("support"))
-    return report.unionByName(acc_row).unionByName(auc_row).withColumn("model", F.lit(model_name))
+    measures = ("precision", "recall", "f1", "support")
+    rows = report.select("class", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("value")) for m in measures])).alias("r"))
+    rows = rows.select(F.concat_ws(" ", "class", "r.m").alias("metric"), F.col("r.value").alias("value"))
+    acc = evaluate.accuracy(scored).select(F.explode(F.array(
+        F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
+        F.struct(F.lit("accuracy percent").alias("metric"), evaluate.accuracy_percent(F.col("accuracy")).alias("value")),
+    )).alias("r")).select("r.*")
+    auc = evaluate.roc_auc(scored).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
+    return rows.unionByName(acc).unionByName(auc).select(F.lit(model_name).alias("model"), "metric", "value")
 
 
 def top_features(model, features: Sequence[str], k: int) -> list[str]:
@@ -79,6 +79,14 @@ def top_features(model, features: Sequence[str], k: int) -> list[str]:
     return [f for f, _ in models.importances(model, features)[:k]]
 
 
+def bagging_draw(train: DataFrame, id_col: str, target: int, n: int) -> DataFrame:
+    """About ``target`` of the ``n`` rows, by a salted hash of key and copy number:
+    independent of the hash that chose the extra copies, so the classes keep their shares."""
+    copy = F.col("copy") if "copy" in train.columns else F.lit(0)
+    draw = sampling.key_hash(F.concat_ws("|", F.lit("bag"), F.col(id_col).cast("string"), copy.cast("string")))
+    return train.where(draw.cast("double") < F.lit(float(target) / n * float(2 ** 52)))
+
+
 def fit_score_bagged(split: Split, n_estimators: int = 1000, rows_per_tree: int = 120,
                      max_depth: int = 30, seed: int = 123, oversample_factor: int = 4):
     """T4 at scale: the whole ensemble only ever looks at about
@@ -90,8 +98,7 @@ def fit_score_bagged(split: Split, n_estimators: int = 1000, rows_per_tree: int
     n = split.train.count()
     train = split.train
     if n > target:
-        keep = F.lit(float(target) / n * float(2 ** 52))
-        train = train.where(sampling.key_hash(split.id_col).cast("double") < keep)
+        train = bagging_draw(train, split.id_col, target, n)
         n = train.count()
     estimator = models.bagged_trees(n_estimators, rows_per_tree, n, seed=seed, max_depth=max_depth)
     sampled = Split(train, split.test, split.features, split.label, split.id_col)

@@ -42,7 +42,7 @@ def agg(x: str, a: str, scale: int | None = None) -> str:
         n = f"COUNT({x})"
         return (
             f"CASE WHEN {n} > 1 THEN CAST({n} * SUM({u} * {u}) - SUM({u}) * SUM({u}) AS DOUBLE)"
-            f" / CAST({n} * ({n} - 1) * {10 ** (2 * scale)} AS DOUBLE) END"
+            f" / CAST(CAST({n} AS HUGEINT) * ({n} - 1) * {10 ** (2 * scale)} AS DOUBLE) END"
         )
     if a == "size":
         return "COUNT(*)"

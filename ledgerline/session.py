@@ -83,16 +83,9 @@ def cut_lineage(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     ``min_partitions``: iterative consumers (learners, multi-pass statistics)
     want at least one partition per core. A frame that came out with fewer
     partitions (only a small one does, after AQE coalescing) is spread
-    round-robin and written once more; large frames are left as they are."""
-    try:
-        checkpoint_dir(df.sparkSession)
-    except RuntimeError as err:
-        # every lineage cut in the library is an optimisation: without a
-        # shared folder keep the lineage (recompute) rather than fail
-        import warnings
-
-        warnings.warn(f"{err}; continuing without a checkpoint", stacklevel=2)
-        return df
+    round-robin and written once more; large frames are left as they are.
+    A cluster session without a shared folder raises (see :func:`checkpoint_dir`)."""
+    checkpoint_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
     if min_partitions and out.rdd.getNumPartitions() < min_partitions:
         out = out.repartition(min_partitions).checkpoint(eager=True)

@@ -19,8 +19,8 @@ TEST_TABLES = (
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """One parquet table of a data folder (``{base_dir}/{name}.parquet``)."""
-    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    """One parquet table of a data folder (``{base_dir}/{name}.parquet``), NaN read as missing."""
+    return nan_to_null(spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> DataFrame:

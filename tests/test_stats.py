@@ -97,17 +97,107 @@ def test_modes_together(spark):
 
 
 def test_oversample_chunked_copies(spark, monkeypatch):
-    """Copies spread over chunks give the same rows as the in-place explode."""
+    """Copies made in many steps give the same rows as in one."""
     df = spark.range(300).select(F.col("id").alias("key"), (F.col("id") % 50 == 0).cast("int").alias("label"))
     plain = sorted(map(tuple, sampling.oversample(df, "label", "key").collect()))
-    monkeypatch.setattr(sampling, "COPIES_PER_TASK", 7)
+    monkeypatch.setattr(sampling, "COPIES_PER_STEP", 7)
     chunked = sorted(map(tuple, sampling.oversample(df, "label", "key").collect()))
     assert plain == chunked and len(chunked) == 2 * 294
 
 
-def test_oversample_remainder_paths_agree(spark, monkeypatch):
-    df = spark.range(3000).select(F.col("id").alias("key"), (F.col("id") % 7 == 0).cast("int").alias("label"))
-    small = sorted(map(tuple, sampling.oversample(df, "label", "key").collect()))
-    monkeypatch.setattr(sampling, "SMALL_REMAINDER", 0)
-    large = sorted(map(tuple, sampling.oversample(df, "label", "key").collect()))
-    assert small == large
+def test_oversample_exact_with_repeated_keys(spark):
+    rows = [(0, i % 3, i) for i in range(7)] + [(1, i % 2, i) for i in range(4)] + [(0, 9, 9)] * 40 + [(1, 9, 9)] * 3
+    df = spark.createDataFrame(rows, "label int, key int, x int")
+    counts = {r[0]: r[1] for r in sampling.oversample(df, "label", "key").groupBy("label").count().collect()}
+    assert counts[0] == counts[1] == 47
+
+
+def test_median_with_nan_and_infinities(spark, monkeypatch):
+    monkeypatch.setattr(impute, "SMALL_BUCKET", 10)
+    inf, nan = float("inf"), float("nan")
+    columns = {
+        "a": [float(i) for i in range(100)] + [nan], "b": [float(i) for i in range(100)] + [inf], "c": [-inf] * 60 + [1.0] * 41,
+        "d": [inf] * 70 + [0.0] * 31, "e": [5e-324 * (i % 3) for i in range(101)], "f": [1.7e308 if i % 2 else -1.7e308 for i in range(101)], "g": [nan] * 101,
+    }
+    n = 101
+    df = spark.createDataFrame([tuple(v[i] for v in columns.values()) for i in range(n)], ", ".join(f"{c} double" for c in columns))
+    got = impute.exact_medians(df, list(columns))
+    for name, values in columns.items():
+        s = sorted(v for v in values if v == v)
+        if not s:
+            assert got[name] is None
+            continue
+        lo, hi = s[(len(s) - 1) // 2], s[len(s) // 2]
+        assert got[name] == (lo if lo == hi else lo + (hi - lo) * 0.5), name
+
+
+def test_variance_of_many_rows(spark):
+    """Denominators beyond 64 bits: 31 million rows at scale 2, 400 thousand at scale 4."""
+    from ledgerline.functions.aggs import exact_covar, exact_var
+
+    x = (F.col("id") % 2).cast("double") / 4
+    n = 31_000_000
+    v, c = spark.range(n).agg(exact_var(x, 2), exact_covar(x, x, 2, 2)).first()
+    assert abs(v - 1 / 64 * n / (n - 1)) < 1e-15 and v == c
+    n = 400_000
+    assert abs(spark.range(n).agg(exact_var(x, 4)).first()[0] - 1 / 64 * n / (n - 1)) < 1e-15
+
+
+def test_auc_of_many_rows(spark):
+    """Class counts of three billion each, as a table of counts per score."""
+    from ledgerline.operators import evaluate as E
+
+    big = 3_000_000_000
+    scored = spark.createDataFrame([(0.1, 0, big, 0), (0.9, big, 0, big)], "s double, pos bigint, neg bigint, below bigint")
+    assert E.auc_from_counts(scored).first()["auc"] == 1.0
+
+
+def test_class_report_takes_classes_from_data(spark):
+    df = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 2)], "label int, prediction int")
+    rows = {r["class"]: r for r in evaluate.class_report(df).collect()}
+    assert set(rows) == {"1", "2", "macro avg", "weighted avg"}
+    assert rows["1"]["support"] == rows["2"]["support"] == 2 and rows["macro avg"]["support"] == 4
+    assert rows["2"]["precision"] == 2 / 3 and rows["1"]["recall"] == 0.5
+    given = {r["class"]: r for r in evaluate.class_report(df, classes=(2, 3)).collect()}
+    assert set(given) == {"2", "3", "macro avg", "weighted avg"} and given["3"]["support"] == 0
+
+
+def test_names_with_dots(spark):
+    from ledgerline.functions.aggs import share_columns
+    from ledgerline.operators import encode, profile
+    from ledgerline.plans import features
+
+    df = spark.createDataFrame([(1, "admin.", 1.0), (1, "x", 2.0), (2, "admin.", 4.0)], "k int, job string, v double")
+    hot, names = encode.one_hot(df, encode.vocabularies(df, ["job"]))
+    assert names == ["job_admin.", "job_x", "job_nan"]
+    assert profile.correlation_matrix(hot, ["v", "job_admin."]).count() == 4
+    assert profile.target_correlation(hot, "job_x", ["job_admin.", "v"]).count() == 2
+    assert features.all_column_features(df, "k", ["job"], "CC_", "CC_COUNT").count() == 2
+    assert df.groupBy("k").agg(*share_columns("job", ["admin."])).count() == 2
+
+
+def test_codes_of_many_values(spark):
+    from ledgerline.operators import encode
+
+    n = 12_000
+    df = spark.range(n * 2).select(F.col("id"), F.concat(F.lit("v."), (F.col("id") * 7919 % n).cast("string")).alias("a.b"), F.lit(None).cast("string").alias("none"))
+    got = {r["id"]: (r["a.b"], r["none"]) for r in encode.label_encode(df, ["a.b", "none"]).collect()}
+    values = {i: f"v.{i * 7919 % n}" for i in range(n * 2)}
+    code = {v: k for k, v in enumerate(sorted(set(values.values())))}
+    assert got == {i: (code[v], None) for i, v in values.items()}
+    seen: dict = {}
+    for i in range(n * 2):
+        seen.setdefault(values[i], len(seen))
+    got = {r["id"]: (r["a.b"], r["none"]) for r in encode.factorize(df, ["a.b", "none"], [F.col("id")]).collect()}
+    assert got == {i: (seen[v], -1) for i, v in values.items()}
+
+
+def test_bagging_draw_keeps_the_balance(spark):
+    """The draw from rebalanced rows is independent of the hash that chose the extra copies."""
+    from ledgerline.plans import scoring
+
+    df = spark.range(60_000).select(F.col("id").alias("key"), (F.col("id") % 5 < 2).cast("int").alias("label"))
+    grown = sampling.oversample(df, "label", "key")
+    drawn = scoring.bagging_draw(grown, "key", 20_000, grown.count())
+    counts = {r[0]: r[1] for r in drawn.groupBy("label").count().collect()}
+    assert abs(counts[1] / (counts[0] + counts[1]) - 0.5) < 0.01 and abs(sum(counts.values()) - 20_000) < 600
