@@ -82,6 +82,44 @@ def prev_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------- sources, rows (S, X)
+# F7 with its row steps: a sentinel day read as missing, the asked / received ratio and its variance
+PREV_SENTINEL_DAY = 9000
+PREV_STEP_SPEC = {"o_totalprice": ["min", "max", "mean"], "o_orderday": ["min", "max", "mean"], "credit_perc": ["min", "max", "mean", "var"]}
+PREV_STEP_SCALES = {"o_totalprice": 2, "o_orderday": 0}
+PERC_DIGITS = 6
+
+
+def _prev_steps_sql() -> str:
+    cols = S.recipe(PREV_STEP_SPEC, S.upper("PREV_"), PREV_STEP_SCALES)
+    for p, v in PREV_FAMILIES.items():
+        cols += S.recipe(PREV_STEP_SPEC, S.upper(p), PREV_STEP_SCALES, where=f"o_orderstatus = {S.lit(v)}")
+    cols += S.shares("o_orderstatus", STATUS_VALUES, "PREV_")
+    perc = [f"{p}credit_perc_{a}" for p in ("PREV_", *PREV_FAMILIES) for a in ("MEAN", "VAR")]
+    rounded = ", ".join(f"FLOOR({S.q(c)} * 1e{PERC_DIGITS} + 0.5) / 1e{PERC_DIGITS} AS {S.q(c)}" for c in perc)
+    day = S.day_number("o_orderdate")
+    return (
+        "WITH l AS (SELECT l_orderkey, MAX(l_extendedprice) AS received FROM lineitem GROUP BY 1), "
+        f"o AS (SELECT o_custkey, o_orderstatus, o_totalprice, NULLIF({day}, {PREV_SENTINEL_DAY}) AS o_orderday, "
+        "o_totalprice / NULLIF(received, 0) AS credit_perc FROM orders LEFT JOIN l ON o_orderkey = l_orderkey), "
+        "f AS (SELECT o_custkey, " + ", ".join(cols) + " FROM o WHERE o_custkey IS NOT NULL GROUP BY o_custkey) "
+        f"SELECT * REPLACE ({rounded}) FROM f"
+    )
+
+
+@register("prev_features_steps", _prev_steps_sql())
+def prev_features_steps(spark: SparkSession, d: str) -> DataFrame:
+    from ledgerline.operators.profile import report
+
+    lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("received"))
+    rows = _orders(spark, d).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumns(
+        {"o_orderday": R.sentinel_to_null("o_orderday", PREV_SENTINEL_DAY), "credit_perc": R.ratio("o_totalprice", "received")}
+    )
+    feats = FE.previous_features(rows, "o_custkey", PREV_STEP_SPEC, ["o_orderstatus"], "o_orderstatus", PREV_FAMILIES, PREV_STEP_SCALES)
+    # true ratios have no fixed scale: floating means and variances are reported to six decimals
+    perc = [f"{p}credit_perc_{a}" for p in ("PREV_", *PREV_FAMILIES) for a in ("MEAN", "VAR")]
+    return feats.withColumns({c: report(F.col(c), PERC_DIGITS) for c in perc})
+
+
 @register("scan_limit", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000")
 def scan_limit(spark, d):
     from ledgerline.sources import first_rows
@@ -925,18 +963,38 @@ def impute_regression_one(spark, d):
     )
 
 
-@register("impute_regression", None)
+def _regression_sql() -> str:
+    """Normal equations of two predictors (centred), one step per filled column."""
+    def step(source: str, y: str, a: str, b: str, out: str) -> str:
+        coef = (
+            f"(SELECT covar_pop({a}, {y}) AS ay, covar_pop({b}, {y}) AS b_y, var_pop({a}) AS aa, var_pop({b}) AS bb, covar_pop({a}, {b}) AS ab, "
+            f"AVG({a}) AS ma, AVG({b}) AS mb, AVG({y}) AS my FROM {source} WHERE {y} IS NOT NULL)"
+        )
+        return (
+            f"SELECT {source}.*, COALESCE(CAST({y} AS DOUBLE), my + (ay * bb - b_y * ab) / (aa * bb - ab * ab) * ({a} - ma) + (b_y * aa - ay * ab) / (aa * bb - ab * ab) * ({b} - mb)) AS {out} "
+            f"FROM {source}, {coef} c"
+        )
+
+    done = lambda c: f"FLOOR({c} * 1e{REG_DIGITS - 2} + 0.5) / 1e{REG_DIGITS - 2} AS {c}"
+    return (
+        f"WITH s0 AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST({S.day_number('o_orderdate')} AS DOUBLE) AS o_orderday, max_qty, max_tax, min_discount FROM ({_ORDER_LINES_SQL})), "
+        f"s1 AS ({step('s0', 'max_qty', 'o_totalprice', 'o_orderday', 'e2')}), s2 AS ({step('s1', 'max_tax', 'o_totalprice', 'e2', 'e1')}), "
+        f"s3 AS ({step('s2', 'min_discount', 'o_orderday', 'e1', 'e3')}) SELECT o_orderkey, {done('e2')}, {done('e1')}, {done('e3')} FROM s3"
+    )
+
+
+@register("impute_regression", _regression_sql())
 def impute_regression(spark, d):
-    """I5 chain (rows-only): each filled column feeds the next fit."""
+    """I5 chain: each filled column feeds the next fit."""
     from ledgerline.operators import impute
+    from ledgerline.operators.profile import report
 
-    ol = _orders(spark, d).join(
-        _order_lines(spark, d).select("o_orderkey", "max_qty", "max_tax", "min_discount"), "o_orderkey"
-    )
+    ol = _order_lines(spark, d).withColumn("o_orderday", R.day_number("o_orderdate"))
     out = impute.regression_fill(ol, "max_qty", ["o_totalprice", "o_orderday"], "e2")
     out = impute.regression_fill(out, "max_tax", ["o_totalprice", "e2"], "e1")
     out = impute.regression_fill(out, "min_discount", ["o_orderday", "e1"], "e3")
-    return out.select("o_orderkey", "e2", "e1", "e3")
+    # least-squares values are floating results: reported to four decimals
+    return out.select("o_orderkey", *[report(F.col(c), REG_DIGITS - 2).alias(c) for c in ("e2", "e1", "e3")])
 
 
 # ------------------------------------------------------------- sampling (M)
@@ -1145,14 +1203,40 @@ def fit_bagging(spark, d):
     return _checked(scored)
 
 
-@register("standard_scale", None)
+Z_DIGITS = 4
+
+
+def _scale_sql() -> str:
+    """Median-filled rows, the key-hash split, the rebalanced training rows as weights, then
+    z-scores of the test rows by the weighted mean and n-denominator deviation."""
+    medians = ("n_lines", "max_qty", "min_discount", "max_tax")
+    cols = [f"CAST(COALESCE({c}, (SELECT MEDIAN({c}) FROM ol)) AS DOUBLE) AS {c}" for c in medians]
+    cols += ["CAST(COALESCE(n_returned, 0) AS DOUBLE) AS n_returned", "CAST(o_totalprice AS DOUBLE) AS o_totalprice", "CAST(o_orderday AS DOUBLE) AS o_orderday"]
+    md5 = "md5(CAST(o_orderkey AS VARCHAR))"
+    mean = ", ".join(f"SUM(w * {c}) / SUM(w) AS m_{c}" for c in MODEL_FEATURES)
+    dev = ", ".join(f"SQRT(SUM(w * ({c} - m_{c}) * ({c} - m_{c})) / SUM(w)) AS s_{c}" for c in MODEL_FEATURES)
+    z = ", ".join(f"FLOOR(({c} - m_{c}) / s_{c} * 1e{Z_DIGITS} + 0.5) / 1e{Z_DIGITS} AS {c}" for c in MODEL_FEATURES)
+    return (
+        f"WITH ol AS (SELECT *, {S.day_number('o_orderdate')} AS o_orderday FROM ({_ORDER_LINES_SQL})), "
+        f"b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, CAST('0x' || substr({md5}, 1, 8) AS BIGINT) % 100 < 20 AS test, "
+        + ", ".join(cols) + " FROM ol), "
+        "n AS (SELECT SUM(label) AS n1, SUM(1 - label) AS n0 FROM b WHERE NOT test), "
+        f"t AS (SELECT b.*, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr({md5}, 1, 13) AS BIGINT), o_orderkey) AS rk FROM b WHERE NOT test), "
+        "w AS (SELECT t.*, CASE WHEN label = 1 AND n0 > n1 THEN n0 // n1 + CASE WHEN rk <= n0 % n1 THEN 1 ELSE 0 END ELSE 1 END AS w FROM t, n), "
+        f"m AS (SELECT {mean} FROM w), s AS (SELECT {dev} FROM w, m) "
+        f"SELECT o_orderkey, label, {z} FROM b, m, s WHERE test"
+    )
+
+
+@register("standard_scale", _scale_sql())
 def standard_scale(spark, d):
     """Z-scores with the training statistics applied to the test rows."""
     from ledgerline.operators import models
+    from ledgerline.operators.profile import report
 
     split = _modelling_split(spark, d)
     _, test = models.standardise(split.train, [split.test], MODEL_FEATURES)
-    return test
+    return test.withColumns({c: report(F.col(c), Z_DIGITS) for c in MODEL_FEATURES})
 
 
 @register("feature_importance", None)
