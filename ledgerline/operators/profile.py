@@ -98,6 +98,18 @@ def target_correlation(
     ).select("p.feature", "p.corr")
 
 
+def target_profile(df: DataFrame, target: str, features: Sequence[str], scales: Mapping[str, int], threshold: float = 0.05) -> DataFrame:
+    """A17 + A19 + A20 against the target only: (feature, corr, covar) of every fixed-point
+    feature, absolute correlations above ``threshold``, sorted by them (then by name). One
+    aggregate pass over the rows."""
+    exprs = []
+    for i, f in enumerate(features):
+        exprs += [F.abs(_corr(f, target, scales)).alias(f"r{i}"), _covar(f, target, scales).alias(f"v{i}")]
+    wide = df.agg(*exprs)
+    rows = wide.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"r{i}").alias("corr"), F.col(f"v{i}").alias("covar")) for i, f in enumerate(features)])).alias("p"))
+    return rows.select("p.*").where(F.col("corr") > F.lit(threshold)).orderBy("corr", "feature")
+
+
 PAIRS_PER_PASS = 256  # column pairs aggregated in one scan
 
 

@@ -855,6 +855,32 @@ def target_corr(spark, d):
     return profile.target_correlation(_campaign(spark, d), "label", CAMPAIGN_FEATURES, scales=CAMPAIGN_SCALES)
 
 
+DUMMY_THRESHOLD = 0.005
+
+
+def _dummy_profile_sql() -> str:
+    flags = {f"o_orderpriority_{v}": f"CASE WHEN o_orderpriority = {S.lit(v)} THEN 1 ELSE 0 END" for v in PRIORITY_VALUES}
+    flags |= {f"o_orderstatus_{v}": f"CASE WHEN o_orderstatus = {S.lit(v)} THEN 1 ELSE 0 END" for v in STATUS_VALUES}
+    source = (
+        f"(SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, o_totalprice, {S.day_number('o_orderdate')} AS o_orderday, "
+        + ", ".join(f"{e} AS {S.q(c)}" for c, e in flags.items()) + " FROM orders)"
+    )
+    scales = {"o_totalprice": 2, "o_orderday": 0} | dict.fromkeys(flags, 0)
+    rows = " UNION ALL ".join(
+        f"SELECT {S.lit(c)} AS feature, ABS({S.corr(S.q(c), 'label', k, 0)}) AS corr, {S.covar(S.q(c), 'label', k, 0)} AS covar FROM {source}" for c, k in scales.items()
+    )
+    return f"SELECT * FROM ({rows}) WHERE corr > {DUMMY_THRESHOLD}"
+
+
+@register("dummy_profile", _dummy_profile_sql())
+def dummy_profile(spark, d):
+    """numbers and one-hot columns against the target, strong ones only."""
+    from ledgerline.plans import profiling
+
+    rows = _orders(spark, d).withColumn("label", R.equal_flag("o_orderstatus", "F"))
+    return profiling.dummy_profile(rows, "label", ["o_orderpriority", "o_orderstatus"], ["o_totalprice", "o_orderday"], {"o_totalprice": 2, "o_orderday": 0}, DUMMY_THRESHOLD)
+
+
 def _pairs_sql(kind: str, cols: list[str]) -> str:
     fn = S.corr if kind == "corr" else S.covar
     parts = []

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import numeric_columns, string_columns
-from ledgerline.operators import profile
+from ledgerline.operators import encode, profile
 from ledgerline.sources import first_rows
 
 
@@ -22,8 +22,9 @@ def campaign_profile(
     scales: Mapping[str, int] | None = None,
     drop: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
-    """shape, preview, value sets, token counts, class balance, correlation
-    and covariance with every column (long form), strong correlations."""
+    """shape, preview, value sets of every column, token counts, class balance, correlation
+    and covariance (long form), strong correlations; and, with every string column as
+    dummies, what correlates with the target (absolute value above 0.05, ascending)."""
     df = df.drop(*drop)
     strings = string_columns(df)
     numbers = [c for c in numeric_columns(df) if c != key]
@@ -31,7 +32,7 @@ def campaign_profile(
     return {
         "shape": df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns")),
         "preview": first_rows(df, preview, [F.col(key)]),
-        "value_sets": profile.value_sets(df, strings),
+        "value_sets": profile.value_sets(df, df.columns),
         "token_counts": profile.token_counts(df, token, strings),
         "class_balance": profile.class_counts(df, target),
         "correlation": corr,
@@ -39,4 +40,14 @@ def campaign_profile(
         "strong": profile.select_strong(
             corr.where(F.col("b") == target).withColumn("value", F.abs("value")), "value", 0.05
         ),
+        "strong_dummies": dummy_profile(df, target, strings, [c for c in numbers if c != target], scales or {}),
     }
+
+
+def dummy_profile(
+    df: DataFrame, target: str, strings: Sequence[str], numbers: Sequence[str], scales: Mapping[str, int], threshold: float = 0.05,
+) -> DataFrame:
+    """One-hot columns of the strings next to the numbers: (feature, corr, covar) with the target."""
+    wide, dummies = encode.one_hot(df.select(target, *strings, *numbers), encode.vocabularies(df, strings), with_missing=False)
+    known = {**{c: 0 for c in (target, *dummies)}, **scales}
+    return profile.target_profile(wide, target, [*numbers, *dummies], known, threshold)
