@@ -177,7 +177,8 @@ def _compared(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, work: W
     """STAR_SCHEMA rows of the pairs (a, b): their full shingle sets compared."""
     pairs = work.save(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = work.save(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, keys binary"), "sets")
+    # the joins with texts and sets shuffle at every size: how many documents have a partner is not known to be small
+    sets = work.save(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, keys binary"), "sets")
     # the set of a star's centre goes to as many tasks as its pairs need
     spread = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / STAR_BLOCK) + 1).cast("int").alias("copies"))
     left = pairs.join(spread, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).select("a", "b", "copy")
@@ -185,7 +186,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, k: int, threshold: int, work: W
         sets.join(spread, F.col("doc_id") == F.col("a")).select(F.col("doc_id").alias("a"), F.col("keys").alias("ka"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     )
     member = sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("kb"))
-    return left.join(member, "b").join(centre, ["a", "copy"]).select("a", "b", "ka", "kb").mapInArrow(_compare(threshold), STAR_SCHEMA)
+    return left.join(member.hint("merge"), "b").join(centre.hint("merge"), ["a", "copy"]).select("a", "b", "ka", "kb").mapInArrow(_compare(threshold), STAR_SCHEMA)
 
 
 def _straggler_links(threshold: int):
