@@ -87,38 +87,54 @@ def anchors(run: T.Run, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     return doc, place, h[place], before, behind, around
 
 
-OCCURRENCE_SCHEMA = "h long, around long, ord long, text_hash long, pos int, before int, behind int"
+OCCURRENCE_SCHEMA = "around long, left long, right long, ord long, text_hash long, pos int"
 
 
 def _occurrences(length: int):
+    """Every anchor: its surroundings, and the two cores of which each string of ``length`` bytes
+    that holds the anchor holds one (0 where a text's border leaves no such string)."""
+    half = (length - GRAM) // 2
+
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column("ord").to_numpy(), batch.column("text_hash").to_numpy()
+            ids, texts = batch.column("ord").to_numpy(), batch.column("text_hash").to_numpy()
             for run in T.runs(batch.column("text")):
-                doc, place, h, before, behind, around = anchors(run, length)
+                doc, place, _, before, behind, around = anchors(run, length)
+                left, right = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.uint64)
+                if len(doc):
+                    hashes = Hashes(run.data)
+                    ok = before >= half
+                    left[ok] = T.mix(hashes.of(place[ok] - half, place[ok] + GRAM) + U(1)) | U(1)
+                    ok = behind >= half
+                    right[ok] = T.mix(hashes.of(place[ok], place[ok] + GRAM + half) + U(2)) | U(1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids[run.first + doc]), pa.array(hashes[run.first + doc]),
-                     pa.array((place - run.offsets[doc]).astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(behind.astype(np.int32))],
-                    ["h", "around", "ord", "text_hash", "pos", "before", "behind"],
+                    [*(pa.array(x.view(np.int64)) for x in (around, left, right)), pa.array(ids[run.first + doc]), pa.array(texts[run.first + doc]), pa.array((place - run.offsets[doc]).astype(np.int32))],
+                    ["around", "left", "right", "ord", "text_hash", "pos"],
                 )
 
     return run_
 
 
-CONTEXT_SCHEMA = "h long, kinds long, ord long, text_hash long, pos int, before int, bytes binary"
+CONTEXT_SCHEMA = "h long, ord long, text_hash long, pos int, before int, bytes binary"
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around the wanted anchors of each document."""
-    schema = pa.schema([("h", pa.int64()), ("kinds", pa.int64()), ("ord", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("bytes", pa.binary())])
-    for batch in batches:
-        for doc, th, text, wanted in zip(batch.column("ord").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-            raw = text.as_buffer().to_pybytes()
-            for i in range(0, len(wanted), 2000):
-                rows = wanted[i : i + 2000]
-                yield pa.RecordBatch.from_pylist(
-                    [{"h": x["h"], "kinds": x["kinds"], "ord": doc, "text_hash": th, "pos": x["pos"], "before": x["before"], "bytes": raw[x["pos"] - x["before"] : x["pos"] + GRAM + x["behind"]]} for x in rows], schema=schema
-                )
+def _contexts(length: int):
+    """The bytes around the wanted anchors of each document, and the anchor's hash."""
+    schema = pa.schema([("h", pa.int64()), ("ord", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("bytes", pa.binary())])
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, th, text, wanted in zip(batch.column("ord").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                at = np.array(wanted, np.int64)
+                h = Hashes(np.frombuffer(raw, np.uint8)).of(at, at + GRAM).view(np.int64)
+                for i in range(0, len(at), 2000):
+                    yield pa.RecordBatch.from_pylist(
+                        [{"h": int(x), "ord": doc, "text_hash": th, "pos": p, "before": min(p, length - GRAM), "bytes": raw[max(0, p - (length - GRAM)) : p + length]} for x, p in zip(h[i : i + 2000], wanted[i : i + 2000], strict=True)],
+                        schema=schema,
+                    )
+
+    return run_
 
 
 # ------------------------------------------------------------ suffix arrays
@@ -202,6 +218,8 @@ def _spans_of(flag: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def _search(length: int, keep_first: bool):
     def run_(table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["h", "ord", "text_hash", "pos", "before", "bytes"]).to_pylist(), key=lambda r: (r["h"], r["ord"], r["text_hash"], r["pos"]))
+        # a repeated row brings its anchors again
+        rows = [r for i, r in enumerate(rows) if not i or any(r[k] != rows[i - 1][k] for k in ("h", "ord", "text_hash", "pos"))]
         # surroundings that overlap in a text are one segment: every place occurs once in a group
         segments: list[bytearray] = []
         origin: list[tuple[int, int, int]] = []
@@ -310,28 +328,40 @@ def repeated_spans(rows: DataFrame, work: Workspace, length: int = LENGTH, keep_
     """ord, text_hash, spans (start, stop) of the bytes to remove: those of strings of ``length``
     bytes that begin somewhere else too (``keep_first``: that begin earlier, in order of
     document and place). ``rows`` as of :func:`_rows`."""
-    place = F.struct("ord", "text_hash", "pos", "before", "behind")
     found = work.save(rows.select("ord", "text_hash", "text").mapInArrow(_occurrences(length), OCCURRENCE_SCHEMA), "occurrences")
-    kinds = work.save(found.groupBy("h", "around").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")), "kinds")
-    many = kinds.filter("times > 1").select("h", "around", "first")
-    whole = found.join(many, ["h", "around"])
+    place = F.struct("ord", "text_hash", "pos")
+    kinds = work.save(
+        found.groupBy("around").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"), F.first("left").alias("left"), F.first("right").alias("right")), "kinds"
+    )
+    whole = found.select("around", "ord", "text_hash", "pos").join(kinds.filter("times > 1").select("around", "first"), "around")
     if keep_first:
-        whole = whole.filter(F.struct("ord", "text_hash", "pos") != F.struct("first.ord", "first.text_hash", "first.pos"))
-    whole = whole.select("ord", "text_hash", (F.col("pos") - F.col("before")).cast("long").alias("start"), (F.col("pos") + GRAM + F.col("behind")).cast("long").alias("stop"))
-    # anchors with different surroundings: one copy of each
-    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    wanted = kinds.join(mixed, "h").groupBy(F.col("first.ord").alias("ord"), F.col("first.text_hash").alias("text_hash")).agg(
-        F.collect_list(F.struct("h", "kinds", F.col("first.pos").alias("pos"), F.col("first.before").alias("before"), F.col("first.behind").alias("behind"))).alias("wanted")
+        whole = whole.filter(place != F.col("first"))
+    reach = length - GRAM
+    # a span may end behind a short text; it is cut when it is applied
+    whole = work.save(
+        whole.select("ord", "text_hash", F.greatest(F.col("pos") - reach, F.lit(0)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("stop")), "whole"
     )
-    # rows that repeat have the same bytes
+    work.drop("occurrences")
+    # surroundings that share a core with others, but not all: one copy of each
+    cores = kinds.select("around", F.explode(F.array("left", "right")).alias("core")).filter("core <> 0")
+    shared = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    mixed = cores.join(shared, "core").select("around").distinct()
+    wanted = kinds.join(mixed, "around").groupBy(F.col("first.ord").alias("ord"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_set("first.pos").alias("wanted"))
+    # rows that repeat have the same bytes: one of them
     contexts = work.save(
-        rows.select("ord", "text_hash", "text").join(wanted, ["ord", "text_hash"]).mapInArrow(_contexts, CONTEXT_SCHEMA).dropDuplicates(["h", "ord", "text_hash", "pos"]), "contexts"
+        rows.select("ord", "text_hash", "text").join(wanted, ["ord", "text_hash"]).mapInArrow(_contexts(length), CONTEXT_SCHEMA), "contexts"
     )
-    total = contexts.filter(F.col("kinds") <= MAX_GROUP).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    work.drop("kinds")
+    groups = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("bytes")).alias("size"))
+    groups = work.save(groups, "groups")
+    total = groups.filter(F.col("n") <= MAX_GROUP).agg(F.sum("size")).first()[0] or 0
     arrays = max(64, -(-total // ARRAY_BYTES))
-    cold = contexts.filter(F.col("kinds") <= MAX_GROUP).withColumn("array", F.pmod(F.xxhash64("h"), F.lit(arrays)))
-    some = cold.groupBy("array").applyInArrow(_search(length, keep_first), SPAN_SCHEMA)
-    hot = _hot_spans(contexts.filter(F.col("kinds") > MAX_GROUP), rows, work, length, keep_first)
+    large = groups.filter(F.col("n") > MAX_GROUP).select("h")
+    cold = contexts.join(large, "h", "left_anti").withColumn("array", F.pmod(F.xxhash64("h"), F.lit(arrays)))
+    some = work.save(cold.groupBy("array").applyInArrow(_search(length, keep_first), SPAN_SCHEMA), "cold")
+    hot = work.save(_hot_spans(contexts.join(large, "h"), rows, work, length, keep_first), "hot")
+    for name in ("contexts", "cores", "core_kinds", "strings"):
+        work.drop(name)
     spans = whole.unionByName(some).unionByName(hot)
     return work.save(spans.groupBy("ord", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
 
@@ -375,7 +405,7 @@ def _digest(with_text: bool):
             out = []
             for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                gone = _merge(spans)
+                gone = [(a, min(b, len(raw))) for a, b in _merge(spans)]
                 at, kept = 0, []
                 for a, b in gone:
                     kept.append(raw[at:a])
