@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ledgerline.llm import text as T
 from ledgerline.llm.common import Workspace
+from ledgerline.operators.ranking import global_rank
 
 U = np.uint64
 #: one edit in lines of at least five words is a similarity of 0.8 or more; shorter lines are left alone
@@ -104,13 +104,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-VARIANT_SCHEMA = "key long, at int, h long, ord long, line int"
+VARIANT_SCHEMA = "key long, at int, place long"
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The variants of the lines that ``wanted`` lists per document."""
     for batch in batches:
-        ids, wanted = batch.column("ord").to_numpy(), batch.column("wanted")
+        wanted = batch.column("wanted")
         for run in T.runs(batch.column("text")):
             word, line, docs, number = split(run)
             count = np.bincount(line, minlength=len(docs))
@@ -119,16 +119,16 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = wanted.slice(run.first, run.n)
             per = np.diff(np.array(here.offsets))
             flat = here.flatten()
-            at_line, h = flat.field("line").to_numpy(), flat.field("h").to_numpy()
+            at_line, h, place = (flat.field(c).to_numpy() for c in ("line", "h", "place"))
             doc = np.repeat(np.arange(run.n), per)
             known = at_line < np.diff(np.r_[base, len(docs)])[doc]
-            doc, at_line, h = doc[known], at_line[known], h[known]
+            doc, at_line, h, place = doc[known], at_line[known], h[known], place[known]
             own = base[doc] + at_line
             a, n = first[own], count[own]
             seq = Sequences(word)
             # a row with the same id and another text
             same = seq.hash(a, a + n).view(np.int64) == h
-            doc, at_line, h, a, n = doc[same], at_line[same], h[same], a[same], n[same]
+            place, a, n = place[same], a[same], n[same]
             step = 200_000
             bounds = np.cumsum(n + 1)
             i = 0
@@ -141,8 +141,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = np.r_[seq.hash(a[s], a[s] + n[s]), gone].view(np.int64)
                 row = np.r_[np.arange(i, j), rep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(np.r_[np.full(j - i, -1), at].astype(np.int32)), pa.array(h[row]), pa.array(ids[run.first + doc[row]]), pa.array(at_line[row].astype(np.int32))],
-                    ["key", "at", "h", "ord", "line"],
+                    [pa.array(key), pa.array(np.r_[np.full(j - i, -1), at].astype(np.int32)), pa.array(place[row])], ["key", "at", "place"],
                 )
                 i = j
 
@@ -161,26 +160,34 @@ def repeated_lines(docs: DataFrame, work: Workspace) -> DataFrame:
     that equal an earlier line or are within one edit of one, in (doc_id, line) order."""
     rows = docs.select(_order(F.col("doc_id")).alias("ord"), _text().alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    lines = work.save(rows.mapInArrow(_lines, LINE_SCHEMA), "lines")
     place = F.struct("ord", "line")
-    classes = work.save(lines.groupBy("h").agg(F.min(place).alias("own"), F.first("halves").alias("halves")), "classes")
+    classes = work.save(rows.mapInArrow(_lines, LINE_SCHEMA).groupBy("h").agg(F.min(place).alias("own"), F.first("halves").alias("halves")), "classes")
     halves = classes.select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
-    candidates = halves.join(shared, "half").select("h").distinct()
-    wanted = classes.join(candidates, "h").groupBy(F.col("own.ord").alias("ord")).agg(F.collect_list(F.struct(F.col("own.line").alias("line"), "h")).alias("wanted"))
-    variants = rows.join(wanted, "ord").select("ord", "text", "wanted").mapInArrow(_variants, VARIANT_SCHEMA)
-    variants = work.save(variants, "variants")
+    candidates = classes.join(halves.join(shared, "half").select("h").distinct(), "h").select("h", F.col("own.ord").alias("ord"), F.col("own.line").alias("line"))
+    # one number per candidate, in the order of first places: variants carry it alone
+    candidates = work.save(global_rank(candidates, ["ord", "line", "h"], "place"), "candidates")
+    wanted = candidates.groupBy("ord").agg(F.collect_list(F.struct("line", "h", "place")).alias("wanted"))
+    variants = work.save(rows.join(wanted, "ord").select("text", "wanted").mapInArrow(_variants, VARIANT_SCHEMA), "variants")
     whole, less = F.col("at") < 0, F.col("at") >= 0
     # by variant: the earliest line that is it, and the earliest that becomes it
-    by_key = variants.groupBy("key").agg(F.min(F.when(whole, place)).alias("line_is"), F.min(F.when(less, place)).alias("becomes")).filter("line_is is not null and becomes is not null")
-    indel = variants.join(by_key, "key").select("h", F.when(F.col("at") < 0, F.col("becomes")).otherwise(F.col("line_is")).alias("near"))
+    by_key = variants.groupBy("key").agg(F.min(F.when(whole, F.col("place"))).alias("line_is"), F.min(F.when(less, F.col("place"))).alias("becomes")).filter("line_is is not null and becomes is not null")
+    indel = variants.join(by_key, "key").select("place", F.when(F.col("at") < 0, F.col("becomes")).otherwise(F.col("line_is")).alias("near"))
     # by variant and position: lines that differ in the word there
-    by_place = variants.filter(less).groupBy("key", "at").agg(F.min(place).alias("near"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "at", "near")
-    swap = variants.join(by_place, ["key", "at"]).select("h", "near")
-    earliest = indel.unionByName(swap).groupBy("h").agg(F.min("near").alias("near"))
-    near = classes.select("h", "own").join(earliest, "h", "left").select("h", "own", F.coalesce(F.col("near") < F.col("own"), F.lit(False)).alias("late"))
-    marked = lines.select("ord", "text_hash", "line", "h").join(near, "h").filter(F.col("late") | (F.struct("ord", "line") > F.col("own")))
-    return work.save(marked.groupBy("ord", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("lines")), "repeated")
+    by_place = variants.filter(less).groupBy("key", "at").agg(F.min("place").alias("near"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "at", "near")
+    swap = variants.join(by_place, ["key", "at"]).select("place", "near")
+    earliest = indel.unionByName(swap).filter("near < place").groupBy("place").agg(F.min("near").alias("near"))
+    # numbers of one place (rows that share an id) are not earlier than each other
+    other = candidates.select(F.col("place").alias("near"), F.struct("ord", "line").alias("near_own"))
+    late = earliest.join(candidates, "place").join(other, "near").filter(F.col("near_own") < F.struct("ord", "line")).select("h", F.lit(True).alias("late"))
+    near = classes.select("h", "own").join(late, "h", "left")
+    # hashed again rather than kept: a second scan takes less than a table of all lines
+    lines = rows.mapInArrow(_lines, LINE_SCHEMA).select("ord", "text_hash", "line", "h")
+    marked = lines.join(near, "h").filter(F.coalesce("late", F.lit(False)) | (F.struct("ord", "line") > F.col("own")))
+    found = work.save(marked.groupBy("ord", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("lines")), "repeated")
+    for name in ("classes", "candidates", "variants"):
+        work.drop(name)
+    return found
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -204,15 +211,10 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-@F.arrow_udf(StringType())
-def _rewrite(text: pa.Array, gone: pa.Array) -> pa.Array:
-    out = []
-    for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True):
-        if g:
-            drop = set(g)
-            t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-        out.append(t)
-    return pa.array(out, pa.string())
+def _without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines whose numbers ``gone`` lists."""
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i))
+    return F.array_join(kept, "\n")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -222,7 +224,7 @@ def remove(docs: DataFrame) -> DataFrame:
     lose no line stay as they are, null and empty ones included."""
     _, joined = _joined(docs)
     changed = F.col("_lines").isNotNull()
-    text = F.when(changed, _rewrite(_text(), F.col("_lines"))).otherwise(F.col("text"))
+    text = F.when(changed, _without(_text(), F.col("_lines"))).otherwise(F.col("text"))
     out = joined.withColumn("text", text).filter(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
