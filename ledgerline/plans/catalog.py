@@ -1459,7 +1459,7 @@ def customer_features(spark, d):
     (orders ⟕ per-loan month features) feed a single per-customer aggregate
     holding the previous-order, bureau and history recipes, and the line
     rows (lines ⋈ orders) a single one holding the instalment and card
-    recipes. Nine exchanges instead of fourteen for the separate jobs; both
+    recipes. Seven exchanges (PLANS.md) instead of fourteen for the separate jobs; both
     per-customer tables come out hash-partitioned on the customer key, so
     the final left joins only shuffle the customer table.
     """
