@@ -1,13 +1,12 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words and word prefixes, and every text has one term of its own. A bounded, documented sample of labelled
-documents gives the vocabulary (terms that a chi-square test ties to the label)
-and the examples; document frequencies cover the whole corpus. The examples
-form an inverted index in blocks, with every term's largest weight per block.
-A text visits the blocks in the order of their upper bounds until no bound can
-reach its k-th best cosine, so the neighbours are the exact ones. Squared
-cosines weight the neighbours' votes, and a logistic curve fitted on
-leave-one-out votes turns them into probabilities.
+documents gives the examples, and all their terms count: a term's weight grows
+smoothly with the chi-square of its tie to the label and never reaches zero.
+Document frequencies cover the whole corpus. Cosines with all examples are
+computed exactly: terms of many examples by a matrix product, the others by an
+inverted index. Squared cosines weight the neighbours' votes, and a logistic
+curve fitted on leave-one-out votes turns them into probabilities.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +27,14 @@ from ledgerline.llm.common import fold, texts
 U = np.uint64
 #: labelled examples of each label that a model is fitted on at most
 MAX_EXAMPLES = {1: 2048, 0: 6144}
-#: terms of the vocabulary at most, and the chi-square value from which a term counts
-MAX_TERMS, MIN_CHI2, MIN_EXAMPLES = 2048, 30.0, 6
+#: chi-square value at which a term has about half of its full weight
+HALF_CHI2 = 30.0
 PREFIXES = (4, 5, 6, 7, 8)
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS = 15
+#: share of the examples from which a term is a row of a dense matrix, and such rows at most
+DENSE_SHARE, MAX_DENSE = 0.15, 1024
+#: texts and index entries that are scored together at most
+TEXTS, ENTRIES = 64, 500_000
 SCORE_SCHEMA = "struct<score:double,evidence:array<struct<doc_id:long,toxic:int,cosine:double>>>"
 
 
@@ -56,84 +60,124 @@ def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Lookup:
-    """Positions of 64-bit keys in a sorted vocabulary; a bit table rejects most strangers first."""
+    """Positions of 64-bit keys in a sorted vocabulary, by a table of where the keys of each prefix begin."""
 
     def __init__(self, vocabulary: np.ndarray):
         self.keys = vocabulary
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(vocabulary >> U(48)).astype(np.int64)] = True
+        bits = min(24, max(8, len(vocabulary).bit_length()))
+        self.shift = U(64 - bits)
+        count = np.bincount((vocabulary >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.begin = np.r_[0, np.cumsum(count)].astype(np.int32)
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(indices into keys, their vocabulary positions)."""
-        if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        maybe = np.flatnonzero(self.seen[(keys >> U(48)).astype(np.int64)])
-        at = np.searchsorted(self.keys, keys[maybe])
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == keys[maybe]
-        return maybe[hit], at[hit]
+        prefix = (keys >> self.shift).astype(np.int64)
+        at, stop = self.begin[prefix], self.begin[prefix + 1]
+        found = np.zeros(len(keys), bool)
+        rest = np.flatnonzero(at < stop)
+        while len(rest):
+            hit = self.keys[at[rest]] == keys[rest]
+            found[rest[hit]] = True
+            rest = rest[~hit]
+            at[rest] += 1
+            rest = rest[at[rest] < stop[rest]]
+        hit = np.flatnonzero(found)
+        return hit, at[hit].astype(np.int64)
+
+
+def _counted(docs: np.ndarray, at: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, term) by document, with their counts."""
+    bits = n_terms.bit_length()
+    pairs, count = np.unique(docs << bits | at, return_counts=True)
+    return pairs >> bits, pairs & ((1 << bits) - 1), count
 
 
 @dataclass
 class Model:
     vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray
-    rows: list[tuple[int, int, np.ndarray, np.ndarray]]  # (doc_id, label, terms, weights), unit vectors
+    idf: np.ndarray  # times the tie to the label
+    index: Index | None = None  # of the examples
     label_weight: tuple[float, float] = (1.0, 1.0)
     prior: float = 0.0  # of texts without any term
     curve: tuple[float, float] = (1.0, 0.0)
-    _index: Index | None = field(default=None, repr=False)
+    _lookup: Lookup | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_index": None}
+        return {**self.__dict__, "_lookup": None}
 
     @property
-    def index(self) -> Index:
-        if self._index is None:
-            self._index = Index(self.rows, len(self.vocabulary))
-        return self._index
+    def lookup(self) -> Lookup:
+        if self._lookup is None:
+            self._lookup = Lookup(self.vocabulary)
+        return self._lookup
 
 
 class Index:
-    """Inverted index of unit vectors in blocks, with block maxima."""
+    """Unit vectors by term; the terms of many vectors also as rows of a dense matrix."""
 
     def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], n_terms: int):
-        # examples that share their heaviest term sit together, which keeps the bounds tight
-        rows = sorted(rows, key=lambda r: (int(r[2][np.argmax(r[3])]), r[1], r[0]))
-        n = -(-len(rows) // BLOCK) * BLOCK
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.labels = np.array([r[1] for r in rows], np.int64)
-        weights = np.zeros((n_terms, max(n, BLOCK)))
-        for i, (_, _, term, w) in enumerate(rows):
-            weights[term, i] = w
-        self.blocks = weights.reshape(n_terms, -1, BLOCK)
-        self.maxima = self.blocks.max(axis=2)
+        parts = [np.concatenate([r[i] for r in rows]) for i in (2, 3)]
+        self._fill(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([len(r[2]) for r in rows]), *parts, n_terms)
+
+    @classmethod
+    def of(cls, *columns) -> Index:
+        """From columns: ids, labels, number of terms, terms and weights one after the other."""
+        index = cls.__new__(cls)
+        index._fill(*columns)
+        return index
+
+    def _fill(self, ids: np.ndarray, labels: np.ndarray, size: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> None:
+        self.ids, self.labels = ids, labels
+        self.count = np.bincount(term, minlength=n_terms).astype(np.int32)
+        self.start = (np.cumsum(self.count, dtype=np.int64) - self.count).astype(np.int32)
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        self.example = np.repeat(np.arange(len(ids), dtype=np.int32), size)[order]
+        self.weight = weight[order]
+        frequent = np.argsort(-self.count, kind="stable")[:MAX_DENSE]
+        self.frequent = frequent[self.count[frequent] > DENSE_SHARE * len(ids)]
+        self._dense = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_dense": None}
+
+    @property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each term or -1, matrix of terms by examples)."""
+        if self._dense is None:
+            row = np.full(len(self.count), -1)
+            row[self.frequent] = np.arange(len(self.frequent))
+            matrix = np.zeros((len(self.frequent), len(self.ids)))
+            at = T.concat_ranges(self.start[self.frequent], self.count[self.frequent])
+            matrix[np.repeat(np.arange(len(self.frequent)), self.count[self.frequent]), self.example[at]] = self.weight[at]
+            self._dense = row, matrix
+        return self._dense
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For query vectors in CSR form (``bounds``: no empty ones): the k largest cosines and
-        their examples, 0 and -1 where there are fewer. Exact: a block is skipped only if
-        its upper bound does not exceed the k-th cosine found."""
-        n = len(bounds) - 1
+        their examples, 0 and -1 where there are fewer. Every cosine is computed."""
+        n, m = len(bounds) - 1, len(self.ids)
         best, who = np.zeros((n, k)), np.full((n, k), -1)
-        upper = np.add.reduceat(self.maxima[term] * weight[:, None], bounds[:-1], axis=0)
-        order = np.argsort(-upper, axis=1, kind="stable")
-        size = np.diff(bounds)
-        active = np.arange(n)
-        for r in range(order.shape[1]):
-            block = order[active, r]
-            go = upper[active, block] > best[active, -1]
-            active, block = active[go], block[go]
-            if not len(active):
-                break
-            for part in np.array_split(np.arange(len(active)), max(1, int(size[active].sum()) // 20_000)):
-                q, b = active[part], block[part]
-                at = T.concat_ranges(bounds[q], size[q])
-                own = np.r_[0, np.cumsum(size[q])[:-1]]
-                score = np.add.reduceat(self.blocks[term[at], np.repeat(b, size[q])] * weight[at][:, None], own, axis=0)
-                value = np.concatenate([best[q], score], axis=1)
-                name = np.concatenate([who[q], np.where(score > 0, b[:, None] * BLOCK + np.arange(BLOCK), -1)], axis=1)
-                top = np.argsort(-value, axis=1, kind="stable")[:, :k]
-                best[q], who[q] = np.take_along_axis(value, top, 1), np.take_along_axis(name, top, 1)
+        row, matrix = self.dense
+        often = row[term] >= 0
+        listed = np.where(often, 0, self.count[term])
+        ends = np.r_[0, np.cumsum(listed)][bounds]
+        i = 0
+        while i < n:
+            j = min(n, i + TEXTS, max(i + 1, int(np.searchsorted(ends, ends[i] + ENTRIES, "right")) - 1))
+            s = slice(bounds[i], bounds[j])
+            own = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
+            dense, t, w, size = often[s], term[s], weight[s], listed[s]
+            query = np.zeros((j - i, len(matrix)))
+            query[own[dense], row[t[dense]]] = w[dense]
+            score = query @ matrix
+            at = T.concat_ranges(self.start[t], size)
+            score += np.bincount(np.repeat(own, size) * m + self.example[at], np.repeat(w, size) * self.weight[at], (j - i) * m).reshape(j - i, m)
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < m else np.arange(m)[None].repeat(j - i, 0)
+            value = np.take_along_axis(score, top, 1)
+            order = np.lexsort((top, -value), axis=1)
+            top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
+            best[i:j, : value.shape[1]], who[i:j, : value.shape[1]] = value, np.where(value > 0, top, -1)
+            i = j
         return best, who
 
 
@@ -142,8 +186,8 @@ def vectors(run: T.Run, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if not len(model.vocabulary):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     keys, docs = terms(run)
-    hit, at = Lookup(model.vocabulary)(keys)
-    at, docs, tf = _distinct(at, docs[hit])
+    hit, at = model.lookup(keys)
+    docs, at, tf = _counted(docs[hit], at, len(model.vocabulary))
     weight = (1 + np.log(tf)) * model.idf[at]
     # a term of the text's own, of mean weight: texts that share one weak term are not alike
     norm = np.sqrt(np.bincount(docs, weight**2, run.n) + model.idf.mean() ** 2)
@@ -166,7 +210,7 @@ def score_run(run: T.Run, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
     """(scores of all texts; rows with neighbours, their cosines, their examples)."""
     docs, term, weight = vectors(run, model)
     out = np.full(run.n, model.prior)
-    if not len(docs) or not model.rows:
+    if not len(docs) or model.index is None:
         return out, np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros((0, 1), np.int64)
     some, first = np.unique(docs, return_index=True)
     best, who = model.index.nearest(term, weight, np.r_[first, len(docs)], NEIGHBOURS)
@@ -232,9 +276,12 @@ def _frequencies(vocabulary: np.ndarray):
             for run in T.runs(batch.column("text")):
                 keys, docs = terms(run)
                 hit, at = find(keys)
-                df += np.bincount(_distinct(at, docs[hit])[0], minlength=len(df))
+                df += np.bincount(_counted(docs[hit], at, len(df))[1], minlength=len(df))
                 n += run.n
-        yield pa.RecordBatch.from_pydict({"at": np.arange(-1, len(df)), "df": np.r_[n, df]})
+        some = np.flatnonzero(df)
+        for i in range(0, len(some) + 1, 50_000):
+            part = some[i : i + 50_000]
+            yield pa.RecordBatch.from_pydict({"at": np.r_[part, [-1] * (i == 0)].astype(np.int64), "df": np.r_[df[part], [n] * (i == 0)].astype(np.int64)})
 
     return run_
 
@@ -242,14 +289,13 @@ def _frequencies(vocabulary: np.ndarray):
 def _vectors(model: Model):
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, label = batch.column("doc_id").to_numpy(), batch.column("toxic").to_numpy()
+            ids, label = batch.column("doc_id"), batch.column("toxic")
             for run in T.runs(batch.column("text")):
                 docs, term, weight = vectors(run, model)
-                cut = T.doc_bounds(docs, run.n)
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": ids[run.first : run.first + run.n], "toxic": label[run.first : run.first + run.n],
-                     "terms": [term[a:b].tolist() for a, b in zip(cut, cut[1:], strict=False)], "weights": [weight[a:b].tolist() for a, b in zip(cut, cut[1:], strict=False)]},
-                    schema=pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))]),
+                cut = pa.array(T.doc_bounds(docs, run.n).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(run.first, run.n), label.slice(run.first, run.n), pa.ListArray.from_arrays(cut, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(weight))],
+                    ["doc_id", "toxic", "terms", "weights"],
                 )
 
     return run_
@@ -276,7 +322,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_examples: dict[int,
     return sample.select("doc_id", "text", "toxic"), totals
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: dict[int, int] = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: dict[int, int] = MAX_EXAMPLES) -> Model:
     """Fit on the bounded training sample; document frequencies come from all of ``docs``.
 
     Without examples of both labels the model scores every text with the smoothed rate of toxic ones."""
@@ -288,53 +334,68 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: dict[int, int] = MAX_E
     have = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = have.get(1, 0), have.get(0, 0)
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1) if totals else 0.0
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), [], prior=min(prior, 1.0))
+    empty = Model(np.zeros(0, np.uint64), np.zeros(0), prior=min(prior, 1.0))
     if not n1 or not n0:
         return empty
-    counts = sample.mapInArrow(_term_counts, "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    c, d = n1 - a, n0 - b
-    chi2 = (n1 + n0) * F.pow(a * d - b * c, F.lit(2)) / F.greatest(F.lit(1.0), (a + b) * (c + d) * n1 * n0)
-    chosen = (
-        counts.filter((a + b >= MIN_EXAMPLES) & (a / n1 > b / n0)).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
-        .orderBy(F.desc("chi2"), "term").limit(max_terms).select("term").collect()
-    )
-    vocabulary = np.sort(np.array([r["term"] for r in chosen], np.int64).view(np.uint64))
+    # one row per term of the bounded sample
+    counts = sample.mapInArrow(_term_counts, "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toArrow()
+    vocabulary = counts.column("term").to_numpy().view(np.uint64)
     if not len(vocabulary):
         return empty
-    # one row per term of the bounded vocabulary
-    found = {r["at"]: r["df"] for r in texts(docs).mapInArrow(_frequencies(vocabulary), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()}
-    df = np.array([found.get(i, 0) for i in range(len(vocabulary))])
-    idf = np.log((1 + found.get(-1, 0)) / (1 + df)) + 1
-    model = Model(vocabulary, idf, [])
-    rows = [
-        (r["doc_id"], r["toxic"], np.array(r["terms"], np.int64), np.array(r["weights"]))
-        for r in sample.mapInArrow(_vectors(model), "doc_id long, toxic int, terms array<long>, weights array<double>").collect()
-    ]
-    model.rows = sorted((r for r in rows if len(r[2])), key=lambda r: r[0])
-    if not model.rows:
-        return empty
+    order = np.argsort(vocabulary)
+    vocabulary = vocabulary[order]
+    a, b = (counts.column(c).to_numpy()[order].astype(float) for c in ("n1", "n0"))
+    c, d = n1 - a, n0 - b
+    chi2 = (n1 + n0) * (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * n1 * n0)
+    found = texts(docs).mapInArrow(_frequencies(vocabulary), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toArrow()
+    at, n = found.column("at").to_numpy(), found.column("df").to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[at[at >= 0]] = n[at >= 0]
+    idf = np.log((1 + n[at < 0].sum()) / (1 + df)) + 1
+    model = Model(vocabulary, idf * (1 + chi2) / (HALF_CHI2 + chi2))
+    # the driver keeps the model alone
+    del counts, found, order, a, b, c, d, chi2, at, n, df, idf
+    own = sample.mapInArrow(_vectors(model), "doc_id long, toxic int, terms array<int>, weights array<double>").toArrow().sort_by("doc_id").combine_chunks()
+    label, size = own.column("toxic").to_numpy().astype(np.int64), pc.list_value_length(own.column("terms")).to_numpy().astype(np.int64)
+    model.index = Index.of(
+        own.column("doc_id").to_numpy()[size > 0], label[size > 0], size[size > 0], *(pc.list_flatten(own.column(c)).to_numpy() for c in ("terms", "weights")), len(vocabulary)
+    )
+    del own
     model.label_weight = (totals[0] / n0, totals[1] / n1)
-    blank = [r[1] for r in rows if not len(r[2])]
-    w1, w0 = blank.count(1) * model.label_weight[1], blank.count(0) * model.label_weight[0]
+    blank = label[size == 0]
+    w1, w0 = (blank == 1).sum() * model.label_weight[1], (blank == 0).sum() * model.label_weight[0]
     model.prior = (w1 + prior) / (w1 + w0 + 1)
-    model.curve = _calibrate(model)
+    model.curve = _calibrate(model, sample)
     return model
 
 
-def _calibrate(model: Model) -> tuple[float, float]:
+def _left_out(model: Model):
+    """Logits of the votes of every example's neighbours without itself."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = model.index
+        by = np.argsort(index.ids)
+        for batch in batches:
+            for run in T.runs(batch.column("text")):
+                docs, term, weight = vectors(run, model)
+                some, first = np.unique(docs, return_index=True)
+                if not len(some):
+                    continue
+                best, who = index.nearest(term, weight, np.r_[first, len(docs)], NEIGHBOURS + 1)
+                own = by[np.searchsorted(index.ids, batch.column("doc_id").to_numpy()[run.first + some], sorter=by)]
+                miss = who != own[:, None]
+                # exactly one column goes: the document itself, or the last if more than k equal it
+                miss[miss.all(1), -1] = False
+                best, who = best[miss].reshape(len(own), NEIGHBOURS), who[miss].reshape(len(own), NEIGHBOURS)
+                yield pa.RecordBatch.from_pydict({"label": index.labels[own], "logit": _logit(votes(best, who, model))})
+
+    return run_
+
+
+def _calibrate(model: Model, sample: DataFrame) -> tuple[float, float]:
     """Logistic curve over leave-one-out votes of the examples (weighted to the corpus' label rates)."""
-    index = model.index
-    at = {int(d): i for i, d in enumerate(index.ids)}
-    size = np.array([len(r[2]) for r in model.rows])
-    best, who = index.nearest(np.concatenate([r[2] for r in model.rows]), np.concatenate([r[3] for r in model.rows]), np.r_[0, np.cumsum(size)], NEIGHBOURS + 1)
-    own = np.array([at[r[0]] for r in model.rows])
-    miss = who != own[:, None]
-    # exactly one column goes: the document itself, or the last if more than k equal it
-    miss[miss.all(1), -1] = False
-    best, who = best[miss].reshape(len(own), NEIGHBOURS), who[miss].reshape(len(own), NEIGHBOURS)
-    x = _logit(votes(best, who, model))
-    y = np.array([r[1] for r in model.rows])
+    own = sample.mapInArrow(_left_out(model), "label long, logit double").sort("logit", "label").toArrow()
+    x, y = own.column("logit").to_numpy(), own.column("label").to_numpy()
     w = np.where(y == 1, model.label_weight[1], model.label_weight[0])
     a, b = 1.0, 0.0
     for _ in range(50):

@@ -92,3 +92,30 @@ def test_held_out_accuracy(spark):
     p, n = rows.score[rows.toxic == 1].to_numpy(), rows.score[rows.toxic == 0].to_numpy()
     auc = (p[:, None] > n).mean() + 0.5 * (p[:, None] == n).mean()
     assert auc > 0.93 and ((rows.score >= 0.5) == (rows.toxic == 1)).mean() > 0.95
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_small_inputs_find_toxic_texts(spark, sf):
+    d = f"/root/testdata/{sf}"
+    labels = table(spark, d, "labels")
+    rows = X.classify(table(spark, d, "documents"), labels).join(labels, "doc_id").select("held_out", "predicted", "toxic").toPandas()
+    assert (rows.predicted == rows.toxic).mean() > 0.95
+    assert rows.predicted[rows.toxic == 1].mean() > 0.9 and rows.predicted[(rows.toxic == 1) & rows.held_out].sum() > 0
+
+
+def test_rare_terms_count(spark):
+    """Toxic words that occur in no more than five examples each."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, 7))
+    base = [word() for _ in range(60)]
+    groups = [[word() for _ in range(6)] for _ in range(12)]
+    rows, labels = [], []
+    for i in range(360):
+        toxic = i % 6 == 0
+        rows.append((i, " ".join([*rng.choice(base, 20), *(groups[i // 6 % 12] if toxic else [])])))
+        labels.append((i, int(toxic)))
+    got = X.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["doc_id"] % 6 == 0 for r in held) > 5
+    assert all(r["predicted"] == int(r["doc_id"] % 6 == 0) for r in held)
