@@ -1146,12 +1146,11 @@ def threshold_sweep(spark, d):
 MODEL_FEATURES = ["o_totalprice", "o_orderday", "n_lines", "max_qty", "min_discount", "max_tax", "n_returned"]
 
 
-def _modelling_split(spark, d, rebalance: bool = True):
+def _modelling_frame(spark, d):
     """Order-level features (line aggregates median-imputed), label = status F.
     The frame is checkpointed once before the imputation statistics, so
     their passes, the split, the learners and scoring all read it."""
     from ledgerline.operators import impute
-    from ledgerline.plans import scoring
     from ledgerline.session import cores, cut_lineage
 
     ol = _order_lines(spark, d).withColumns(
@@ -1159,8 +1158,14 @@ def _modelling_split(spark, d, rebalance: bool = True):
     )
     ol = cut_lineage(ol.select("o_orderkey", "label", *MODEL_FEATURES), min_partitions=cores(spark))
     ol = impute.impute(ol, ["n_lines", "max_qty", "min_discount", "max_tax"], "median")
-    ol = impute.impute(ol, ["n_returned"], "constant", fill_value=0)
-    return scoring.prepare(ol, MODEL_FEATURES, "label", "o_orderkey", test_percent=20, rebalance=rebalance, checkpoint=False)
+    return impute.impute(ol, ["n_returned"], "constant", fill_value=0)
+
+
+def _modelling_split(spark, d, rebalance: bool = True):
+    """The split and rebalanced rows of :func:`_modelling_frame`."""
+    from ledgerline.plans import scoring
+
+    return scoring.prepare(_modelling_frame(spark, d), MODEL_FEATURES, "label", "o_orderkey", test_percent=20, rebalance=rebalance, checkpoint=False)
 
 
 def _fit_query(make, scale: bool = False, weighted: bool = False, margin: bool = False):
@@ -1290,6 +1295,15 @@ def topk_refit(spark, d):
     return _checked(scored)
 
 
+@register("scoring_job", None)
+def scoring_job(spark, d):
+    """forest importances, new split and rebalancing on the top 30 features (all seven here),
+    bagged refit of 1000 trees and logistic refit, with report, AUC and sweep of their own scores."""
+    from ledgerline.plans import scoring
+
+    return scoring.scoring_job(_modelling_frame(spark, d), MODEL_FEATURES, "label", "o_orderkey")
+
+
 @register("logistic_compare", None)
 def logistic_compare(spark, d):
     """V6: raw versus standardised logistic regression on the same split."""

@@ -79,6 +79,38 @@ def top_features(model, features: Sequence[str], k: int) -> list[str]:
     return [f for f, _ in models.importances(model, features)[:k]]
 
 
+def detailed(scored: DataFrame, model_name: str) -> DataFrame:
+    """:func:`evaluation` with the confusion counts (V1, ``<label> predicted <prediction>``) and the
+    threshold sweep of the model's own scores (V5, ``<measure> above <threshold>``)."""
+    confusion = evaluate.confusion(scored).select(
+        F.concat_ws(" predicted ", F.col("label").cast("string"), F.col("prediction").cast("string")).alias("metric"), F.col("n").cast("double").alias("value")
+    )
+    measures = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("value")) for m in ("precision", "recall", "f1")])
+    sweep = evaluate.threshold_sweep(scored).select("x", F.explode(measures).alias("r")).select(
+        F.concat_ws(" above ", "r.m", F.format_number("x", 2)).alias("metric"), F.col("r.value").alias("value")
+    )
+    own = confusion.unionByName(sweep).select(F.lit(model_name).alias("model"), "metric", "value")
+    return evaluation(scored, model_name).unionByName(own)
+
+
+def scoring_job(df: DataFrame, features: Sequence[str], label: str, id_col: str, k: int = 30, test_percent: int = 20, n_estimators: int = 1000) -> DataFrame:
+    """F12 from the forest on (T5, T10, T11, T4, T6, V1-V5): importances of a forest of full depth,
+    a new split and rebalancing of all rows on the ``k`` most important features (all where there
+    are fewer), a bagged and a standardised logistic refit; (model, metric, value).
+
+    As in the scripts the second split has the seed of the first: key hashes give the same rows."""
+    frame = cut_lineage(df.select(id_col, label, *features), min_partitions=cores(df.sparkSession))
+    first = prepare(frame, features, label, id_col, test_percent, checkpoint=False)
+    forest, _ = fit_score(first, models.random_forest(maxDepth=30))
+    again = prepare(frame, top_features(forest, features, k), label, id_col, test_percent, checkpoint=False)
+    _, bagged = fit_score_bagged(again, n_estimators)
+    train, test = models.standardise(again.train, [again.test], again.features)
+    scaled = Split(train, test, again.features, label, id_col)
+    _, logistic = fit_score(scaled, models.logistic(train.count()))
+    # every metric reads the scores, the models run once
+    return detailed(cut_lineage(bagged), "bagged_refit").unionByName(detailed(cut_lineage(logistic), "logistic_refit"))
+
+
 def bagging_draw(train: DataFrame, id_col: str, target: int, n: int) -> DataFrame:
     """About ``target`` of the ``n`` rows, by a salted hash of key and copy number:
     independent of the hash that chose the extra copies, so the classes keep their shares."""
