@@ -69,19 +69,21 @@ VALID_SCHEMA = "vec_id long, label long, dim int, raw binary, first double"
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a finite vector that is not zero: its components as doubles, and its first projection."""
+    """Every row; those with an id, a label and a finite vector that is not zero with its components
+    as doubles (null in the others) and its first projection."""
     schema = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("raw", pa.binary()), ("first", pa.float64())])
     for batch in batches:
         ids, labels, vectors = batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), batch.column("embedding")
         out = []
         for i, label, v in zip(ids, labels, vectors, strict=True):
             v = v.values
-            if v is None or not len(v) or v.null_count:
+            out.append({"vec_id": i, "label": label})
+            if i is None or label is None or v is None or not len(v) or v.null_count:
                 continue
             x = v.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no negative zeros
             norm = np.linalg.norm(x)
             if np.isfinite(x).all() and norm > 0 and np.isfinite(norm):
-                out.append({"vec_id": i, "label": label, "dim": len(x), "raw": x.tobytes(), "first": float(x @ directions_of(len(x))[:, 0] / norm)})
+                out[-1] |= {"dim": len(x), "raw": x.tobytes(), "first": float(x @ directions_of(len(x))[:, 0] / norm)}
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
@@ -168,7 +170,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
     and share a component."""
     work = Workspace(embeddings.sparkSession, "vectors")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    valid = work.save(rows.filter("vec_id is not null and label is not null and embedding is not null").mapInArrow(_valid, VALID_SCHEMA), "valid")
+    every = work.save(rows.mapInArrow(_valid, VALID_SCHEMA), "valid")
+    valid = every.filter("raw is not null")
     classes = work.save(
         valid.groupBy("label", "dim", "raw").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("first").alias("first")), "classes"
     )
@@ -196,5 +199,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
     of_class = classes.join(links, F.col("node") == F.col("a"), "left").select("label", "dim", "raw", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of_class = of_class.join(component, "node", "left").select("label", "dim", "raw", "n_links", F.coalesce("component", "node").alias("component_id"))
     linked = valid.join(of_class, ["label", "dim", "raw"]).select("vec_id", "label", "n_links", "component_id")
-    rest = rows.join(linked.select("vec_id", "label").distinct(), ["vec_id", "label"], "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    # a row that links with nothing shares the component of its id's other rows
+    of_id = linked.groupBy("vec_id").agg(F.min("component_id").alias("component_id"))
+    rest = every.filter("raw is null").select("vec_id").join(of_id, "vec_id", "left").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return linked.select("vec_id", "n_links", "component_id").unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -55,3 +55,10 @@ def test_recall_of_collision_counting():
         assert (i == j).sum() == 400
         if dim >= 64:
             assert len(i) < 1000
+
+
+def test_invalid_rows_that_repeat_an_id_stay(spark):
+    v, w = [1.0, 2.0, 3.0], [-1.0, 2.0, 0.0]
+    rows = [(1, v, 1), (1, None, 1), (1, [0.0] * 3, 1), (2, v, 1), (2, [float("nan")] * 3, 1), (2, None, None), (3, w, 1), (3, [], 1), (4, None, 1), (4, None, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, vectors.near_duplicates(frame).collect())) == brute(rows)
