@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, katz, language, lines, minhash, packing, suffixes, toxicity, vectors, warc
+from ledgerline.llm import decontaminate, katz, language, lines, minhash, packing, suffixes, tokens, toxicity, vectors, warc
 from ledgerline.llm.common import ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op1_warc_packages": op1_warc_packages,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +90,7 @@ QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op10_line_dedup": op10_line_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_collision_counting": op7_collision_counting,
+    "op11_token_counts": op11_token_counts,
 }.items()}
 
 ORACLES: dict[str, str] = {
