@@ -7,7 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, katz, language, lines, minhash, packing, suffixes, tokens, toxicity, vectors, warc
+from ledgerline.llm import (
+    audit,
+    decontaminate,
+    katz,
+    language,
+    lines,
+    minhash,
+    packing,
+    suffixes,
+    tokens,
+    toxicity,
+    vectors,
+    warc,
+)
 from ledgerline.llm.common import ship, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +92,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op1_warc_packages": op1_warc_packages,
     "op2_toxicity": op2_toxicity,
@@ -91,10 +108,12 @@ QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_collision_counting": op7_collision_counting,
     "op11_token_counts": op11_token_counts,
+    "op12_filter_audit": op12_filter_audit,
 }.items()}
 
 ORACLES: dict[str, str] = {
     "op1_warc_packages": OP1_SQL,
     "op8_decontamination": decontaminate.sql(),
     "op10_line_dedup": lines.SQL,
+    "op12_filter_audit": audit.SQL,
 }
