@@ -15,6 +15,7 @@ from ledgerline.llm import (
     lines,
     minhash,
     packing,
+    periods,
     suffixes,
     tokens,
     toxicity,
@@ -96,6 +97,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(table(spark, sf_dir, "documents"), plant=periods.rotation)
+
+
 QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op1_warc_packages": op1_warc_packages,
     "op2_toxicity": op2_toxicity,
@@ -109,6 +114,7 @@ QUERIES: dict[str, QueryFn] = {name: _shipped(query) for name, query in {
     "op7_collision_counting": op7_collision_counting,
     "op11_token_counts": op11_token_counts,
     "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }.items()}
 
 ORACLES: dict[str, str] = {
