@@ -177,3 +177,107 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score", s
         _safe(tp, npos_c).alias("recall"),
         _safe(2 * tp, 2 * tp + fp + (npos_c - tp)).alias("f1"),
     )
+
+
+# ---------------------------------------------------- several models at once
+def score_groups(scored: DataFrame, label: str = "label", score: str = "score", prediction: str = "prediction", model: str = "model") -> DataFrame:
+    """(model, s, y, p, n): rows of every model by score, label and prediction. Whatever is
+    reported about the models follows from this one pass over their rows; written once."""
+    grouped = scored.groupBy(
+        F.col(model).alias("model"), F.col(score).cast("double").alias("s"), F.col(label).cast("bigint").alias("y"), F.col(prediction).cast("bigint").alias("p")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(grouped)
+
+
+def keyed_auc(groups: DataFrame) -> DataFrame:
+    """(model, auc): exact ROC AUC of every model of ``groups``.
+
+    Models and scores are sorted together by range partitions; negatives below a score are
+    counted within its range, and the ranges' totals (one row per range and model) are added
+    up. A model with all the rows is spread over the ranges like many small ones."""
+    per_score = groups.where(F.col("s").isNotNull()).groupBy("model", "s").agg(
+        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") != 1, F.col("n")).otherwise(0)).alias("neg")
+    )
+    ranged = cut_lineage(per_score.repartitionByRange("model", "s").withColumn("rng", F.spark_partition_id()))
+    totals = ranged.groupBy("model", "rng").agg(F.sum("neg").alias("rng_neg"))
+    earlier = Window.partitionBy("model").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("model", "rng", F.coalesce(F.sum("rng_neg").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("model", "rng").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("offset") + F.coalesce(F.sum("neg").over(within), F.lit(0))
+    wide = lambda c: c.cast("decimal(38,0)")
+    twice = F.sum(wide(wide(F.col("pos")) * wide(2 * F.col("below") + F.col("neg"))))
+    pairs = wide(F.sum("pos")) * wide(F.sum("neg")) * F.lit(2).cast("decimal(1,0)")
+    return (
+        ranged.join(offsets, ["model", "rng"]).withColumn("below", below)
+        .groupBy("model").agg(F.try_divide(twice.cast("double"), pairs.cast("double")).alias("auc"))
+    )
+
+
+def keyed_report(groups: DataFrame) -> DataFrame:
+    """(model, metric, value): confusion counts (``<label> predicted <prediction>``), per class,
+    macro and weighted precision / recall / f1 / support, accuracy and its printed percentage."""
+    pairs = groups.groupBy("model", "y", "p").agg(F.sum("n").alias("n"))
+    zero = F.lit(0).cast("bigint")
+    hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero)
+    sides = pairs.select("model", F.explode(F.array(
+        F.struct(F.col("y").alias("c"), hit.alias("tp"), F.col("n").alias("s"), zero.alias("m")),
+        F.struct(F.col("p").alias("c"), zero.alias("tp"), zero.alias("s"), F.col("n").alias("m")),
+    )).alias("r")).select("model", "r.*").where(F.col("c").isNotNull())
+    counts = sides.groupBy("model", "c").agg(F.sum("tp").alias("tp"), F.sum("s").alias("s"), F.sum("m").alias("m"))
+    tp, s, m = F.col("tp"), F.col("s"), F.col("m")
+    rows = counts.select(
+        "model", F.col("c").cast("string").alias("class"), _safe(tp, m).alias("precision"), _safe(tp, s).alias("recall"), _safe(2 * tp, s + m).alias("f1"), s.alias("support")
+    )
+    measures = ("precision", "recall", "f1")
+    # in class order, so the sums of a few doubles do not depend on partitions
+    together = rows.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("class", *measures, "support"))).alias("r"))
+    total = F.aggregate("r", zero, lambda t, x: t + x["support"])
+
+    def summed(k: str, weighted: bool) -> Column:
+        return F.aggregate("r", F.lit(0.0), lambda t, x: t + (x[k] * x["support"] if weighted else x[k]))
+
+    plain = [_safe(summed(k, False), F.size("r")).alias(k) for k in measures]
+    weighted = [_safe(summed(k, True), total).alias(k) for k in measures]
+    averages = [together.select("model", F.lit(f"{name} avg").alias("class"), *values, total.alias("support")) for name, values in (("macro", plain), ("weighted", weighted))]
+    report = rows.unionByName(averages[0]).unionByName(averages[1])
+    long = report.select("model", "class", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("double").alias("value")) for k in (*measures, "support")])).alias("x"))
+    long = long.select("model", F.concat_ws(" ", "class", "x.k").alias("metric"), "x.value")
+    acc = pairs.groupBy("model").agg(F.try_divide(F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).cast("double"), F.sum("n").cast("double")).alias("acc"))
+    acc = acc.select("model", F.explode(F.array(
+        F.struct(F.lit("accuracy").alias("metric"), F.col("acc").alias("value")),
+        F.struct(F.lit("accuracy percent").alias("metric"), accuracy_percent(F.col("acc")).alias("value")),
+    )).alias("x")).select("model", "x.*")
+    confusion_rows = pairs.select("model", F.concat_ws(" predicted ", F.col("y").cast("string"), F.col("p").cast("string")).alias("metric"), F.col("n").cast("double").alias("value"))
+    return long.unionByName(acc).unionByName(confusion_rows)
+
+
+def keyed_sweep(groups: DataFrame, steps: int = 100) -> DataFrame:
+    """(model, x, precision, recall, f1) of ``score > i/steps`` for every model and threshold."""
+    by_k = groups.where(F.col("s").isNotNull()).groupBy("model", sweep_index(F.col("s"), steps).alias("k")).agg(
+        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") != 1, F.col("n")).otherwise(0)).alias("neg")
+    )
+    # every model has all thresholds; rows above threshold i are the groups with k > i
+    per_model = by_k.groupBy("model").agg(F.sum("pos").alias("npos"))
+    grid = per_model.select("model", "npos", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
+    above = (
+        by_k.where("k > 0").select("model", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("i"), "pos", "neg")
+        .groupBy("model", "i").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
+    )
+    out = grid.join(above, ["model", "i"], "left")
+    tp, fp, npos = F.coalesce("tp", F.lit(0)), F.coalesce("fp", F.lit(0)), F.col("npos")
+    return out.select(
+        "model", (F.col("i").cast("double") / F.lit(float(steps))).alias("x"),
+        _safe(tp, tp + fp).alias("precision"), _safe(tp, npos).alias("recall"), _safe(2 * tp, tp + fp + npos).alias("f1"),
+    )
+
+
+def compare(scored: DataFrame, label: str = "label", score: str = "score", prediction: str = "prediction", model: str = "model", sweep: bool = True) -> DataFrame:
+    """V1-V6 of every model of ``scored`` as (model, metric, value): the rows are read once, and
+    report, AUC and sweep are keyed by the model, so their number costs no further passes."""
+    groups = score_groups(scored, label, score, prediction, model)
+    out = keyed_report(groups).unionByName(keyed_auc(groups).select("model", F.lit("roc_auc").alias("metric"), F.col("auc").alias("value")))
+    if not sweep:
+        return out
+    measures = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("value")) for m in ("precision", "recall", "f1")])
+    swept = keyed_sweep(groups).select("model", "x", F.explode(measures).alias("r"))
+    return out.unionByName(swept.select("model", F.concat_ws(" above ", "r.m", F.format_number("x", 2)).alias("metric"), "r.value"))

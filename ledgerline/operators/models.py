@@ -53,17 +53,9 @@ def with_class_weights(df: DataFrame, label: str, weight_col: str = "weight") ->
     return df.withColumn(weight_col, w)
 
 
-def bagged_trees(n_estimators: int = 1000, rows_per_tree: int = 120, n_rows: int | None = None,
-                 seed: int = 123, max_depth: int = 30, **kw) -> RandomForestClassifier:
-    """T4: bagging = a forest that sees every feature at each split; each
-    tree draws about ``rows_per_tree`` rows."""
-    rate = 1.0 if not n_rows else min(1.0, rows_per_tree / n_rows)
-    return RandomForestClassifier(numTrees=n_estimators, featureSubsetStrategy="all", subsamplingRate=rate,
-                                  maxDepth=max_depth, seed=seed, **kw)
-
-
 def random_forest(n_trees: int = 100, seed: int = 0, **kw) -> RandomForestClassifier:
-    """T5."""
+    """A forest of bounded depth (Spark ML grows at most 30 levels and keeps the model on the
+    driver); forests of full depth are :mod:`ledgerline.operators.trees`."""
     return RandomForestClassifier(numTrees=n_trees, seed=seed, **kw)
 
 

@@ -37,6 +37,36 @@ def key_hash(key: str | Column) -> Column:
     return F.conv(F.substring(F.md5(k.cast("string")), 1, 13), 16, 10).cast("bigint")
 
 
+def draw_place(n: int, seed: int, *parts: Column) -> Column:
+    """A place in 0 .. n-1 drawn for ``parts`` (md5 of ``seed|part|...``): draws with replacement
+    that any engine and any retried task repeats."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.pmod(key_hash(text), F.lit(n))
+
+
+def bootstrap(df: DataFrame, label: str, key: str, minority=1, majority=0, seed: int = 0, copy_col: str = "copy") -> DataFrame:
+    """M2: the majority as it is and as many draws with replacement from the minority.
+
+    Draw i takes the minority row at place md5(seed|i) mod n in a total row order (key hash,
+    key, then the hash of the whole row). Draws are generated and counted per place on the
+    executors, places are a distributed rank, and the two meet by an equi-join: exact in size,
+    repeatable, and at no point is a class on the driver. A row drawn m times appears with
+    copy numbers 0 .. m-1, one that is not drawn not at all. Rows of other labels stay out, as
+    in the scripts; without minority or majority rows ``df`` comes back unchanged."""
+    from ledgerline.operators.ranking import global_rank
+
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    n_min, n_maj = counts.get(minority, 0), counts.get(majority, 0)
+    if n_min == 0 or n_maj == 0:
+        return df.withColumn(copy_col, F.lit(0))
+    draws = df.sparkSession.range(n_maj).select(draw_place(n_min, seed, F.col("id")).alias("_place"))
+    drawn = draws.groupBy("_place").agg(F.count(F.lit(1)).alias("_draws"))
+    minor = global_rank(df.where(F.col(label) == F.lit(minority)), [key_hash(key), F.col(key), F.xxhash64(*df.columns)], "_place")
+    copies = F.explode(F.sequence(F.lit(0), F.col("_draws").cast("int") - 1))
+    grown = minor.join(drawn, "_place").select(*df.columns, copies.alias(copy_col))
+    return df.where(F.col(label) == F.lit(majority)).withColumn(copy_col, F.lit(0)).unionByName(grown)
+
+
 def oversample(df: DataFrame, label: str, key: str, minority=1, majority=0, copy_col: str = "copy") -> DataFrame:
     """M2: grow the minority class to exactly the majority's size.
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators import evaluate, models, sampling
+from ledgerline.operators import evaluate, models, sampling, trees
 from ledgerline.session import cores, cut_lineage
 
 
@@ -38,8 +38,9 @@ def prepare(
     rebalance: bool = True,
     checkpoint: bool = True,
 ) -> Split:
-    """M1 + M2: key-hash split, then grow the minority class of the
-    training part to the majority's size."""
+    """M1 + M2: key-hash split, then as many draws with replacement from the minority class of
+    the training part as its majority has rows. The training part is written once more: its
+    ranks and joins would otherwise run again in every pass of a learner."""
     cols = [id_col, label, *features]
     frame = df.select(*cols)
     if checkpoint:
@@ -48,8 +49,8 @@ def prepare(
         frame = cut_lineage(frame, min_partitions=cores(df.sparkSession))
     train, test = sampling.train_test(frame, id_col, test_percent)
     if rebalance:
-        # the copy number stays: draws from the grown rows take copies one by one
-        train = sampling.oversample(train, label, id_col)
+        # the copy number stays: it tells draws of one row apart
+        train = cut_lineage(sampling.bootstrap(train, label, id_col), min_partitions=cores(df.sparkSession))
     return Split(train, test, list(features), label, id_col)
 
 
@@ -59,40 +60,34 @@ def fit_score(split: Split, estimator, scale: bool = False):
     return model, models.score(model, split.test, split.id_col, split.label)
 
 
+def fit_score_forest(split: Split, n_trees: int = 100, seed: int = 0):
+    """A forest of full depth on the training part, the test part scored: (forest, scored)."""
+    copy = F.col("copy") if "copy" in split.train.columns else F.lit(0)
+    key = F.concat_ws("|", F.col(split.id_col).cast("string"), copy.cast("string"))
+    forest = trees.random_forest(split.train, split.features, split.label, key, n_trees=n_trees, seed=seed)
+    return forest, forest.score(split.test, split.id_col, split.label)
+
+
+def fit_score_bagged(split: Split, n_estimators: int = 1000, rows_per_tree: int = 120, seed: int = 123):
+    """Trees of full depth on exact bags of the training part: (forest, scored)."""
+    key = [split.id_col] + (["copy"] if "copy" in split.train.columns else [])
+    forest = trees.bagged_trees(split.train, split.features, split.label, key, n_estimators, rows_per_tree, seed)
+    return forest, forest.score(split.test, split.id_col, split.label)
+
+
 def evaluation(scored: DataFrame, model_name: str) -> DataFrame:
-    """V1-V4 and V6 in one long frame (model, metric, value): the class report as
-    ``<class> <measure>``, accuracy, its printed percentage and the AUC."""
-    report = evaluate.class_report(scored)
-    measures = ("precision", "recall", "f1", "support")
-    rows = report.select("class", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("value")) for m in measures])).alias("r"))
-    rows = rows.select(F.concat_ws(" ", "class", "r.m").alias("metric"), F.col("r.value").alias("value"))
-    acc = evaluate.accuracy(scored).select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-        F.struct(F.lit("accuracy percent").alias("metric"), evaluate.accuracy_percent(F.col("accuracy")).alias("value")),
-    )).alias("r")).select("r.*")
-    auc = evaluate.roc_auc(scored).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
-    return rows.unionByName(acc).unionByName(auc).select(F.lit(model_name).alias("model"), "metric", "value")
+    """V1-V4 and V6 of one model (model, metric, value): see :func:`evaluate.compare`."""
+    return evaluate.compare(scored.withColumn("model", F.lit(model_name)), sweep=False)
 
 
 def top_features(model, features: Sequence[str], k: int) -> list[str]:
     """The k most important features of a tree model."""
+    if isinstance(model, trees.Forest):
+        rows = model.importances().orderBy(F.desc("importance"), "feature").limit(k).collect()
+        return [r["feature"] for r in rows]
     return [f for f, _ in models.importances(model, features)[:k]]
 
 
-def detailed(scored: DataFrame, model_name: str) -> DataFrame:
-    """:func:`evaluation` with the confusion counts (V1, ``<label> predicted <prediction>``) and the
-    threshold sweep of the model's own scores (V5, ``<measure> above <threshold>``)."""
-    confusion = evaluate.confusion(scored).select(
-        F.concat_ws(" predicted ", F.col("label").cast("string"), F.col("prediction").cast("string")).alias("metric"), F.col("n").cast("double").alias("value")
-    )
-    measures = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("value")) for m in ("precision", "recall", "f1")])
-    sweep = evaluate.threshold_sweep(scored).select("x", F.explode(measures).alias("r")).select(
-        F.concat_ws(" above ", "r.m", F.format_number("x", 2)).alias("metric"), F.col("r.value").alias("value")
-    )
-    own = confusion.unionByName(sweep).select(F.lit(model_name).alias("model"), "metric", "value")
-    return evaluation(scored, model_name).unionByName(own)
-
-
 def scoring_job(df: DataFrame, features: Sequence[str], label: str, id_col: str, k: int = 30, test_percent: int = 20, n_estimators: int = 1000) -> DataFrame:
     """F12 from the forest on (T5, T10, T11, T4, T6, V1-V5): importances of a forest of full depth,
     a new split and rebalancing of all rows on the ``k`` most important features (all where there
@@ -101,37 +96,11 @@ def scoring_job(df: DataFrame, features: Sequence[str], label: str, id_col: str,
     As in the scripts the second split has the seed of the first: key hashes give the same rows."""
     frame = cut_lineage(df.select(id_col, label, *features), min_partitions=cores(df.sparkSession))
     first = prepare(frame, features, label, id_col, test_percent, checkpoint=False)
-    forest, _ = fit_score(first, models.random_forest(maxDepth=30))
+    forest, _ = fit_score_forest(first)
     again = prepare(frame, top_features(forest, features, k), label, id_col, test_percent, checkpoint=False)
     _, bagged = fit_score_bagged(again, n_estimators)
     train, test = models.standardise(again.train, [again.test], again.features)
     scaled = Split(train, test, again.features, label, id_col)
     _, logistic = fit_score(scaled, models.logistic(train.count()))
-    # every metric reads the scores, the models run once
-    return detailed(cut_lineage(bagged), "bagged_refit").unionByName(detailed(cut_lineage(logistic), "logistic_refit"))
-
-
-def bagging_draw(train: DataFrame, id_col: str, target: int, n: int) -> DataFrame:
-    """About ``target`` of the ``n`` rows, by a salted hash of key and copy number:
-    independent of the hash that chose the extra copies, so the classes keep their shares."""
-    copy = F.col("copy") if "copy" in train.columns else F.lit(0)
-    draw = sampling.key_hash(F.concat_ws("|", F.lit("bag"), F.col(id_col).cast("string"), copy.cast("string")))
-    return train.where(draw.cast("double") < F.lit(float(target) / n * float(2 ** 52)))
-
-
-def fit_score_bagged(split: Split, n_estimators: int = 1000, rows_per_tree: int = 120,
-                     max_depth: int = 30, seed: int = 123, oversample_factor: int = 4):
-    """T4 at scale: the whole ensemble only ever looks at about
-    ``n_estimators × rows_per_tree`` rows, while a forest scans its full
-    input on every level pass. So a deterministic key-hash sample of about
-    ``oversample_factor`` times that many rows is drawn first, and each tree
-    bootstraps ``rows_per_tree`` rows from it."""
-    target = oversample_factor * n_estimators * rows_per_tree
-    n = split.train.count()
-    train = split.train
-    if n > target:
-        train = bagging_draw(train, split.id_col, target, n)
-        n = train.count()
-    estimator = models.bagged_trees(n_estimators, rows_per_tree, n, seed=seed, max_depth=max_depth)
-    sampled = Split(train, split.test, split.features, split.label, split.id_col)
-    return fit_score(sampled, estimator)
+    both = bagged.withColumn("model", F.lit("bagged_refit")).unionByName(logistic.withColumn("model", F.lit("logistic_refit")))
+    return evaluate.compare(both)

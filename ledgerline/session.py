@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,3 +96,18 @@ def cut_lineage(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 def cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's sources to the executors' Python workers (once per context), so that
+    functions of tasks can be imported there wherever the driver found the package."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="ledgerline-src-")) / "ledgerline_sources.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, str(source.relative_to(root.parent)))
+    sc.addPyFile(str(target))
+    sc._ledgerline_shipped = True

@@ -190,14 +190,3 @@ def test_codes_of_many_values(spark):
         seen.setdefault(values[i], len(seen))
     got = {r["id"]: (r["a.b"], r["none"]) for r in encode.factorize(df, ["a.b", "none"], [F.col("id")]).collect()}
     assert got == {i: (seen[v], -1) for i, v in values.items()}
-
-
-def test_bagging_draw_keeps_the_balance(spark):
-    """The draw from rebalanced rows is independent of the hash that chose the extra copies."""
-    from ledgerline.plans import scoring
-
-    df = spark.range(60_000).select(F.col("id").alias("key"), (F.col("id") % 5 < 2).cast("int").alias("label"))
-    grown = sampling.oversample(df, "label", "key")
-    drawn = scoring.bagging_draw(grown, "key", 20_000, grown.count())
-    counts = {r[0]: r[1] for r in drawn.groupBy("label").count().collect()}
-    assert abs(counts[1] / (counts[0] + counts[1]) - 0.5) < 0.01 and abs(sum(counts.values()) - 20_000) < 600
