@@ -1,12 +1,16 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word prefixes, and every text has one term of its own. A bounded, documented sample of labelled
-documents gives the examples, and all their terms count: a term's weight grows
-smoothly with the chi-square of its tie to the label and never reaches zero.
-Document frequencies cover the whole corpus. Cosines with all examples are
-computed exactly: terms of many examples by a matrix product, the others by an
-inverted index. Squared cosines weight the neighbours' votes, and a logistic
-curve fitted on leave-one-out votes turns them into probabilities.
+Terms are words, and every text has one term of its own. A bounded, documented sample of
+labelled documents gives the examples, and all their terms count: a term's weight grows
+smoothly with the chi-square of its tie to the label and never reaches zero. Document
+frequencies cover the whole corpus.
+
+The examples lie in blocks of a block-max inverted index: for every term and block it knows
+the largest weight there. A text's cosines with a block are at most the sum of its own
+weights times these maxima, so blocks are visited in the order of their bounds until the
+last wanted cosine beats the bounds that are left; the cosines of visited blocks are exact.
+Squared cosines weight the neighbours' votes, and a logistic curve fitted on leave-one-out
+votes turns them into probabilities.
 """
 
 from __future__ import annotations
@@ -18,35 +22,34 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import text as T
 from ledgerline.llm.common import fold, texts
 
 U = np.uint64
-#: labelled examples of each label that a model is fitted on at most
-MAX_EXAMPLES = {1: 2048, 0: 6144}
+#: labelled examples of each label that a model is fitted on at most, and bytes of their texts;
+#: vocabulary and index hold at most one entry for each word of these texts
+MAX_EXAMPLES = {1: 512, 0: 1536}
+MAX_BYTES = {1: 8 << 20, 0: 24 << 20}
 #: chi-square value at which a term has about half of its full weight
 HALF_CHI2 = 30.0
-PREFIXES = (4, 5, 6, 7, 8)
 NEIGHBOURS = 15
+#: examples of one index block
+BLOCK = 32
+#: blocks are visited in groups of this many, in the order of their bounds
+VISITS = (2, 4, 8, 16, 1 << 20)
 #: share of the examples from which a term is a row of a dense matrix, and such rows at most
-DENSE_SHARE, MAX_DENSE = 0.15, 1024
+DENSE_SHARE, MAX_DENSE = 0.1, 1024
 #: texts and index entries that are scored together at most
 TEXTS, ENTRIES = 64, 500_000
 SCORE_SCHEMA = "struct<score:double,evidence:array<struct<doc_id:long,toxic:int,cosine:double>>>"
 
 
 def terms(run: T.Run) -> tuple[np.ndarray, np.ndarray]:
-    """(term, document) of every word and word prefix (in bytes, A-Z lower-cased)."""
-    start, end, doc = T.spans(run, T.ALNUM)
-    found, docs = [T.span_hashes(run.data, start, end)], [doc]
-    for n in PREFIXES:
-        long = end - start >= n
-        found.append(T.span_hashes(run.data, start[long], start[long] + n) ^ U(n * 0x9E3779B97F4A7C15 % 2**64))
-        docs.append(doc[long])
-    return np.concatenate(found), np.concatenate(docs)
+    """(term, document) of every word (stretch of letters, digits and non-ASCII bytes, A-Z lower-cased)."""
+    return T.words(run, T.ALNUM)
 
 
 def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +116,12 @@ class Model:
 
 
 class Index:
-    """Unit vectors by term; the terms of many vectors also as rows of a dense matrix."""
+    """Block-max inverted index of the examples' unit vectors.
+
+    Examples lie in blocks of ``BLOCK``, toxic ones first and those of one heaviest term
+    together, so that a block's maxima are high for few terms. Terms of many examples are
+    rows of a dense matrix, whose products are exact bounds of themselves; the others have
+    an entry for each block that holds them: its largest weight, and its postings."""
 
     def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], n_terms: int):
         parts = [np.concatenate([r[i] for r in rows]) for i in (2, 3)]
@@ -127,14 +135,33 @@ class Index:
         return index
 
     def _fill(self, ids: np.ndarray, labels: np.ndarray, size: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> None:
-        self.ids, self.labels = ids, labels
-        self.count = np.bincount(term, minlength=n_terms).astype(np.int32)
-        self.start = (np.cumsum(self.count, dtype=np.int64) - self.count).astype(np.int32)
-        order = np.argsort(term, kind="stable").astype(np.int32)
-        self.example = np.repeat(np.arange(len(ids), dtype=np.int32), size)[order]
-        self.weight = weight[order]
-        frequent = np.argsort(-self.count, kind="stable")[:MAX_DENSE]
-        self.frequent = frequent[self.count[frequent] > DENSE_SHARE * len(ids)]
+        owner = np.repeat(np.arange(len(ids)), size)
+        heaviest = term[np.lexsort((weight, owner))][np.cumsum(size) - 1]
+        order = np.lexsort((ids, heaviest, -labels))
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        self.ids, self.labels = ids[order], labels[order]
+        self.blocks = -(-len(ids) // BLOCK)
+        example = place[owner]
+        by = np.lexsort((example, term))
+        term, example, weight = term[by].astype(np.int64), example[by].astype(np.int32), weight[by]
+        count = np.bincount(term, minlength=n_terms)
+        frequent = np.argsort(-count, kind="stable")[:MAX_DENSE]
+        frequent = np.sort(frequent[count[frequent] > DENSE_SHARE * len(ids)])
+        self.frequent = frequent
+        often = np.isin(term, frequent)
+        self.dense_entries = np.searchsorted(frequent, term[often]).astype(np.int32), example[often], weight[often]
+        term, self.example, self.weight = term[~often], example[~often], weight[~often]
+        # one entry per (term, block): largest weight, postings from .. to
+        key = term * self.blocks + self.example // BLOCK
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.block = (key[first] % self.blocks).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.from_ = np.r_[first, len(key)].astype(np.int32)
+        entries = np.bincount(key[first] // self.blocks, minlength=n_terms)
+        self.entries = entries.astype(np.int32)
+        self.entry = (np.cumsum(entries) - entries).astype(np.int32)
+        self.n_terms = n_terms
         self._dense = None
 
     def __getstate__(self):
@@ -142,44 +169,79 @@ class Index:
 
     @property
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each term or -1, matrix of terms by examples)."""
+        """(row of each term or -1, matrix of frequent terms by examples in full blocks)."""
         if self._dense is None:
-            row = np.full(len(self.count), -1)
+            row = np.full(self.n_terms, -1, np.int32)
             row[self.frequent] = np.arange(len(self.frequent))
-            matrix = np.zeros((len(self.frequent), len(self.ids)))
-            at = T.concat_ranges(self.start[self.frequent], self.count[self.frequent])
-            matrix[np.repeat(np.arange(len(self.frequent)), self.count[self.frequent]), self.example[at]] = self.weight[at]
+            matrix = np.zeros((len(self.frequent), self.blocks * BLOCK))
+            matrix[self.dense_entries[0], self.dense_entries[1]] = self.dense_entries[2]
             self._dense = row, matrix
         return self._dense
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For query vectors in CSR form (``bounds``: no empty ones): the k largest cosines and
-        their examples, 0 and -1 where there are fewer. Every cosine is computed."""
-        n, m = len(bounds) - 1, len(self.ids)
+        their examples, 0 and -1 where there are fewer."""
+        n = len(bounds) - 1
         best, who = np.zeros((n, k)), np.full((n, k), -1)
-        row, matrix = self.dense
-        often = row[term] >= 0
-        listed = np.where(often, 0, self.count[term])
+        row, _ = self.dense
+        listed = np.where(row[term] >= 0, 0, self.entries[term])
         ends = np.r_[0, np.cumsum(listed)][bounds]
         i = 0
         while i < n:
             j = min(n, i + TEXTS, max(i + 1, int(np.searchsorted(ends, ends[i] + ENTRIES, "right")) - 1))
             s = slice(bounds[i], bounds[j])
             own = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
-            dense, t, w, size = often[s], term[s], weight[s], listed[s]
-            query = np.zeros((j - i, len(matrix)))
-            query[own[dense], row[t[dense]]] = w[dense]
-            score = query @ matrix
-            at = T.concat_ranges(self.start[t], size)
-            score += np.bincount(np.repeat(own, size) * m + self.example[at], np.repeat(w, size) * self.weight[at], (j - i) * m).reshape(j - i, m)
-            top = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < m else np.arange(m)[None].repeat(j - i, 0)
-            value = np.take_along_axis(score, top, 1)
-            order = np.lexsort((top, -value), axis=1)
-            top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
-            best[i:j, : value.shape[1]], who[i:j, : value.shape[1]] = value, np.where(value > 0, top, -1)
+            value, top = self._search(own, term[s], weight[s], listed[s], j - i, k)
+            best[i:j], who[i:j] = value, np.where(value > 0, top, -1)
             i = j
         return best, who
 
+    def _search(self, own: np.ndarray, term: np.ndarray, weight: np.ndarray, listed: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        row, matrix = self.dense
+        b, width = self.blocks, self.blocks * BLOCK
+        often = row[term] >= 0
+        query = np.zeros((n, len(matrix)))
+        query[own[often], row[term[often]]] = weight[often]
+        score = query @ matrix
+        # bounds of all blocks: the dense part is exact, the rest at most weight times maximum
+        at = T.concat_ranges(self.entry[term].astype(np.int64), listed)
+        text, q = np.repeat(own, listed), np.repeat(weight, listed)
+        cell = text * b + self.block[at]
+        bound = score.reshape(n, b, BLOCK).max(2) + np.bincount(cell, q * self.top[at], n * b).reshape(n, b)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        ranked = np.empty_like(order)
+        np.put_along_axis(ranked, order, np.arange(b)[None].repeat(n, 0), 1)
+        known = np.full((n, width), -1.0)
+        least = np.full(n, -1.0)
+        done = 0
+        for step in VISITS:
+            # a hair of slack: sums in another order may differ in their last digits
+            visit = (ranked >= done) & (ranked < done + step) & (bound > least[:, None] - 1e-9)
+            done += step
+            if not visit.any():
+                break
+            hit = visit.ravel()[cell]
+            e = at[hit]
+            size = self.from_[e + 1] - self.from_[e]
+            p = T.concat_ranges(self.from_[e].astype(np.int64), size)
+            sparse = np.bincount(np.repeat(text[hit], size) * width + self.example[p], np.repeat(q[hit], size) * self.weight[p], n * width).reshape(n, b, BLOCK)
+            exact = np.where(visit[:, :, None], score.reshape(n, b, BLOCK) + sparse, known.reshape(n, b, BLOCK))
+            known = exact.reshape(n, width)
+            if done >= b:
+                break
+            if k <= width:
+                least = -np.partition(-known, k - 1, axis=1)[:, k - 1]
+        # columns past the last example have cosine 0 and lose every tie against -1 places below
+        known[:, len(self.ids) :] = -1.0
+        top = np.argpartition(-known, k - 1, axis=1)[:, :k] if k < width else np.arange(width)[None].repeat(n, 0)
+        value = np.take_along_axis(known, top, 1)
+        by = np.lexsort((top, -value), axis=1)
+        top, value = np.take_along_axis(top, by, 1), np.maximum(np.take_along_axis(value, by, 1), 0.0)
+        if value.shape[1] < k:
+            more = ((0, 0), (0, k - value.shape[1]))
+            top, value = np.pad(top, more, constant_values=-1), np.pad(value, more)
+        return value, top
+
 
 def vectors(run: T.Run, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, unit TF-IDF weight) of a run's texts, by document."""
@@ -301,9 +363,12 @@ def _vectors(model: Model):
     return run_
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_examples: dict[int, int] = MAX_EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
+def training_sample(
+    docs: DataFrame, labels: DataFrame, max_examples: dict[int, int] = MAX_EXAMPLES, max_bytes: dict[int, int] = MAX_BYTES
+) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, toxic) of at most ``max_examples`` labelled training documents of each
-    label, those with the smallest id hash; and how many there are of each label.
+    label, those with the smallest id hash, while their whole texts add up to at most
+    ``max_bytes``; and how many there are of each label.
 
     Rows of the held-out fold, without an id or without a 0/1 label never train; of several
     labels of one document the largest holds, of several texts the smallest."""
@@ -319,7 +384,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_examples: dict[int,
         chosen = part if chosen is None else chosen.unionByName(part)
     # bounded by max_examples
     sample = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return sample.select("doc_id", "text", "toxic"), totals
+    # at most max_examples rows per label; their texts move once
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    most = F.when(F.col("toxic") == 1, F.lit(max_bytes.get(1, 0))).otherwise(F.lit(max_bytes.get(0, 0)))
+    sized = sample.withColumn("so_far", F.sum(F.octet_length("text")).over(before)).filter(F.col("so_far") <= most)
+    return sized.select("doc_id", "text", "toxic"), totals
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: dict[int, int] = MAX_EXAMPLES) -> Model:
@@ -411,21 +480,32 @@ def _calibrate(model: Model, sample: DataFrame) -> tuple[float, float]:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity`` (score and evidence); a null text counts as empty."""
+    """``docs`` with ``toxicity`` (score and evidence) in place of a column of that name; a null
+    text counts as empty."""
     return docs.withColumn("toxicity", score_udf(model)(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence of every document."""
+    """doc_id, held_out, score, predicted, evidence of every row of ``docs``.
+
+    Whole texts are scored, a null text as an empty one; texts without words get the rate of
+    toxic ones among such examples. Rows that repeat an id are scored as they stand (of several
+    texts of a training id the smallest one trains). A row without an id never trains and is not
+    held out. Equal cosines take the example of the smaller place in the index. Without labels
+    of both kinds every text gets the smoothed rate of toxic labels. An empty table gives no
+    rows; other columns, whatever their names, are not read."""
     rows = score(texts(docs), fit(docs, labels))
     return rows.select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity.score").alias("score"),
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("toxicity.score").alias("score"),
         (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("toxicity.evidence").alias("evidence"),
     )
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their columns as they are."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns as they are.
+
+    Null and empty texts, repeated rows and ids, and rows without an id are judged by their text
+    as in :func:`classify`; an empty table stays empty."""
     model = fit(docs, labels)
     value = score_udf(model)(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.filter(value["score"] < 0.5)
