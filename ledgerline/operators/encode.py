@@ -25,9 +25,16 @@ class VocabularyTooLarge(ValueError):
     pass
 
 
-def vocabularies(df: DataFrame, cols: Sequence[str], max_values: int | None = None) -> dict[str, list]:
+#: output columns that one categorical column may become, unless the caller states another bound
+MAX_VALUES = 10_000
+
+
+def vocabularies(df: DataFrame, cols: Sequence[str], max_values: int = MAX_VALUES) -> dict[str, list]:
     """Vocabularies of several columns in one job: a long-form (column, value) distinct.
-    A caller that plans for at most ``max_values`` columns gets an error beyond."""
+
+    The values become columns of the plan, so their number is bounded: a column of more than
+    ``max_values`` is an error before any value reaches the driver. Such columns have other
+    forms without a bound: :func:`long_shares`, :func:`sparse_one_hot` and the codes."""
     if not cols:
         return {}
     pairs = df.select(
@@ -40,9 +47,9 @@ def vocabularies(df: DataFrame, cols: Sequence[str], max_values: int | None = No
     pairs = cut_lineage(pairs)
     # sizes first (one row per column), values only once every size is checked
     sizes = {r["c"]: r["n"] for r in pairs.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_big = [c for c, n in sizes.items() if max_values is not None and n > max_values]
+    too_big = [c for c, n in sizes.items() if n > max_values]
     if too_big:
-        raise VocabularyTooLarge(f"{too_big} have more than {max_values} distinct values")
+        raise VocabularyTooLarge(f"{too_big} have more than {max_values} distinct values: use long_shares or sparse_one_hot")
     got: dict[str, list] = {c: [] for c in cols}
     for r in pairs.collect():
         got[r["c"]].append(r["v"])
@@ -112,18 +119,39 @@ def long_shares(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def one_hot_vector_stages(cols: Sequence[str], with_missing: bool = True) -> list:
-    """E1 in vector form for Spark ML pipelines: ``StringIndexer`` (value
-    order: alphabetical) + ``OneHotEncoder(dropLast=False)`` per column,
-    output ``{col}_vec``. Missing values get their own slot when
-    ``with_missing`` (``handleInvalid='keep'``)."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-
-    idx = [
-        StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
-                      handleInvalid="keep" if with_missing else "skip")
-        for c in cols
-    ]
-    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_vec" for c in cols],
-                        dropLast=False, handleInvalid="error")
-    return [*idx, ohe]
+def positions(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[int]]:
+    """``df`` with ``{col}_position``: the place of each row's value among the sorted values of the
+    column, a missing one behind them; and the number of places of every column. The dictionaries
+    are ranked on the executors and joined; only their sizes reach the driver."""
+    out, sizes = df, []
+    for c in cols:
+        values = df.select(named(c).cast("string").alias("_value")).where(F.col("_value").isNotNull()).distinct()
+        codes = global_rank(values, ["_value"], "_code")
+        n = codes.count()
+        joined = out.join(codes, named(c).cast("string") == F.col("_value"), "left")
+        out = joined.withColumn(f"{c}_position", F.coalesce("_code", F.lit(n)).cast("int")).drop("_value", "_code")
+        sizes.append(n + 1)
+    return out, sizes
+
+
+def sparse_one_hot(df: DataFrame, cols: Sequence[str], vector: str = "onehot") -> tuple[DataFrame, list[int]]:
+    """E1 for models, with any number of values: ``df`` with one sparse 0/1 ``vector`` of all
+    columns (each has a place per value in sorted order, and one for missing), and the number of
+    places of every column. No vocabulary is collected and no column per value is made."""
+    from pyspark.ml.feature import OneHotEncoderModel, VectorAssembler
+
+    coded, sizes = positions(df, cols)
+    names = [f"{c}_position" for c in cols]
+    parts = [f"{c}_onehot" for c in cols]
+    # the sizes are known: the encoder needs no fitting pass
+    jvm = df.sparkSession._jvm
+    gateway = df.sparkSession.sparkContext._gateway
+    widths = gateway.new_array(jvm.int, len(sizes))
+    for i, n in enumerate(sizes):
+        widths[i] = n
+    java = jvm.org.apache.spark.ml.feature.OneHotEncoderModel("sparse_one_hot", widths)
+    model = OneHotEncoderModel(java)
+    model._resetUid(java.uid())
+    model._set(inputCols=names, outputCols=parts, dropLast=False, handleInvalid="error")
+    out = VectorAssembler(inputCols=parts, outputCol=vector).transform(model.transform(coded))
+    return out.drop(*names, *parts), sizes

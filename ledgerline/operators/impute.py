@@ -9,8 +9,11 @@ small, then reads only that bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,14 @@ def _bucket(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(0), F.least(at, F.lit(HISTOGRAM_BUCKETS - 1)))
 
 
+def _nth_value(values: DataFrame, rank: int) -> float:
+    """The value at ``rank`` (from 0) among rows of few distinct values (one bucket between
+    neighbouring doubles): counted per value, so the rows never meet in one task."""
+    counts = values.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("upto", upto).where(F.col("upto") > F.lit(rank)).agg(F.min("x")).first()[0]
+
+
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Medians of several columns (linear interpolation between the two
     middle values, as pandas / SQL ``median``), computed together.
@@ -93,9 +104,11 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
                 t[4] += r["n"]
             if r["lo"] == r["hi"]:
                 t[5] = r["lo"]
-            elif r["n"] <= SMALL_BUCKET or (r["lo"], r["hi"]) == (t[2], t[3]):
-                # few rows, or a round without progress (neighbouring doubles)
+            elif r["n"] <= SMALL_BUCKET:
                 small.append((tid, r["lo"], r["hi"], t[1] - t[4]))
+            elif (r["lo"], r["hi"]) == (t[2], t[3]):
+                # a round without progress: neighbouring doubles, few of them however many rows
+                t[5] = _nth_value(stacked.where((c == tasks[tid][0]) & (x >= F.lit(r["lo"])) & (x <= F.lit(r["hi"]))), t[1] - t[4])
             else:
                 t[2], t[3] = r["lo"], r["hi"]
         if small:
@@ -250,3 +263,110 @@ def regression_fill_one(df: DataFrame, target: str, predictor: str, out_col: str
     ).first()
     pred = F.lit(coef["icpt"]) + F.lit(coef["slope"]) * F.col(predictor).cast("double")
     return df.withColumn(out_col, F.coalesce(F.col(target).cast("double"), pred))
+
+
+@dataclass
+class Fit:
+    """One link of a regression chain: ``out`` is ``target`` where it is present, else the
+    intercept plus the coefficients times the predictors (columns, or earlier outputs)."""
+
+    target: str
+    predictors: list[str]
+    out: str
+    coefficients: list[float]  # intercept first
+
+
+def _gram_by_pattern(df: DataFrame, columns: Sequence[str], targets: Sequence[str]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Gram matrices of (1, columns, targets), one per set of missing targets (bit t of the key:
+    target t is missing, and counts as 0), and the values that columns were shifted by.
+
+    One scan: rows are grouped by their set of missing targets, at most 2^targets groups. Rows
+    with a missing column are left out. A row of the table shifts the values, so that sums of
+    squares keep the digits of their spread."""
+    names = [*columns, *targets]
+    first = df.select(*[F.first(named(c).cast("double"), ignorenulls=True).alias(f"f{i}") for i, c in enumerate(names)]).first()
+    shift = [0.0 if v is None else float(v) for v in first]
+    x = [F.coalesce(named(c).cast("double") - F.lit(s), F.lit(0.0)) for c, s in zip(names, shift, strict=True)]
+    key = F.lit(0)
+    for t, target in enumerate(targets):
+        key = key + F.when(named(target).isNull(), F.lit(1 << t)).otherwise(F.lit(0))
+    rows = df
+    for c in columns:
+        rows = rows.where(named(c).isNotNull())
+    rows = rows.select(key.alias("key"), *[v.alias(f"x{i}") for i, v in enumerate(x)])
+    k = len(names)
+    sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(k)]
+    sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]
+    grams = {}
+    for r in rows.groupBy("key").agg(*sums).collect():
+        g = np.zeros((k + 1, k + 1))
+        g[0, 0] = r["n"]
+        for i in range(k):
+            g[0, i + 1] = g[i + 1, 0] = r[f"s{i}"]
+            for j in range(i, k):
+                g[i + 1, j + 1] = g[j + 1, i + 1] = r[f"p{i}_{j}"]
+        grams[r["key"]] = g
+    return grams, np.array(shift)
+
+
+def fit_chain(df: DataFrame, links: Sequence[tuple[str, Sequence[str], str]]) -> list[Fit]:
+    """The least-squares fits of a chain (target, predictors, out), where a link may use the
+    filled outputs of earlier ones, all from one scan of ``df``.
+
+    A filled output is the target where it is present and a linear function of the columns
+    where it is not, so for each set of missing targets it is a linear map of the Gram matrix
+    of the plain columns; a link's normal equations add these maps up over the sets in which
+    its target is present. Rows with a missing plain predictor take no part in any fit."""
+    targets, outs = [t for t, _, _ in links], [o for _, _, o in links]
+    columns = list(dict.fromkeys(p for _, ps, _ in links for p in ps if p not in outs))
+    grams, shift = _gram_by_pattern(df, columns, targets)
+    place = {c: i + 1 for i, c in enumerate(columns)}
+    at_target = [len(columns) + 1 + t for t in range(len(targets))]
+    size = 1 + len(columns) + len(targets)
+    fits: list[Fit] = []
+    # per set of missing targets, each output so far as a row over (1, columns, targets), shifted by its target's shift
+    filled: dict[int, dict[str, np.ndarray]] = {key: {} for key in grams}
+    for t, (target, predictors, out) in enumerate(links):
+        a = np.zeros((len(predictors) + 1, len(predictors) + 1))
+        b = np.zeros(len(predictors) + 1)
+        design = {}
+        for key, g in grams.items():
+            d = np.zeros((len(predictors) + 1, size))
+            d[0, 0] = 1.0
+            for i, p in enumerate(predictors):
+                if p in place:
+                    d[i + 1, place[p]] = 1.0
+                else:
+                    d[i + 1] = filled[key][p]
+            design[key] = d
+            if not key >> t & 1:
+                a += d @ g @ d.T
+                b += d @ g[:, at_target[t]]
+        scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+        beta = np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=1e-13)[0] / scale if a[0, 0] else np.full(len(b), np.nan)
+        for key in grams:
+            row = np.zeros(size)
+            if key >> t & 1:
+                row = beta @ design[key]
+            else:
+                row[at_target[t]] = 1.0
+            filled[key][out] = row
+        # back from shifted values to plain ones
+        base = {**{c: shift[place[c] - 1] for c in columns}, **{o: shift[at_target[i] - 1] for i, o in enumerate(outs)}}
+        intercept = beta[0] + shift[at_target[t] - 1] - sum(w * base[p] for w, p in zip(beta[1:], predictors, strict=True))
+        fits.append(Fit(target, list(predictors), out, [float(intercept), *map(float, beta[1:])]))
+    return fits
+
+
+def regression_chain(df: DataFrame, links: Sequence[tuple[str, Sequence[str], str]]) -> DataFrame:
+    """I5 in full: ``df`` with every link's output. The fits take one scan (:func:`fit_chain`);
+    the fill is a projection. A missing target whose predictors are not all present stays
+    missing, and so does one whose link had no row to learn from."""
+    out = df
+    for f in fit_chain(df, links):
+        pred = F.lit(f.coefficients[0])
+        for w, p in zip(f.coefficients[1:], f.predictors, strict=True):
+            pred = pred + F.lit(w) * named(p).cast("double")
+        known = all(math.isfinite(w) for w in f.coefficients)
+        out = out.withColumn(f.out, F.coalesce(named(f.target).cast("double"), pred if known else F.lit(None).cast("double")))
+    return out

@@ -93,6 +93,11 @@ def fit(train: DataFrame, features: Sequence[str], label: str, estimator, scale:
 def score(model: PipelineModel, df: DataFrame, id_col: str, label: str) -> DataFrame:
     """(id, label, score, prediction). ``score`` is the class-1
     probability, or the class-1 margin for the SVM."""
+    return score_fitted(model, df, id_col, label)
+
+
+def score_fitted(model, df: DataFrame, id_col: str, label: str) -> DataFrame:
+    """:func:`score` of any fitted classifier whose input columns ``df`` has."""
     out = model.transform(df)
     if "probability" in out.columns:
         s = vector_to_array("probability")[1]

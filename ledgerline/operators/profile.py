@@ -122,9 +122,20 @@ def correlation_matrix(
     pairs_per_pass: int = PAIRS_PER_PASS,
 ) -> DataFrame:
     """All pairs (pairwise-complete), long form (a, b, value), both
-    orders and the diagonal. Pairs are aggregated in batches (one scan and
-    one single-row aggregate per batch), so a wide table does not become one
-    aggregate with tens of thousands of buffers."""
+    orders and the diagonal. Fixed-point columns (every one in ``scales``) are one
+    Gram matrix, built in a single scan whatever their number. Pairs of other
+    columns are aggregated in batches (one scan and one single-row aggregate per
+    batch), so a wide table does not become one aggregate with tens of
+    thousands of buffers."""
+    if scales and all(c in scales for c in cols):
+        from ledgerline.operators import gram
+
+        half = gram.statistic(df, cols, scales, kind)
+        if digits is not None:
+            half = half.withColumn("value", report(F.col("value"), digits))
+        sides = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = F.explode(F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides))
+        return half.select(both.alias("p"), "value").select("p.a", "p.b", "value")
     pairs = list(combinations(cols, 2)) + [(c, c) for c in cols]
     parts = []
     for start in range(0, len(pairs), pairs_per_pass):

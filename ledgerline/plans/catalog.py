@@ -673,6 +673,7 @@ def bureau_features(spark, d):
     return out.withColumns({c: report(F.col(c), SHARE_DIGITS) for c in mom})
 
 
+# The output contract of the point-of-sale features
 POS_SPEC = {"ev_day": ["max", "mean", "size"], "value": ["max", "mean"], "event_id": ["count"]}
 POS_SCALES = {"ev_day": 0, "value": 2}
 
@@ -688,6 +689,7 @@ def pos_features(spark, d):
     return FE.counted_features(ev, "user_id", POS_SPEC, ["event_type"], "POS_", "POS_COUNT", POS_SCALES)
 
 
+# The output contract of the instalment features
 INST_SPEC = {
     "l_linenumber": ["nunique"],
     "DPD": ["max", "mean", "sum"],
@@ -1621,43 +1623,12 @@ def _customer_features_sql() -> str:
     return "SELECT " + ", ".join(select) + " FROM customer c " + joins
 
 
-@register("customer_features", _customer_features_sql())
-def customer_features(spark, d):
-    """The per-customer feature row: previous-order, loan-history, bureau,
-    instalment and card features left-joined onto the customers.
-
-    Jobs that share a grain and an input share one aggregate: the loans
-    (orders ⟕ per-loan month features) feed a single per-customer aggregate
-    holding the previous-order, bureau and history recipes, and the line
-    rows (lines ⋈ orders) a single one holding the instalment and card
-    recipes. Seven exchanges (PLANS.md) instead of fourteen for the separate jobs; both
-    per-customer tables come out hash-partitioned on the customer key, so
-    the final left joins only shuffle the customer table.
-    """
-    from ledgerline.functions.aggs import Recipe, share_columns
-    from ledgerline.operators import encode
-
-    orders = _orders(spark, d)
-    lines = _t(spark, d, "lineitem").withColumns(
-        {"l_shipday": R.day_number("l_shipdate"), "l_payment": F.col("l_extendedprice") * (1 - F.col("l_discount"))}
-    )
-    vocab = encode.vocabularies(orders, ["o_orderpriority", "o_orderstatus"])
-    vocab.update(encode.vocabularies(lines, [*MONTH_CATS, "l_linenumber"]))
-
-    # loan grain: month features of each order
-    month_shares = []
-    share_names = []
-    for c in MONTH_CATS:
-        month_shares += share_columns(c, vocab[c], "", True)
-        share_names += [f"{c}_{v}_MEAN" for v in vocab[c]] + [f"{c}_nan_MEAN"]
-    per_loan = lines.groupBy("l_orderkey").agg(
-        *Recipe({"l_shipday": ["min", "max", "size"]}).columns(), *month_shares
-    )
-    # fact ⋈ fact: sort-merge on the order key (neither side has a size
-    # bound; only dimension tables are left to size-based broadcasting)
-    loans = orders.join(per_loan.hint("merge"), orders.o_orderkey == per_loan.l_orderkey, "left").drop("l_orderkey")
+def customer_loans(loans, vocab, share_names):
+    """Customer grain over the loans (orders with their month features): previous-order, bureau
+    and history features in one aggregate."""
+    from ledgerline.functions.aggs import Recipe, presence_count, share_columns
+    from ledgerline.operators.profile import report
 
-    # customer grain over the loans: previous-order + bureau + history
     prev_fam = {p: F.col("o_orderstatus") == v for p, v in PREV_FAMILIES.items()}
     buro_spec = dict(BURO_LOAN_SPEC)
     buro_spec.update({"l_shipday_MIN": ["min"], "l_shipday_MAX": ["max"], "l_shipday_SIZE": ["mean", "sum"]})
@@ -1665,34 +1636,34 @@ def customer_features(spark, d):
     loan_cols = []
     for c in ("o_orderpriority", "o_orderstatus"):
         loan_cols += share_columns(c, vocab[c], "PREV_", True) + share_columns(c, vocab[c], "BURO_", True)
-    from ledgerline.operators.profile import report
-
     loan_cols += [report(F.avg(F.col(nm)), SHARE_DIGITS).alias(f"BURO_{nm}_MEAN") for nm in share_names]
-    from ledgerline.functions.aggs import presence_count
-
     loan_cols += [
         F.count("o_orderdate").alias("num_loan"),
         presence_count(F.col("o_orderpriority"), vocab["o_orderpriority"]).alias("num_loantype"),
     ]
-    per_customer_loans = grouped.group_features(
+    return grouped.group_features(
         loans, "o_custkey",
         [Recipe(PREV_SPEC, prefix="PREV_", scales=PREV_SCALES, families=prev_fam),
          Recipe(buro_spec, prefix="BURO_", scales=BURO_SCALES, families=buro_fam)],
         loan_cols,
     ).withColumn("ave_loantype", R.ratio("num_loan", "num_loantype"))
 
-    # customer grain over the lines: instalment + card
-    inst = FE.instalment_rows(
-        lines.join(orders.select("o_orderkey", "o_custkey", "o_orderday").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")),
-        "l_extendedprice", "l_payment", "o_orderday", "l_shipday",
-    )
+
+def customer_lines(lines, vocab):
+    """Customer grain over the lines with their order's customer and day: instalment and card
+    features in one aggregate."""
+    from ledgerline.functions.aggs import Recipe, share_columns
+    from ledgerline.operators import encode
+    from ledgerline.operators.profile import report
+
+    inst = FE.instalment_rows(lines, "l_extendedprice", "l_payment", "o_orderday", "l_shipday")
     card_onehot = {}
     for c in CARD_CATS:
         card_onehot.update(encode.one_hot_columns(c, vocab[c], True))
     inst = inst.withColumns(card_onehot)
     card_scales = dict(CARD_SCALES)
     card_scales.update({c: 0 for c in _card_cols() if c not in card_scales})
-    per_customer_lines = grouped.group_features(
+    out = grouped.group_features(
         inst, "o_custkey",
         [Recipe(INST_SPEC, prefix="INSTAL_", scales=INST_SCALES, vocab={"l_linenumber": vocab["l_linenumber"]}),
          Recipe({c: ["min", "max", "mean", "sum", "var"] for c in _card_cols()}, prefix="CC_", scales=card_scales,
@@ -1701,8 +1672,48 @@ def customer_features(spark, d):
         + [F.count(F.lit(1)).alias("INSTAL_COUNT"), F.count(F.lit(1)).alias("CC_COUNT")],
     )
     perc = [f"INSTAL_PAYMENT_PERC_{a}" for a in ("MEAN", "SUM", "VAR")]
-    per_customer_lines = per_customer_lines.withColumns({c: report(F.col(c), RATIO_DIGITS) for c in perc})
+    return out.withColumns({c: report(F.col(c), RATIO_DIGITS) for c in perc})
+
+
+@register("customer_features", _customer_features_sql())
+def customer_features(spark, d):
+    """The per-customer feature row: previous-order, loan-history, bureau,
+    instalment and card features left-joined onto the customers.
+
+    Jobs that share a grain and an input share one aggregate: the loans
+    (orders ⟕ per-loan month features) feed a single per-customer aggregate
+    holding the previous-order, bureau and history recipes, and the line
+    rows (lines ⋈ orders) a single one holding the instalment and card
+    recipes. Seven exchanges (PLANS.md) instead of fourteen for the separate jobs; both
+    per-customer tables come out hash-partitioned on the customer key, so
+    the final left joins only shuffle the customer table.
+    """
+    from ledgerline.functions.aggs import Recipe, share_columns
+    from ledgerline.operators import encode
+
+    orders = _orders(spark, d)
+    lines = _t(spark, d, "lineitem").withColumns(
+        {"l_shipday": R.day_number("l_shipdate"), "l_payment": F.col("l_extendedprice") * (1 - F.col("l_discount"))}
+    )
+    vocab = encode.vocabularies(orders, ["o_orderpriority", "o_orderstatus"])
+    vocab.update(encode.vocabularies(lines, [*MONTH_CATS, "l_linenumber"]))
+
+    # loan grain: month features of each order
+    month_shares = []
+    share_names = []
+    for c in MONTH_CATS:
+        month_shares += share_columns(c, vocab[c], "", True)
+        share_names += [f"{c}_{v}_MEAN" for v in vocab[c]] + [f"{c}_nan_MEAN"]
+    per_loan = lines.groupBy("l_orderkey").agg(
+        *Recipe({"l_shipday": ["min", "max", "size"]}).columns(), *month_shares
+    )
+    loans = orders.join(per_loan, orders.o_orderkey == per_loan.l_orderkey, "left").drop("l_orderkey")
+    owned = lines.join(orders.select("o_orderkey", "o_custkey", "o_orderday"), F.col("l_orderkey") == F.col("o_orderkey"))
 
     out = _t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    out = grouped.attach(out, per_customer_loans, "c_custkey", "o_custkey")
-    return grouped.attach(out, per_customer_lines, "c_custkey", "o_custkey")
+    out = grouped.attach(out, customer_loans(loans, vocab, share_names), "c_custkey", "o_custkey")
+    return grouped.attach(out, customer_lines(owned, vocab), "c_custkey", "o_custkey")
+
+
+# the registered whole jobs join this registry
+from ledgerline.plans import jobs as _jobs  # noqa: E402, F401

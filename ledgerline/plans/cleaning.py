@@ -99,8 +99,8 @@ def clean(df: DataFrame, plan: CleaningPlan, materialize: bool = True) -> DataFr
             out = impute.impute(out, st.cols, st.strategy, st.rename, st.scales, st.fill_value)
     if plan.label_encode:
         out = encode.label_encode(out, plan.label_encode)
-    for target, predictors, name in plan.regressions:
-        out = impute.regression_fill(out, target, predictors, name)
-        if name != target:
-            out = out.drop(target)
+    if plan.regressions:
+        # the chain's fits read the filled and coded rows once
+        out = impute.regression_chain(out, plan.regressions)
+        out = out.drop(*[target for target, _, name in plan.regressions if name != target])
     return out

@@ -3,6 +3,7 @@ from ledgerline.sources.readers import (  # noqa: F401
     first_rows,
     nan_to_null,
     read_csv,
+    read_csv_inferred,
     read_table,
     shape,
     stack_all,
