@@ -284,8 +284,8 @@ def _gram_by_pattern(df: DataFrame, columns: Sequence[str], targets: Sequence[st
     with a missing column are left out. A row of the table shifts the values, so that sums of
     squares keep the digits of their spread."""
     names = [*columns, *targets]
-    first = df.select(*[F.first(named(c).cast("double"), ignorenulls=True).alias(f"f{i}") for i, c in enumerate(names)]).first()
-    shift = [0.0 if v is None else float(v) for v in first]
+    first = df.select(*[named(c).cast("double").alias(f"f{i}") for i, c in enumerate(names)]).limit(1).collect()
+    shift = [0.0 if v is None else float(v) for v in first[0]] if first else [0.0] * len(names)
     x = [F.coalesce(named(c).cast("double") - F.lit(s), F.lit(0.0)) for c, s in zip(names, shift, strict=True)]
     key = F.lit(0)
     for t, target in enumerate(targets):
