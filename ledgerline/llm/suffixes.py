@@ -30,6 +30,8 @@ U = np.uint64
 LENGTH, GRAM = 400, 64
 #: groups of more surroundings are searched by cores, of this many strings each
 MAX_GROUP, CORE_STRINGS = 512, 24
+#: bytes by which suffixes are ranked first
+WORD = 8
 #: surroundings in one suffix array, in bytes
 ARRAY_BYTES = 1 << 20
 _LAST = (1 << 63) - 1
@@ -138,43 +140,89 @@ def _contexts(length: int):
 
 
 # ------------------------------------------------------------ suffix arrays
-def previous_factors(segments: list[bytes], groups: list[int], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def previous_factors(segments: list[bytes], groups: list[int], cap: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offsets of the segments, LPF, source) over the concatenated segments.
 
     LPF[i] is the length, up to ``cap``, of the longest match of the suffix at i with one
     that begins earlier in the same group (a match ends at its segment's end); source[i]
-    is that earlier place, -1 without a match of a byte. Suffixes are ranked by prefix
-    doubling; in suffix order the nearest smaller places on both sides are the best."""
+    is that earlier place, -1 without a match of a byte. A match of less than ``least`` bytes
+    may count as none (it is not measured). Suffixes are ranked by their first
+    eight bytes, then by prefix doubling; a suffix whose rank is its own is left alone. In
+    suffix order the nearest smaller places on both sides are the best."""
     offsets = np.r_[0, np.cumsum([len(s) + 1 for s in segments])].astype(np.int64)
     n = int(offsets[-1])
-    symbol = np.empty(n + cap + 8, np.int64)
-    symbol[n:] = 0
+    symbol = np.zeros(n + cap + 2 * WORD, np.int32)
     for i, s in enumerate(segments):
-        symbol[offsets[i] : offsets[i + 1] - 1] = np.frombuffer(s, np.uint8).astype(np.int64) + 1
+        symbol[offsets[i] : offsets[i + 1] - 1] = np.frombuffer(s, np.uint8).astype(np.int32) + 1
         symbol[offsets[i + 1] - 1] = 257 + i  # ends match nothing
-    owner = np.repeat(np.asarray(groups, np.int64), np.diff(offsets))
-    _, rank = np.unique(np.r_[owner * (258 + len(segments)) + symbol[:n], -1], return_inverse=True)
-    ranks, step = [(1, rank)], 1
-    while step < cap:
-        move = min(step, cap - step)
-        follow = np.full(n + 1, 0, np.int64)
-        follow[: n - move] = rank[move:n] + 1
-        key = rank * (n + 2) + follow
-        _, rank = np.unique(key, return_inverse=True)
-        step += move
-        ranks.append((step, rank))
-    place = np.argsort(rank[:n], kind="stable")
+    ranks = _ranked(symbol, offsets, np.asarray(groups, np.int64), n, cap)
+    last = ranks[-1][1][:n]
+    place = np.argsort(last * np.int64(n + 1) + np.arange(n))
     best, source = np.zeros(n, np.int64), np.full(n, -1)
+    owner = np.repeat(np.asarray(groups, np.int64), np.diff(offsets))
     for line in (place, place[::-1]):
         near = _nearest_smaller(line)
         has = near >= 0
         i, j = line[has], line[near[has]]
-        match = _common(ranks, i, j, n, cap)
+        same = owner[i] == owner[j]
+        i, j = i[same], j[same]
+        match = _common(ranks, symbol, i, j, n, cap, least)
         better = (match > best[i]) | ((match == best[i]) & (match > 0) & (j < source[i]))
         best[i[better]], source[i[better]] = match[better], j[better]
     return offsets, best, source
 
 
+def _ranked(symbol: np.ndarray, offsets: np.ndarray, groups: np.ndarray, n: int, cap: int) -> list[tuple[int, np.ndarray]]:
+    """(length, rank of every place by its group and that many symbols) for the doubled lengths
+    up to ``cap``. A rank is the number of places before its class, so classes are refined in
+    place: only places that share their class are sorted again. Place n stands for the end."""
+    word = min(WORD, cap)
+    key = np.zeros(n, np.uint64)
+    # an end counts as the largest byte; places whose word holds one are told apart below
+    byte = np.clip(symbol[: n + word] - 1, 0, 255).astype(np.uint64)
+    for d in range(word):
+        key = (key << U(8)) | byte[d : d + n]
+    ends = offsets[1:] - 1
+    cross = np.zeros(n, bool)
+    cross[T.concat_ranges(np.maximum(ends - word + 1, offsets[:-1]), np.minimum(word, np.diff(offsets)))] = True
+    owner = np.repeat(groups, np.diff(offsets))
+    order = np.argsort(key)
+    if (symbol[:n] == 256).any():
+        # a byte of that value is not an end: whole words go first among equal ones
+        order = np.lexsort((cross, key))
+    order = order[np.argsort(owner[order].astype(np.uint16 if groups.max(initial=0) < 1 << 16 else np.int64), kind="stable")]
+    k, o, c = key[order], owner[order], cross[order]
+    new = np.ones(n, bool)
+    # a place whose word crosses an end equals no other
+    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | c[1:] | c[:-1]
+    start = np.flatnonzero(new)
+    rank = np.empty(n + 1, np.int64)
+    rank[order] = np.repeat(start, np.diff(np.r_[start, n]))
+    rank[n] = -1
+    ranks, size = [(word, rank)], word
+    single = np.diff(np.r_[start, n]) == 1
+    active = order[np.repeat(~single, np.diff(np.r_[start, n]))]
+    while size < cap:
+        move = min(size, cap - size)
+        rank = rank.copy()
+        if len(active):
+            own, follow = rank[active], rank[np.minimum(active + move, n)]
+            by = np.argsort(own * np.int64(n + 2) + follow + 1)
+            at, own, follow = active[by], own[by], follow[by]
+            first = np.r_[True, own[1:] != own[:-1]]
+            new = first | np.r_[True, follow[1:] != follow[:-1]]
+            start = np.flatnonzero(new)
+            # members of a class lie in a row: its rank plus the members before
+            head = np.flatnonzero(first)
+            before = np.arange(len(at)) - np.repeat(head, np.diff(np.r_[head, len(at)]))
+            count = np.diff(np.r_[start, len(at)])
+            rank[at] = np.repeat(own[start] + before[start], count)
+            active = at[np.repeat(count > 1, count)]
+        size += move
+        ranks.append((size, rank))
+    return ranks
+
+
 def _nearest_smaller(x: np.ndarray) -> np.ndarray:
     """Index of the nearest element before each that is smaller, -1 without one (pointer jumping)."""
     near = np.arange(-1, len(x) - 1)
@@ -188,17 +236,25 @@ def _nearest_smaller(x: np.ndarray) -> np.ndarray:
     return near
 
 
-def _common(ranks: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray, n: int, cap: int) -> np.ndarray:
-    """Common prefix of the suffixes at i and j, up to ``cap``, from the ranks of doubled prefixes."""
+def _common(ranks: list[tuple[int, np.ndarray]], symbol: np.ndarray, i: np.ndarray, j: np.ndarray, n: int, cap: int, least: int) -> np.ndarray:
+    """Common prefix of the suffixes at i and j of one group, up to ``cap``: by the ranks of doubled
+    prefixes, then symbol by symbol for what is shorter than the first of them."""
     out = np.zeros(len(i), np.int64)
     full = ranks[-1][1][i] == ranks[-1][1][j]
     out[full] = cap
+    if least >= cap:
+        return out
     at = np.flatnonzero(~full)
     for size, rank in reversed(ranks[:-1]):
         a, b = i[at] + out[at], j[at] + out[at]
         ok = (a < n) & (b < n)
         ok[ok] = rank[a[ok]] == rank[b[ok]]
         out[at[ok]] += size
+    for _ in range(ranks[0][0]):
+        at = at[symbol[i[at] + out[at]] == symbol[j[at] + out[at]]]
+        if not len(at):
+            break
+        out[at] += 1
     return np.minimum(out, cap)
 
 
@@ -235,7 +291,7 @@ def _search(length: int, keep_first: bool):
                 segments.append(bytearray(r["bytes"]))
                 origin.append((r["ord"], r["text_hash"], start))
                 last = key
-        offsets, best, source = previous_factors([bytes(s) for s in segments], groups, length)
+        offsets, best, source = previous_factors([bytes(s) for s in segments], groups, length, length)
         flag = best >= length
         if not keep_first:
             flag[source[flag]] = True

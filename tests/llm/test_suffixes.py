@@ -55,6 +55,8 @@ def test_previous_factors(seed):
     cap = rnd.choice([1, 3, 5, 8, 13])
     offsets, lpf, source = S.previous_factors(segments, groups, cap)
     assert lpf.tolist() == plain_lpf(segments, groups, cap)
+    whole = S.previous_factors(segments, groups, cap, cap)[1]
+    assert (whole >= cap).tolist() == (lpf >= cap).tolist()
     text = b"".join(s + b"\0" for s in segments)
     for i, (n, j) in enumerate(zip(lpf.tolist(), source.tolist(), strict=True)):
         assert (j == -1) == (n == 0) and (not n or (j < i and text[i : i + n] == text[j : j + n]))
