@@ -3,8 +3,9 @@
 Every language is a distribution over hashed byte trigrams, counted on all
 training documents. A text is a mixture of languages: expectation maximisation
 finds the proportions that make its trigrams likeliest, and the number of
-languages is the one with the best likelihood less a penalty per language. The
-prediction is the language with the largest proportion of the chosen set.
+languages is the one with the best likelihood less a penalty per language: the
+set grows, by the proportions over all learned languages, until that stops
+improving. The prediction is the language with the largest proportion of the set.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from ledgerline.llm.common import fold
 U = np.uint64
 BINS = 1 << 16
 SMOOTHING = 0.5
-#: languages of a text that the mixture considers: the likeliest ones by themselves
-CANDIDATES = 4
 ROUNDS = 10
 #: a first estimate beyond this proportion is taken as a text of one language
 CLEAR = 0.98
+#: sets of up to this many languages are always tried; larger ones while each is better than the one before
+PATIENCE = 4
 #: neighbouring trigrams overlap; so many count as one observation
 OVERLAP = 3.0
 UNDETERMINED = "und"
@@ -87,18 +88,20 @@ def mixture(p: np.ndarray, count: np.ndarray, bounds: np.ndarray, allowed: np.nd
     return share, np.add.reduceat(count * likely, bounds[:-1])
 
 
-def infer(run: T.Run, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(language position or -1, score) of every text of a run."""
-    best, score = np.full(run.n, -1), np.zeros(run.n)
+def infer(run: T.Run, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language position or -1, score, proportions of all languages) of every text of a run.
+
+    Proportions are those of the chosen set, 0 for languages outside it."""
+    k = len(model.languages)
+    best, score, proportions = np.full(run.n, -1), np.zeros(run.n), np.zeros((run.n, k))
     doc, gram, count = trigrams(run)
-    if not len(doc) or not model.languages:
-        return best, score
+    if not len(doc) or not k:
+        return best, score, proportions
     some, first = np.unique(doc, return_index=True)
     bounds = np.r_[first, len(doc)]
     log_p = model.log_p[gram]
     alone = np.add.reduceat(log_p * count[:, None], first, axis=0)
-    k = min(CANDIDATES, len(model.languages))
-    pick = np.argsort(-alone, axis=1, kind="stable")[:, :k]
+    pick = np.argsort(-alone, axis=1, kind="stable")
     own = np.take_along_axis(log_p, np.repeat(pick, np.diff(bounds), axis=0), 1)
     p = np.exp(own - own.max(axis=1, keepdims=True))
     share, _ = mixture(p, count, bounds, np.ones((len(some), k)))
@@ -108,6 +111,7 @@ def infer(run: T.Run, model: Model) -> tuple[np.ndarray, np.ndarray]:
     lead = np.exp(single - single.max(axis=1, keepdims=True))
     value = lead.max(axis=1) / lead.sum(axis=1)
     winner = np.zeros(len(some), np.int64)
+    chosen = (np.arange(k) == 0)[None].repeat(len(some), 0).astype(float)
     open_ = np.flatnonzero(share[np.arange(len(some)), top] < CLEAR)
     if len(open_):
         size = np.diff(bounds)[open_]
@@ -116,33 +120,53 @@ def infer(run: T.Run, model: Model) -> tuple[np.ndarray, np.ndarray]:
         total = np.add.reduceat(count[at], cut[:-1]) / OVERLAP
         gain = np.full(len(open_), -np.inf)
         rank = np.argsort(np.argsort(-share[open_], axis=1, kind="stable"), axis=1)
+        # texts whose set may still grow; two languages can be worth it where a step to the likeliest one is not
+        grow = np.arange(len(open_))
         for m in range(1, k + 1):
             # the m largest proportions; one language is the likeliest by itself
-            allowed = (rank < m).astype(float) if m > 1 else (np.arange(k) == 0)[None].repeat(len(open_), 0).astype(float)
-            part, likely = mixture(p[at], count[at], cut, allowed)
-            worth = likely / OVERLAP - 0.5 * (m - 1) * np.log(np.maximum(total, 2.0)) - (m - 1)
-            better = worth > gain
-            gain[better] = worth[better]
-            winner[open_[better]] = np.argmax(part[better], axis=1)
+            allowed = (rank[grow] < m).astype(float) if m > 1 else (np.arange(k) == 0)[None].repeat(len(grow), 0).astype(float)
+            own = T.concat_ranges(cut[grow], size[grow])
+            part, likely = mixture(p[at][own], count[at][own], np.r_[0, np.cumsum(size[grow])], allowed)
+            worth = likely / OVERLAP - 0.5 * (m - 1) * np.log(np.maximum(total[grow], 2.0)) - (m - 1)
+            better = worth > gain[grow]
+            which = grow[better]
+            gain[which] = worth[better]
+            winner[open_[which]] = np.argmax(part[better], axis=1)
+            chosen[open_[which]] = part[better]
             if m > 1:
-                value[open_[better]] = part[better].max(axis=1)
+                value[open_[which]] = part[better].max(axis=1)
+            if m >= PATIENCE:
+                grow = which
+            if not len(grow):
+                break
     best[some] = pick[np.arange(len(some)), winner]
     score[some] = np.clip(value, 0.0, 1.0)
-    return best, score
+    spread = np.zeros((len(some), k))
+    np.put_along_axis(spread, pick, chosen, 1)
+    proportions[some] = spread
+    return best, score, proportions
 
 
 def _predict(model: Model):
     names = np.array([*model.languages, UNDETERMINED], object)
+    # likelihoods of a run's trigrams in every language are held at once
+    limit = max(1 << 14, 4 * T.CHUNK_BYTES // max(4, len(model.languages)))
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in T.runs(batch.column("text")):
-                best, score = infer(run, model)
+            for run in T.runs(batch.column("text"), limit):
+                best, score, share = infer(run, model)
                 blank = ~has_letter(run)
-                best[blank], score[blank] = -1, 0.0
+                best[blank], score[blank], share[blank] = -1, 0.0, 0.0
+                # largest proportions first, names in order among equal ones
+                by = np.argsort(-share, axis=1, kind="stable")
+                ordered = np.take_along_axis(share, by, 1)
+                real = ordered > 0
+                cut = pa.array(np.r_[0, np.cumsum(real.sum(1))].astype(np.int32))
+                mix = pa.StructArray.from_arrays([pa.array(names[by[real]].tolist(), pa.string()), pa.array(ordered[real])], ["lang", "share"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(run.first, run.n), batch.column("held_out").slice(run.first, run.n), pa.array(names[best].tolist(), pa.string()), pa.array(score)],
-                    ["doc_id", "held_out", "lang_pred", "score"],
+                    [batch.column("doc_id").slice(run.first, run.n), batch.column("held_out").slice(run.first, run.n), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.ListArray.from_arrays(cut, mix)],
+                    ["doc_id", "held_out", "lang_pred", "score", "mixture"],
                 )
 
     return run_
@@ -179,14 +203,18 @@ def fit(rows: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document.
-
-    Trained on the rows whose fold is not 2 and whose lang is not null; a text without a
-    letter (null and empty ones too) is ``und`` with score 0, and so is every text if no
-    language was learned. Equal likelihoods go to the language first in name order."""
+    """doc_id, held_out, lang_pred, score, mixture of every row of ``docs``; ``mixture`` lists the
+    chosen set of languages with their proportions, the largest first.
+
+    Trained on the rows with an id whose fold is not 2 and whose lang is not null; a row without
+    an id is not held out and does not train. A text without a letter (null and empty ones too)
+    is ``und`` with score 0 and an empty mixture, and so is every text if no language was
+    learned. Equal likelihoods go to the language first in name order. Rows that repeat an id
+    are rows of their own; an empty table gives no rows; other columns are not read."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
-        (fold("doc_id", 4) == 2).alias("held_out"),
+        F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
     )
-    model = fit(rows.filter(~F.coalesce("held_out", F.lit(False))))
-    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held_out").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    model = fit(rows.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
+    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held_out").mapInArrow(_predict(model), schema)

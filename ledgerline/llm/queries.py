@@ -66,7 +66,7 @@ def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "documents")).drop("mixture")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
