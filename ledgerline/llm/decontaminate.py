@@ -16,8 +16,8 @@ from ledgerline.llm.common import Workspace
 
 #: template tokens per window, and the share of them that must be words
 WINDOW, LITERAL_EIGHTHS = 8, 5
-#: benchmark windows that are broadcast at most (of 8 bytes each); beyond, the join shuffles
-MAX_BROADCAST_WINDOWS = 500_000
+#: benchmark windows that are broadcast at most, and bytes of their tokens; beyond, the joins shuffle
+MAX_BROADCAST_WINDOWS, MAX_BROADCAST_BYTES = 200_000, 32 << 20
 
 # Units of measure that make a slot after a number
 UNITS = (
@@ -86,10 +86,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     """doc_id, text_hash, item_id, item_at, at: verified windows of documents (by id and text) and items."""
     work = Workspace(docs.sparkSession, "decontaminate")
     bench = work.save(benchmark_windows(benchmark, window), "benchmark")
-    # a row per window of the benchmark, and at most ``window`` lengths
-    lengths = sorted(r["length"] for r in bench.groupBy("length").count().collect())
+    # at most ``window`` lengths; both tables are measured before either is broadcast
+    sizes = bench.groupBy("length").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.array_join("own", ""))).alias("bytes")).collect()
+    lengths = sorted(r["length"] for r in sizes)
     keys = bench.select("hash", "length").distinct()
-    if keys.count() <= MAX_BROADCAST_WINDOWS:
+    if sum(r["rows"] for r in sizes) <= MAX_BROADCAST_WINDOWS and sum(r["bytes"] or 0 for r in sizes) <= MAX_BROADCAST_BYTES:
         keys, bench = F.broadcast(keys), F.broadcast(bench)
     tokens = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -143,10 +144,15 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without a verified window, with their columns as they are."""
-    found = verdicts(docs, benchmark, window).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+    """The rows of ``docs`` without a verified window, with all their columns as they are,
+    whatever their names. Null and empty texts stay; repeated rows, and rows without an id, are
+    judged by their text like any other; empty tables of either kind remove nothing."""
+    found = verdicts(docs, benchmark, window).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
     doc_id, text_hash = _keyed(docs)
-    return docs.join(found, doc_id.eqNullSafe(F.col("_d")) & (text_hash == F.col("_h")), "left_anti")
+    # the rows travel as one struct, so no name of theirs meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_id.alias("id"), text_hash.alias("t"))
+    kept = rows.join(found, F.col("id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("h")), "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _sql_marked(column: str, keep: bool) -> str:

@@ -7,9 +7,11 @@ deletion of one word. Every candidate line emits the hashed sequences without
 each of its words, and its own; lines join where variants are equal, the deleted
 positions verify the distance, and the earliest line of each join stays.
 
-Equal lines are one class first. Only classes that share their first or last
-half with another class emit variants: one edit leaves a half untouched, so no
-pair is lost. Joins keep minima per variant, never pairs of lines.
+Equal lines are one class first, whatever their length: a line of any words that
+equals an earlier one goes. Lines of at least ``MIN_WORDS`` words are compared
+within the edit as well. Only classes that share their first or last half with
+another class emit variants: one edit leaves a half untouched, so no pair is
+lost. Joins keep minima per variant, never pairs of lines.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from ledgerline.llm.common import Workspace
 from ledgerline.operators.ranking import global_rank
 
 U = np.uint64
-#: one edit in lines of at least five words is a similarity of 0.8 or more; shorter lines are left alone
+#: one edit in lines of at least five words is a similarity of 0.8 or more; shorter lines must be equal
 MIN_WORDS = 5
 _BASE = 0xD1342543DE82EF95
 _INVERSE = U(pow(_BASE, -1, 2**64))
@@ -87,19 +89,22 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word, line, docs, number = split(run)
             count = np.bincount(line, minlength=len(docs))
             first = np.cumsum(count) - count
-            own = np.flatnonzero(count >= MIN_WORDS)
+            own = np.flatnonzero(count)
             a, n = first[own], count[own]
+            long = n >= MIN_WORDS
             seq = Sequences(word)
             halves = np.empty((len(own), 4), np.uint64)
             # pairs whose longer line has n words, or n + 1: one of the halves around the edit is equal
             for i, size in enumerate((n, n + 1)):
-                cut = (size - 1) // 2
+                cut = np.minimum((size - 1) // 2, n)
                 halves[:, 2 * i] = T.mix(seq.hash(a, a + cut, 101) + size.astype(np.uint64))
                 halves[:, 2 * i + 1] = T.mix(seq.hash(a + n - (size - 1 - cut), a + n, 202) + size.astype(np.uint64))
             doc = docs[own] + run.first
+            # short lines have no halves to share
+            cut = pa.array(np.r_[0, np.cumsum(long)].astype(np.int32) * 4)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[doc]), pa.array(hashes[doc]), pa.array(number[own].astype(np.int32)), pa.array(seq.hash(a, a + n).view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * 4), pa.array(halves.reshape(-1).view(np.int64)))],
+                 pa.ListArray.from_arrays(cut, pa.array(halves[long].reshape(-1).view(np.int64)))],
                 ["ord", "text_hash", "line", "h", "halves"],
             )
 
@@ -190,13 +195,6 @@ def repeated_lines(docs: DataFrame, work: Workspace) -> DataFrame:
     return found
 
 
-def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs``, and the same with ``_lines`` (null where nothing repeats)."""
-    work = Workspace(docs.sparkSession, "lines")
-    found = repeated_lines(docs, work).select(F.col("ord").alias("_o"), F.col("text_hash").alias("_t"), F.col("lines").alias("_lines"))
-    return docs, docs.join(found, (_order(F.col("doc_id")) == F.col("_o")) & (F.xxhash64(_text()) == F.col("_t")), "left")
-
-
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0, comma-separated) of every document.
 
@@ -218,17 +216,26 @@ def _without(text: Column, gone: Column) -> Column:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated lines, with its columns (``n_chars`` follows the text).
-
-    A document that loses all its words is a copy of earlier lines and goes; texts that
-    lose no line stay as they are, null and empty ones included."""
-    _, joined = _joined(docs)
-    changed = F.col("_lines").isNotNull()
-    text = F.when(changed, _without(_text(), F.col("_lines"))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text).filter(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """``docs`` without repeated lines, with all its columns, whatever their names (``n_chars``
+    follows the text).
+
+    A document that loses all its words is a copy of earlier lines and goes; texts that lose no
+    line stay as they are, null and empty ones included. Documents without an id come last in the
+    order of lines; rows that repeat id and text have the same place, so the same lines stay in
+    all of them; an empty table stays empty."""
+    work = Workspace(docs.sparkSession, "lines")
+    found = repeated_lines(docs, work).withColumnsRenamed({"ord": "o", "text_hash": "t", "lines": "gone"})
+    # the rows travel as one struct, so no name of theirs meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _order(F.col("doc_id")).alias("ord"), F.xxhash64(_text()).alias("text_hash"), _text().alias("text"))
+    joined = rows.join(found, (F.col("ord") == F.col("o")) & (F.col("text_hash") == F.col("t")), "left")
+    changed = F.col("gone").isNotNull()
+    left = joined.withColumn("text", F.when(changed, _without(F.col("text"), F.col("gone"))).otherwise(F.col("text")))
+    left = left.filter(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    own = lambda c: F.col("row").getField(c)
+    new = {"text": F.when(changed, F.col("text")).otherwise(own("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
+    return left.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL for :func:`report` over ``documents``
@@ -236,13 +243,14 @@ SQL = f"""
 WITH docs AS (SELECT doc_id, coalesce(doc_id, {_LAST}) AS ord, coalesce(text, '') AS text FROM documents),
      cut AS (SELECT DISTINCT ord, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM docs),
      seqs AS (SELECT ord, text, no, list_filter(regexp_split_to_array(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM cut),
-     line AS (SELECT * FROM seqs WHERE len(w) >= {MIN_WORDS}),
+     line AS (SELECT * FROM seqs WHERE len(w) >= 1),
      class AS (SELECT array_to_string(w, ' ') AS s, any_value(w) AS w, min((ord, no)) AS own FROM line GROUP BY 1),
-     gone AS (SELECT s, own, unnest(range(1, len(w) + 1)) AS i, w FROM class),
+     long AS (SELECT * FROM class WHERE len(w) >= {MIN_WORDS}),
+     gone AS (SELECT s, own, unnest(range(1, len(w) + 1)) AS i, w FROM long),
      less AS (SELECT s, own, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM gone),
      near AS (SELECT a.s, min(b.own) AS own FROM less a JOIN less b ON a.v = b.v AND a.i = b.i GROUP BY 1
-              UNION ALL SELECT a.s, min(b.own) FROM less a JOIN class b ON a.v = b.s GROUP BY 1
-              UNION ALL SELECT b.s, min(a.own) FROM less a JOIN class b ON a.v = b.s GROUP BY 1),
+              UNION ALL SELECT a.s, min(b.own) FROM less a JOIN long b ON a.v = b.s GROUP BY 1
+              UNION ALL SELECT b.s, min(a.own) FROM less a JOIN long b ON a.v = b.s GROUP BY 1),
      late AS (SELECT c.s, min(least(c.own, n.own)) AS own, min(n.own) < any_value(c.own) AS near FROM class c LEFT JOIN near n USING (s) GROUP BY 1),
      marked AS (SELECT DISTINCT l.ord, l.text, l.no FROM line l JOIN late x ON array_to_string(l.w, ' ') = x.s WHERE x.near OR (l.ord, l.no) > x.own),
      found AS (SELECT ord, text, count(*) AS n, string_agg(no::VARCHAR, ',' ORDER BY no) AS removed FROM marked GROUP BY ALL)

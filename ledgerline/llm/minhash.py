@@ -288,11 +288,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the document with the
-    smallest id stays, once, with its columns as they are. Documents without words all stay."""
-    found = near_duplicates(docs, k, threshold).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_d")).agg(
-        F.max((~F.col("kept")).cast("int")).alias("_gone"), F.max("n_shingles").alias("_n")
+    smallest id stays, once, with all its columns as they are, whatever their names. Documents
+    without words (null, empty and blank texts) and rows without an id all stay; of rows that
+    repeat id and text one stays; an empty table stays empty."""
+    found = near_duplicates(docs, k, threshold).filter("doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg(
+        F.max((~F.col("kept")).cast("int")).alias("gone"), F.max("n_shingles").alias("n")
     )
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("_t", text).join(found.hint("merge"), F.col("doc_id").cast("long") == F.col("_d"), "left").filter(F.coalesce("_gone", F.lit(0)) == 0)
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))
-    return joined.withColumn("_copy", copy).filter((F.col("_copy") == 1) | F.coalesce(F.col("_n") == 0, F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the rows travel as one struct, so no name of theirs meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("t"))
+    joined = rows.join(found.hint("merge"), F.col("id") == F.col("d"), "left").filter(F.coalesce("gone", F.lit(0)) == 0)
+    copy = F.row_number().over(Window.partitionBy("id", "t").orderBy("t"))
+    kept = joined.withColumn("copy", copy).filter((F.col("copy") == 1) | F.col("id").isNull() | F.coalesce(F.col("n") == 0, F.lit(True)))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -61,18 +61,18 @@ def plain_fast(rows):
 
     best: dict = {}
     lines = [(d, k, tuple(words(x))) for d, t in rows for k, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= MIN_WORDS]
-    keys = lambda w: {("=", w)} | {(i, w[:i] + w[i + 1 :]) for i in range(len(w))}
+    lines = [x for x in lines if x[2]]
+    keys = lambda w: {("=", w)} | ({(i, w[:i] + w[i + 1 :]) for i in range(len(w))} if len(w) >= MIN_WORDS else set())
     shorter: dict = {}
     for d, k, w in lines:
         for key in keys(w):
             best[key] = min(best.get(key, (d, k)), (d, k))
-        for i in range(len(w)):
+        for i in range(len(w) if len(w) > MIN_WORDS else 0):
             v = w[:i] + w[i + 1 :]
             shorter[v] = min(shorter.get(v, (d, k)), (d, k))
     gone: dict = {d: [] for d, _ in rows}
     for d, k, w in lines:
-        near = [best[key] for key in keys(w)] + [best[("=", w[:i] + w[i + 1 :])] for i in range(len(w)) if ("=", w[:i] + w[i + 1 :]) in best] + ([shorter[w]] if w in shorter else [])
+        near = [best[key] for key in keys(w)] + [best[("=", w[:i] + w[i + 1 :])] for i in range(len(w) if len(w) > MIN_WORDS else 0) if ("=", w[:i] + w[i + 1 :]) in best] + ([shorter[w]] if w in shorter else [])
         if min(near) < (d, k):
             gone[d].append(k)
     return [(d, len(t.split("\n")), len(gone[d]), ",".join(map(str, gone[d]))) for d, t in rows]
@@ -89,11 +89,14 @@ def test_plain_versions_agree():
 def test_stage_edges(spark, name):
     rows = [(1, None), (2, ""), (3, "same text of six words here"), (4, "same text of six words here"), (5, "a"), (3, "same text of six words here"), (None, "no id at all in this row")]
     docs = spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    docs = docs.selectExpr("*", "1 as item_id", "'x' as toxic")
+    names = ["item_id", "toxic", "toxicity", "score", "evidence", "row", "id", "t", "d", "n", "gone", "copy", "o", "h", "ord", "text_hash", "lines", "key", "at", "place", "near", "late", "own", "line",
+             "component_id", "kept", "n_shingles", "hash", "length", "hits", "_t", "_o", "_lines", "_copy", "_d", "_h", "_gone", "_n", "a.b"]
+    docs = docs.selectExpr("*", *(f"{i} as `{n}`" for i, n in enumerate(names)))
     out = dict(stages.STAGES)[name](spark, docs, SF)
     got = out.collect()
     if name != "best_fit_packing":
         assert out.columns == docs.columns
+        assert all(r[n] == i for r in got for i, n in enumerate(names))
         ids = [r["doc_id"] for r in got]
         assert {1, 2, 5, None} <= set(ids)
         if name == "line_dedup":
