@@ -46,6 +46,11 @@ class Hashes:
         values = T._BYTE_VALUES[data] * T._powers[: len(data)]
         self.prefix = np.r_[U(0), np.cumsum(values, dtype=np.uint64)]
 
+    def grams(self, n: int) -> np.ndarray:
+        """:meth:`of` every ``n`` bytes in a row."""
+        m = len(self.prefix) - n
+        return T.mix((self.prefix[n:] - self.prefix[:m]) * T._inverses[:m] + U(n * 0xD6E8FEB86659FD93 % 2**64))
+
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return T.mix((self.prefix[b] - self.prefix[a]) * T._inverses[a] + (b - a).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
@@ -63,18 +68,21 @@ def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill) -> np.ndarray:
     return op(back[:m], ahead[w - 1 : w - 1 + m])
 
 
-def anchors(run: T.Run, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(run: T.Run, length: int = LENGTH, gram: int = GRAM, hashes: Hashes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, place in the run, hash, bytes before, bytes behind, hash of the surroundings) of the anchors."""
     none = np.zeros(0, np.int64)
     size = np.diff(run.offsets)
     w = length - gram + 1
     if len(run.data) < length or not (size >= length).any():
         return none, none, none.astype(np.uint64), none, none, none.astype(np.uint64)
-    hashes = Hashes(run.data)
-    at = np.arange(len(run.data) - gram + 1)
-    h = hashes.of(at, at + gram)
-    end = np.repeat(run.offsets[1:], size)[: len(at)]
-    inside = at + gram <= end
+    hashes = hashes or Hashes(run.data)
+    m = len(run.data) - gram + 1
+    h = hashes.grams(gram)
+    # grams that cross a text's end
+    inside = np.ones(m, bool)
+    cross = np.minimum(size, gram - 1)
+    late = T.concat_ranges(run.offsets[1:] - cross, cross)
+    inside[late[late < m]] = False
     h[~inside] = _NONE
     least = _sliding(h, w, np.minimum, _NONE)
     # a gram is an anchor if it is the least of some window of grams that holds it
@@ -101,10 +109,10 @@ def _occurrences(length: int):
         for batch in batches:
             ids, texts = batch.column("ord").to_numpy(), batch.column("text_hash").to_numpy()
             for run in T.runs(batch.column("text")):
-                doc, place, _, before, behind, around = anchors(run, length)
+                hashes = Hashes(run.data) if (np.diff(run.offsets) >= length).any() else None
+                doc, place, _, before, behind, around = anchors(run, length, hashes=hashes)
                 left, right = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.uint64)
                 if len(doc):
-                    hashes = Hashes(run.data)
                     ok = before >= half
                     left[ok] = T.mix(hashes.of(place[ok] - half, place[ok] + GRAM) + U(1)) | U(1)
                     ok = behind >= half
@@ -130,11 +138,14 @@ def _contexts(length: int):
                 raw = text.as_buffer().to_pybytes()
                 at = np.array(wanted, np.int64)
                 h = Hashes(np.frombuffer(raw, np.uint8)).of(at, at + GRAM).view(np.int64)
+                reach = length - GRAM
                 for i in range(0, len(at), 2000):
-                    yield pa.RecordBatch.from_pylist(
-                        [{"h": int(x), "ord": doc, "text_hash": th, "pos": p, "before": min(p, length - GRAM), "bytes": raw[max(0, p - (length - GRAM)) : p + length]} for x, p in zip(h[i : i + 2000], wanted[i : i + 2000], strict=True)],
-                        schema=schema,
-                    )
+                    here = at[i : i + 2000]
+                    columns = [
+                        h[i : i + 2000], np.full(len(here), doc), np.full(len(here), th), here.astype(np.int32), np.minimum(here, reach).astype(np.int32),
+                        [raw[max(0, p - reach) : p + length] for p in wanted[i : i + 2000]],
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run_
 
@@ -155,9 +166,10 @@ def previous_factors(segments: list[bytes], groups: list[int], cap: int, least:
     for i, s in enumerate(segments):
         symbol[offsets[i] : offsets[i + 1] - 1] = np.frombuffer(s, np.uint8).astype(np.int32) + 1
         symbol[offsets[i + 1] - 1] = 257 + i  # ends match nothing
-    ranks = _ranked(symbol, offsets, np.asarray(groups, np.int64), n, cap)
-    last = ranks[-1][1][:n]
-    place = np.argsort(last * np.int64(n + 1) + np.arange(n))
+    ranks, shared = _ranked(symbol, offsets, np.asarray(groups, np.int64), n, cap)
+    # where only whole matches count, suffixes of a rank of their own have none
+    some = np.sort(shared) if least >= cap else np.arange(n)
+    place = some[np.argsort(ranks[-1][1][some], kind="stable")]
     best, source = np.zeros(n, np.int64), np.full(n, -1)
     owner = np.repeat(np.asarray(groups, np.int64), np.diff(offsets))
     for line in (place, place[::-1]):
@@ -172,9 +184,9 @@ def previous_factors(segments: list[bytes], groups: list[int], cap: int, least:
     return offsets, best, source
 
 
-def _ranked(symbol: np.ndarray, offsets: np.ndarray, groups: np.ndarray, n: int, cap: int) -> list[tuple[int, np.ndarray]]:
+def _ranked(symbol: np.ndarray, offsets: np.ndarray, groups: np.ndarray, n: int, cap: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
     """(length, rank of every place by its group and that many symbols) for the doubled lengths
-    up to ``cap``. A rank is the number of places before its class, so classes are refined in
+    up to ``cap``, and the places that share their last rank. A rank is the number of places before its class, so classes are refined in
     place: only places that share their class are sorted again. Place n stands for the end."""
     word = min(WORD, cap)
     key = np.zeros(n, np.uint64)
@@ -220,7 +232,7 @@ def _ranked(symbol: np.ndarray, offsets: np.ndarray, groups: np.ndarray, n: int,
             active = at[np.repeat(count > 1, count)]
         size += move
         ranks.append((size, rank))
-    return ranks
+    return ranks, active
 
 
 def _nearest_smaller(x: np.ndarray) -> np.ndarray:
@@ -273,23 +285,29 @@ def _spans_of(flag: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _search(length: int, keep_first: bool):
     def run_(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["h", "ord", "text_hash", "pos", "before", "bytes"]).to_pylist(), key=lambda r: (r["h"], r["ord"], r["text_hash"], r["pos"]))
+        columns = [table.column(c).to_numpy() for c in ("h", "ord", "text_hash", "pos", "before")]
+        anchor, doc, text, pos, before = columns
+        order = np.lexsort((pos, text, doc, anchor))
         # a repeated row brings its anchors again
-        rows = [r for i, r in enumerate(rows) if not i or any(r[k] != rows[i - 1][k] for k in ("h", "ord", "text_hash", "pos"))]
+        if len(order):
+            again = np.r_[False, np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in (anchor, doc, text, pos)])]
+            order = order[~again]
+        anchor, doc, text, pos, before = (c[order].tolist() for c in columns)
+        raw = table.column("bytes").combine_chunks().take(pa.array(order)).to_pylist() if len(order) else []
         # surroundings that overlap in a text are one segment: every place occurs once in a group
         segments: list[bytearray] = []
         origin: list[tuple[int, int, int]] = []
         groups: list[int] = []
         last = None
-        for r in rows:
-            key, start = (r["h"], r["ord"], r["text_hash"]), r["pos"] - r["before"]
+        for h, d, t, p, b, data in zip(anchor, doc, text, pos, before, raw, strict=True):
+            key, start = (h, d, t), p - b
             if key == last and start <= origin[-1][2] + len(segments[-1]):
                 have = origin[-1][2] + len(segments[-1]) - start
-                segments[-1] += r["bytes"][have:]
+                segments[-1] += data[have:]
             else:
-                groups.append(groups[-1] + (last[0] != r["h"]) if groups else 0)
-                segments.append(bytearray(r["bytes"]))
-                origin.append((r["ord"], r["text_hash"], start))
+                groups.append(groups[-1] + (last[0] != h) if groups else 0)
+                segments.append(bytearray(data))
+                origin.append((d, t, start))
                 last = key
         offsets, best, source = previous_factors([bytes(s) for s in segments], groups, length, length)
         flag = best >= length
