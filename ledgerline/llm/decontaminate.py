@@ -4,7 +4,9 @@ Numbers, units and names of a text become typed placeholders, so a question with
 other parameters has the same template. Windows of template tokens of the
 benchmark are hash-joined with those of every document; on the hits, the
 original values are compared slot by slot: within a window, equal values must map
-to equal values, both ways.
+to equal values, both ways. A window of few words says little as a template. So all
+windows are also joined literally, by their lower-cased words and numbers: copies in
+another casing and questions made of numbers are found word for word.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import Workspace
 
-#: template tokens per window, and the share of them that must be words
+#: tokens per window, and the share of them that must be words in a template window
 WINDOW, LITERAL_EIGHTHS = 8, 5
 #: benchmark windows that are broadcast at most, and bytes of their tokens; beyond, the joins shuffle
 MAX_BROADCAST_WINDOWS, MAX_BROADCAST_BYTES = 200_000, 32 << 20
@@ -30,6 +32,7 @@ NUMBER = r"[0-9]+(?:[.,][0-9]+){0,3}"
 NAME = r"([\p{L}\p{N},;] )(\p{Lu}\p{L}*)"
 UNIT = "(" + "|".join(UNITS) + r")([^\p{L}\p{N}]|\z)"
 TEMPLATE_TOKEN = r"\x01[npu]|\p{L}+"
+LITERAL_TOKEN = NUMBER + r"|\p{L}+"
 VALUE_TOKEN = r"\x01n" + NUMBER + r"|\x01[pu]\p{L}+|\p{L}+"
 
 
@@ -55,6 +58,12 @@ def values(text: Column) -> Column:
     return F.regexp_extract_all(_marked(text, True), F.lit(VALUE_TOKEN), F.lit(0))
 
 
+def literal(text: Column) -> Column:
+    """Lower-cased words and numbers of a text, whatever its casing."""
+    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARK, " ")
+    return F.regexp_extract_all(F.lower(t), F.lit(LITERAL_TOKEN), F.lit(0))
+
+
 def _is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1) == MARK
 
@@ -63,22 +72,32 @@ def _canonical(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(F.lower(t)))
 
 
-def _windows(tokens: Column, length: Column) -> Column:
+#: kinds of windows
+TEMPLATE, LITERAL = 0, 1
+
+
+def _windows(tokens: Column, length: Column, kind: int) -> Column:
     """Hashes of all windows of ``length`` tokens (none if there are fewer)."""
     last = F.size(tokens) - length + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(tokens, i, length))))
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(tokens, i, length), F.lit(kind)))
+    return F.when(last >= 1, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, at, length, hash, own (the window's tokens with slot values) of every window that
-    has words enough. An item of fewer than ``window`` tokens is one window of all of them."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text")).alias("t"), values(F.col("text")).alias("v"))
-    items = items.filter(F.size("t") > 0).withColumn("length", F.least(F.size("t"), F.lit(window)))
-    rows = items.withColumn("hashes", _windows(F.col("t"), F.col("length"))).select("item_id", "t", "v", "length", F.posexplode_outer("hashes").alias("at", "hash"))
+    """item_id, at, length, kind, hash, own of every window: template windows that have words
+    enough (``own``: the tokens with slot values), and all literal ones. An item of fewer than
+    ``window`` tokens is one window of all of them."""
+    text = F.col("text")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.explode(F.array(
+        F.struct(F.lit(TEMPLATE).alias("kind"), template(text).alias("t"), values(text).alias("v")),
+        F.struct(F.lit(LITERAL).alias("kind"), literal(text).alias("t"), literal(text).alias("v")),
+    )).alias("x")).select("item_id", "x.*").filter(F.size("t") > 0).withColumn("length", F.least(F.size("t"), F.lit(window)))
+    hashes = F.when(F.col("kind") == TEMPLATE, _windows(F.col("t"), F.col("length"), TEMPLATE)).otherwise(_windows(F.col("t"), F.col("length"), LITERAL))
+    rows = items.withColumn("hashes", hashes).select("item_id", "kind", "t", "v", "length", F.posexplode_outer("hashes").alias("at", "hash"))
     own = F.slice("t", F.col("at") + 1, F.col("length"))
     words = F.size(F.filter(own, lambda t: ~_is_slot(t)))
-    return rows.filter(words * 8 >= F.col("length") * LITERAL_EIGHTHS).select(
-        F.coalesce("item_id", F.lit(-1)).alias("item_id"), "at", "length", "hash", F.slice("v", F.col("at") + 1, F.col("length")).alias("own")
+    return rows.filter((F.col("kind") == LITERAL) | (words * 8 >= F.col("length") * LITERAL_EIGHTHS)).select(
+        "item_id", "at", "length", "kind", "hash", F.slice("v", F.col("at") + 1, F.col("length")).alias("own")
     ).distinct()
 
 
@@ -89,28 +108,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     # at most ``window`` lengths; both tables are measured before either is broadcast
     sizes = bench.groupBy("length").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.array_join("own", ""))).alias("bytes")).collect()
     lengths = sorted(r["length"] for r in sizes)
-    keys = bench.select("hash", "length").distinct()
+    keys = bench.select("hash", "length", "kind").distinct()
     if sum(r["rows"] for r in sizes) <= MAX_BROADCAST_WINDOWS and sum(r["bytes"] or 0 for r in sizes) <= MAX_BROADCAST_BYTES:
         keys, bench = F.broadcast(keys), F.broadcast(bench)
     tokens = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("t", template(F.col("text")))
+    ).withColumns({"t": template(F.col("text")), "l": literal(F.col("text"))})
     hits = None
     for n in lengths or [window]:
+        # template windows, then literal ones; their kind is part of the hash
+        both = F.concat(_windows(F.col("t"), F.lit(n), TEMPLATE), _windows(F.col("l"), F.lit(n), LITERAL))
+        first = F.greatest(F.size("t") - n + 1, F.lit(0))
         # the outer form: an inner explode would infer a filter that tokenises inside the window function
-        own = tokens.select("doc_id", "text", F.posexplode_outer(_windows(F.col("t"), F.lit(n))).alias("at", "hash"))
+        own = tokens.select("doc_id", "text", first.alias("templates"), F.posexplode_outer(both).alias("place", "hash"))
         part = own.join(keys.filter(F.col("length") == n).drop("length"), "hash").withColumn("length", F.lit(n))
+        part = part.withColumn("at", F.col("place") - F.when(F.col("kind") == LITERAL, F.col("templates")).otherwise(0)).drop("place", "templates")
         hits = part if hits is None else hits.unionByName(part)
-    # one row per document with hits, so its values are extracted once
+    # one row per document with hits, so its tokens are extracted once
     found = work.save(
         hits.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(
-            F.first("text").alias("text"), F.collect_set(F.struct("at", "length", "hash")).alias("hits")
+            F.first("text").alias("text"), F.collect_set(F.struct("at", "length", "kind", "hash")).alias("hits")
         ), "hits",
     )
-    rows = found.select("doc_id", "text_hash", values(F.col("text")).alias("v"), F.col("hits")).select("doc_id", "text_hash", "v", F.explode_outer("hits").alias("hit"))
-    rows = rows.select("doc_id", "text_hash", "hit.*", F.slice("v", F.col("hit.at") + 1, F.col("hit.length")).alias("theirs"))
-    theirs = bench.withColumnRenamed("at", "item_at")
-    paired = rows.join(theirs, ["hash", "length"]).filter(_canonical(F.col("own")) == _canonical(F.col("theirs")))
+    text = F.col("text")
+    rows = found.select("doc_id", "text_hash", values(text).alias("v"), literal(text).alias("l"), "hits").select("doc_id", "text_hash", "v", "l", F.explode_outer("hits").alias("hit"))
+    theirs = F.slice(F.when(F.col("hit.kind") == LITERAL, F.col("l")).otherwise(F.col("v")), F.col("hit.at") + 1, F.col("hit.length"))
+    rows = rows.select("doc_id", "text_hash", "hit.*", theirs.alias("theirs"))
+    own = bench.withColumnRenamed("at", "item_at")
+    same = F.when(F.col("kind") == LITERAL, F.col("own") == F.col("theirs")).otherwise(_canonical(F.col("own")) == _canonical(F.col("theirs")))
+    paired = rows.join(own, ["hash", "length", "kind"]).filter(same)
     slots = F.filter(F.arrays_zip("own", "theirs"), lambda p: _is_slot(p["own"]))
     paired = paired.withColumn("slots", F.array_distinct(slots))
     n = F.size("slots")
@@ -167,6 +193,7 @@ def sql(window: int = WINDOW) -> str:
     """DuckDB SQL for :func:`report` over ``documents`` and ``benchmark``."""
     template_ = lambda c: f"regexp_extract_all(lower({_sql_marked(c, False)}), '{TEMPLATE_TOKEN}')"
     values_ = lambda c: f"regexp_extract_all({_sql_marked(c, True)}, '{VALUE_TOKEN}')"
+    literal_ = lambda c: f"regexp_extract_all(lower(translate(coalesce({c}, ''), chr(1), ' ')), '{LITERAL_TOKEN}')"
     return f"""
 WITH items AS (SELECT coalesce(item_id, -1) AS item_id, {template_('text')} AS t, {values_('text')} AS v FROM benchmark),
      sized AS (SELECT *, least(len(t), {window}) AS n FROM items WHERE len(t) > 0),
@@ -179,7 +206,13 @@ WITH items AS (SELECT coalesce(item_id, -1) AS item_id, {template_('text')} AS t
                FROM cut c JOIN bench b ON b.n = c.n AND b.w = c.t[c.pos:c.pos + c.n - 1]),
      good AS (SELECT doc_id, text, item_id, pos FROM pairs
               WHERE len(list_distinct(list_transform(slots, lambda p: p[1]))) = len(slots) AND len(list_distinct(list_transform(slots, lambda p: p[2]))) = len(slots)),
-     found AS (SELECT doc_id, text, count(DISTINCT pos) AS n_windows, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item FROM good GROUP BY ALL)
+     litems AS (SELECT item_id, l, n, unnest(range(1, len(l) - n + 2)) AS pos FROM (SELECT *, least(len(l), {window}) AS n FROM
+                (SELECT coalesce(item_id, -1) AS item_id, {literal_('text')} AS l FROM benchmark) WHERE len(l) > 0)),
+     lbench AS (SELECT DISTINCT item_id, pos, n, l[pos:pos + n - 1] AS w FROM litems),
+     lcut AS (SELECT doc_id, text, l, n, unnest(range(1, len(l) - n + 2)) AS pos FROM (SELECT DISTINCT doc_id, text, {literal_('text')} AS l FROM documents), (SELECT DISTINCT n FROM lbench)),
+     lgood AS (SELECT c.doc_id, c.text, b.item_id, c.pos FROM lcut c JOIN lbench b ON b.n = c.n AND b.w = c.l[c.pos:c.pos + c.n - 1]),
+     found AS (SELECT doc_id, text, count(DISTINCT pos) AS n_windows, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item
+               FROM (SELECT * FROM good UNION ALL SELECT * FROM lgood) GROUP BY ALL)
 SELECT d.doc_id, coalesce(f.n_windows, 0) AS n_windows, coalesce(f.n_items, 0) AS n_items, f.first_item, f.n_windows IS NOT NULL AS contaminated
 FROM documents d LEFT JOIN found f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.text IS NOT DISTINCT FROM f.text
 """
