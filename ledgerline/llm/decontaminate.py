@@ -114,26 +114,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     tokens = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumns({"t": template(F.col("text")), "l": literal(F.col("text"))})
-    hits = None
-    for n in lengths or [window]:
-        # template windows, then literal ones; their kind is part of the hash
-        both = F.concat(_windows(F.col("t"), F.lit(n), TEMPLATE), _windows(F.col("l"), F.lit(n), LITERAL))
-        first = F.greatest(F.size("t") - n + 1, F.lit(0))
-        # the outer form: an inner explode would infer a filter that tokenises inside the window function
-        own = tokens.select("doc_id", "text", first.alias("templates"), F.posexplode_outer(both).alias("place", "hash"))
-        part = own.join(keys.filter(F.col("length") == n).drop("length"), "hash").withColumn("length", F.lit(n))
-        part = part.withColumn("at", F.col("place") - F.when(F.col("kind") == LITERAL, F.col("templates")).otherwise(0)).drop("place", "templates")
-        hits = part if hits is None else hits.unionByName(part)
+    # one array of all hashes: for each length the template windows, then the literal ones (their kind is
+    # part of the hash); the outer form, as an inner explode would infer a filter that tokenises once more
+    arrays = [(n, kind, column) for n in lengths or [window] for kind, column in ((TEMPLATE, "t"), (LITERAL, "l"))]
+    hashes = F.concat(*[_windows(F.col(column), F.lit(n), kind) for n, kind, column in arrays])
+    own = tokens.select("doc_id", "text", F.posexplode_outer(hashes).alias("place", "hash"))
     # one row per document with hits, so its tokens are extracted once
     found = work.save(
-        hits.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(
-            F.first("text").alias("text"), F.collect_set(F.struct("at", "length", "kind", "hash")).alias("hits")
+        own.join(keys, "hash").groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(
+            F.first("text").alias("text"), F.collect_set(F.struct("place", "length", "kind", "hash")).alias("hits")
         ), "hits",
     )
     text = F.col("text")
     rows = found.select("doc_id", "text_hash", values(text).alias("v"), literal(text).alias("l"), "hits").select("doc_id", "text_hash", "v", "l", F.explode_outer("hits").alias("hit"))
-    theirs = F.slice(F.when(F.col("hit.kind") == LITERAL, F.col("l")).otherwise(F.col("v")), F.col("hit.at") + 1, F.col("hit.length"))
-    rows = rows.select("doc_id", "text_hash", "hit.*", theirs.alias("theirs"))
+    before, starts = F.lit(0), []
+    for n, kind, _ in arrays:
+        starts.append(F.when((F.col("hit.length") == n) & (F.col("hit.kind") == kind), before))
+        before = before + F.greatest(F.size("l" if kind == LITERAL else "v") - n + 1, F.lit(0))
+    rows = rows.withColumn("at", F.col("hit.place") - F.coalesce(*starts)).filter("at >= 0")
+    theirs = F.slice(F.when(F.col("hit.kind") == LITERAL, F.col("l")).otherwise(F.col("v")), F.col("at") + 1, F.col("hit.length"))
+    rows = rows.select("doc_id", "text_hash", "at", "hit.length", "hit.kind", "hit.hash", theirs.alias("theirs"))
     own = bench.withColumnRenamed("at", "item_at")
     same = F.when(F.col("kind") == LITERAL, F.col("own") == F.col("theirs")).otherwise(_canonical(F.col("own")) == _canonical(F.col("theirs")))
     paired = rows.join(own, ["hash", "length", "kind"]).filter(same)
