@@ -31,8 +31,6 @@ MARK = "\x01"
 NUMBER = r"[0-9]+(?:[.,][0-9]+){0,3}"
 NAME = r"([\p{L}\p{N},;] )(\p{Lu}\p{L}*)"
 UNIT = "(" + "|".join(UNITS) + r")([^\p{L}\p{N}]|\z)"
-TEMPLATE_TOKEN = r"\x01[npu]|\p{L}+"
-LITERAL_TOKEN = NUMBER + r"|\p{L}+"
 VALUE_TOKEN = r"\x01n" + NUMBER + r"|\x01[pu]\p{L}+|\p{L}+"
 
 
@@ -48,20 +46,19 @@ def _marked(text: Column, keep: bool) -> Column:
     return F.regexp_replace(t, rf"(\x01n{NUMBER if keep else ''} ?){UNIT}", f"$1{MARK}u" + ("$2" if keep else "") + "$3")
 
 
-def template(text: Column) -> Column:
-    """Template tokens: lower-cased words, and typed placeholders."""
-    return F.regexp_extract_all(F.lower(_marked(text, False)), F.lit(TEMPLATE_TOKEN), F.lit(0))
-
-
 def values(text: Column) -> Column:
-    """The tokens of :func:`template` with the slots' values after their types."""
+    """The tokens of a text: words, and slots as their type and value."""
     return F.regexp_extract_all(_marked(text, True), F.lit(VALUE_TOKEN), F.lit(0))
 
 
+def template(text: Column) -> Column:
+    """Template tokens: lower-cased words, and typed placeholders."""
+    return _canonical(values(text))
+
+
 def literal(text: Column) -> Column:
-    """Lower-cased words and numbers of a text, whatever its casing."""
-    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARK, " ")
-    return F.regexp_extract_all(F.lower(t), F.lit(LITERAL_TOKEN), F.lit(0))
+    """Lower-cased words and values, whatever their casing."""
+    return _lowered(values(text))
 
 
 def _is_slot(token: Column) -> Column:
@@ -72,6 +69,10 @@ def _canonical(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(F.lower(t)))
 
 
+def _lowered(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.lower(F.when(_is_slot(t), F.substring(t, 3, 1 << 30)).otherwise(t)))
+
+
 #: kinds of windows
 TEMPLATE, LITERAL = 0, 1
 
@@ -106,31 +107,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     work = Workspace(docs.sparkSession, "decontaminate")
     bench = work.save(benchmark_windows(benchmark, window), "benchmark")
     # at most ``window`` lengths; both tables are measured before either is broadcast
-    sizes = bench.groupBy("length").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.array_join("own", ""))).alias("bytes")).collect()
-    lengths = sorted(r["length"] for r in sizes)
+    sizes = bench.groupBy("length", "kind").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.array_join("own", ""))).alias("bytes")).collect()
+    kinds = sorted((r["length"], r["kind"]) for r in sizes)
     keys = bench.select("hash", "length", "kind").distinct()
     if sum(r["rows"] for r in sizes) <= MAX_BROADCAST_WINDOWS and sum(r["bytes"] or 0 for r in sizes) <= MAX_BROADCAST_BYTES:
         keys, bench = F.broadcast(keys), F.broadcast(bench)
     tokens = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumns({"t": template(F.col("text")), "l": literal(F.col("text"))})
+    ).withColumn("v", values(F.col("text")))
     # one array of all hashes: for each length the template windows, then the literal ones (their kind is
     # part of the hash); the outer form, as an inner explode would infer a filter that tokenises once more
-    arrays = [(n, kind, column) for n in lengths or [window] for kind, column in ((TEMPLATE, "t"), (LITERAL, "l"))]
+    arrays = [(n, kind, "l" if kind == LITERAL else "t") for n, kind in kinds or [(window, TEMPLATE)]]
     hashes = F.concat(*[_windows(F.col(column), F.lit(n), kind) for n, kind, column in arrays])
-    own = tokens.select("doc_id", "text", F.posexplode_outer(hashes).alias("place", "hash"))
+    # tokens are found once, then read both ways
+    both = tokens.select("doc_id", "text", "v", _canonical(F.col("v")).alias("t"), _lowered(F.col("v")).alias("l"))
+    own = both.select("doc_id", "text", F.posexplode_outer(hashes).alias("place", "hash"))
     # one row per document with hits, so its tokens are extracted once
     found = work.save(
         own.join(keys, "hash").groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(
             F.first("text").alias("text"), F.collect_set(F.struct("place", "length", "kind", "hash")).alias("hits")
         ), "hits",
     )
-    text = F.col("text")
-    rows = found.select("doc_id", "text_hash", values(text).alias("v"), literal(text).alias("l"), "hits").select("doc_id", "text_hash", "v", "l", F.explode_outer("hits").alias("hit"))
+    rows = found.select("doc_id", "text_hash", values(F.col("text")).alias("v"), "hits").withColumn("l", _lowered(F.col("v")))
+    rows = rows.select("doc_id", "text_hash", "v", "l", F.explode_outer("hits").alias("hit"))
     before, starts = F.lit(0), []
     for n, kind, _ in arrays:
         starts.append(F.when((F.col("hit.length") == n) & (F.col("hit.kind") == kind), before))
-        before = before + F.greatest(F.size("l" if kind == LITERAL else "v") - n + 1, F.lit(0))
+        before = before + F.greatest(F.size("v") - n + 1, F.lit(0))
     rows = rows.withColumn("at", F.col("hit.place") - F.coalesce(*starts)).filter("at >= 0")
     theirs = F.slice(F.when(F.col("hit.kind") == LITERAL, F.col("l")).otherwise(F.col("v")), F.col("at") + 1, F.col("hit.length"))
     rows = rows.select("doc_id", "text_hash", "at", "hit.length", "hit.kind", "hit.hash", theirs.alias("theirs"))
@@ -191,9 +194,9 @@ def _sql_marked(column: str, keep: bool) -> str:
 
 def sql(window: int = WINDOW) -> str:
     """DuckDB SQL for :func:`report` over ``documents`` and ``benchmark``."""
-    template_ = lambda c: f"regexp_extract_all(lower({_sql_marked(c, False)}), '{TEMPLATE_TOKEN}')"
     values_ = lambda c: f"regexp_extract_all({_sql_marked(c, True)}, '{VALUE_TOKEN}')"
-    literal_ = lambda c: f"regexp_extract_all(lower(translate(coalesce({c}, ''), chr(1), ' ')), '{LITERAL_TOKEN}')"
+    template_ = lambda c: f"list_transform({values_(c)}, lambda x: CASE WHEN x[1] = chr(1) THEN x[1:2] ELSE lower(x) END)"
+    literal_ = lambda c: f"list_transform({values_(c)}, lambda x: lower(CASE WHEN x[1] = chr(1) THEN x[3:] ELSE x END))"
     return f"""
 WITH items AS (SELECT coalesce(item_id, -1) AS item_id, {template_('text')} AS t, {values_('text')} AS v FROM benchmark),
      sized AS (SELECT *, least(len(t), {window}) AS n FROM items WHERE len(t) > 0),
