@@ -77,29 +77,47 @@ def _lowered(tokens: Column) -> Column:
 TEMPLATE, LITERAL = 0, 1
 
 
-def _windows(tokens: Column, length: Column, kind: int) -> Column:
-    """Hashes of all windows of ``length`` tokens (none if there are fewer)."""
-    last = F.size(tokens) - length + 1
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(tokens, i, length), F.lit(kind)))
-    return F.when(last >= 1, hashes).otherwise(F.array().cast("array<bigint>"))
+def _with_windows(rows: DataFrame, column: str, kind: int, lengths: list[int]) -> DataFrame:
+    """``rows`` with ``{column}_{n}``: the hashes of all windows of n tokens of ``column``, for every
+    wanted length (empty where there are fewer tokens).
+
+    Hashes of windows of 2, 4, ... tokens come from pairs of neighbouring shorter ones, in one
+    column each, so a token is hashed once and a window in about log2(n) steps."""
+    join = lambda a, b: F.xxhash64(a, b)
+    behind = lambda c, places: F.slice(c, places + 1, F.size(column))
+    rows = rows.withColumn(f"{column}_p1", F.transform(column, lambda t: F.xxhash64(t, F.lit(kind))))
+    p = 1
+    while 2 * p <= max(lengths):
+        rows = rows.withColumn(f"{column}_p{2 * p}", F.zip_with(f"{column}_p{p}", behind(f"{column}_p{p}", p), join))
+        p *= 2
+    for n in lengths:
+        q = 1 << (n.bit_length() - 1)
+        hashes, done = F.col(f"{column}_p{q}"), q
+        while done < n:
+            q = 1 << ((n - done).bit_length() - 1)
+            hashes, done = F.zip_with(hashes, behind(f"{column}_p{q}", done), join), done + q
+        # entries that reach beyond the last token are no windows
+        rows = rows.withColumn(f"{column}_{n}", F.slice(hashes, 1, F.greatest(F.size(column) - n + 1, F.lit(0))))
+    return rows
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, at, length, kind, hash, own of every window: template windows that have words
     enough (``own``: the tokens with slot values), and all literal ones. An item of fewer than
     ``window`` tokens is one window of all of them."""
-    text = F.col("text")
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.explode(F.array(
-        F.struct(F.lit(TEMPLATE).alias("kind"), template(text).alias("t"), values(text).alias("v")),
-        F.struct(F.lit(LITERAL).alias("kind"), literal(text).alias("t"), literal(text).alias("v")),
-    )).alias("x")).select("item_id", "x.*").filter(F.size("t") > 0).withColumn("length", F.least(F.size("t"), F.lit(window)))
-    hashes = F.when(F.col("kind") == TEMPLATE, _windows(F.col("t"), F.col("length"), TEMPLATE)).otherwise(_windows(F.col("t"), F.col("length"), LITERAL))
-    rows = items.withColumn("hashes", hashes).select("item_id", "kind", "t", "v", "length", F.posexplode_outer("hashes").alias("at", "hash"))
-    own = F.slice("t", F.col("at") + 1, F.col("length"))
-    words = F.size(F.filter(own, lambda t: ~_is_slot(t)))
-    return rows.filter((F.col("kind") == LITERAL) | (words * 8 >= F.col("length") * LITERAL_EIGHTHS)).select(
-        "item_id", "at", "length", "kind", "hash", F.slice("v", F.col("at") + 1, F.col("length")).alias("own")
-    ).distinct()
+    out = None
+    for kind, read, kept in ((TEMPLATE, template, values), (LITERAL, literal, literal)):
+        items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), read(F.col("text")).alias("t"), kept(F.col("text")).alias("v"))
+        items = items.filter(F.size("t") > 0).withColumn("length", F.least(F.size("t"), F.lit(window)))
+        items = _with_windows(items, "t", kind, list(range(1, window + 1)))
+        hashes = F.coalesce(*[F.when(F.col("length") == n, F.col(f"t_{n}")) for n in range(1, window + 1)])
+        rows = items.withColumn("hashes", hashes).select("item_id", "t", "v", "length", F.posexplode_outer("hashes").alias("at", "hash"))
+        own = F.slice("t", F.col("at") + 1, F.col("length"))
+        words = F.size(F.filter(own, lambda t: ~_is_slot(t)))
+        enough = F.lit(True) if kind == LITERAL else words * 8 >= F.col("length") * LITERAL_EIGHTHS
+        part = rows.filter(enough).select("item_id", "at", "length", F.lit(kind).alias("kind"), "hash", F.slice("v", F.col("at") + 1, F.col("length")).alias("own")).distinct()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -118,10 +136,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     # one array of all hashes: for each length the template windows, then the literal ones (their kind is
     # part of the hash); the outer form, as an inner explode would infer a filter that tokenises once more
     arrays = [(n, kind, "l" if kind == LITERAL else "t") for n, kind in kinds or [(window, TEMPLATE)]]
-    hashes = F.concat(*[_windows(F.col(column), F.lit(n), kind) for n, kind, column in arrays])
     # tokens are found once, then read both ways
     both = tokens.select("doc_id", "text", "v", _canonical(F.col("v")).alias("t"), _lowered(F.col("v")).alias("l"))
-    own = both.select("doc_id", "text", F.posexplode_outer(hashes).alias("place", "hash"))
+    for kind, column in ((TEMPLATE, "t"), (LITERAL, "l")):
+        wanted = [n for n, k, _ in arrays if k == kind]
+        both = _with_windows(both, column, kind, wanted) if wanted else both
+    own = both.select("doc_id", "text", F.posexplode_outer(F.concat(*[F.col(f"{column}_{n}") for n, _, column in arrays])).alias("place", "hash"))
     # one row per document with hits, so its tokens are extracted once
     found = work.save(
         own.join(keys, "hash").groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(
