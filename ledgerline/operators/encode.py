@@ -155,3 +155,21 @@ def sparse_one_hot(df: DataFrame, cols: Sequence[str], vector: str = "onehot") -
     model._set(inputCols=names, outputCols=parts, dropLast=False, handleInvalid="error")
     out = VectorAssembler(inputCols=parts, outputCol=vector).transform(model.transform(coded))
     return out.drop(*names, *parts), sizes
+
+
+def one_hot_vector_stages(cols: Sequence[str], with_missing: bool = True) -> list:
+    """E1 in vector form for Spark ML pipelines: ``StringIndexer`` (value
+    order: alphabetical) + ``OneHotEncoder(dropLast=False)`` per column,
+    output ``{col}_vec``. Missing values get their own slot when
+    ``with_missing`` (``handleInvalid='keep'``). The indexer keeps its values in the model, so
+    this form is for few values; :func:`sparse_one_hot` has no such bound."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    idx = [
+        StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
+                      handleInvalid="keep" if with_missing else "skip")
+        for c in cols
+    ]
+    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_vec" for c in cols],
+                        dropLast=False, handleInvalid="error")
+    return [*idx, ohe]
