@@ -4,8 +4,9 @@ Numbers, units and names of a text become typed placeholders, so a question with
 other parameters has the same template. Windows of template tokens of the
 benchmark are hash-joined with those of every document; on the hits, the
 original values are compared slot by slot: within a window, equal values must map
-to equal values, both ways. A window of few words says little as a template. So all
-windows are also joined literally, by their lower-cased words and numbers: copies in
+to equal values, both ways. A capitalised word that begins a sentence may be a name or
+not, so templates are read both ways: once it is a word, once a name. A window of few
+words says little as a template. So all windows are also joined literally, by their lower-cased words and numbers: copies in
 another casing and questions made of numbers are found word for word.
 """
 
@@ -69,12 +70,20 @@ def _canonical(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(F.lower(t)))
 
 
+def _opened(tokens: Column) -> Column:
+    """Tokens with every capitalised word as a name, also at the start of a sentence."""
+    first = lambda t: F.substring(t, 1, 1)
+    return F.transform(tokens, lambda t: F.when(first(t) != F.lower(first(t)), F.concat(F.lit(f"{MARK}p"), t)).otherwise(t))
+
+
 def _lowered(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.lower(F.when(_is_slot(t), F.substring(t, 3, 1 << 30)).otherwise(t)))
 
 
-#: kinds of windows
-TEMPLATE, LITERAL = 0, 1
+#: kinds of windows: templates, literal windows, and templates with every capitalised word as a name
+TEMPLATE, LITERAL, OPEN = 0, 1, 2
+#: the column of a document's tokens by kind
+READING = {TEMPLATE: "t", LITERAL: "l", OPEN: "o"}
 
 
 def _with_windows(rows: DataFrame, column: str, kind: int, lengths: list[int]) -> DataFrame:
@@ -103,10 +112,12 @@ def _with_windows(rows: DataFrame, column: str, kind: int, lengths: list[int]) -
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, at, length, kind, hash, own of every window: template windows that have words
-    enough (``own``: the tokens with slot values), and all literal ones. An item of fewer than
-    ``window`` tokens is one window of all of them."""
+    enough (``own``: the tokens with slot values; the open ones only where they hold a name, as
+    the others are equal), and all literal ones. An item of fewer than ``window`` tokens is one
+    window of all of them."""
     out = None
-    for kind, read, kept in ((TEMPLATE, template, values), (LITERAL, literal, literal)):
+    opened = lambda text: _opened(values(text))
+    for kind, read, kept in ((TEMPLATE, template, values), (LITERAL, literal, literal), (OPEN, lambda text: _canonical(opened(text)), opened)):
         items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), read(F.col("text")).alias("t"), kept(F.col("text")).alias("v"))
         items = items.filter(F.size("t") > 0).withColumn("length", F.least(F.size("t"), F.lit(window)))
         items = _with_windows(items, "t", kind, list(range(1, window + 1)))
@@ -115,6 +126,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         own = F.slice("t", F.col("at") + 1, F.col("length"))
         words = F.size(F.filter(own, lambda t: ~_is_slot(t)))
         enough = F.lit(True) if kind == LITERAL else words * 8 >= F.col("length") * LITERAL_EIGHTHS
+        enough = enough & F.array_contains(own, f"{MARK}p") if kind == OPEN else enough
         part = rows.filter(enough).select("item_id", "at", "length", F.lit(kind).alias("kind"), "hash", F.slice("v", F.col("at") + 1, F.col("length")).alias("own")).distinct()
         out = part if out is None else out.unionByName(part)
     return out
@@ -124,7 +136,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     """doc_id, text_hash, item_id, item_at, at: verified windows of documents (by id and text) and items."""
     work = Workspace(docs.sparkSession, "decontaminate")
     bench = work.save(benchmark_windows(benchmark, window), "benchmark")
-    # at most ``window`` lengths; both tables are measured before either is broadcast
+    # at most ``window`` lengths of each kind; both tables are measured before either is broadcast
     sizes = bench.groupBy("length", "kind").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.array_join("own", ""))).alias("bytes")).collect()
     kinds = sorted((r["length"], r["kind"]) for r in sizes)
     keys = bench.select("hash", "length", "kind").distinct()
@@ -133,29 +145,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     tokens = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("v", values(F.col("text")))
-    # one array of all hashes: for each length the template windows, then the literal ones (their kind is
-    # part of the hash); the outer form, as an inner explode would infer a filter that tokenises once more
-    arrays = [(n, kind, "l" if kind == LITERAL else "t") for n, kind in kinds or [(window, TEMPLATE)]]
-    # tokens are found once, then read both ways
-    both = tokens.select("doc_id", "text", "v", _canonical(F.col("v")).alias("t"), _lowered(F.col("v")).alias("l"))
-    for kind, column in ((TEMPLATE, "t"), (LITERAL, "l")):
+    # one array of all hashes: for each length the windows of each kind in turn (the kind is part
+    # of the hash); the outer form, as an inner explode would infer a filter that tokenises once more
+    arrays = [(n, kind, READING[kind]) for n, kind in kinds or [(window, TEMPLATE)]]
+    # tokens are found once, then read in all ways
+    v = F.col("v")
+    read = tokens.select("doc_id", "text", "v", _canonical(v).alias("t"), _lowered(v).alias("l"), _canonical(_opened(v)).alias("o"))
+    for kind, column in READING.items():
         wanted = [n for n, k, _ in arrays if k == kind]
-        both = _with_windows(both, column, kind, wanted) if wanted else both
-    own = both.select("doc_id", "text", F.posexplode_outer(F.concat(*[F.col(f"{column}_{n}") for n, _, column in arrays])).alias("place", "hash"))
+        read = _with_windows(read, column, kind, wanted) if wanted else read
+    own = read.select("doc_id", "text", F.posexplode_outer(F.concat(*[F.col(f"{column}_{n}") for n, _, column in arrays])).alias("place", "hash"))
     # one row per document with hits, so its tokens are extracted once
     found = work.save(
         own.join(keys, "hash").groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(
             F.first("text").alias("text"), F.collect_set(F.struct("place", "length", "kind", "hash")).alias("hits")
         ), "hits",
     )
-    rows = found.select("doc_id", "text_hash", values(F.col("text")).alias("v"), "hits").withColumn("l", _lowered(F.col("v")))
-    rows = rows.select("doc_id", "text_hash", "v", "l", F.explode_outer("hits").alias("hit"))
+    rows = found.select("doc_id", "text_hash", values(F.col("text")).alias("v"), "hits").withColumn("l", _lowered(v)).withColumn("o", _opened(v))
+    rows = rows.select("doc_id", "text_hash", "v", "l", "o", F.explode_outer("hits").alias("hit"))
     before, starts = F.lit(0), []
     for n, kind, _ in arrays:
         starts.append(F.when((F.col("hit.length") == n) & (F.col("hit.kind") == kind), before))
         before = before + F.greatest(F.size("v") - n + 1, F.lit(0))
     rows = rows.withColumn("at", F.col("hit.place") - F.coalesce(*starts)).filter("at >= 0")
-    theirs = F.slice(F.when(F.col("hit.kind") == LITERAL, F.col("l")).otherwise(F.col("v")), F.col("at") + 1, F.col("hit.length"))
+    theirs = F.slice(F.when(F.col("hit.kind") == LITERAL, F.col("l")).when(F.col("hit.kind") == OPEN, F.col("o")).otherwise(v), F.col("at") + 1, F.col("hit.length"))
     rows = rows.select("doc_id", "text_hash", "at", "hit.length", "hit.kind", "hit.hash", theirs.alias("theirs"))
     own = bench.withColumnRenamed("at", "item_at")
     same = F.when(F.col("kind") == LITERAL, F.col("own") == F.col("theirs")).otherwise(_canonical(F.col("own")) == _canonical(F.col("theirs")))
@@ -215,18 +228,21 @@ def _sql_marked(column: str, keep: bool) -> str:
 def sql(window: int = WINDOW) -> str:
     """DuckDB SQL for :func:`report` over ``documents`` and ``benchmark``."""
     values_ = lambda c: f"regexp_extract_all({_sql_marked(c, True)}, '{VALUE_TOKEN}')"
-    template_ = lambda c: f"list_transform({values_(c)}, lambda x: CASE WHEN x[1] = chr(1) THEN x[1:2] ELSE lower(x) END)"
     literal_ = lambda c: f"list_transform({values_(c)}, lambda x: lower(CASE WHEN x[1] = chr(1) THEN x[3:] ELSE x END))"
+    opened_ = lambda c: f"list_transform({values_(c)}, lambda x: CASE WHEN x[1] <> lower(x[1]) THEN chr(1) || 'p' || x ELSE x END)"
+    slots_ = lambda c: f"list_transform({c}, lambda x: CASE WHEN x[1] = chr(1) THEN x[1:2] ELSE lower(x) END)"
+    # every text in both readings: names inside sentences, and every capitalised word as a name
+    ways = lambda columns, source: f"(SELECT {columns}, 0 AS way, {values_('text')} AS v FROM {source} UNION ALL SELECT {columns}, 1, {opened_('text')} FROM {source})"
     return f"""
-WITH items AS (SELECT coalesce(item_id, -1) AS item_id, {template_('text')} AS t, {values_('text')} AS v FROM benchmark),
+WITH items AS (SELECT item_id, way, {slots_('v')} AS t, v FROM {ways('coalesce(item_id, -1) AS item_id', 'benchmark')}),
      sized AS (SELECT *, least(len(t), {window}) AS n FROM items WHERE len(t) > 0),
      spots AS (SELECT *, unnest(range(1, len(t) - n + 2)) AS pos FROM sized),
-     bench AS (SELECT DISTINCT item_id, pos, n, t[pos:pos + n - 1] AS w, v[pos:pos + n - 1] AS own FROM spots
+     bench AS (SELECT DISTINCT item_id, way, pos, n, t[pos:pos + n - 1] AS w, v[pos:pos + n - 1] AS own FROM spots
                WHERE 8 * len(list_filter(t[pos:pos + n - 1], lambda x: x[1] <> chr(1))) >= {LITERAL_EIGHTHS} * n),
-     docs AS (SELECT DISTINCT doc_id, text, {template_('text')} AS t, {values_('text')} AS v FROM documents),
-     cut AS (SELECT doc_id, text, t, v, n, unnest(range(1, len(t) - n + 2)) AS pos FROM docs, (SELECT DISTINCT n FROM bench)),
+     docs AS (SELECT DISTINCT doc_id, text, way, {slots_('v')} AS t, v FROM {ways('doc_id, text', 'documents')}),
+     cut AS (SELECT doc_id, text, way, t, v, n, unnest(range(1, len(t) - n + 2)) AS pos FROM docs, (SELECT DISTINCT n FROM bench)),
      pairs AS (SELECT c.doc_id, c.text, b.item_id, c.pos, list_distinct(list_filter(list_zip(b.own, c.v[c.pos:c.pos + c.n - 1]), lambda p: p[1][1] = chr(1))) AS slots
-               FROM cut c JOIN bench b ON b.n = c.n AND b.w = c.t[c.pos:c.pos + c.n - 1]),
+               FROM cut c JOIN bench b ON b.n = c.n AND b.way = c.way AND b.w = c.t[c.pos:c.pos + c.n - 1]),
      good AS (SELECT doc_id, text, item_id, pos FROM pairs
               WHERE len(list_distinct(list_transform(slots, lambda p: p[1]))) = len(slots) AND len(list_distinct(list_transform(slots, lambda p: p[2]))) = len(slots)),
      litems AS (SELECT item_id, l, n, unnest(range(1, len(l) - n + 2)) AS pos FROM (SELECT *, least(len(l), {window}) AS n FROM
