@@ -138,10 +138,12 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     ).withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     first = (
         rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-        .filter("copies > 1 and first is not null").select("digest", "first")
+        .filter("copies > 1 and first is not null").select(F.col("digest").alias("partner"), "first")
     )
-    # few rows have a partner; a hot payload is on the left, where a skewed partition can be split
-    joined = rows.join(first, "digest", "left")
+    # few rows have a partner; a hot payload is on the left, where a skewed partition can be split.
+    # Payloads too small for a partner are dealt by their page, so empty pages do not meet in one key
+    partner = F.when(F.col("size") >= min_bytes, F.col("digest")).otherwise(F.concat_ws(" ", F.lit("page"), F.col("page_id").cast("string"), "url"))
+    joined = rows.withColumn("partner", partner).join(first, "partner", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return joined.select(
         "page_id", "url", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", "size",

@@ -65,3 +65,20 @@ def test_small_packages_and_ranges(spark):
     ranges = warc.read_ranges(manifest, 500)
     assert manifest.count() > 8 and ranges.agg({"records": "sum"}).first()[0] == 200 and ranges.count() > manifest.count()
     assert sorted(r["page_id"] for r in warc.read_records(ranges).collect()) == list(range(200))
+
+
+def test_small_payloads_are_dealt_by_page(spark):
+    """Many empty pages: all are responses, and the join deals them out by page, not by digest."""
+    pages = spark.range(2000).selectExpr("id as page_id", "concat('u', id) as url", "if(id % 100 = 0, repeat('x', 100), if(id % 2 = 0, '', null)) as html")
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [p for p in warc.plan_records(pages).rdd.glom().collect() if p]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(map(len, rows)) < 1000
+    assert all((r["kind"] == "revisit") == (r["page_id"] % 100 == 0 and r["page_id"] > 0) for p in rows for r in p)
+    assert {r["refers_to"] for p in rows for r in p} == {None, 0}
