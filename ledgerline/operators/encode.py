@@ -138,23 +138,23 @@ def sparse_one_hot(df: DataFrame, cols: Sequence[str], vector: str = "onehot") -
     """E1 for models, with any number of values: ``df`` with one sparse 0/1 ``vector`` of all
     columns (each has a place per value in sorted order, and one for missing), and the number of
     places of every column. No vocabulary is collected and no column per value is made."""
-    from pyspark.ml.feature import OneHotEncoderModel, VectorAssembler
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
 
     coded, sizes = positions(df, cols)
     names = [f"{c}_position" for c in cols]
-    parts = [f"{c}_onehot" for c in cols]
-    # the sizes are known: the encoder needs no fitting pass
-    jvm = df.sparkSession._jvm
-    gateway = df.sparkSession.sparkContext._gateway
-    widths = gateway.new_array(jvm.int, len(sizes))
-    for i, n in enumerate(sizes):
-        widths[i] = n
-    java = jvm.org.apache.spark.ml.feature.OneHotEncoderModel("sparse_one_hot", widths)
-    model = OneHotEncoderModel(java)
-    model._resetUid(java.uid())
-    model._set(inputCols=names, outputCols=parts, dropLast=False, handleInvalid="error")
-    out = VectorAssembler(inputCols=parts, outputCol=vector).transform(model.transform(coded))
-    return out.drop(*names, *parts), sizes
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    at = F.array(*[F.col(f"`{n}`") + F.lit(s) for n, s in zip(names, starts, strict=True)])
+    ones = F.array(*[F.lit(1.0)] * len(cols))
+    # a vector by its parts: the ML encoder would name every place in the column's metadata
+    parts = F.struct(F.lit(0).alias("type"), F.lit(sum(sizes)).alias("size"), at.alias("indices"), ones.alias("values"))
+    made = F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
+    return coded.withColumn(vector, made).drop(*names), sizes
+
+
+def places(vector: str) -> Column:
+    """The places of a sparse vector's entries, in order."""
+    return F.from_json(F.to_json(F.struct(named(vector).alias("v"))), "v struct<indices: array<int>>")["v"]["indices"]
 
 
 def one_hot_vector_stages(cols: Sequence[str], with_missing: bool = True) -> list:
