@@ -54,14 +54,17 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
     middle values, as pandas / SQL ``median``), computed together.
 
     Each middle rank of each column is a *task* with its own value range.
-    A round is one scan + one aggregate over (task, bucket) with at most
-    tasks × HISTOGRAM_BUCKETS result rows; a task ends when its bucket holds
+    A round is one scan + one aggregate over (range, bucket) with at most
+    ranges × HISTOGRAM_BUCKETS result rows; a task ends when its bucket holds
     one distinct value, or few enough rows to rank inside that bucket. No
     global sort, and no column gathered in one task."""
     if not cols:
         return {}
     stacked = _stack(df, cols)
-    x, c = F.col("x"), F.col("c")
+    x = F.col("x")
+    # a round reads each column's own value against its own ranges, not every value against all
+    value = [named(c).cast("double") for c in cols]
+    inside = lambda i, lo, hi: (value[i] >= F.lit(lo)) & (value[i] <= F.lit(hi))
     finite = F.abs(x) < F.lit(float("inf"))
     stats = {r["c"]: r for r in stacked.groupBy("c").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(x == F.lit(float("-inf"))).alias("low"), F.count_if(x == F.lit(float("inf"))).alias("high"),
@@ -79,26 +82,24 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
         open_ids = [tid for tid, t in enumerate(tasks) if t[5] is None]
         if not open_ids:
             break
-        # a value can lie in the ranges of both middle ranks of its column:
-        # explode the (task, bucket) pairs it belongs to
-        pairs = []
-        for tid in open_ids:
-            col_id, _, lo, hi, _, _ = tasks[tid]
-            bucket = _bucket(x, lo, hi)
-            inside = (c == col_id) & (x >= F.lit(lo)) & (x <= F.lit(hi))
-            pairs.append(F.when(inside, F.struct(F.lit(tid).alias("t"), bucket.alias("b"))))
+        # both middle ranks of a column share a range until they part: one histogram a range
+        ranges = list(dict.fromkeys((tasks[tid][0], tasks[tid][2], tasks[tid][3]) for tid in open_ids))
+        pairs = [
+            F.when(inside(i, lo, hi), F.struct(F.lit(k).alias("t"), _bucket(value[i], lo, hi).alias("b"), value[i].alias("x")))
+            for k, (i, lo, hi) in enumerate(ranges)
+        ]
         hist = (
-            stacked.select(x, F.explode(F.filter(F.array(*pairs), lambda m: m.isNotNull())).alias("m"))
-            .groupBy("m.t", "m.b").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+            df.select(F.explode(F.array(*pairs)).alias("m")).where("m is not null").select("m.*")
+            .groupBy("t", "b").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
             .collect()
         )
-        per_task: dict[int, list] = {}
+        per_range: dict[tuple, list] = {}
         for r in hist:
-            per_task.setdefault(r["t"], []).append(r)
+            per_range.setdefault(ranges[r["t"]], []).append(r)
         small = []
         for tid in open_ids:
             t = tasks[tid]
-            for r in sorted(per_task[tid], key=lambda r: r["b"]):
+            for r in sorted(per_range[t[0], t[2], t[3]], key=lambda r: r["b"]):
                 if t[4] + r["n"] > t[1]:
                     break
                 t[4] += r["n"]
@@ -108,17 +109,17 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
                 small.append((tid, r["lo"], r["hi"], t[1] - t[4]))
             elif (r["lo"], r["hi"]) == (t[2], t[3]):
                 # a round without progress: neighbouring doubles, few of them however many rows
-                t[5] = _nth_value(stacked.where((c == tasks[tid][0]) & (x >= F.lit(r["lo"])) & (x <= F.lit(r["hi"]))), t[1] - t[4])
+                t[5] = _nth_value(df.where(inside(t[0], r["lo"], r["hi"])).select(value[t[0]].alias("x")), t[1] - t[4])
             else:
                 t[2], t[3] = r["lo"], r["hi"]
         if small:
             # rank inside the small buckets only (≤ SMALL_BUCKET rows per task)
             picks = [
-                F.when((c == tasks[tid][0]) & (x >= F.lit(lo)) & (x <= F.lit(hi)), F.lit(tid))
+                F.when(inside(tasks[tid][0], lo, hi), F.struct(F.lit(tid).alias("t"), value[tasks[tid][0]].alias("x")))
                 for tid, lo, hi, _ in small
             ]
             ranked = (
-                stacked.select(x, F.explode(F.filter(F.array(*picks), lambda m: m.isNotNull())).alias("t"))
+                df.select(F.explode(F.array(*picks)).alias("m")).where("m is not null").select("m.*")
                 .withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy("x")))
             )
             want = F.lit(False)

@@ -190,3 +190,18 @@ def test_codes_of_many_values(spark):
         seen.setdefault(values[i], len(seen))
     got = {r["id"]: (r["a.b"], r["none"]) for r in encode.factorize(df, ["a.b", "none"], [F.col("id")]).collect()}
     assert got == {i: (seen[v], -1) for i, v in values.items()}
+
+
+def test_median_rounds_share_a_histogram_per_column(spark, monkeypatch):
+    """Every value was once compared with both ranks' ranges of all columns."""
+    import statistics
+
+    from ledgerline.operators import impute
+
+    seen, bucket = [], impute._bucket
+    monkeypatch.setattr(impute, "_bucket", lambda x, lo, hi: seen.append((lo, hi)) or bucket(x, lo, hi))
+    df = spark.range(100).select(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000 + i)).cast("double").alias(f"c{i}") for i in range(6)])
+    got = impute.exact_medians(df, df.columns)
+    rows = df.collect()
+    assert all(got[c] == statistics.median(r[c] for r in rows) for c in df.columns)
+    assert len(seen) == 6
