@@ -9,8 +9,10 @@ with the data and cannot live on the driver. Here it never does:
 * While a tree's rows are more than ``max_rows``, its top is split first: histograms of
   the open nodes (partial sums in the tasks, added up by a shuffle) give the best split
   of each, level by level, until every open node fits a task. Those nodes are the roots.
-* The model is a table of nodes keyed (tree, root). Scoring routes test rows through the
-  few top splits and meets the nodes by key; importances are one aggregate over the table.
+* The nodes of such a forest are more than its rows, so they are written only where asked
+  for (:attr:`Forest.nodes`). Importances and scores grow the trees a few at a time and keep
+  what they need of them: gains by feature, or the values of the test rows that meet the
+  training rows by (tree, root). The rows dealt at a time are bounded in bytes.
 
 Split rules are the scripts' library's: Gini impurity, 32-bit feature values, thresholds
 midway between neighbouring values, ``max_features`` features drawn per node, more only
@@ -22,18 +24,21 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.session import cut_lineage, ship
+from ledgerline.session import cut_lineage, release, ship
 
 #: rows of one tree that one task grows
 MAX_ROWS = 1 << 20
 #: bins of a feature in the histograms of nodes above that size
 BINS = 64
+#: bytes of training rows dealt to trees at a time
+DEALT_BYTES = 2 << 30
 #: bytes of histograms that one task holds
 HISTOGRAM_BYTES = 64 << 20
 
@@ -126,7 +131,10 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, max_features: int, seed: t
                 v = x[r, priority[at, k]]
                 o = _order(at, v)
                 at, r, v = at[o], r[o], v[o]
-                cw, c1 = np.cumsum(w[r]), np.cumsum(wy[r])
+                # only the last row of a run of equal values can be a cut
+                last = np.flatnonzero(np.r_[(at[1:] != at[:-1]) | (v[1:] != v[:-1]), True])
+                cw, c1 = np.cumsum(w[r])[last], np.cumsum(wy[r])[last]
+                at, v = at[last], v[last]
                 first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                 here = at[first]
                 lead = np.repeat(np.r_[0.0, cw[first[1:] - 1]], np.diff(np.r_[first, len(at)]))
@@ -256,14 +264,48 @@ def _node_table(tree: int, root: int, t: Tree) -> pa.Table:
     })
 
 
+def _grown_tree(key, table, n_features: int, max_features: int, seed: int) -> Tree:
+    tree, root = key[0].as_py(), key[1].as_py()
+    y, w, x = _unpacked([b.as_buffer() for b in table.column("rows").combine_chunks()], n_features, np.int8, np.uint8)
+    # blocks arrive in any order: rows are put in one of their own
+    order = np.lexsort((*x.T, y, w))
+    return grow(x[order], y[order].astype(np.float64), w[order].astype(np.float64), max_features, (seed, tree, root))
+
+
 def _grown(n_features: int, max_features: int, seed: int):
     def run(key, table):
-        tree, root = key[0].as_py(), key[1].as_py()
-        blocks = [b.as_buffer() for b in table.column("rows").combine_chunks()] if table.num_rows else []
-        y, w, x = _unpacked(blocks, n_features, np.int8, np.uint8)
-        # blocks arrive in any order: rows are put in one of their own
-        order = np.lexsort((*x.T, y, w))
-        return _node_table(tree, root, grow(x[order], y[order].astype(np.float64), w[order].astype(np.float64), max_features, (seed, tree, root)))
+        return _node_table(key[0].as_py(), key[1].as_py(), _grown_tree(key, table, n_features, max_features, seed))
+
+    return run
+
+
+def _grown_gains(n_features: int, max_features: int, seed: int):
+    """Gains by feature of a grown tree."""
+
+    def run(key, table):
+        t = _grown_tree(key, table, n_features, max_features, seed)
+        split = t.feature >= 0
+        used = np.unique(t.feature[split])
+        gain = np.bincount(t.feature[split], t.gain[split], n_features)[used].astype(np.float64)
+        return pa.table({"tree": pa.array(np.full(len(used), key[0].as_py(), np.int32)), "feature": pa.array(used.astype(np.int32)), "gain": pa.array(gain)})
+
+    return run
+
+
+def _grown_values(top: Top, n_features: int, max_features: int, seed: int):
+    """The values that a grown tree gives to the test rows of its root."""
+
+    def run(key, table, blocks):
+        if not blocks.num_rows:
+            return pa.table({"place": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        place, x = _unpacked([b.as_buffer() for b in blocks.column("rows").combine_chunks()], n_features, np.int64)
+        if top.final(key[0].as_py(), key[1].as_py()):
+            value = np.full(len(place), top.trees[key[0].as_py()].value[key[1].as_py()])
+        elif table.num_rows:
+            value = leaf_values(_grown_tree(key, table, n_features, max_features, seed), x)
+        else:
+            place, value = place[:0], np.zeros(0)
+        return pa.table({"place": pa.array(place), "value": pa.array(value)})
 
     return run
 
@@ -371,22 +413,79 @@ def _tops(rows: DataFrame, n_rows: int, n_features: int, n_trees: int, max_featu
 
 
 # --------------------------------------------------------------------- model
+@dataclass
+class Growth:
+    """What a forest of full depth grows from: training rows (key, y, x) and its parameters."""
+
+    rows: DataFrame
+    n_rows: int
+    n_features: int
+    max_features: int
+    seed: int
+
+    def batches(self, n_trees: int) -> list[list[int]]:
+        """Trees grown at a time: their dealt rows are within ``DEALT_BYTES``, one tree at least."""
+        a_tree = 0.64 * self.n_rows * (4 * self.n_features + 2)
+        step = max(1, min(n_trees, int(DEALT_BYTES // max(a_tree, 1))))
+        return [list(range(i, min(i + step, n_trees))) for i in range(0, n_trees, step)]
+
+    def dealt(self, top: Top, trees: Sequence[int]) -> DataFrame:
+        return self.rows.mapInArrow(_dealt(top, trees, self.seed), _BLOCK)
+
+    @property
+    def drawn(self) -> tuple[int, int, int]:
+        return self.n_features, self.max_features, self.seed
+
+
 @dataclass
 class Forest:
-    """A forest as a table of nodes (``tree, root, node, ...``) and its tops."""
+    """A forest: its tops, and a table of nodes or what they grow from."""
 
-    nodes: DataFrame
     top: Top
     features: list[str]
     n_trees: int
-    bounded: bool  # whether the number of nodes is bounded by parameters
+    table: DataFrame | None = None  # small trees only
+    growth: Growth | None = None
+
+    @property
+    def nodes(self) -> DataFrame:
+        """All nodes (``tree, root, node, ...``), written on first use."""
+        if self.table is None:
+            grown = self.growth.dealt(self.top, list(range(self.n_trees))).groupBy("tree", "root").applyInArrow(_grown(*self.growth.drawn), _NODE)
+            if leaves := self.top.leaves():
+                grown = grown.unionByName(grown.sparkSession.createDataFrame(leaves, _NODE))
+            self.table = cut_lineage(grown)
+        return self.table
+
+    def _gains(self) -> DataFrame:
+        if self.growth is None:
+            return self.table.where("feature >= 0").select("tree", "feature", "gain")
+        parts = []
+        for trees in self.growth.batches(self.n_trees):
+            grown = self.growth.dealt(self.top, trees).groupBy("tree", "root").applyInArrow(_grown_gains(*self.growth.drawn), "tree int, feature int, gain double")
+            parts.append(cut_lineage(grown.groupBy("tree", "feature").agg(F.sum("gain").alias("gain"))))
+            release(grown.sparkSession)
+        return reduce(DataFrame.unionByName, parts)
+
+    def _sums(self, keyed: DataFrame) -> DataFrame:
+        """(place, total): the trees' values of every test row, added up."""
+        parts = []
+        for trees in self.growth.batches(self.n_trees):
+            blocks = keyed.mapInArrow(_spread(self.top, trees), _BLOCK)
+            values = (
+                self.growth.dealt(self.top, trees).groupBy("tree", "root").cogroup(blocks.groupBy("tree", "root"))
+                .applyInArrow(_grown_values(self.top, *self.growth.drawn), "place long, value double")
+            )
+            parts.append(cut_lineage(values.groupBy("place").agg(F.sum("value").alias("total"))))
+            release(keyed.sparkSession)
+        return reduce(DataFrame.unionByName, parts)
 
     def importances(self) -> DataFrame:
         """T10 (feature, importance): impurity decreases by feature, as shares within each tree,
         averaged over the trees; features never split on have 0."""
-        spark = self.nodes.sparkSession
+        gains = self._gains()
+        spark = gains.sparkSession
         above = [(t, int(f), float(g)) for t, tree in self.top.trees.items() for f, g in zip(tree.feature, tree.gain, strict=True) if f >= 0]
-        gains = self.nodes.where("feature >= 0").select("tree", "feature", "gain")
         if above:
             gains = gains.unionByName(spark.createDataFrame(above, "tree int, feature int, gain double"))
         per_tree = gains.groupBy("tree", "feature").agg(F.sum("gain").alias("gain"))
@@ -398,20 +497,15 @@ class Forest:
     def score(self, df: DataFrame, id_col: str, label: str) -> DataFrame:
         """T9 (id, label, score, prediction): the mean class-1 share over all trees.
 
-        A model whose size is bounded by parameters goes to every task; one that grows with
-        the data meets the rows by (tree, root)."""
+        A table of nodes is bounded by parameters and goes to every task; trees that grow with
+        the data meet the rows by (tree, root) and leave their values only."""
         rows = _rows(df, self.features, label, F.col(id_col))
-        if self.bounded:
-            table = self.nodes.orderBy("tree", "node").toArrow()
+        if self.growth is None:
+            table = self.table.orderBy("tree", "node").toArrow()
             scored = rows.select("id", "y", _score_all(_trees(table))("x").alias("score"))
         else:
             keyed = cut_lineage(rows.withColumn("place", F.monotonically_increasing_id()))
-            blocks = keyed.mapInArrow(_spread(self.top, self.n_trees), _BLOCK)
-            values = (
-                self.nodes.groupBy("tree", "root").cogroup(blocks.groupBy("tree", "root"))
-                .applyInArrow(_meet(len(self.features)), "place long, value double")
-            )
-            mean = values.groupBy("place").agg((F.sum("value") / self.n_trees).alias("score"))
+            mean = self._sums(keyed).groupBy("place").agg((F.sum("total") / self.n_trees).alias("score"))
             scored = keyed.join(mean, "place").select("id", "y", "score")
         return scored.select("id", F.col("y").alias("label"), "score", (F.col("score") > F.lit(0.5)).cast("int").alias("prediction"))
 
@@ -436,7 +530,7 @@ def _score_all(trees: list[Tree]):
     return score
 
 
-def _spread(top: Top, n_trees: int):
+def _spread(top: Top, trees: Sequence[int]):
     """Test rows packed per (tree, root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,7 +539,7 @@ def _spread(top: Top, n_trees: int):
                 continue
             x, place = _matrix(batch, "x"), _key(batch.column("place"))
             out = []
-            for t in range(n_trees):
+            for t in trees:
                 root = top.roots(t, x)
                 for r in np.unique(root).tolist():
                     i = root == r
@@ -456,16 +550,6 @@ def _spread(top: Top, n_trees: int):
     return run
 
 
-def _meet(n_features: int):
-    def run(key, nodes, blocks):
-        if not blocks.num_rows or not nodes.num_rows:
-            return pa.table({"place": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
-        place, x = _unpacked([b.as_buffer() for b in blocks.column("rows").combine_chunks()], n_features, np.int64)
-        return pa.table({"place": pa.array(place), "value": pa.array(leaf_values(_trees(nodes.sort_by("node"))[0], x))})
-
-    return run
-
-
 def _rows(df: DataFrame, features: Sequence[str], label: str, id_col: Column) -> DataFrame:
     """(id, y, x) with 32-bit feature values, missing ones NaN."""
     return df.select(id_col.alias("id"), F.col(f"`{label}`").cast("int").alias("y"), _values(features).alias("x"))
@@ -490,11 +574,7 @@ def random_forest(train: DataFrame, features: Sequence[str], label: str, key: Co
     n = rows.count()
     k = _n_drawn(len(features), max_features)
     top = _tops(rows, n, len(features), n_trees, k, max_rows, seed)
-    blocks = rows.mapInArrow(_dealt(top, list(range(n_trees)), seed), _BLOCK)
-    nodes = blocks.groupBy("tree", "root").applyInArrow(_grown(len(features), k, seed), _NODE)
-    if leaves := top.leaves():
-        nodes = nodes.unionByName(train.sparkSession.createDataFrame(leaves, _NODE))
-    return Forest(cut_lineage(nodes), top, list(features), n_trees, bounded=False)
+    return Forest(top, list(features), n_trees, growth=Growth(rows, n, len(features), k, seed))
 
 
 def exact_bags(train: DataFrame, key: Sequence[str], n_estimators: int, rows_per_tree: int, seed: int = 0) -> DataFrame:
@@ -525,7 +605,7 @@ def bagged_trees(train: DataFrame, features: Sequence[str], label: str, key: Seq
     bags = exact_bags(train, key, n_estimators, rows_per_tree, seed)
     rows = bags.select("tree", "draws", F.col(f"`{label}`").cast("int").alias("y"), _values(features).alias("x"))
     nodes = rows.groupBy("tree").applyInArrow(_bag_grown(len(features), seed), _NODE)
-    return Forest(cut_lineage(nodes), Top(), list(features), n_estimators, bounded=True)
+    return Forest(Top(), list(features), n_estimators, table=cut_lineage(nodes))
 
 
 def _bag_grown(n_features: int, seed: int):

@@ -139,3 +139,38 @@ def test_bootstrap_is_exact_and_repeats(spark):
     again = sampling.bootstrap(df.repartition(5), "y", "id", seed=3)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
     assert sampling.bootstrap(df.where("y = 0"), "y", "id").count() == 450
+
+
+def test_full_depth_leaves_no_node_table(spark, monkeypatch):
+    """Importances and scores are read off the trees a few at a time; the nodes, which are more
+    than the rows, were once written whole, after all trees' rows had been shuffled at once."""
+    df = frame(spark, 600)
+    batches, dealt = [], trees._dealt
+    monkeypatch.setattr(trees, "_dealt", lambda top, of, seed: batches.append(list(of)) or dealt(top, of, seed))
+    whole = trees.random_forest(df, ["a", "b", "c", "d"], "y", F.col("id"), n_trees=7, max_rows=100)
+    monkeypatch.setattr(trees, "_grown", lambda *a: pytest.fail("nodes of all trees"))
+    one = {r["id"]: r["score"] for r in whole.score(df, "id", "y").collect()}
+    shares = {r["feature"]: r["importance"] for r in whole.importances().collect()}
+    assert batches == [list(range(7))] * 2
+    # room for three trees' rows: as many shuffles of a bounded size, the same forest
+    monkeypatch.setattr(trees, "DEALT_BYTES", int(3.5 * 0.64 * 600 * 18))
+    batches.clear()
+    few = {r["id"]: r["score"] for r in whole.score(df, "id", "y").collect()}
+    assert batches == [[0, 1, 2], [3, 4, 5], [6]] and len(one) == 600
+    assert all(abs(few[i] - s) < 1e-9 for i, s in one.items())
+    assert all(abs(r["importance"] - shares[r["feature"]]) < 1e-9 for r in whole.importances().collect())
+    # and the scores are those of the table of nodes
+    monkeypatch.undo()
+    by_root = {}
+    for r in whole.nodes.collect():
+        by_root.setdefault((r["tree"], r["root"]), []).append(r)
+    rows = df.collect()
+    x = np.array([[r["a"], r["b"], r["c"], r["d"]] for r in rows], np.float32)
+    total = np.zeros(600)
+    for t in range(7):
+        root = whole.top.roots(t, x)
+        for at in np.unique(root).tolist():
+            nodes = sorted(by_root[t, at], key=lambda r: r["node"])
+            tree = trees.Tree(*(np.array([r[c] for r in nodes]) for c in ("feature", "threshold", "left", "value", "gain", "weight")))
+            total[root == at] += trees.leaf_values(tree, x[root == at])
+    assert all(abs(one[r["id"]] - total[i] / 7) < 1e-9 for i, r in enumerate(rows))
