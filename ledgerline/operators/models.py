@@ -1,4 +1,5 @@
-"""Spark ML learners standing in for the scripts' classifiers.
+"""Spark ML learners standing in for the scripts' classifiers (T1-T11, C1); boosting is
+:mod:`ledgerline.operators.boosting`, with Spark ML's rule and settings.
 
 Training runs on the executors (tree learners aggregate split statistics
 per level; linear models aggregate gradients / Gram matrices); the driver
@@ -12,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     RandomForestClassifier,
@@ -22,23 +22,25 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.boosting import BoostedTrees
 
-def gradient_boosting(n_trees: int = 100, subsample: float = 1.0, seed: int = 0, **kw) -> GBTClassifier:
+
+def gradient_boosting(n_trees: int = 100, subsample: float = 1.0, seed: int = 0, **kw) -> BoostedTrees:
     """Boosted depth-3 trees, learning rate 0.1 (the scripts' defaults)."""
-    return GBTClassifier(maxIter=n_trees, maxDepth=3, stepSize=0.1, subsamplingRate=subsample, seed=seed, **kw)
+    return BoostedTrees(maxIter=n_trees, maxDepth=3, stepSize=0.1, subsamplingRate=subsample, seed=seed, **kw)
 
 
-def extreme_boosting(n_trees: int = 100, seed: int = 0, **kw) -> GBTClassifier:
+def extreme_boosting(n_trees: int = 100, seed: int = 0, **kw) -> BoostedTrees:
     """Deeper boosted trees (depth 6, rate 0.3) in place of XGBoost."""
-    return GBTClassifier(maxIter=n_trees, maxDepth=6, stepSize=0.3, seed=seed, **kw)
+    return BoostedTrees(maxIter=n_trees, maxDepth=6, stepSize=0.3, seed=seed, **kw)
 
 
 def leaf_limited_boosting(rounds: int = 20, rate: float = 0.05, feature_fraction: float = 0.5,
-                          bagging_fraction: float = 0.5, seed: int = 0, **kw) -> GBTClassifier:
+                          bagging_fraction: float = 0.5, seed: int = 0, **kw) -> BoostedTrees:
     """Two-leaf stumps, 20 rounds at rate 0.05, half the rows and
     features per round (the LightGBM settings). Its early stop (100) never
     fires before round 20, so no validation set is used."""
-    return GBTClassifier(maxIter=rounds, maxDepth=1, stepSize=rate, subsamplingRate=bagging_fraction,
+    return BoostedTrees(maxIter=rounds, maxDepth=1, stepSize=rate, subsamplingRate=bagging_fraction,
                          featureSubsetStrategy=str(feature_fraction), seed=seed, **kw)
 
 
