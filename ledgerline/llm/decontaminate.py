@@ -31,6 +31,10 @@ UNITS = (
 MARK = "\x01"
 NUMBER = r"[0-9]+(?:[.,][0-9]+){0,3}"
 NAME = r"([\p{L}\p{N},;] )(\p{Lu}\p{L}*)"
+#: all that two passes of ``NAME`` find, in one: what stands before the space is only looked at, so a
+#: name may follow a name. Java looks back by whole characters only if the class names one beyond
+#: U+FFFF; this one is a letter, so it is in the class anyway.
+NAMES = " (?<=[\\p{L}\\p{N},;\U0001d400] )(\\p{Lu}\\p{L}*)"
 UNIT = "(" + "|".join(UNITS) + r")([^\p{L}\p{N}]|\z)"
 VALUE_TOKEN = r"\x01n" + NUMBER + r"|\x01[pu]\p{L}+|\p{L}+"
 
@@ -38,11 +42,9 @@ VALUE_TOKEN = r"\x01n" + NUMBER + r"|\x01[pu]\p{L}+|\p{L}+"
 def _marked(text: Column, keep: bool) -> Column:
     """``text`` with its slots marked by type; with their values after the mark if ``keep``.
 
-    A name is a capitalised word after a word, number, comma or semicolon and a space (the
-    second pass finds names next to names)."""
+    A name is a capitalised word after a word, number, comma or semicolon and a space."""
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARK, " ")
-    for _ in range(2):
-        t = F.regexp_replace(t, NAME, f"$1{MARK}p" + ("$2" if keep else ""))
+    t = F.regexp_replace(t, NAMES, f" {MARK}p" + ("$1" if keep else ""))
     t = F.regexp_replace(t, NUMBER, f"{MARK}n" + ("$0" if keep else ""))
     return F.regexp_replace(t, rf"(\x01n{NUMBER if keep else ''} ?){UNIT}", f"$1{MARK}u" + ("$2" if keep else "") + "$3")
 
@@ -63,7 +65,7 @@ def literal(text: Column) -> Column:
 
 
 def _is_slot(token: Column) -> Column:
-    return F.substring(token, 1, 1) == MARK
+    return F.startswith(token, F.lit(MARK))
 
 
 def _canonical(tokens: Column) -> Column:

@@ -67,3 +67,22 @@ def test_empty(spark):
     _, _, sd, si = frames(spark)
     assert D.report(sd.limit(0), si).count() == 0
     assert D.report(sd, si.limit(0)).filter("contaminated").count() == 0
+
+
+def test_names_in_one_pass(spark):
+    """One look at a text marks what two passes of the SQL's rule mark, names next to names included."""
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm import decontaminate as D
+
+    texts = ["a B C D E", "Bob Carl Dan Eve", "", " Bob", "x Bob, Carl; Dan 5 Eve", "a Ábra Čap", "a 𝐀b 𝐁c D", "𝐛 Bob", "𐐨 𐐀𐐁 X",
+             "é Bob E\u0301 Carl", "a  Bob", "a\nBob C", "5 A B. C D", "a \x01pB C", "z B1 C2 D", "𝟗 B", "😀 B"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    for keep in (True, False):
+        twice = F.translate(F.coalesce("text", F.lit("")), D.MARK, " ")
+        for _ in range(2):
+            twice = F.regexp_replace(twice, D.NAME, f"$1{D.MARK}p" + ("$2" if keep else ""))
+        once = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), D.MARK, " "), D.NAMES, f" {D.MARK}p" + ("$1" if keep else ""))
+        assert rows.filter(once != twice).count() == 0
+    # names, numbers and units: a pass each
+    assert rows.select(D._marked(F.col("text"), True))._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 6
