@@ -5,14 +5,16 @@ with the data and cannot live on the driver. Here it never does:
 
 * Every training row is dealt to the trees that draw it; rows of one tree and one *root*
   meet in one task, which grows that part of the tree to the end with numpy, all nodes of
-  a level together. Rows travel as packed blocks, not one by one.
+  a level together. Rows travel as packed blocks, not one by one. Equal rows, which a bootstrap
+  makes, are one row with their weights; a level is split by sorting one number per row and
+  drawn feature, a cache's worth of neighbouring nodes at a time (:func:`grow`).
 * While a tree's rows are more than ``max_rows``, its top is split first: histograms of
   the open nodes (partial sums in the tasks, added up by a shuffle) give the best split
   of each, level by level, until every open node fits a task. Those nodes are the roots.
 * The nodes of such a forest are more than its rows, so they are written only where asked
   for (:attr:`Forest.nodes`). Importances and scores grow the trees a few at a time and keep
   what they need of them: gains by feature, or the values of the test rows that meet the
-  training rows by (tree, root). The rows dealt at a time are bounded in bytes.
+  training rows by (tree, root), or both. The rows dealt at a time are bounded in bytes.
 
 Split rules are the scripts' library's: Gini impurity, 32-bit feature values, thresholds
 midway between neighbouring values, ``max_features`` features drawn per node, more only
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.session import cut_lineage, release, ship
+from ledgerline.session import cores, cut_lineage, release, ship
 
 #: rows of one tree that one task grows
 MAX_ROWS = 1 << 20
@@ -41,7 +43,16 @@ BINS = 64
 DEALT_BYTES = 2 << 30
 #: bytes of histograms that one task holds
 HISTOGRAM_BYTES = 64 << 20
-
+#: rows that a task packs, deals or bins together, and bytes of dealt rows in one batch
+BLOCK_ROWS, BATCH_BYTES = 1 << 16, 16 << 20
+#: rows of neighbouring nodes that are split together: their arrays fit a core's cache
+PART_ROWS = 1 << 15
+#: different pairs of weights up to which equal rows are one
+MOST_PAIRS = 1 << 12
+#: rows that a task of a forest grows at least, where there are so many
+TASK_ROWS = 1 << 17
+
+_VALUE = "tree int, place long, value double"
 _NODE = "tree int, root int, node int, feature int, threshold float, left int, value double, gain double, weight double"
 _BLOCK = "tree int, root int, rows binary"
 _U = np.uint64
@@ -64,13 +75,21 @@ def _uniform(*parts) -> np.ndarray:
     return (h >> _U(11)).astype(np.float64) * 2.0**-53
 
 
-_POISSON = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(18)])
+#: 53-bit numbers from which a row is drawn once, twice, ... (sums of the Poisson law)
+_POISSON = np.array([math.ceil(c * 2.0**53) for c in np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(18)])], np.uint64)
 
 
 def _poisson(seed: int, tree: int, key: np.ndarray) -> np.ndarray:
     """How often a tree draws each row: Poisson with mean 1, which n draws with replacement
     from n rows tend to; a function of the row's key, so any task finds the same."""
-    return np.searchsorted(_POISSON, _uniform(seed, tree, key), "right").astype(np.float64)
+    with np.errstate(over="ignore"):
+        h = _mix(_mix(_mix(np.asarray(seed).astype(np.int64).view(np.uint64)) ^ np.asarray(tree).astype(np.int64).view(np.uint64)) ^ key.view(np.uint64)) >> _U(11)
+    n = np.zeros(len(h), np.uint8)
+    for least in _POISSON[:3]:
+        n += h >= least
+    often = np.flatnonzero(n == 3)
+    n[often] += np.searchsorted(_POISSON[3:], h[often], "right").astype(np.uint8)
+    return n
 
 
 # ------------------------------------------------------------------- growing
@@ -84,13 +103,6 @@ class Tree:
     weight: np.ndarray
 
 
-def _order(node: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Rows by node, then value (NaN last)."""
-    bits = v.view(np.uint32)
-    bits = np.where(np.isnan(v), np.uint32(0xFFFFFFFF), np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000)))
-    return np.argsort((node.astype(np.uint64) << _U(32)) | bits.astype(np.uint64))
-
-
 def _purity(w1: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Weight times (1 - Gini impurity)."""
     w0 = w - w1
@@ -104,78 +116,225 @@ def _midway(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where((t >= a) & (t < b), t, a)
 
 
+def _codes(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the values (NaN last)."""
+    bits = (x + np.float32(0)).view(np.uint32)  # -0.0 is 0.0
+    bits = np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000))
+    bits[np.isnan(x)] = 0xFFFFFFFF
+    return bits
+
+
+def _decoded(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes >> 31, codes & np.uint32(0x7FFFFFFF), ~codes).view(np.float32)
+
+
+# the weight of some rows, and that of class 1 among them, in one whole number: sums are exact
+_HALF, _LOW = np.int64(31), np.int64((1 << 31) - 1)
+
+
+def _both(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (sums & _LOW).astype(np.float64), (sums >> _HALF).astype(np.float64)
+
+
+def _merged(codes: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows as one with their weights added up (some may stay apart, which changes no tree)."""
+    h = np.zeros(len(codes), np.uint64)
+    for k in range(codes.shape[1]):
+        h = (h ^ codes[:, k]) * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(32)
+    order = np.argsort(h)
+    c = codes.take(order, 0)
+    other = np.zeros(len(c) - 1, bool)
+    for k in range(c.shape[1]):
+        other |= c[1:, k] != c[:-1, k]
+    first = np.flatnonzero(np.r_[True, other])
+    return c.take(first, 0), np.add.reduceat(sums.take(order), first)
+
+
+@dataclass
+class _Part:
+    """Rows of the open nodes among some neighbouring nodes of a level."""
+
+    codes: np.ndarray  # by row and feature, one after the other
+    row: np.ndarray  # where a row's codes begin
+    pair: np.ndarray  # the number of its pair of weights
+    node: np.ndarray  # its place among the open nodes
+    sums: np.ndarray  # weights of all nodes
+    open: np.ndarray  # which of them are open
+
+
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, max_features: int, seed: tuple[int, ...]) -> Tree:
-    """One tree of full depth on rows ``x`` (float32), labels 0/1 and positive weights."""
-    n, f = x.shape
-    parts: list[list[np.ndarray]] = []
-    rows, node, width, done = np.arange(n), np.zeros(n, np.int64), 1, 0
-    wy = w * y
-    while width:
-        total = np.bincount(node, w[rows], width)
-        ones = np.bincount(node, wy[rows], width)
-        value = ones / np.maximum(total, 1e-300)
-        feature = np.full(width, -1, np.int32)
-        threshold, gain = np.zeros(width, np.float32), np.zeros(width)
-        size = np.bincount(node, minlength=width)
-        open_ = (size > 1) & (ones > 0) & (ones < total)
-        if open_.any():
-            priority = np.argsort(_uniform(*seed, done, np.arange(width)[:, None], np.arange(f)[None, :]), axis=1)
-            best = np.full(width, -1.0)
-            for k in range(f):
-                # further features only for nodes whose drawn ones are constant
-                need = open_ if k < max_features else open_ & (feature < 0)
-                sel = np.flatnonzero(need[node])
-                if not len(sel):
-                    break
-                at, r = node[sel], rows[sel]
-                v = x[r, priority[at, k]]
-                o = _order(at, v)
-                at, r, v = at[o], r[o], v[o]
-                # only the last row of a run of equal values can be a cut
-                last = np.flatnonzero(np.r_[(at[1:] != at[:-1]) | (v[1:] != v[:-1]), True])
-                cw, c1 = np.cumsum(w[r])[last], np.cumsum(wy[r])[last]
-                at, v = at[last], v[last]
-                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                here = at[first]
-                lead = np.repeat(np.r_[0.0, cw[first[1:] - 1]], np.diff(np.r_[first, len(at)]))
-                lead1 = np.repeat(np.r_[0.0, c1[first[1:] - 1]], np.diff(np.r_[first, len(at)]))
-                cut = np.zeros(len(at), bool)
-                cut[:-1] = (at[1:] == at[:-1]) & (v[1:] != v[:-1]) & ~np.isnan(v[:-1])
-                wl, w1 = cw - lead, c1 - lead1
-                score = np.where(cut, _purity(w1, wl) + _purity(ones[at] - w1, total[at] - wl), -1.0)
-                top = np.maximum.reduceat(score, first)
-                hit = np.flatnonzero((score == np.repeat(top, np.diff(np.r_[first, len(at)]))) & cut)
-                spot, which = np.unique(at[hit], return_index=True)
-                i = hit[which]
-                better = score[i] > best[spot]
-                spot, i = spot[better], i[better]
-                best[spot] = score[i]
-                feature[spot] = priority[spot, k]
-                threshold[spot] = _midway(v[i], v[i + 1])
-                del here
+    """One tree of full depth on rows ``x`` (float32), labels 0/1 and weights, whole and positive.
+
+    A row and a drawn feature are one number, of the node, the value and the pair of weights. They
+    are sorted, and running sums over them are the weights left of every cut of every node."""
+    f = x.shape[1]
+    codes, sums = _codes(x), w.astype(np.int64) + ((w * y).astype(np.int64) << _HALF)
+    if len(x):
+        merged = _merged(codes, sums)
+        if len(np.unique(merged[1])) <= MOST_PAIRS:
+            codes, sums = merged
+    pairs, pair = np.unique(sums, return_inverse=True)
+    total = sums.sum(keepdims=True)
+    opened = np.flatnonzero((total >> _HALF > 0) & (total >> _HALF < (total & _LOW)) & (len(codes) > 1))
+    level = [_Part(codes.ravel(), np.arange(len(codes)) * f, pair.astype(np.uint64), np.zeros(len(codes), np.int64), total, opened)]
+    done, out = 0, []
+    while level:
+        width, at, splits, below = sum(len(p.sums) for p in level), 0, 0, []
+        for p in level:
+            feature, threshold, gain, children = _split(p, f, max_features, (*seed, done), at, pairs)
             split = feature >= 0
-            gain[split] = np.maximum(best[split] - _purity(ones, total)[split], 0.0)
-        split = feature >= 0
-        left = np.full(width, -1, np.int32)
-        left[split] = done + width + 2 * np.arange(int(split.sum()))
-        parts.append([feature, threshold, left, value, gain, total])
-        keep = split[node]
-        rows, node = rows[keep], node[keep]
-        right = ~(x[rows, feature[node]] <= threshold[node])
-        node = left[node] + right - (done + width)
-        done, width = done + width, 2 * int(split.sum())
-    return Tree(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            left = np.full(len(split), -1, np.int32)
+            left[split] = done + width + 2 * (splits + np.arange(int(split.sum())))
+            weight, ones = _both(p.sums)
+            out.append([feature, threshold, left, ones / np.maximum(weight, 1e-300), gain, weight])
+            at, splits = at + len(split), splits + int(split.sum())
+            for c in children:
+                if below and len(below[-1].row) + len(c.row) <= PART_ROWS:
+                    below[-1] = _joined(below[-1], c)
+                else:
+                    below.append(c)
+        done, level = done + width, below
+    return Tree(*(np.concatenate(c) for c in zip(*out, strict=True)))
+
+
+def _joined(a: _Part, b: _Part) -> _Part:
+    moved = [(a.codes, b.codes), (a.row, b.row + len(a.codes)), (a.pair, b.pair), (a.node, b.node + len(a.open)), (a.sums, b.sums), (a.open, b.open + len(a.sums))]
+    return _Part(*map(np.concatenate, moved))
+
+
+def _best_cuts(key: np.ndarray, bits: int, pairs: np.ndarray, sums: np.ndarray):
+    """The best cut of each segment of sorted rows: segments, scores, the values on both sides and
+    the weights to the left; the first one where several are best. A key is the segment, 32 bits of
+    the value and ``bits`` of the pair of weights."""
+    key.sort()
+    value = key >> _U(bits)
+    segment = value >> _U(32)
+    # only the last row of a run of equal values can be a cut
+    cut = np.flatnonzero((value[1:] != value[:-1]) & (segment[1:] == segment[:-1]))
+    if not len(cut):
+        return None
+    segment = segment.view(np.int64).take(cut)
+    left = np.cumsum(pairs.take((key & _U((1 << bits) - 1)).view(np.int64))).take(cut)
+    left -= (np.cumsum(sums) - sums).take(segment)
+    (wl, w1), (total, ones) = _both(left), (s.take(segment) for s in _both(sums))
+    score = _purity(w1, wl) + _purity(ones - w1, total - wl)
+    first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+    top = np.maximum.reduceat(score, first)
+    hit = np.flatnonzero(score == np.repeat(top, np.diff(np.r_[first, len(segment)])))
+    at = segment[hit]
+    hit = hit[np.r_[True, at[1:] != at[:-1]]]
+    at = cut[hit]
+    return segment[hit], score[hit], value[at].astype(np.uint32), value[at + 1].astype(np.uint32), left[hit]
+
+
+def _split(p: _Part, f: int, max_features: int, seed: tuple[int, ...], at: int, pairs: np.ndarray):
+    """Split the open nodes of a part whose nodes begin at place ``at`` of the level: feature,
+    threshold and gain of all its nodes, and the parts of their children."""
+    m, bits = len(p.open), max(1, (len(pairs) - 1).bit_length())
+    feature, threshold, gain = np.full(len(p.sums), -1, np.int32), np.zeros(len(p.sums), np.float32), np.zeros(len(p.sums))
+    if not m:
+        return feature, threshold, gain, []
+    sums = p.sums[p.open]
+    drawn = np.argsort(_uniform(*seed, (at + p.open)[:, None], np.arange(f)[None, :]), axis=1)
+    best, chosen = np.full(m, -1.0), np.full(m, -1)
+    low, high, left = np.zeros(m, np.uint32), np.zeros(m, np.uint32), np.zeros(m, np.int64)
+    most = max(1, min(max_features, (1 << 32 - bits) // m, (2 << 20) // len(p.row)))
+    k = 0
+    while k < f:
+        if k < max_features:
+            nodes, n_drawn, node, row, pair = np.arange(m), min(most, max_features - k, f - k), p.node, p.row, p.pair
+        else:
+            # further features only for nodes whose drawn ones are constant
+            nodes, n_drawn = np.flatnonzero(chosen < 0), 1
+            if not len(nodes):
+                break
+            rank = np.full(m, -1)
+            rank[nodes] = np.arange(len(nodes))
+            node = rank.take(p.node)
+            rows = np.flatnonzero(node >= 0)
+            node, row, pair = node.take(rows), p.row.take(rows), p.pair.take(rows)
+        base = ((node * n_drawn).view(np.uint64) << _U(bits + 32)) | pair
+        key = np.empty(n_drawn * len(row), np.uint64)
+        for j in range(n_drawn):
+            of = p.codes.take(row + drawn[nodes, k + j].take(node)).astype(np.uint64)
+            of <<= _U(bits)
+            of |= base
+            np.add(of, _U(j) << _U(bits + 32), out=key[j * len(row) : (j + 1) * len(row)])
+        found = _best_cuts(key, bits, pairs, np.repeat(sums[nodes], n_drawn))
+        if found is not None:
+            segment, score, a, b, weights = found
+            scores, place = np.full(len(nodes) * n_drawn, -1.0), np.zeros(len(nodes) * n_drawn, np.int64)
+            scores[segment], place[segment] = score, np.arange(len(segment))
+            j = scores.reshape(-1, n_drawn).argmax(1)
+            here = np.arange(len(nodes)) * n_drawn + j
+            better = np.flatnonzero(scores[here] > best[nodes])
+            spot, i = nodes[better], place[here[better]]
+            best[spot], low[spot], high[spot], left[spot], chosen[spot] = score[i], a[i], b[i], weights[i], drawn[spot, k + j[better]]
+        k += n_drawn
+    split = np.flatnonzero(chosen >= 0)
+    if not len(split):
+        return feature, threshold, gain, []
+    at = p.open[split]
+    feature[at], threshold[at] = chosen[split], _midway(_decoded(low[split]), _decoded(high[split]))
+    total, ones = _both(sums[split])
+    gain[at] = np.maximum(best[split] - _purity(ones, total), 0.0)
+    below = np.stack([left[split], sums[split] - left[split]], 1).ravel()
+    # rows of nodes without a split go to one more child, which is dropped
+    first = np.full(m, len(below))
+    first[split] = 2 * np.arange(len(split))
+    child = first.take(p.node)
+    child += p.codes.take(p.row + np.maximum(chosen, 0).take(p.node)) > low.take(p.node)
+    size = np.bincount(child, minlength=len(below) + 2)[: len(below)]
+    opened = np.flatnonzero((size > 1) & (below >> _HALF > 0) & (below >> _HALF < (below & _LOW)))
+    rank = np.full(len(below) + 2, -1)
+    rank[opened] = np.arange(len(opened))
+    node = rank.take(child)
+    keep = np.flatnonzero(node >= 0)
+    node, row, pair = node.take(keep), p.row.take(keep), p.pair.take(keep)
+    if len(keep) > 2 * PART_ROWS and len(opened) > 1:
+        return feature, threshold, gain, _cut_up(_Part(p.codes, row, pair, node, below, opened), size[opened], f)
+    codes = p.codes
+    if len(keep) * f < 0.6 * len(codes):
+        codes, row = codes.reshape(-1, f).take(row // f, 0).ravel(), np.arange(len(keep)) * f
+    return feature, threshold, gain, [_Part(codes, row, pair, node, below, opened)]
+
+
+def _cut_up(p: _Part, size: np.ndarray, f: int) -> list[_Part]:
+    """A part as several of about ``PART_ROWS`` rows, or one open node, each."""
+    piece = (np.cumsum(size) - size) // PART_ROWS
+    begin = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+    number = np.cumsum(np.r_[False, piece[1:] != piece[:-1]])
+    order = np.argsort(number.astype(np.uint16).take(p.node), kind="stable")
+    ends = np.cumsum(np.add.reduceat(size, begin)).tolist()
+    # all nodes up to the first open one of the next piece
+    nodes = [0, *p.open[begin[1:]].tolist(), len(p.sums)]
+    opened = [*begin.tolist(), len(p.open)]
+    codes, out, start = p.codes.reshape(-1, f), [], 0
+    for i, end in enumerate(ends):
+        rows = order[start:end]
+        out.append(_Part(
+            codes.take(p.row.take(rows) // f, 0).ravel(), np.arange(end - start) * f, p.pair.take(rows), p.node.take(rows) - opened[i],
+            p.sums[nodes[i] : nodes[i + 1]], p.open[opened[i] : opened[i + 1]] - nodes[i],
+        ))
+        start = end
+    return out
 
 
 def leaf_values(tree: Tree, x: np.ndarray) -> np.ndarray:
     """The value of the leaf that each row of ``x`` falls into."""
-    at = np.zeros(len(x), np.int64)
-    rows = np.arange(len(x)) if tree.feature[0] >= 0 else np.zeros(0, np.int64)
-    while len(rows):
-        a = at[rows]
-        at[rows] = tree.left[a] + ~(x[rows, tree.feature[a]] <= tree.threshold[a])
-        rows = rows[tree.feature[at[rows]] >= 0]
-    return tree.value[at]
+    out = np.zeros(len(x), np.int64)
+    for start in range(0, len(x) if tree.feature[0] >= 0 else 0, PART_ROWS):
+        values = np.ascontiguousarray(x[start : start + PART_ROWS])
+        row, at = np.arange(len(values)), np.zeros(len(values), np.int64)
+        values, width = values.ravel(), x.shape[1]
+        while len(row):
+            left = values.take(row * width + tree.feature.take(at)) <= tree.threshold.take(at)
+            at = tree.left.take(at) + ~left
+            ended = tree.feature.take(at) < 0
+            out[start + row[ended]] = at[ended]
+            row, at = row[~ended], at[~ended]
+    return tree.value[out]
 
 
 # -------------------------------------------------------------------- blocks
@@ -207,6 +366,36 @@ def _key(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[np.ndarray]]:
+    """The matrix ``x`` and whole-number columns of some thousands of rows at a time."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append([_matrix(batch, "x"), *(_key(batch.column(c)) for c in columns)])
+        if sum(len(h[0]) for h in held) >= BLOCK_ROWS:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = []
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(tree, root, rows) in batches of a bounded size, an empty one at the end."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= BATCH_BYTES:
+            yield _batch(held)
+            held, size = [], 0
+    yield _batch(held)
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["tree", "root", "rows"])
+
+
 @dataclass
 class Top:
     """Splits above the roots of every tree (none where all rows fit a task): per tree a small
@@ -221,6 +410,36 @@ class Top:
             return np.zeros(len(x), np.int64)
         return leaf_values(Tree(t.feature, t.threshold, t.left, np.arange(len(t.feature)), t.gain, t.weight), x)
 
+    def parted(self, tree: int, columns: np.ndarray, rows: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(root, those of ``rows`` that fall into it) of the tree, or of its ``wanted`` leaves only;
+        ``columns`` are the values by feature and row."""
+        t = self.trees.get(tree)
+        if t is None:
+            yield 0, rows
+            return
+        need = np.ones(len(t.feature), bool)
+        if wanted is not None:
+            need[:] = False
+            need[wanted] = True
+            for node in range(len(need) - 1, -1, -1):
+                if t.feature[node] >= 0:
+                    need[node] = need[t.left[node]] or need[t.left[node] + 1]
+        todo = [(0, rows)]
+        while todo:
+            node, at = todo.pop()
+            if not need[node] or not len(at):
+                continue
+            if t.feature[node] < 0:
+                yield node, at
+                continue
+            left = columns[t.feature[node]].take(at) <= t.threshold[node]
+            todo += [(int(t.left[node]), at[left]), (int(t.left[node]) + 1, at[~left])]
+
+    def open(self, tree: int) -> np.ndarray | None:
+        """The leaves of the tree's top that grow on."""
+        t = self.trees.get(tree)
+        return None if t is None else np.flatnonzero((t.feature < 0) & np.isnan(t.value))
+
     def final(self, tree: int, root: int) -> bool:
         return tree in self.trees and not np.isnan(self.trees[tree].value[root])
 
@@ -235,24 +454,15 @@ class Top:
 def _dealt(top: Top, trees: Sequence[int], seed: int):
     """Training rows packed per (tree, root) with the number of times the tree draws them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y, key = _matrix(batch, "x"), batch.column("y").to_numpy(zero_copy_only=False).astype(np.int8), _key(batch.column("key"))
-            out: list[tuple[int, int, bytes]] = []
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        for x, y, key in _gathered(batches, "y", "key"):
+            y, columns = y.astype(np.int8), np.ascontiguousarray(x.T)
             for t in trees:
                 w = _poisson(seed, t, key)
-                drawn = np.flatnonzero(w)
-                root = top.roots(t, x[drawn])
-                for r in np.unique(root).tolist():
-                    if not top.final(t, r):
-                        i = drawn[root == r]
-                        out.append((t, r, _packed(x[i], y[i], w[i].astype(np.uint8))))
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["tree", "root", "rows"])
+                for r, i in top.parted(t, columns, np.flatnonzero(w), top.open(t)):
+                    yield t, r, _packed(x.take(i, 0), y.take(i), w.take(i))
 
-    return run
+    return lambda batches: _batches(packed(batches))
 
 
 def _node_table(tree: int, root: int, t: Tree) -> pa.Table:
@@ -267,9 +477,7 @@ def _node_table(tree: int, root: int, t: Tree) -> pa.Table:
 def _grown_tree(key, table, n_features: int, max_features: int, seed: int) -> Tree:
     tree, root = key[0].as_py(), key[1].as_py()
     y, w, x = _unpacked([b.as_buffer() for b in table.column("rows").combine_chunks()], n_features, np.int8, np.uint8)
-    # blocks arrive in any order: rows are put in one of their own
-    order = np.lexsort((*x.T, y, w))
-    return grow(x[order], y[order].astype(np.float64), w[order].astype(np.float64), max_features, (seed, tree, root))
+    return grow(x, y, w, max_features, (seed, tree, root))
 
 
 def _grown(n_features: int, max_features: int, seed: int):
@@ -279,35 +487,27 @@ def _grown(n_features: int, max_features: int, seed: int):
     return run
 
 
-def _grown_gains(n_features: int, max_features: int, seed: int):
-    """Gains by feature of a grown tree."""
-
-    def run(key, table):
-        t = _grown_tree(key, table, n_features, max_features, seed)
-        split = t.feature >= 0
-        used = np.unique(t.feature[split])
-        gain = np.bincount(t.feature[split], t.gain[split], n_features)[used].astype(np.float64)
-        return pa.table({"tree": pa.array(np.full(len(used), key[0].as_py(), np.int32)), "feature": pa.array(used.astype(np.int32)), "gain": pa.array(gain)})
-
-    return run
-
-
-def _grown_values(top: Top, n_features: int, max_features: int, seed: int):
-    """The values that a grown tree gives to the test rows of its root."""
-
-    def run(key, table, blocks):
-        if not blocks.num_rows:
-            return pa.table({"place": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
-        place, x = _unpacked([b.as_buffer() for b in blocks.column("rows").combine_chunks()], n_features, np.int64)
-        if top.final(key[0].as_py(), key[1].as_py()):
-            value = np.full(len(place), top.trees[key[0].as_py()].value[key[1].as_py()])
-        elif table.num_rows:
-            value = leaf_values(_grown_tree(key, table, n_features, max_features, seed), x)
-        else:
-            place, value = place[:0], np.zeros(0)
-        return pa.table({"place": pa.array(place), "value": pa.array(value)})
+def _grown_values(top: Top, n_features: int, max_features: int, seed: int, gains: bool, values: bool = True):
+    """Of a grown tree its gains by feature (place: the feature), and the values that it gives to
+    the test rows of its root (tree -1, place: the row's)."""
 
-    return run
+    def run(key, table, blocks=None):
+        tree, root = key[0].as_py(), key[1].as_py()
+        tested = values and blocks.num_rows > 0
+        grown = _grown_tree(key, table, n_features, max_features, seed) if table.num_rows and (gains or tested) else None
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if gains and grown:
+            split = grown.feature >= 0
+            used = np.unique(grown.feature[split])
+            out.append((np.full(len(used), tree), used, np.bincount(grown.feature[split], grown.gain[split], n_features)[used]))
+        if tested and (grown or top.final(tree, root)):
+            place, x = _unpacked([b.as_buffer() for b in blocks.column("rows").combine_chunks()], n_features, np.int64)
+            value = np.full(len(place), top.trees[tree].value[root]) if top.final(tree, root) else leaf_values(grown, x)
+            out.append((np.full(len(place), -1), place, value))
+        of, place, value = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"tree": pa.array(of.astype(np.int32)), "place": pa.array(place.astype(np.int64)), "value": pa.array(value.astype(np.float64))})
+
+    return run if values else lambda key, table: run(key, table)
 
 
 # -------------------------------------------------------------- tops of trees
@@ -317,22 +517,16 @@ def _histograms(top: Top, open_nodes: dict[int, np.ndarray], edges: list[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = len(edges)
         sums = {t: np.zeros((len(nodes), f, BINS + 1, 2)) for t, nodes in open_nodes.items()}
-        for batch in batches:
-            x, y, key = _matrix(batch, "x"), batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64), _key(batch.column("key"))
-            bins = np.stack([np.where(np.isnan(x[:, k]), BINS, np.searchsorted(edges[k], x[:, k], "left")) for k in range(f)], 1) if len(x) else None
+        for x, y, key in _gathered(batches, "y", "key"):
+            columns = np.ascontiguousarray(x.T)
+            cells = [(np.where(np.isnan(v), BINS, np.searchsorted(e, v, "left")) * 2 + y).astype(np.uint8) for v, e in zip(columns, edges, strict=True)]
             for t, nodes in open_nodes.items():
                 w = _poisson(seed, t, key)
-                drawn = np.flatnonzero(w)
-                at = top.roots(t, x[drawn])
-                place = np.searchsorted(nodes, at)
-                ok = (place < len(nodes)) & (nodes[np.minimum(place, len(nodes) - 1)] == at)
-                drawn, place = drawn[ok], place[ok]
-                for k in range(f):
-                    cell = (place * (BINS + 1) + bins[drawn, k]) * 2 + y[drawn]
-                    sums[t][:, k] += np.bincount(cell, w[drawn], len(nodes) * (BINS + 1) * 2).reshape(len(nodes), BINS + 1, 2)
-        rows = [(t, int(nodes[i]), sums[t][i].tobytes()) for t, nodes in open_nodes.items() for i in range(len(nodes)) if sums[t][i].any()]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["tree", "root", "rows"])
+                for r, i in top.parted(t, columns, np.flatnonzero(w), nodes):
+                    of, weight = sums[t][np.searchsorted(nodes, r)], w.take(i).astype(np.float64)
+                    for k in range(f):
+                        of[k] += np.bincount(cells[k].take(i), weight, (BINS + 1) * 2).reshape(BINS + 1, 2)
+        yield from _batches((t, int(nodes[i]), sums[t][i].tobytes()) for t, nodes in open_nodes.items() for i in range(len(nodes)) if sums[t][i].any())
 
     return run
 
@@ -430,7 +624,13 @@ class Growth:
         return [list(range(i, min(i + step, n_trees))) for i in range(0, n_trees, step)]
 
     def dealt(self, top: Top, trees: Sequence[int]) -> DataFrame:
-        return self.rows.mapInArrow(_dealt(top, trees, self.seed), _BLOCK)
+        return self.spread(self.rows.mapInArrow(_dealt(top, trees, self.seed), _BLOCK), top, trees)
+
+    def spread(self, blocks: DataFrame, top: Top, trees: Sequence[int]) -> DataFrame:
+        """``blocks`` by (tree, root), in as many tasks as there is growing for."""
+        roots = sum(1 if top.open(t) is None else len(top.open(t)) for t in trees)
+        busy = max(cores(blocks.sparkSession), int(0.64 * self.n_rows * len(trees)) // TASK_ROWS)
+        return blocks.repartition(max(1, min(roots, busy)), "tree", "root")
 
     @property
     def drawn(self) -> tuple[int, int, int]:
@@ -446,6 +646,7 @@ class Forest:
     n_trees: int
     table: DataFrame | None = None  # small trees only
     growth: Growth | None = None
+    gains: DataFrame | None = None  # kept by a score that was asked for them
 
     @property
     def nodes(self) -> DataFrame:
@@ -460,24 +661,22 @@ class Forest:
     def _gains(self) -> DataFrame:
         if self.growth is None:
             return self.table.where("feature >= 0").select("tree", "feature", "gain")
-        parts = []
-        for trees in self.growth.batches(self.n_trees):
-            grown = self.growth.dealt(self.top, trees).groupBy("tree", "root").applyInArrow(_grown_gains(*self.growth.drawn), "tree int, feature int, gain double")
-            parts.append(cut_lineage(grown.groupBy("tree", "feature").agg(F.sum("gain").alias("gain"))))
-            release(grown.sparkSession)
-        return reduce(DataFrame.unionByName, parts)
+        return self.gains if self.gains is not None else self._grown(None, True).select("tree", F.col("place").cast("int").alias("feature"), F.col("value").alias("gain"))
 
-    def _sums(self, keyed: DataFrame) -> DataFrame:
-        """(place, total): the trees' values of every test row, added up."""
+    def _grown(self, keyed: DataFrame | None, gains: bool) -> DataFrame:
+        """(tree, place, value): the trees' gains by feature, and in tree -1 their values of every
+        test row, added up over the trees grown at a time."""
         parts = []
         for trees in self.growth.batches(self.n_trees):
-            blocks = keyed.mapInArrow(_spread(self.top, trees), _BLOCK)
-            values = (
-                self.growth.dealt(self.top, trees).groupBy("tree", "root").cogroup(blocks.groupBy("tree", "root"))
-                .applyInArrow(_grown_values(self.top, *self.growth.drawn), "place long, value double")
-            )
-            parts.append(cut_lineage(values.groupBy("place").agg(F.sum("value").alias("total"))))
-            release(keyed.sparkSession)
+            dealt = self.growth.dealt(self.top, trees).groupBy("tree", "root")
+            grow_ = _grown_values(self.top, *self.growth.drawn, gains, keyed is not None)
+            if keyed is None:
+                values = dealt.applyInArrow(grow_, _VALUE)
+            else:
+                blocks = self.growth.spread(keyed.mapInArrow(_spread(self.top, trees), _BLOCK), self.top, trees)
+                values = dealt.cogroup(blocks.groupBy("tree", "root")).applyInArrow(grow_, _VALUE)
+            parts.append(cut_lineage(values.groupBy("tree", "place").agg(F.sum("value").alias("value"))))
+            release(self.growth.rows.sparkSession)
         return reduce(DataFrame.unionByName, parts)
 
     def importances(self) -> DataFrame:
@@ -494,18 +693,22 @@ class Forest:
         names = spark.createDataFrame(list(enumerate(self.features)), "i int, name string")
         return names.join(total, F.col("i") == F.col("feature"), "left").select(F.col("name").alias("feature"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
-    def score(self, df: DataFrame, id_col: str, label: str) -> DataFrame:
+    def score(self, df: DataFrame, id_col: str, label: str, ranked: bool = False) -> DataFrame:
         """T9 (id, label, score, prediction): the mean class-1 share over all trees.
 
         A table of nodes is bounded by parameters and goes to every task; trees that grow with
-        the data meet the rows by (tree, root) and leave their values only."""
+        the data meet the rows by (tree, root) and leave their values only, and with ``ranked``
+        their gains, so that :meth:`importances` need not grow them again."""
         rows = _rows(df, self.features, label, F.col(id_col))
         if self.growth is None:
             table = self.table.orderBy("tree", "node").toArrow()
             scored = rows.select("id", "y", _score_all(_trees(table))("x").alias("score"))
         else:
             keyed = cut_lineage(rows.withColumn("place", F.monotonically_increasing_id()))
-            mean = self._sums(keyed).groupBy("place").agg((F.sum("total") / self.n_trees).alias("score"))
+            grown = self._grown(keyed, ranked)
+            if ranked:
+                self.gains = grown.where("tree >= 0").select("tree", F.col("place").cast("int").alias("feature"), F.col("value").alias("gain"))
+            mean = grown.where("tree < 0").groupBy("place").agg((F.sum("value") / self.n_trees).alias("score"))
             scored = keyed.join(mean, "place").select("id", "y", "score")
         return scored.select("id", F.col("y").alias("label"), "score", (F.col("score") > F.lit(0.5)).cast("int").alias("prediction"))
 
@@ -533,21 +736,14 @@ def _score_all(trees: list[Tree]):
 def _spread(top: Top, trees: Sequence[int]):
     """Test rows packed per (tree, root)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, place = _matrix(batch, "x"), _key(batch.column("place"))
-            out = []
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        for x, place in _gathered(batches, "place"):
+            columns = np.ascontiguousarray(x.T)
             for t in trees:
-                root = top.roots(t, x)
-                for r in np.unique(root).tolist():
-                    i = root == r
-                    out.append((t, r, _packed(x[i], place[i])))
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["tree", "root", "rows"])
+                for r, i in top.parted(t, columns, np.arange(len(x))):
+                    yield t, r, _packed(x.take(i, 0), place.take(i))
 
-    return run
+    return lambda batches: _batches(packed(batches))
 
 
 def _rows(df: DataFrame, features: Sequence[str], label: str, id_col: Column) -> DataFrame:
@@ -613,7 +809,6 @@ def _bag_grown(n_features: int, seed: int):
         tree = key[0].as_py()
         x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, n_features)
         y, w = (table.column(c).to_numpy().astype(np.float64) for c in ("y", "draws"))
-        order = np.lexsort((*x.T, y, w))
-        return _node_table(tree, 0, grow(x[order], y[order], w[order], n_features, (seed, tree, 0)))
+        return _node_table(tree, 0, grow(x, y, w, n_features, (seed, tree, 0)))
 
     return run

@@ -65,7 +65,7 @@ def fit_score_forest(split: Split, n_trees: int = 100, seed: int = 0):
     copy = F.col("copy") if "copy" in split.train.columns else F.lit(0)
     key = F.concat_ws("|", F.col(split.id_col).cast("string"), copy.cast("string"))
     forest = trees.random_forest(split.train, split.features, split.label, key, n_trees=n_trees, seed=seed)
-    return forest, forest.score(split.test, split.id_col, split.label)
+    return forest, forest.score(split.test, split.id_col, split.label, ranked=True)
 
 
 def fit_score_bagged(split: Split, n_estimators: int = 1000, rows_per_tree: int = 120, seed: int = 123):

@@ -174,3 +174,38 @@ def test_full_depth_leaves_no_node_table(spark, monkeypatch):
             tree = trees.Tree(*(np.array([r[c] for r in nodes]) for c in ("feature", "threshold", "left", "value", "gain", "weight")))
             total[root == at] += trees.leaf_values(tree, x[root == at])
     assert all(abs(one[r["id"]] - total[i] / 7) < 1e-9 for i, r in enumerate(rows))
+
+
+def test_parts_of_a_level_give_the_same_tree(monkeypatch):
+    """Levels are split a few neighbouring nodes at a time, and equal rows are one."""
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(900, 3)).astype(np.float32).round(1)
+    x[rnd.random(900) < 0.1, 2] = np.nan
+    y, w = rnd.integers(0, 2, 900), rnd.integers(1, 4, 900)
+    one = trees.grow(x, y, w, 2, (5, 1, 0))
+    twice, order = np.r_[x, x], rnd.permutation(1800)
+    monkeypatch.setattr(trees, "PART_ROWS", 16)
+    many = [trees.grow(x, y, w, 2, (5, 1, 0)), trees.grow(twice[order], np.r_[y, y][order], np.r_[w, w][order], 2, (5, 1, 0))]
+    monkeypatch.setattr(trees, "MOST_PAIRS", 0)
+    many.append(trees.grow(x, y, w, 2, (5, 1, 0)))
+    for t, times in zip(many, (1, 2, 1), strict=True):
+        for c in ("feature", "threshold", "left", "value"):
+            assert (getattr(t, c) == getattr(one, c)).all()
+        assert (t.weight == times * one.weight).all() and abs(t.gain - times * one.gain).max() < 1e-9
+
+
+def test_scores_and_importances_of_one_growth(spark, monkeypatch):
+    """A forest that is scored and ranked was grown twice."""
+    from ledgerline.plans import scoring
+
+    df = frame(spark, 500)
+    batches, dealt = [], trees._dealt
+    monkeypatch.setattr(trees, "_dealt", lambda top, of, seed: batches.append(list(of)) or dealt(top, of, seed))
+    train, test = sampling.train_test(df, "id", 25)
+    split = scoring.Split(train, test, ["a", "b", "c", "d"], "y", "id")
+    forest, scored = scoring.fit_score_forest(split, n_trees=6)
+    assert scoring.top_features(forest, split.features, 1) == ["b"] and scored.count() == test.count()
+    assert batches == [list(range(6))]
+    kept = {r["feature"]: r["importance"] for r in forest.importances().collect()}
+    forest.gains = None
+    assert all(abs(r["importance"] - kept[r["feature"]]) < 1e-9 for r in forest.importances().collect())
