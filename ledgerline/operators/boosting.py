@@ -7,8 +7,8 @@ every tree; with hundreds of trees that copying is most of the time. Here
 
 * each feature value becomes the number of its bin once, and rows travel in packed blocks of
   some thousands, a byte per feature;
-* a level of a tree is one job: tasks add up their rows' histograms with numpy, and one small
-  partial sum per task goes to the driver, which picks the splits;
+* a level of a tree is one job: tasks add up their rows' histograms with numpy, features of few
+  bins in one pass, and one small partial sum per task goes to the driver, which picks the splits;
 * a row's margin travels with its block and is brought forward every few trees; tasks add what
   the trees since then give. Every ``FRESH`` trees margins are computed again from the blocks, so
   no lineage grows longer.
@@ -45,7 +45,9 @@ BLOCK_ROWS, PARTITION_ROWS = 1 << 16, 1 << 22
 #: trees after which margins are computed from the blocks instead of the last margins
 FRESH = 48
 #: trees between two kept margins while a partition has at most so many rows, else each is kept
-KEEP, KEEP_ROWS = 4, 1 << 20
+KEEP, KEEP_ROWS = 4, 1 << 22
+#: cells of the histogram that several features share
+SHARED_BINS = 1 << 12
 #: training rows up to which Spark ML's learner is the faster one
 SMALL_ROWS = 1 << 19
 #: partial sums that go to the driver at once; beyond, they are added up by a shuffle first
@@ -200,23 +202,38 @@ def _numbered(part: int, blocks):
 
 
 # ---------------------------------------------------------------- growing
-def _leaf(bins: np.ndarray, tree, depth: int) -> np.ndarray:
-    """The node that each row of ``bins`` is at after ``depth`` levels; leaves keep their rows."""
-    feature, cut, _ = tree
-    n = bins.shape[1]
-    node, row, flat = np.zeros(n, dtype=np.intp), np.arange(n), bins.ravel()
-    for _ in range(depth):
-        f = feature[node]
-        right = flat[np.maximum(f, 0) * n + row] > cut[node]
-        node = np.where(f < 0, node, 2 * node + 1 + right)
-    return node
+def _lower(bins: np.ndarray, tree, level: int, at: np.ndarray) -> np.ndarray:
+    """Places of the rows in the level below ``level``; in a leaf they go left."""
+    first, right = (1 << level) - 1, np.zeros(len(at), bool)
+    for i in range(1 << level):
+        f = tree[0][first + i]
+        if f >= 0:
+            beyond = bins[f] > tree[1][first + i]
+            right |= (at == i) & beyond if level else beyond
+    return at * at.dtype.type(2) + right
+
+
+def _places(bins: np.ndarray, tree, depth: int) -> np.ndarray:
+    """Places of the rows in level ``depth`` of a tree."""
+    at = np.zeros(bins.shape[1], np.uint8 if depth <= 8 else np.uint32)
+    for level in range(depth):
+        at = _lower(bins, tree, level, at)
+    return at
+
+
+def _lowest(tree) -> np.ndarray:
+    """Values by place in the lowest level, to which rows of a leaf above have gone left."""
+    feature, value = tree[0], tree[2].copy()
+    for node in np.flatnonzero(feature[: len(value) // 2] < 0).tolist():
+        value[2 * node + 1] = value[node]
+    return value[len(value) // 2 :]
 
 
 def _margins(bins: np.ndarray, trees: list, first: int, step: float, margin: np.ndarray) -> np.ndarray:
     """``margin`` with ``trees`` added, whose numbers begin at ``first``; tree 0 is not shrunk."""
     for i, tree in enumerate(trees, first):
         depth = (len(tree[0]) + 1).bit_length() - 2
-        margin = margin + (1.0 if i == 0 else step) * tree[2][_leaf(bins, tree, depth)]
+        margin = margin + ((1.0 if i == 0 else step) * _lowest(tree)).take(_places(bins, tree, depth))
     return margin
 
 
@@ -228,34 +245,51 @@ def _forward(blocks, trees: list, first: int, step: float):
         yield number, bins, y, w, _margins(np.frombuffer(bins, np.uint8).reshape(-1, n), trees, first, step, old).tobytes()
 
 
+def _shared(widths: list[int]) -> list[list[int]]:
+    """Features that share a histogram: the product of their bins is bounded."""
+    groups: list[list[int]] = []
+    for f in sorted(range(len(widths)), key=lambda f: -widths[f]):
+        group = next((g for g in groups if math.prod(widths[i] for i in g) * widths[f] <= SHARED_BINS), None)
+        if group is None:
+            groups.append([f])
+        else:
+            group.append(f)
+    return groups
+
+
 def _histograms(blocks, tree, level: int, round_: int, widths: list[int], rate: float, seed: int, trees: list, first_tree: int, step: float):
     """Weights and weighted residuals of the rows by node of ``level`` and bin, summed over a
     partition; ``trees`` are those that the blocks' margins lack."""
-    first, total = (1 << level) - 1, sum(widths)
-    starts = np.concatenate([[0], np.cumsum(widths)[:-1]]).astype(np.intp)
-    places = (first + 1) * total
-    out = np.zeros((2, places))
-    for number, bins, y, w, margin in _forward(blocks, trees, first_tree, step):
+    groups, starts = _shared(widths), np.cumsum([0, *widths])
+    shapes = [[widths[f] for f in group] for group in groups]
+    sums = [np.zeros((2, math.prod(shape) << level)) for shape in shapes]
+    for number, bins, y, w, *margin in blocks:
         n = len(y)
         bins = np.frombuffer(bins, np.uint8).reshape(-1, n)
-        sign = np.frombuffer(y, np.uint8) * 2.0 - 1.0
-        target = sign if round_ == 0 else 4.0 * sign / (1.0 + np.exp(np.minimum(2.0 * sign * np.frombuffer(margin), 700.0)))
-        weight = np.frombuffer(w) if w else None
+        margin = _margins(bins, trees, first_tree, step, np.frombuffer(margin[0]) if margin else np.zeros(n))
+        sign, weight = np.frombuffer(y, np.uint8) * 2.0 - 1.0, np.frombuffer(w) if w else None
+        at = _places(bins, tree, level)
         if rate < 1.0:
             drawn = np.flatnonzero(np.random.default_rng([seed, round_, *number]).random(n) < rate)
-            bins, target = bins[:, drawn], target[drawn]
-            weight = weight[drawn] if w else None
-        node = _leaf(bins, tree, level) - first
-        if level and node.size and node.min() < 0:  # rows in leaves above this level
-            open_ = np.flatnonzero(node >= 0)
-            bins, target, node = bins[:, open_], target[open_], node[open_]
-            weight = weight[open_] if w else None
-        value = target * weight if w else target
-        for f, start in enumerate(starts):
-            place = node * total + (bins[f] + start)
-            out[0] += np.bincount(place, weight, places)
-            out[1] += np.bincount(place, value, places)
-    yield out
+            sign, margin, at = sign.take(drawn), margin.take(drawn), at.take(drawn)
+            weight = weight.take(drawn) if w else None
+        target = sign if round_ == 0 else 4.0 * sign / (1.0 + np.exp(np.minimum(2.0 * sign * margin, 700.0)))
+        value, at = target * weight if w else target, at.astype(np.intp)
+        for group, shape, sum_ in zip(groups, shapes, sums, strict=True):
+            code = np.zeros(n, np.uint16)
+            for f in group:
+                code = code * np.uint16(widths[f]) + bins[f]
+            place = (code.take(drawn) if rate < 1.0 else code).astype(np.intp)
+            if level:
+                place += at * math.prod(shape)
+            sum_[0] += np.bincount(place, weight, sum_.shape[1])
+            sum_[1] += np.bincount(place, value, sum_.shape[1])
+    out = np.zeros((2, 1 << level, starts[-1]))
+    for group, shape, sum_ in zip(groups, shapes, sums, strict=True):
+        sum_ = sum_.reshape(2, 1 << level, *shape)
+        for i, f in enumerate(group):
+            out[:, :, starts[f] : starts[f + 1]] = sum_.sum(axis=tuple(2 + j for j in range(len(group)) if j != i))
+    yield out.reshape(2, -1)
 
 
 def _added(state, fn, parts: int) -> np.ndarray:
@@ -316,7 +350,7 @@ def _grow_all(base, settings: BoostedTrees, widths: list[int], n_rows: int):
             for i in range(1 << level):
                 node = (1 << level) - 1 + i
                 tried = rng.permutation(len(widths))[:n_tried]
-                best = _split(sums[:, i], widths, tried)
+                best = _split(sums[:, i], widths, tried) if level == 0 or tree[0][(node - 1) // 2] >= 0 else None
                 if best is None:
                     continue
                 grown = True

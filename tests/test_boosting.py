@@ -73,3 +73,34 @@ def test_odd_training_rows_raise(spark, packed):
     for odd in (rows.withColumn("f3", F.when(F.col("id") != 7, F.col("f3"))), rows.withColumn("label", F.lit(2))):
         with pytest.raises(Exception, match="training rows need"):
             models.fit(odd, FEATURES, "label", models.extreme_boosting(2))
+
+
+@pytest.mark.parametrize("level", [0, 2])
+def test_features_share_a_pass_over_the_rows(monkeypatch, level):
+    """A level had two passes over the rows for each feature; features of few bins share them."""
+    import numpy as np
+
+    from ledgerline.operators import boosting
+
+    rnd = np.random.default_rng(1)
+    widths, n = [5, 32, 3, 7, 32], 400
+    bins, y, margin = np.array([rnd.integers(0, w, n) for w in widths], np.uint8), rnd.integers(0, 2, n).astype(np.uint8), rnd.normal(size=n)
+    tree = (np.full(15, -1), np.zeros(15, np.intp), np.zeros(15))
+    tree[0][0], tree[1][0], tree[0][2], tree[1][2] = 1, 20, 0, 1
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a: calls.append(1) or bincount(*a))
+    block = ((0, 0), bins.tobytes(), y.tobytes(), b"", margin.tobytes())
+    got = next(boosting._histograms([block], tree, level, 3, widths, 1.0, 0, [], 0, 0.1)).reshape(2, 1 << level, -1)
+    assert len(boosting._shared(widths)) == 2 and len(calls) == 4
+    sign = y * 2.0 - 1.0
+    target = 4.0 * sign / (1.0 + np.exp(2.0 * sign * margin))
+    # the root sends rows right above bin 20 of feature 1, its right child above bin 1 of feature 0
+    right = bins[1] > 20
+    node = np.where(right, 2 + (bins[0] > 1), 0) if level else np.zeros(n, int)
+    start = 0
+    for f, width in enumerate(widths):
+        for i in range(1 << level):
+            for b in range(width):
+                rows = (node == i) & (bins[f] == b)
+                assert got[0, i, start + b] == rows.sum() and abs(got[1, i, start + b] - target[rows].sum()) < 1e-9
+        start += width
