@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import named
 from ledgerline.operators.ranking import global_rank
+from ledgerline.session import cores, cut_lineage, release
 
 
 class VocabularyTooLarge(ValueError):
@@ -128,21 +129,28 @@ def positions(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[int]]
         values = df.select(named(c).cast("string").alias("_value")).where(F.col("_value").isNotNull()).distinct()
         codes = global_rank(values, ["_value"], "_code")
         n = codes.count()
+        release(df.sparkSession)  # the shuffles behind the dictionary
         joined = out.join(codes, named(c).cast("string") == F.col("_value"), "left")
         out = joined.withColumn(f"{c}_position", F.coalesce("_code", F.lit(n)).cast("int")).drop("_value", "_code")
         sizes.append(n + 1)
     return out, sizes
 
 
-def sparse_one_hot(df: DataFrame, cols: Sequence[str], vector: str = "onehot") -> tuple[DataFrame, list[int]]:
+def sparse_one_hot(df: DataFrame, cols: Sequence[str], vector: str = "onehot", written: Sequence[str] | None = None) -> tuple[DataFrame, list[int]]:
     """E1 for models, with any number of values: ``df`` with one sparse 0/1 ``vector`` of all
     columns (each has a place per value in sorted order, and one for missing), and the number of
-    places of every column. No vocabulary is collected and no column per value is made."""
+    places of every column. No vocabulary is collected and no column per value is made.
+
+    ``written``: the columns of ``df`` that are kept; they are written once with the places, and
+    whoever reads them makes the vectors, which are several times as large."""
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql.types import StructField, StructType
 
     coded, sizes = positions(df, cols)
     names = [f"{c}_position" for c in cols]
+    if written is not None:
+        coded = cut_lineage(coded.select(*map(named, written), *map(named, names)), min_partitions=cores(df.sparkSession))
+        release(df.sparkSession)
     starts = [sum(sizes[:i]) for i in range(len(sizes))]
     at = F.array(*[F.col(f"`{n}`") + F.lit(s) for n, s in zip(names, starts, strict=True)])
     ones = F.array(*[F.lit(1.0)] * len(cols))

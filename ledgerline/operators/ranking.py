@@ -15,9 +15,10 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
     inside their range, and the ranges' row counts (one row per partition) are added up.
     Equal rows under ``order`` get neighbouring places. The ranges are written to the
     shared checkpoint folder, so every later job sees the same ones."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    keyed = df.withColumns({f"_o{i}": c for i, c in enumerate(cols)})
-    keys = [f"_o{i}" for i in range(len(cols))]
+    # what is a column already is not written twice
+    added = {f"_o{i}": c for i, c in enumerate(order) if not isinstance(c, str)}
+    keyed = df.withColumns(added) if added else df
+    keys = [c if isinstance(c, str) else f"_o{i}" for i, c in enumerate(order)]
     parts = cut_lineage(keyed.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
     counts = parts.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
@@ -25,5 +26,5 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
     return (
         parts.withColumn("_inside", inside).join(before, "_range")
         .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
-        .drop("_range", "_inside", "_before", *keys)
+        .drop("_range", "_inside", "_before", *added)
     )

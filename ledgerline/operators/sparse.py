@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import named
 from ledgerline.operators.encode import places
-from ledgerline.session import cut_lineage, ship
+from ledgerline.session import cut_lineage, release, ship
 
 #: different vectors in one block
 ROWS_PER_BLOCK = 1 << 16
@@ -205,6 +205,7 @@ def sparse_logistic(train: DataFrame, label: str, vector: str, nested_in: str, s
     blocks = -(-found["rows"] // rows_per_block)
     keyed = equal.select(F.pmod(F.col("h"), F.lit(blocks)).cast("long").alias("block"), "at", "n", "ones")
     packed = cut_lineage(keyed.groupBy("block").applyInArrow(_pack, _PACKED).repartition(blocks, "block"))
+    release(train.sparkSession)
     intercept, low, high = math.log(ones / (n - ones)), -math.inf, math.inf
     for _ in range(50):
         s = packed.mapInArrow(_pass(intercept, float(n), reg, False), "slope double, curve double").agg(F.sum("slope"), F.sum("curve")).first()

@@ -66,3 +66,27 @@ def test_query_keeps_no_model_of_the_driver(spark, monkeypatch):
     monkeypatch.setattr(LogisticRegression, "fit", lambda *a, **k: pytest.fail("a fit on the driver"))
     row = REGISTRY["sparse_logistic"][0](spark, "/root/testdata/sf0.001").first()
     assert row["n_coefficients"] > 2000 and row["n_test"] > 500
+
+
+def test_vectors_are_made_from_what_is_written(spark, monkeypatch):
+    """The vectors and their copies of the dictionaries were written whole."""
+    from ledgerline.operators import ranking
+
+    seen, cut = [], ranking.cut_lineage
+    for module in (ranking, encode):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, **kw: seen.append(df.columns) or cut(df, **kw))
+    df = lines(spark, 300)
+    out, sizes = encode.sparse_one_hot(df, ["part", "pair"], written=["id", "label"])
+    assert seen == [["_value", "_range"], ["_value", "_range"], ["id", "label", "part_position", "pair_position"]]
+    assert out.columns == ["id", "label", "onehot"]
+    plain, again = encode.sparse_one_hot(df, ["part", "pair"])
+    assert sizes == again and {r["id"]: r["onehot"] for r in out.collect()} == {r["id"]: r["onehot"] for r in plain.collect()}
+
+
+def test_ranks_by_columns_and_expressions(spark):
+    from ledgerline.operators.ranking import global_rank
+
+    df = spark.range(50).select("id", (F.col("id") * 7 % 10).alias("k"))
+    ranked = global_rank(df, ["k", -F.col("id")], "place")
+    assert ranked.columns == ["id", "k", "place"]
+    assert [r["id"] for r in ranked.orderBy("place").collect()] == sorted(range(50), key=lambda i: (i * 7 % 10, -i))
